@@ -140,8 +140,9 @@ def probe_u32(
 ) -> Column:
     """F16: first 32-bit value at the candidate offsets that lies within [lo, hi]."""
     blob = _c(blob)
-    reads = [_little_endian(blob, o, 4) for o in offsets]
-    return F.coalesce(*[F.when(r.between(lo, hi), r) for r in reads], F.lit(None).cast("long"))
+    # as an array, so that each offset is decoded once
+    reads = F.array(*[_little_endian(blob, o, 4) for o in offsets])
+    return F.try_element_at(F.filter(reads, lambda v: v.between(lo, hi)), F.lit(1))
 
 
 def probe_u16(

@@ -13,9 +13,8 @@ def parse_roots(df: DataFrame, col: str, existing: DataFrame | None = None) -> D
 
     With ``existing`` (path, label) the new ones are appended to it, labelled by name.
     """
-    entries = (
-        df.select(F.trim(F.explode(F.split(col, ";"))).alias("path")).where("path <> ''").distinct()
-    )
+    pieces = df.select(F.explode(F.split(col, ";")).alias("path"))
+    entries = pieces.select(F.trim("path").alias("path")).where("path <> ''").distinct()
     if existing is None:
         return entries
     new = entries.join(existing.select("path"), "path", "left_anti").select(
