@@ -203,54 +203,59 @@ def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False) -> Data
 
     Rules: an unchanged file is skipped unless an earlier file of this scan has taken
     its content away; an operation is a move if its content is known at another path
-    at that moment; otherwise it is indexed. Paths are unique within a scan, so only
-    the first and the last operation per id matter, and both come from one aggregate.
+    at that moment; otherwise it is indexed.
+
+    Paths are unique within a scan, so per content id it is enough to know the first and
+    the last operation, the one unchanged file, and when another content replaced it at
+    its stored path. One aggregate gives all of them; no files of one id meet each other.
     """
     flagged = split_unchanged(files, catalog)
-    skip = F.lit(False) if force else F.col("unchanged")
-    flagged = flagged.withColumn("_skip", skip).withColumn(
+    flagged = flagged.withColumn("_skip", F.lit(False) if force else F.col("unchanged")).withColumn(
         "id", F.when(F.col("_skip"), F.col("known_id")).otherwise(F.col("id"))
     )
-    touched = (
-        flagged.where(~F.col("_skip")).groupBy("id").agg(F.min("seq").alias("_touch"))
-    )
-    flagged = flagged.join(touched, "id", "left").withColumn(
-        "_skip", F.col("_skip") & (F.col("_touch").isNull() | (F.col("_touch") > F.col("seq")))
+    acts = ~F.col("_skip")
+    none = F.lit(None)
+    own = flagged.select("id", "seq", "file_path", "_skip", none.cast(files.schema["seq"].dataType).alias("_over"))
+    replaced = flagged.where(acts & (F.col("known_id") != F.col("id"))).select(
+        F.col("known_id").alias("id"),
+        none.cast(files.schema["seq"].dataType).alias("seq"),
+        none.cast("string").alias("file_path"),
+        none.cast("boolean").alias("_skip"),
+        F.col("seq").alias("_over"),
     )
-    ops = flagged.where(~F.col("_skip"))
-    per_id = ops.groupBy("id").agg(
-        F.min("seq").alias("_first"),
-        F.max("seq").alias("_last"),
-        F.min_by("file_path", "seq").alias("_first_path"),
+    act_seq = F.when(acts, F.col("seq"))
+    per_id = (
+        own.unionAll(replaced)
+        .groupBy("id")
+        .agg(
+            F.min(act_seq).alias("_first"),
+            F.max(act_seq).alias("_last_act"),
+            F.min_by("file_path", act_seq).alias("_first_path"),
+            F.max(F.when(F.col("_skip"), F.col("seq"))).alias("_still"),
+            F.min("_over").alias("_over"),
+        )
+        .where("_first is not null")
     )
-    # where each touched id lived before, and whether another file had overwritten it by then
     home = catalog.select("id", F.col("file_path").alias("_home"))
-    at_home = ops.select(
-        F.col("file_path").alias("_home"), F.col("seq").alias("_home_seq"), F.col("id").alias("_home_id")
-    )
-    start = (
-        per_id.join(home, "id", "left")
-        .join(at_home, "_home", "left")
-        .withColumn(
-            "_moved_first",
-            F.col("_home").isNotNull()
-            & (F.col("_home") != F.col("_first_path"))
-            & ~F.coalesce(
-                (F.col("_home_seq") < F.col("_first")) & (F.col("_home_id") != F.col("id")),
-                F.lit(False),
-            ),
-        )
-        .select("id", "_first", "_last", "_moved_first")
+    away = F.col("_home").isNotNull() & (F.col("_home") != F.col("_first_path"))
+    start = per_id.join(home, "id", "left").select(
+        "id",
+        "_first",
+        # an unchanged file after the first operation is an operation itself
+        F.when(F.col("_still") > F.col("_first"), F.greatest("_last_act", "_still"))
+        .otherwise(F.col("_last_act"))
+        .alias("_last"),
+        (away & ~F.coalesce(F.col("_over") < F.col("_first"), F.lit(False))).alias("_moved_first"),
     )
-    labelled = flagged.join(start, "id", "left")
+    skipped = F.col("_skip") & (F.col("_first").isNull() | (F.col("_first") > F.col("seq")))
     moved = (F.col("seq") > F.col("_first")) | F.col("_moved_first")
-    return labelled.select(
+    return flagged.join(start, "id", "left").select(
         *[F.col(c) for c in files.columns],
-        F.when(F.col("_skip"), F.lit("skipped"))
+        F.when(skipped, F.lit("skipped"))
         .when(moved, F.lit("moved"))
         .otherwise(F.lit("indexed"))
         .alias("outcome"),
-        (~F.col("_skip") & (F.col("seq") == F.col("_last"))).alias("wins"),
+        (~skipped & (F.col("seq") == F.col("_last"))).alias("wins"),
     )
 
 

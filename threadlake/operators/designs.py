@@ -5,11 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import scalars as S
-from threadlake.operators.ordered import SEGMENT_ROWS, neighbour, running_total, with_segment
+from threadlake.operators.ordered import SEGMENT_ROWS, ordered_columns, with_segment
 
 # Record commands.
 STITCH, JUMP, TRIM, COLOR_CHANGE = "STITCH", "JUMP", "TRIM", "COLOR_CHANGE"
@@ -29,20 +29,30 @@ def until_end(stitches: DataFrame) -> DataFrame:
     )
 
 
+def _changes() -> Column:
+    return F.when(F.col("cmd") == COLOR_CHANGE, 1).otherwise(0).cast("long")
+
+
 def with_color_index(stitches: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Number of colour changes up to and including each record."""
-    change = F.when(F.col("cmd") == COLOR_CHANGE, 1).otherwise(0).cast("long")
     cut = with_segment(stitches, "seq", segment_rows)
-    return running_total(cut, ["design_id"], ["seq"], change, "color_index").drop("_seg")
+    return ordered_columns(
+        cut, ["design_id"], ["seq"], totals={"color_index": _changes()}
+    ).drop("_seg")
 
 
 def segments(stitches: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Lines drawn before the first end record: a STITCH whose previous record is
     positional. The needle's position is forgotten after a colour change, a trim and at
     the start."""
-    colored = with_color_index(until_end(stitches), segment_rows)
-    cut = with_segment(colored, "seq", segment_rows)
-    prev = neighbour(cut, ["design_id"], ["seq"], ["x", "y", "cmd"], "_prev")
+    cut = with_segment(until_end(stitches), "seq", segment_rows)
+    prev = ordered_columns(
+        cut,
+        ["design_id"],
+        ["seq"],
+        totals={"color_index": _changes()},
+        previous={"_prev": ["x", "y", "cmd"]},
+    )
     drawn = prev.where(
         (F.col("cmd") == STITCH)
         & F.col("_prev").isNotNull()

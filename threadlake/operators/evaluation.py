@@ -98,12 +98,11 @@ def false_positives(rows: DataFrame, n: int | None = None) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc("top_match")).limit(n)
 
 
-def per_item_class(rows: DataFrame) -> DataFrame:
+def per_item_class(rows: DataFrame, ks: Sequence[int] = (1,)) -> DataFrame:
     """A10: each number is perfect, partial or missed at rank 1."""
-    at1 = F.count_if(F.col("rank") <= 1)
     return (
         rows.groupBy("num")
-        .agg(F.count(F.lit(1)).alias("total"), at1.alias("hits_1"))
+        .agg(F.count(F.lit(1)).alias("total"), *_hits(ks))
         .withColumn(
             "class",
             F.when(F.col("hits_1") == F.col("total"), "perfect")
@@ -114,20 +113,24 @@ def per_item_class(rows: DataFrame) -> DataFrame:
 
 
 def summarize(rows: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
-    """Totals, accuracy in percent, verdict and the sizes of the three classes."""
-    hits = hits_at(rows, ks)
-    classes = per_item_class(rows).agg(
-        *[F.count_if(F.col("class") == c).alias(c) for c in ("perfect", "partial", "missed")]
+    """Totals, accuracy in percent, verdict and the sizes of the three classes.
+
+    The totals are sums over the per-number rows, so the evaluation runs once.
+    """
+    names = ["total", *[f"hits_{k}" for k in ks]]
+    report = per_item_class(rows, ks).agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
+        *[F.count_if(F.col("class") == c).alias(c) for c in ("perfect", "partial", "missed")],
     )
     share = {k: F.col(f"hits_{k}") / F.greatest(F.col("total"), F.lit(1)) * 100.0 for k in ks}
-    report = hits.select(
-        "*",
+    return report.select(
+        *names,
         *[F.round(share[k], 1).alias(f"at_{k}") for k in ks],
         S.verdict(share[1], share[5], share[10]).alias("verdict"),
-        F.lit(1).alias("_one"),
+        "perfect",
+        "partial",
+        "missed",
     )
-    # both sides are single rows
-    return report.join(classes.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def failures(rows: DataFrame) -> DataFrame:

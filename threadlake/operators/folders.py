@@ -129,11 +129,8 @@ def request_paths(requested: DataFrame, default: DataFrame, pos: str = "pos") ->
         return named.groupBy("path").agg(F.min(pos).alias(pos))
 
     asked = clean(requested)
-    # a one-row frame that is empty as soon as one valid path was asked for
-    none_asked = asked.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(F.lit(1).alias("_k"))
-    fallback = (
-        clean(default).withColumn("_k", F.lit(1)).join(none_asked, "_k", "left_semi").drop("_k")
-    )
+    # an uncorrelated EXISTS: evaluated once, the default branch is then kept or dropped
+    fallback = clean(default).where(~asked.exists())
     return asked.unionByName(fallback)
 
 

@@ -8,7 +8,7 @@ spread over as many tasks as it has segments.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,57 +22,43 @@ def with_segment(df: DataFrame, order: Column | str, width: int = SEGMENT_ROWS)
     return df.withColumn("_seg", F.floor(order / F.lit(width)).cast("long"))
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str
-) -> DataFrame:
-    """Inclusive running sum of ``value`` per key; ``df`` carries ``_seg``."""
-    parts = [*keys, "_seg"]
-    upto = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    valued = df.withColumn("_v", value)
-    carried = (
-        valued.groupBy(*parts)
-        .agg(F.sum("_v").alias("_t"))
-        .select(*parts, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
-    )
-    return (
-        valued.withColumn("_local", F.sum("_v").over(upto))
-        .join(carried, parts)
-        .withColumn(out, F.col("_local") + F.col("_carry"))
-        .drop("_v", "_local", "_carry")
-    )
-
-
-def neighbour(
+def ordered_columns(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cols: Sequence[str],
-    out: str,
-    following: bool = False,
+    totals: Mapping[str, Column] | None = None,
+    previous: Mapping[str, Sequence[str]] | None = None,
+    following: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Struct of ``cols`` from the previous (or following) row of the key, null at the end.
+    """Adds running sums and neighbouring rows per key; ``df`` carries ``_seg``.
 
-    ``df`` carries ``_seg``; ``order`` must be a total order within a key.
+    ``totals``: name -> value, its inclusive running sum. ``previous`` / ``following``:
+    name -> columns, a struct of them from the row before / after, null at the ends.
+    ``order`` is a total order within a key. All results share one window pass over the
+    segments, one row of carry per segment, and one join back.
     """
+    totals, previous, following = totals or {}, previous or {}, following or {}
     parts = [*keys, "_seg"]
-    row = F.struct(*cols)
-    step, edge, pick = (
-        (F.lead, F.lead, F.min_by) if following else (F.lag, F.lag, F.max_by)
-    )
     inside = Window.partitionBy(*parts).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_seg")
-    carried = (
-        df.groupBy(*parts)
-        .agg(pick(row, F.struct(*order)).alias("_edge"))
-        .select(*parts, edge("_edge").over(across).alias("_carry"))
-    )
-    return (
-        df.withColumn(out, step(row).over(inside))
-        .join(carried, parts)
-        .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
-        .drop("_carry")
-    )
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*order)
+    local, edges, carry, final = {}, [], [], {}
+    for name, value in totals.items():
+        local[name] = F.sum(value).over(upto)
+        edges.append(F.sum(value).alias(f"_e_{name}"))
+        carry.append(F.coalesce(F.sum(f"_e_{name}").over(before), F.lit(0)).alias(f"_c_{name}"))
+        final[name] = F.col(name) + F.col(f"_c_{name}")
+    for step, pick, wanted in ((F.lag, F.max_by, previous), (F.lead, F.min_by, following)):
+        for name, cols in wanted.items():
+            local[name] = step(F.struct(*cols)).over(inside)
+            edges.append(pick(F.struct(*cols), place).alias(f"_e_{name}"))
+            carry.append(step(f"_e_{name}").over(across).alias(f"_c_{name}"))
+            final[name] = F.coalesce(F.col(name), F.col(f"_c_{name}"))
+    carried = df.groupBy(*parts).agg(*edges).select(*parts, *carry)
+    joined = df.withColumns(local).join(carried, parts)
+    return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
 
 
 def top_k(

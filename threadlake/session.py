@@ -26,6 +26,8 @@ def get_spark(app: str = "threadlake", master: str | None = None, **conf) -> Spa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split hot keys even where that costs one more shuffle afterwards
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # merge sessions on the map side before the shuffle
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",

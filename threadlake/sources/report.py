@@ -17,43 +17,40 @@ from threadlake.operators import evaluation as E
 def report_header(rows: DataFrame, inventory: DataFrame, dataset: str, ts: str) -> DataFrame:
     """One row: totals, accuracy per cut-off and hits per format."""
     ks = E.KS
-    total = E.hits_at(rows, ks)
+    hits = [f"hits_{k}" for k in ks]
+    # extensions are a closed list, so the array behind the map is short
+    total = (
+        rows.groupBy("ext")
+        .agg(F.count(F.lit(1)).alias("total"), *E._hits(ks))
+        .agg(
+            F.map_from_entries(
+                F.collect_list(F.struct("ext", F.struct("total", *hits)))
+            ).alias("by_format"),
+            F.coalesce(F.sum("total"), F.lit(0)).alias("total_queries"),
+            *[F.coalesce(F.sum(h), F.lit(0)).alias(h) for h in hits],
+        )
+    )
     accuracy = F.create_map(
         *[
-            x
+            part
             for k in ks
-            for x in (
+            for part in (
                 F.lit(f"@{k}"),
-                F.bround(F.col(f"hits_{k}") / F.greatest("total", F.lit(1)) * 100.0, 1),
+                F.bround(F.col(f"hits_{k}") / F.greatest("total_queries", F.lit(1)) * 100.0, 1),
             )
         ]
     )
-    # extensions are a closed list, so this array is short
-    formats = (
-        rows.groupBy("ext")
-        .agg(F.count(F.lit(1)).alias("total"), *E._hits(ks))
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("ext", F.struct("total", *[f"hits_{k}" for k in ks])))
-            ).alias("by_format")
-        )
-    )
     items = inventory.agg(
-        F.count(F.lit(1)).alias("total_emb"), F.count_if("paired").alias("paired_emb")
-    )
-    one = F.lit(1).alias("_one")
-    return (
-        total.select(
-            F.lit(ts).alias("timestamp"),
-            F.lit(dataset).alias("dataset"),
-            F.col("total").alias("total_queries"),
-            accuracy.alias("accuracy"),
-            one,
-        )
-        .join(formats.select("*", one), "_one")
-        .join(items.select("*", one), "_one")
-        .drop("_one")
+        F.struct(F.count(F.lit(1)).alias("n"), F.count_if("paired").alias("paired")).alias("i")
     )
+    return total.select(
+        F.lit(ts).alias("timestamp"),
+        F.lit(dataset).alias("dataset"),
+        "total_queries",
+        accuracy.alias("accuracy"),
+        "by_format",
+        items.scalar().alias("i"),
+    ).select("*", F.col("i.n").alias("total_emb"), F.col("i.paired").alias("paired_emb")).drop("i")
 
 
 def write_report(

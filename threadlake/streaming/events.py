@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadlake.functions import paths as P
-from threadlake.operators.ordered import neighbour, running_total
 
 EVENT_SCHEMA = "path string, op string, ts timestamp, seq long"
 
@@ -110,11 +109,32 @@ def debounce(
         )
         .withColumn("_seg", F.floor(F.col("_slot") / F.lit(slots_per_segment)))
     )
-    linked = neighbour(slots, [key], ["_slot"], ["_hi"], "_prev")
-    starts = F.when(
-        F.col("_prev").isNull() | (F.col("_lo") - F.col("_prev._hi") > width), 1
-    ).otherwise(0).cast("long")
-    bursts = running_total(linked, [key], ["_slot"], starts, "_burst")
+    # inside a segment: a burst starts where the gap to the slot before is too long
+    inside = Window.partitionBy(key, "_seg").orderBy("_slot")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    far = F.col("_lo") - F.lag("_hi").over(inside) > width
+    cut = slots.withColumn("_starts", F.when(far, 1).otherwise(0).cast("long"))
+    # across segments: does the first slot start one too, and how many came before
+    across = Window.partitionBy(key).orderBy("_seg")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lag("_end").over(across)
+    base = (
+        cut.groupBy(key, "_seg")
+        .agg(F.min("_lo").alias("_begin"), F.max("_hi").alias("_end"), F.sum("_starts").alias("_s"))
+        .withColumn(
+            "_first", F.when(last.isNull() | (F.col("_begin") - last > width), 1).otherwise(0)
+        )
+        .select(
+            key,
+            "_seg",
+            (
+                F.coalesce(F.sum(F.col("_s") + F.col("_first")).over(earlier), F.lit(0))
+                + F.col("_first")
+            ).alias("_base"),
+        )
+    )
+    bursts = cut.withColumn("_local", F.sum("_starts").over(upto)).join(base, [key, "_seg"])
+    bursts = bursts.withColumn("_burst", F.col("_local") + F.col("_base"))
     return (
         bursts.groupBy(key, "_burst")
         .agg(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from threadlake.operators.ordered import SEGMENT_ROWS, neighbour, running_total, with_segment
+from threadlake.operators.ordered import SEGMENT_ROWS, ordered_columns, with_segment
 from threadlake.streaming.events import DELAY, micros
 
 # Flush step, stall and liveness limits, refresh periods.
@@ -48,7 +48,7 @@ def progress_flushes(
     """T8, batch form: the checkpoints a scan writes per root: one at each ``every``-th
     file, and a final one without a file name. Columns root, last_file, processed, final."""
     cut = with_segment(events.select(root, order, file), order, segment_rows)
-    counted = running_total(cut, [root], [order], F.lit(1).cast("long"), "processed")
+    counted = ordered_columns(cut, [root], [order], totals={"processed": F.lit(1).cast("long")})
     steps = counted.where(F.col("processed") % every == 0).select(
         root, F.col(file).alias("last_file"), "processed", F.lit(False).alias("final")
     )
@@ -86,7 +86,7 @@ def stalled(
         .agg(F.max("running").alias("running"), F.max("paused").alias("paused"))
     )
     cut = with_segment(instants, "_us", micros(segment))
-    linked = neighbour(cut, [key], ["_us"], ["_us"], "_next", following=True)
+    linked = ordered_columns(cut, [key], ["_us"], following={"_next": ["_us"]})
     end = F.col("_next._us")
     if now is not None:
         end = F.coalesce(end, F.unix_micros(now))
