@@ -8,6 +8,7 @@ from . import (
     evaluation,
     folders,
     images,
+    joins,
     ordered,
     pooling,
     search,
@@ -15,5 +16,5 @@ from . import (
 
 __all__ = [
     "catalog", "companions", "containment", "designs", "dml", "embedding",
-    "evaluation", "folders", "images", "ordered", "pooling", "search",
+    "evaluation", "folders", "images", "joins", "ordered", "pooling", "search",
 ]

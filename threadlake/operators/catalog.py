@@ -3,12 +3,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import paths as P
+from threadlake.operators.joins import left_lookup
 
 # Page sizes.
 PAGE_SIZE, MAX_PAGE_SIZE, LATEST = 48, 200, 50
@@ -163,7 +162,7 @@ def split_unchanged(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """Files with ``unchanged`` and the id known for the path.
 
     A file is unchanged when path, mtime and size match a catalogue row. Paths are
-    unique on both sides, so one left join yields the skipped and the open files.
+    unique on both sides, so one lookup yields the skipped and the open files.
     """
     known = catalog.select(
         "file_path",
@@ -173,7 +172,7 @@ def split_unchanged(files: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     same = (F.col("_mtime") == F.col("file_mtime")) & (F.col("_kb") == F.col("size_kb"))
     return (
-        files.join(known, "file_path", "left")
+        left_lookup(files, known, "file_path")
         .withColumn("unchanged", F.coalesce(same, F.lit(False)))
         .drop("_mtime", "_kb")
     )
@@ -238,7 +237,7 @@ def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False) -> Data
     )
     home = catalog.select("id", F.col("file_path").alias("_home"))
     away = F.col("_home").isNotNull() & (F.col("_home") != F.col("_first_path"))
-    start = per_id.join(home, "id", "left").select(
+    start = left_lookup(per_id, home, "id").select(
         "id",
         "_first",
         # an unchanged file after the first operation is an operation itself

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import paths as P
+from threadlake.operators.joins import left_lookup
 from threadlake.operators.ordered import keep_latest
 
 # Columns whose old value survives a null in the batch.
@@ -32,8 +33,8 @@ def upsert(
     Replaced rows get ``indexed_at`` = now, new rows too. With ``order`` a batch that
     names an id or a path more than once is first reduced to the last row of each.
 
-    The old rows needed for ``kept`` are fetched by a semi join on the batch, so the
-    catalogue is never shuffled for a broadcastable batch.
+    Every join filters the catalogue by the batch, so the catalogue is not shuffled for
+    a broadcastable batch.
     """
     if order is not None:
         batch = keep_latest(keep_latest(batch, "id", [order]), "file_path", [order])
@@ -43,10 +44,8 @@ def upsert(
     kept = [c for c in kept if c in catalog.columns]
     new = batch
     if kept:
-        old = catalog.join(paths, "file_path", "left_semi").select(
-            "file_path", *[F.col(c).alias(f"_old_{c}") for c in kept]
-        )
-        new = batch.join(old, "file_path", "left")
+        old = catalog.select("file_path", *[F.col(c).alias(f"_old_{c}") for c in kept])
+        new = left_lookup(batch, old, "file_path")
     cols = []
     for c in catalog.columns:
         if c == "indexed_at":

@@ -14,15 +14,20 @@ from threadlake.operators.search import search, with_position
 KS = (1, 3, 5, 10)
 
 
-def join_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
-    """Results whose (number, first letter ignoring case) match the expected item."""
-    named = results.withColumn("_num", S.name_number("file_name")).withColumn(
-        "_pfx", F.lower(S.name_prefix("file_name"))
-    )
+def _matched(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """Results with the truth of their query and whether they are the expected item."""
     wanted = truth.select(
         "query_id", F.col("num").alias("_num"), F.lower("prefix").alias("_pfx")
     )
-    return named.join(wanted, ["query_id", "_num", "_pfx"], "left_semi").select(*results.columns)
+    same = (S.name_number("file_name") == F.col("_num")) & (
+        F.lower(S.name_prefix("file_name")) == F.col("_pfx")
+    )
+    return results.join(wanted, "query_id").withColumn("_match", F.coalesce(same, F.lit(False)))
+
+
+def join_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """Results whose (number, first letter ignoring case) match the expected item."""
+    return _matched(results, truth).where("_match").select(*results.columns)
 
 
 def expected_rank(results: DataFrame, truth: DataFrame) -> DataFrame:
@@ -39,14 +44,25 @@ def top_match(results: DataFrame) -> DataFrame:
 
 
 def score_results(results: DataFrame, truth: DataFrame) -> DataFrame:
-    """Evaluation rows: rank, top score (0.0 if no result) and top match ('?')."""
-    ranked = expected_rank(results, truth)
-    return ranked.join(top_match(results), "query_id", "left").select(
+    """Evaluation rows: rank, top score (0.0 if no result) and top match ('?').
+
+    Rank and top match come from one aggregate, so the search behind ``results`` runs once.
+    """
+    per_query = (
+        _matched(results, truth)
+        .groupBy("query_id")
+        .agg(
+            F.min(F.when(F.col("_match"), F.col("position"))).alias("rank"),
+            F.min_by("score", "position").alias("_score"),
+            F.min_by("file_name", "position").alias("_top"),
+        )
+    )
+    return truth.join(per_query, "query_id", "left").select(
         *truth.columns,
         "rank",
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce("top_match", F.lit("?")).alias("top_match"),
-        F.col("score").isNotNull().alias("has_results"),
+        F.coalesce("_score", F.lit(0.0)).alias("score"),
+        F.coalesce("_top", F.lit("?")).alias("top_match"),
+        F.col("_score").isNotNull().alias("has_results"),
     )
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from threadlake.functions import scalars as S
 
@@ -288,6 +288,38 @@ def color_profile(pixels: DataFrame, key: str = "img_id", tolerance: int = 30) -
     )
 
 
+def image_profile(images: DataFrame, key: str = "img_id", tolerance: int = 30) -> DataFrame:
+    """A16 on packed images: the same columns as ``color_profile``, without a shuffle,
+    since every image is one row."""
+    names = [key, *[f"bg_{c}" for c in "rgb"], "n_fg", *[f"fg_{c}" for c in "rgb"]]
+    ints = [StructField(n, IntegerType()) for n in names[1:4]]
+    last = [StructField(n, IntegerType()) for n in names[5:]]
+    schema = StructType([images.schema[key], *ints, StructField("n_fg", LongType()), *last])
+
+    def profile(a: np.ndarray) -> tuple[int, ...]:
+        h, w, channels = a.shape
+        rgb = a[:, :, :3].astype("int64")
+        background = (rgb[0, 0] + rgb[0, w - 1] + rgb[h - 1, 0] + rgb[h - 1, w - 1]) // 4
+        far = np.abs(rgb - background).sum(axis=2) > tolerance
+        shown = rgb[far & (a[:, :, 3] >= 128)] if channels == 4 else rgb[far]
+        n = len(shown)
+        middle = np.sort(shown, axis=0)[n // 2] if n else DEFAULT_FOREGROUND
+        return (*map(int, background), n, *map(int, middle))
+
+    def run(batches):
+        for batch in batches:
+            rows = [
+                profile(_array(r["height"], r["width"], r["channels"], r["data"]))
+                for r in batch.select(list(PIXELS)).to_pylist()
+            ]
+            if rows:
+                types = [pa.int32()] * 3 + [pa.int64()] + [pa.int32()] * 3
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=names)
+
+    return images.where("height > 0 and width > 0").select(key, *PIXELS).mapInArrow(run, schema)
+
+
 def is_canvas(r: Column, g: Column, b: Column) -> Column:
     """Light beige: red not far above green, red above blue, bright enough."""
     # Thresholds of the beige canvas test.

@@ -129,16 +129,24 @@ def f20(v: Views):
     return images.with_foreground(v.pixels()).select("img_id", "x", "y", "foreground")
 
 
-@query("a16_color_profile", ("pixels",), _FLAGGED + """,
+_PROFILE = _FLAGGED + """,
     m as (select img_id, count(*) as n_fg, list_sort(list(r)) as rs, list_sort(list(g)) as gs, list_sort(list(b)) as bs
           from f where foreground group by img_id)
     select c.img_id, bg_r, bg_g, bg_b, coalesce(n_fg, 0) as n_fg, coalesce(rs[n_fg // 2 + 1], 60) as fg_r,
            coalesce(gs[n_fg // 2 + 1], 60) as fg_g, coalesce(bs[n_fg // 2 + 1], 60) as fg_b
-    from c left join m using (img_id)""")
+    from c left join m using (img_id)"""
+
+
+@query("a16_color_profile", ("pixels",), _PROFILE)
 def a16(v: Views):
     return images.color_profile(v.pixels())
 
 
+@query("a16_image_profile", ("pixels",), _PROFILE)
+def a16_packed(v: Views):
+    return images.image_profile(v.images_rgba())
+
+
 @query("u7_content_box", ("pixels",), """
     with h as (select *, greatest(r - b, 0) < 130 and r - g > 5 and r > 130 as hit from pixels),
     s as (select img_id, min(x) filter (hit) as lx, max(x) filter (hit) as hx, min(y) filter (hit) as ly, max(y) filter (hit) as hy,

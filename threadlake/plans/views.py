@@ -298,6 +298,24 @@ class Views:
             F.unhex(F.array_join(F.transform("embedding", rgb), "")).alias("data"),
         )
 
+    def images_rgba(self) -> DataFrame:
+        """The rows of ``pixels`` packed: one picture of RGBA bytes per embedding."""
+        def byte(value):
+            return F.lpad(F.hex(value), 2, "0")
+
+        def rgba(e, i):
+            v = F.floor((e.cast("double") + F.lit(1.0)) * F.lit(127.5)).cast("long")
+            alpha = F.when((F.col("vec_id") + i) % 6 == 0, F.lit(90)).otherwise(F.lit(255)).cast("long")
+            return F.concat(byte(v), byte(F.lit(255) - v), byte((v * 3) % 256), byte(alpha))
+
+        return self.table("embeddings").select(
+            F.col("vec_id").alias("img_id"),
+            F.lit(8).alias("height"),
+            F.lit(8).alias("width"),
+            F.lit(4).alias("channels"),
+            F.unhex(F.array_join(F.transform("embedding", rgba), "")).alias("data"),
+        )
+
 
 # The same views for DuckDB. name -> (views it needs, text)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {

@@ -108,7 +108,7 @@ def write_delta(rows: DataFrame, gone_ids: DataFrame, gone_paths: DataFrame, bas
     written changes nothing. Returns whether it was written now.
     """
     spark = rows.sparkSession
-    if any(n == batch_id and kind == "delta" for n, kind in versions(spark, base)):
+    if has_delta(spark, base, batch_id):
         return False
     target = _dir(base, "delta", batch_id)
     keys = gone_ids.select(F.lit("id").alias("kind"), F.col("id").alias("key")).unionAll(
@@ -120,6 +120,23 @@ def write_delta(rows: DataFrame, gone_ids: DataFrame, gone_paths: DataFrame, bas
     return True
 
 
+def has_delta(spark: SparkSession, base: str, batch_id: int) -> bool:
+    return any(n == batch_id and kind == "delta" for n, kind in versions(spark, base))
+
+
+def write_outcomes(outcomes: DataFrame, base: str, batch_id: int) -> None:
+    """Outcome per file of one batch (skipped / moved / indexed / failed)."""
+    outcomes.select("file_path", "id", "outcome").write.mode("overwrite").parquet(
+        os.path.join(base, f"outcomes-{batch_id:012d}")
+    )
+
+
+def read_outcomes(spark: SparkSession, base: str, batch_id: int) -> DataFrame:
+    return spark.read.schema("file_path string, id string, outcome string").parquet(
+        os.path.join(base, f"outcomes-{batch_id:012d}")
+    )
+
+
 def read_snapshot(spark: SparkSession, base: str, schema: StructType = CATALOG_SCHEMA) -> DataFrame:
     """Newest snapshot with the deltas after it; an empty table if there is none."""
     done = versions(spark, base)

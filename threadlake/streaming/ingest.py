@@ -11,7 +11,8 @@ from threadlake.functions import paths as P
 from threadlake.functions import scalars as S
 from threadlake.operators.catalog import plan_scan
 from threadlake.operators.folders import mark_outdated
-from threadlake.session import stage
+from threadlake.operators.joins import left_lookup
+from threadlake.session import stage, staging
 from threadlake.sources import tables
 
 # DataFrame (id, content) -> DataFrame (id, embedding); a null vector marks a failure.
@@ -36,26 +37,28 @@ def plan_changes(
     embedder: Embedder,
     now: Column | int,
     force: bool = False,
+    folder: str | None = None,
 ) -> Changes:
     """The effect of scanned files, as if handled one by one in ``seq`` order.
 
     ``files``: seq, file_path, file_mtime, size_kb, id, content, one row per path. Each new
     content is embedded once, whatever number of copies it has. A file whose content is
-    unreadable or cannot be embedded is 'failed' and changes nothing.
+    unreadable or cannot be embedded is 'failed' and changes nothing. The plan and the
+    vectors are staged in ``folder``; the result is read from there.
     """
     stamp = now if isinstance(now, Column) else F.lit(now).cast("long")
     listing = files.drop("content")
-    plan = stage(plan_scan(listing.where("id is not null"), catalog, force), "plan")
+    plan = stage(plan_scan(listing.where("id is not null"), catalog, force), "plan", folder)
     fresh = plan.where("outcome = 'indexed'").select("id", "file_path")
-    vectors = stage(embedder(files.join(fresh, ["id", "file_path"], "left_semi").select("id", "content")), "vectors")
+    contents = files.join(fresh, ["id", "file_path"], "left_semi").select("id", "content")
+    vectors = stage(embedder(contents), "vectors", folder)
     good = vectors.where("embedding is not null").select("id", F.col("embedding").alias("_new"))
     bad = vectors.where("embedding is null").select("id").distinct().withColumn("_bad", F.lit(True))
     home = catalog.select("id", F.col("file_path").alias("_home"))
     # a later copy of content that could not be embedded fails as well, unless the
     # catalogue already knows the content
     judged = (
-        plan.join(bad, "id", "left")
-        .join(home, "id", "left")
+        left_lookup(plan.join(bad, "id", "left"), home, "id")
         .withColumn(
             "outcome",
             F.when(
@@ -79,7 +82,7 @@ def plan_changes(
         F.col("has_preview").alias("_shown"),
         F.col("indexed_at").alias("_at"),
     )
-    joined = winners.join(old, "id", "left")
+    joined = left_lookup(winners, old, "id")
     fresh_row = F.col("_new").isNotNull()
     rows = joined.select(
         "id",
@@ -103,19 +106,26 @@ def apply_changes(
     """Plans one batch against the stored catalogue and writes it as a delta.
 
     ``deleted`` (file_path) is removed first unless the batch stores the path again.
-    The batch id makes a repeated delivery harmless. Returns the outcomes.
+    The batch id makes a repeated delivery harmless. Returns the outcomes, which are kept
+    beside the delta.
     """
-    catalog = tables.read_catalog(spark, base)
-    if deleted is not None:
-        catalog = catalog.join(deleted.select("file_path"), "file_path", "left_anti")
-        catalog = catalog.select(*tables.CATALOG_SCHEMA.names)
-    changes = plan_changes(catalog, files, embedder, now, force)
-    paths = changes.paths
-    if deleted is not None:
-        paths = paths.unionByName(deleted.select("file_path")).distinct()
-    outcomes = stage(changes.outcomes.drop("wins"), "outcomes")
-    tables.write_delta(changes.rows, changes.ids, paths, base, batch_id)
-    return outcomes
+    if tables.has_delta(spark, base, batch_id):
+        return tables.read_outcomes(spark, base, batch_id)
+    with staging(spark) as folder:
+        # the batch feeds several branches: keep one copy of it
+        files = stage(files, "files", folder)
+        catalog = tables.read_catalog(spark, base)
+        if deleted is not None:
+            deleted = stage(deleted.select("file_path").distinct(), "deleted", folder)
+            catalog = catalog.join(deleted, "file_path", "left_anti")
+            catalog = catalog.select(*tables.CATALOG_SCHEMA.names)
+        changes = plan_changes(catalog, files, embedder, now, force, folder)
+        paths = changes.paths
+        if deleted is not None:
+            paths = paths.unionByName(deleted).distinct()
+        tables.write_outcomes(changes.outcomes.drop("wins"), base, batch_id)
+        tables.write_delta(changes.rows, changes.ids, paths, base, batch_id)
+    return tables.read_outcomes(spark, base, batch_id)
 
 
 def incoming_files(raw: DataFrame) -> DataFrame:
@@ -156,8 +166,7 @@ def ingest_stream(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         now = F.unix_timestamp(F.current_timestamp())
-        # the batch feeds several branches: keep one copy of it
-        files = stage(incoming_files(batch), "incoming")
+        files = incoming_files(batch)
         outcomes = apply_changes(spark, base, files, first_batch + batch_id, embedder, now)
         if on_outcomes is not None:
             on_outcomes(outcomes, batch_id)
