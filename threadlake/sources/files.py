@@ -6,12 +6,18 @@ import hashlib
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from threadlake.functions import paths as P
 from threadlake.functions import scalars as S
+from threadlake.session import shuffle_partitions, stage
+
+
+def _filesystem(name: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
 
 
 def plain_path(path):
@@ -37,8 +43,8 @@ def scan_files(
 
     Directories starting with a dot and tool directories, the root included, are left
     out unless ``skip_hidden`` is off. Only file metadata is listed: content is a column
-    Spark does not read unless it is selected. Spark's own listing already ignores names
-    starting with '_' or '.'.
+    Spark does not read unless it is selected. Spark's own listing leaves out empty files
+    and names starting with '_' or '.'; ``walk_files`` finds those too.
     """
     found = None
     for root in roots:
@@ -62,6 +68,70 @@ def scan_files(
     return found.dropDuplicates(["file_path"]).withColumn("size_kb", S.size_kb("size_bytes"))
 
 
+_ENTRY = "file_path string, is_dir boolean, size_bytes long, file_mtime long"
+
+
+def _list_dirs(dirs: DataFrame) -> DataFrame:
+    """Direct children of each directory, listed on the executors; directories that
+    cannot be read have none."""
+
+    def run(batches):
+        for batch in batches:
+            for name in batch.column("file_path").to_pylist():
+                system, inner = _filesystem(name)
+                try:
+                    found = system.get_file_info(fs.FileSelector(inner))
+                except OSError:
+                    continue
+                head = name[: len(name) - len(inner)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([head + f.path for f in found], pa.string()),
+                        pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()),
+                        pa.array([f.size for f in found], pa.int64()),
+                        pa.array([f.mtime_ns and f.mtime_ns // 10**9 for f in found], pa.int64()),
+                    ],
+                    names=["file_path", "is_dir", "size_bytes", "file_mtime"],
+                )
+
+    return dirs.mapInArrow(run, _ENTRY)
+
+
+def walk_files(
+    spark: SparkSession,
+    roots: Sequence[str],
+    exts: Sequence[str] = P.ITEM_EXTS,
+    skip_hidden: bool = True,
+) -> DataFrame:
+    """S1 / S11 on file systems the executors reach themselves (mounts, s3, hdfs ...):
+    as ``scan_files``, but with empty files and every file name.
+
+    One job per level of the tree: the directories of a level are spread over all tasks,
+    and what they contain is staged for the next one.
+    """
+    level = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "file_path string")
+    name = P.basename("file_path")
+    excluded = name.startswith(".") | name.isin(*P.EXCLUDED_DIRS)
+    if skip_hidden:
+        level = level.where(~excluded)
+    found = spark.createDataFrame([], _ENTRY)
+    while True:
+        # round robin: neighbouring directories are often alike in size
+        level = level.repartition(shuffle_partitions(spark))
+        children = stage(_list_dirs(level), "walk")
+        found = found.unionByName(children.where(~F.col("is_dir") & P.is_supported("file_path", exts)))
+        level = children.where("is_dir").select("file_path")
+        if skip_hidden:
+            level = level.where(~excluded)
+        if level.isEmpty():
+            break
+    return (
+        found.drop("is_dir")
+        .dropDuplicates(["file_path"])
+        .withColumn("size_kb", S.size_kb("size_bytes"))
+    )
+
+
 def root_totals(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Number of scanned files per root, zero included."""
     from threadlake.operators.containment import count_under
@@ -86,15 +156,11 @@ def fingerprint_files(
     schema = StructType([*files.schema.fields, StructField(out, StringType())])
 
     def run(batches):
-        from pyarrow import fs
-
         for batch in batches:
             ids = []
             for name, length in zip(batch.column(path).to_pylist(), batch.column(size).to_pylist()):
                 try:
-                    system, inner = (
-                        fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
-                    )
+                    system, inner = _filesystem(name)
                     with system.open_input_stream(inner) as stream:
                         head = stream.read(S.FINGERPRINT_BYTES)
                     ids.append(hashlib.sha256(str(length).encode() + head).hexdigest())

@@ -15,6 +15,9 @@ from threadlake.operators.joins import left_lookup
 from threadlake.session import stage, staging
 from threadlake.sources import tables
 
+# The schema of Spark's binaryFile source, which streams have to name.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 # DataFrame (id, content) -> DataFrame (id, embedding); a null vector marks a failure.
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -158,6 +161,7 @@ def ingest_stream(
     """
     raw = (
         spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[eE][mM][bB]")
         .option("maxFilesPerTrigger", max_files)
