@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadlake.session import ship_package
+
 from .views import Views
 from .views import sql as with_views
 
@@ -17,7 +19,7 @@ def query(name: str, views: tuple[str, ...] = (), sql: str | None = None):
     def add(fn: Callable[[Views], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Views(ship_package(spark), sf_dir))
         if sql is not None:
             ORACLES[name] = with_views(sql, *views)
         return fn

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,28 @@ def get_spark(app: str = "threadlake", master: str | None = None, **conf) -> Spa
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once per application, so that Python stages can
+    import it wherever the driver runs (the same as ``spark-submit --py-files``)."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "threadlake.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(here):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(here)))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
