@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import os
 import shutil
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import scalars as S
 from threadlake.sources import files as FS
 from threadlake.sources import tables
+from threadlake.streaming import events as EV
 from threadlake.streaming import ingest
 
 
@@ -177,3 +179,30 @@ def test_media_leave_the_catalogue(spark, rows):
     slim, media = tables.split_media(data)
     assert rows(slim) == [("a", True), ("b", False)]
     assert media.columns == ["id", "preview_png", "thumbnail"]
+
+
+def test_watch_stream(spark, rows, tmp_path):
+    root, base, source, mark = (str(tmp_path / p) for p in ("lib", "table", "events", "mark"))
+    for name, data in (("a.emb", b"one"), ("b.emb", b"two"), ("c.emb", b"three"), ("c.jpg", b"-")):
+        put(f"{root}/{name}", data, 1_700_000_000)
+    scan(spark, root, base, 1)
+    # b is deleted, a moves to d, e appears and is written twice, c's companion changes
+    os.remove(f"{root}/b.emb")
+    shutil.move(f"{root}/a.emb", f"{root}/d.emb")
+    put(f"{root}/e.emb", b"fresh")
+    put(f"{root}/c.emb", b"three, changed", 1_700_000_000)
+    log = [
+        ("b.emb", "remove", 0), ("a.emb", "rename", 1), ("d.emb", "create", 1.1), ("e.emb", "create", 2),
+        ("e.emb", "write", 2.2), ("c.jpg", "write", 3), ("x.txt", "write", 3), ("orphan.png", "write", 3),
+        ("later.emb", "write", 60),
+    ]
+    start = dt.datetime(2024, 1, 1)
+    data = [(f"{root}/{n}", op, start + dt.timedelta(seconds=s), i) for i, (n, op, s) in enumerate(log)]
+    spark.createDataFrame(data, EV.EVENT_SCHEMA).coalesce(1).write.parquet(source)
+    ingest.watch_stream(
+        spark, EV.read_events(spark, source), base, embedder, mark, first_batch=10, availableNow=True
+    ).awaitTermination()
+    got = state(spark, base, root)
+    assert set(got) == {"c.emb", "d.emb", "e.emb"}
+    assert got["d.emb"] == (fingerprint(b"one")[:6], 100)
+    assert got["c.emb"][0] == fingerprint(b"three, changed")[:6]

@@ -10,6 +10,7 @@ from threadlake.operators import dml
 from threadlake.operators.ordered import keep_latest
 from threadlake.session import shared_dir
 from threadlake.sources import progress_table, tables
+from threadlake.streaming.ingest import plan_changes
 
 from .registry import query
 from .views import Views
@@ -175,6 +176,36 @@ def t6(v: Views):
     return plan.select("seq", "file_path", "id", "outcome", "wins")
 
 
+@query("t6_applied_catalog", ("files", "stored"), _PLAN + """,
+    touched as (select * from plan where outcome <> 'skipped'),
+    rest as (select id, file_path, file_mtime, indexed_at, 1.0::double as v from stored
+             where id not in (select id from touched) and file_path not in (select file_path from touched)),
+    fresh as (select distinct id from plan where outcome = 'indexed')
+    select * from rest
+    union all
+    select w.id, w.file_path, f.file_mtime,
+           case when w.id in (from fresh) then 7 else s.indexed_at end,
+           case when w.id in (from fresh) then length(d.text) else 1.0 end::double
+    from plan w join files f using (seq) join documents d on d.doc_id = w.seq left join stored s on s.id = w.id
+    where w.wins""")
+def t6_applied(v: Views):
+    """The whole scan applied: new content is embedded (here: its length), moved content
+    keeps its vector."""
+    one = F.array(F.lit(1.0)).cast("array<float>")
+    before = v.stored().withColumn("embedding", one).withColumn("sidecar_embedding", F.lit(None).cast("array<float>"))
+    texts = v.table("documents").select(F.col("doc_id").alias("seq"), F.col("text").cast("binary").alias("content"))
+
+    def embedder(contents):
+        size = F.length(F.col("content").cast("string")).cast("float")
+        return contents.select("id", F.array(size).alias("embedding"))
+
+    changes = plan_changes(before, v.files().join(texts, "seq"), embedder, 7)
+    after = changes.applied_to(before.drop("rowid"))
+    return after.select(
+        "id", "file_path", "file_mtime", "indexed_at", F.col("embedding")[0].cast("double").alias("v")
+    )
+
+
 @query("a19_outcome_counts", ("files", "stored"), _PLAN + " select outcome, count(*) as n from plan group by outcome")
 def a19(v: Views):
     return C.outcome_counts(C.plan_scan(v.files(), v.stored()))

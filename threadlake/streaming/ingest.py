@@ -14,6 +14,8 @@ from threadlake.operators.folders import mark_outdated
 from threadlake.operators.joins import left_lookup
 from threadlake.session import stage, staging
 from threadlake.sources import tables
+from threadlake.sources.files import load_files
+from threadlake.streaming import events as EV
 
 # The schema of Spark's binaryFile source, which streams have to name.
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -108,8 +110,9 @@ def apply_changes(
 ) -> DataFrame:
     """Plans one batch against the stored catalogue and writes it as a delta.
 
-    ``deleted`` (file_path) is removed first unless the batch stores the path again.
-    The batch id makes a repeated delivery harmless. Returns the outcomes, which are kept
+    ``deleted`` (file_path) goes last: content that left its path and turns up at another
+    one in the same batch is a move and keeps its vector; a path the batch stores again
+    stays. The batch id makes a repeated delivery harmless. Returns the outcomes, which are kept
     beside the delta.
     """
     if tables.has_delta(spark, base, batch_id):
@@ -120,8 +123,6 @@ def apply_changes(
         catalog = tables.read_catalog(spark, base)
         if deleted is not None:
             deleted = stage(deleted.select("file_path").distinct(), "deleted", folder)
-            catalog = catalog.join(deleted, "file_path", "left_anti")
-            catalog = catalog.select(*tables.CATALOG_SCHEMA.names)
         changes = plan_changes(catalog, files, embedder, now, force, folder)
         paths = changes.paths
         if deleted is not None:
@@ -183,6 +184,60 @@ def ingest_stream(
     )
 
 
+def apply_events(
+    spark: SparkSession, base: str, events: DataFrame, batch_id: int, embedder: Embedder, now: Column | int
+) -> DataFrame:
+    """T3-T6 for one batch of settled events (path, op, last_ts): items are indexed again
+    if their file is there and deleted if it is not; a companion's event counts for the
+    item it belongs to. Returns the outcomes.
+
+    Renames need no waiting here: a burst is settled only once the watermark has passed
+    it, and a file that came back under its old name is found present.
+    """
+    actions = EV.classify_events(events)
+    items = tables.read_catalog(spark, base).select("file_path")
+    targets = (
+        EV.to_owner(actions, items)
+        .groupBy(F.col("target").alias("file_path"))
+        .agg(F.max("last_ts").alias("_ts"))
+    )
+    with staging(spark) as folder:
+        seen = stage(load_files(stage(targets, "targets", folder)), "seen", folder)
+        order = F.struct(F.col("file_mtime").alias("t"), F.col("file_path").alias("p")).alias("seq")
+        files = seen.where("present").select(
+            order, "file_path", "file_mtime", S.size_kb("size_bytes").alias("size_kb"), "id", "content"
+        )
+        gone = seen.where("not present").select("file_path")
+        # an event on a known file means its content may differ under the same listing
+        return apply_changes(spark, base, files, batch_id, embedder, now, force=True, deleted=gone)
+
+
+def watch_stream(
+    spark: SparkSession,
+    events: DataFrame,
+    base: str,
+    embedder: Embedder,
+    checkpoint: str,
+    gap: str = EV.DEBOUNCE,
+    delay: str = EV.DELAY,
+    first_batch: int = 1,
+    **trigger,
+):
+    """File changes as a stream: filter, debounce, apply. Returns the started query."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        now = F.unix_timestamp(F.current_timestamp())
+        apply_events(spark, base, batch, first_batch + batch_id, embedder, now)
+
+    settled = EV.debounce_stream(EV.relevant_events(events), gap, delay)
+    return (
+        settled.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "1 second"}))
+        .foreachBatch(each)
+        .start()
+    )
+
+
 def outdated_batch(spark: SparkSession, folders_base: str, events: DataFrame, batch_id: int) -> None:
     """foreachBatch body that marks the folders around a batch of events."""
     done = [n for n, _ in tables.versions(spark, folders_base)]
