@@ -212,39 +212,44 @@ def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False) -> Data
     flagged = flagged.withColumn("_skip", F.lit(False) if force else F.col("unchanged")).withColumn(
         "id", F.when(F.col("_skip"), F.col("known_id")).otherwise(F.col("id"))
     )
-    acts = ~F.col("_skip")
-    none = F.lit(None)
-    own = flagged.select("id", "seq", "file_path", "_skip", none.cast(files.schema["seq"].dataType).alias("_over"))
-    replaced = flagged.where(acts & (F.col("known_id") != F.col("id"))).select(
-        F.col("known_id").alias("id"),
-        none.cast(files.schema["seq"].dataType).alias("seq"),
-        none.cast("string").alias("file_path"),
-        none.cast("boolean").alias("_skip"),
-        F.col("seq").alias("_over"),
+    act = F.when(~F.col("_skip"), F.col("seq"))
+    home_is_own = F.col("known_id") == F.col("id")
+    empty = F.lit(None).cast(files.schema["seq"].dataType)
+    # a file speaks for its own content and, if it replaced another one, for that as well
+    own = F.struct(
+        "id",
+        act.alias("act"),
+        F.when(F.col("_skip"), F.col("seq")).alias("still"),
+        F.when(home_is_own, act).alias("home"),
+        empty.alias("over"),
+    )
+    replaced = F.struct(
+        F.col("known_id").alias("id"), empty.alias("act"), empty.alias("still"), empty.alias("home"), act.alias("over")
     )
-    act_seq = F.when(acts, F.col("seq"))
+    voices = F.when(act.isNotNull() & ~home_is_own, F.array(own, replaced)).otherwise(F.array(own))
     per_id = (
-        own.unionAll(replaced)
-        .groupBy("id")
+        flagged.select(F.explode(voices).alias("v"))
+        .groupBy(F.col("v.id").alias("id"))
         .agg(
-            F.min(act_seq).alias("_first"),
-            F.max(act_seq).alias("_last_act"),
-            F.min_by("file_path", act_seq).alias("_first_path"),
-            F.max(F.when(F.col("_skip"), F.col("seq"))).alias("_still"),
-            F.min("_over").alias("_over"),
+            F.min("v.act").alias("_first"),
+            F.max("v.act").alias("_last_act"),
+            F.max("v.still").alias("_still"),
+            F.min("v.home").alias("_at_home"),
+            F.min("v.over").alias("_over"),
         )
         .where("_first is not null")
     )
-    home = catalog.select("id", F.col("file_path").alias("_home"))
-    away = F.col("_home").isNotNull() & (F.col("_home") != F.col("_first_path"))
-    start = left_lookup(per_id, home, "id").select(
+    known = catalog.select("id", F.lit(True).alias("_known"))
+    first_at_home = F.coalesce(F.col("_at_home") == F.col("_first"), F.lit(False))
+    replaced_before = F.coalesce(F.col("_over") < F.col("_first"), F.lit(False))
+    start = left_lookup(per_id, known, "id").select(
         "id",
         "_first",
         # an unchanged file after the first operation is an operation itself
         F.when(F.col("_still") > F.col("_first"), F.greatest("_last_act", "_still"))
         .otherwise(F.col("_last_act"))
         .alias("_last"),
-        (away & ~F.coalesce(F.col("_over") < F.col("_first"), F.lit(False))).alias("_moved_first"),
+        (F.coalesce("_known", F.lit(False)) & ~first_at_home & ~replaced_before).alias("_moved_first"),
     )
     skipped = F.col("_skip") & (F.col("_first").isNull() | (F.col("_first") > F.col("seq")))
     moved = (F.col("seq") > F.col("_first")) | F.col("_moved_first")
