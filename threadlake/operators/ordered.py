@@ -62,16 +62,27 @@ def ordered_columns(
 
 
 def top_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: Column | None = None,
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    k: int,
+    spread: Column | None = None,
     salts: int = 1,
+    cluster: Sequence[str] | None = None,
 ) -> DataFrame:
     """First ``k`` rows per key. With ``salts`` > 1 each key is cut first by a hash
-    of ``spread``, so the last window sees at most ``salts * k`` rows of a key."""
+    of ``spread``, so the last window sees at most ``salts * k`` rows of a key.
+
+    ``cluster`` names some of the keys to partition by, so that later steps per those
+    keys need no further shuffle.
+    """
     if salts > 1 and spread is not None:
         df = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
         local = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = df.withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= k)
         df = df.drop("_rn", "_salt")
+    if cluster:
+        df = df.repartition(*cluster)
     final = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(final)).where(F.col("_rn") <= k).drop("_rn")
 

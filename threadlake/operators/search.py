@@ -25,6 +25,8 @@ from threadlake.session import BROADCAST_BYTES, salt_count, stage
 HELD_CANDIDATES = 8_000_000
 # Query views fetched in one go; larger sets are staged and scored in blocks.
 BLOCK_QUERIES = 20_000
+# Rows of one batch a task hands on.
+OUT_ROWS = 65_536
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -119,18 +121,28 @@ def _candidates(catalog: DataFrame, block, k: int, id_col: str, keep, vec: str,
 
         if not pool:
             return
-        table = pa.Table.from_batches(pool)
-        for q in range(n):
-            if not held[q]:
-                continue
-            s, _, r = held[q]
-            part = table.take(pa.array(r)).combine_chunks()
-            cols = [pa.array([key[q]] * len(s), t) for key, t in keys]
-            cols += [part.column(c).combine_chunks() for c in (id_col, *keep)]
-            cols.append(pa.array(s))
+        table = pa.Table.from_batches(pool).combine_chunks()
+        owners = [pa.array(key, t) for key, t in keys]
+        full = [q for q in range(n) if held[q]]
+        # several views per batch, up to OUT_ROWS rows
+        start = 0
+        while start < len(full):
+            stop, size = start, 0
+            while stop < len(full) and (stop == start or size + len(held[full[stop]][0]) <= OUT_ROWS):
+                size += len(held[full[stop]][0])
+                stop += 1
+            part = [held[q] for q in full[start:stop]]
+            owner = pa.array(np.repeat(full[start:stop], [len(h[0]) for h in part]))
+            rows = table.take(pa.array(np.concatenate([h[2] for h in part]))).combine_chunks()
             yield pa.RecordBatch.from_arrays(
-                [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=out.names
+                [
+                    *[o.take(owner) for o in owners],
+                    *[rows.column(c).chunk(0) for c in (id_col, *keep)],
+                    pa.array(np.concatenate([h[0] for h in part])),
+                ],
+                names=out.names,
             )
+            start = stop
 
     return catalog.mapInArrow(run, out)
 
@@ -175,13 +187,15 @@ def knn(
     digits: int | None = 6,
     qvec: str = "qv",
     keys: Sequence[str] = ("query_id", "view_id"),
+    cluster: Sequence[str] | None = None,
 ) -> DataFrame:
     """V1 / V5: the ``k`` best items for each query view, by dot product.
 
     ``fmt`` keeps one format before scoring (any letter case); vectors of another
     length score 0; ``companion`` names a second vector column whose score counts
     if higher (V3). Scores are rounded to ``digits`` and ties go to the smaller id,
-    so the result does not depend on how the catalogue is partitioned.
+    so the result does not depend on how the catalogue is partitioned. ``cluster`` is
+    handed to ``top_k``.
     """
     keys = list(keys)
     pool = catalog
@@ -208,6 +222,7 @@ def knn(
         k,
         spread=F.col(id_col),
         salts=salt_count(catalog.sparkSession),
+        cluster=cluster,
     )
 
 
@@ -231,7 +246,10 @@ def search(
     ``top`` items per query remain. ``dual`` names a companion vector column (V3).
     """
     keep = list(keep)
-    hits = knn(catalog, queries, depth, fmt, vec, id_col, keep, companion=dual, digits=digits)
+    # one shuffle, by query: the cut per view, the pooling and the ranking all fit on it
+    hits = knn(
+        catalog, queries, depth, fmt, vec, id_col, keep, companion=dual, digits=digits, cluster=["query_id"]
+    )
     if preview_only:
         hits = hits.where("has_preview")
     # attributes depend on the id, so pooling needs no join back to the catalogue

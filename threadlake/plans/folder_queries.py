@@ -19,12 +19,12 @@ def j2(v: Views):
 
 @query("j2_refresh_containing", ("catalog", "folders", "stored"), """
     with h as (select distinct f.path from folders f join stored s
-               on (starts_with(s.file_path, f.path || '/') or s.file_path = f.path) where s.file_mtime % 4 = 3),
+               on (starts_with(s.file_path, f.path || '/') or s.file_path = f.path) where not s.has_preview),
     n as (select h.path, count(c.file_path) as n from h left join catalog c on starts_with(c.file_path, h.path || '/') or c.file_path = h.path group by all)
     select f.path, coalesce(n.n, f.indexed_files) as indexed_files, case when n.n is null then f.updated_at else 7 end as updated_at
     from folders f left join n using (path)""")
 def j2_refresh(v: Views):
-    changed = v.stored().where("file_mtime % 4 = 3")
+    changed = v.stored().where("not has_preview")
     out = FO.refresh_containing(v.folders(), v.catalog(), changed, now=7)
     return out.select("path", "indexed_files", "updated_at")
 

@@ -242,11 +242,19 @@ class Views:
         )
 
     def watched(self) -> DataFrame:
-        """Items around the events: '.emb' for even users, '.EMB' for every fifth."""
+        """Items around the events, one or two per user: even users have '.emb', odd ones an
+        item of another name, every fifth also '.EMB'."""
+        user = F.col("user_id").cast("string")
+        names = F.when(F.col("user_id") % 2 == 0, F.array(F.concat(user, F.lit(".emb")))).otherwise(
+            F.array(F.concat(F.lit("u"), user, F.lit(".emb")))
+        )
+        extra = F.when(F.col("user_id") % 5 == 0, F.array(F.concat(user, F.lit(".EMB")))).otherwise(
+            F.array().cast("array<string>")
+        )
         users = self.table("events").select("user_id").distinct()
-        head = F.concat(F.lit("/src"), (F.col("user_id") % 20).cast("string"), F.lit("/"), F.col("user_id").cast("string"))
-        return users.where("user_id % 2 = 0").select(F.concat(head, F.lit(".emb")).alias("file_path")).unionByName(
-            users.where("user_id % 5 = 0").select(F.concat(head, F.lit(".EMB")).alias("file_path"))
+        head = F.concat(F.lit("/src"), (F.col("user_id") % 20).cast("string"), F.lit("/"))
+        return users.select(head.alias("h"), F.explode(F.concat(names, extra)).alias("n")).select(
+            F.concat("h", "n").alias("file_path")
         )
 
     def stitches(self) -> DataFrame:
@@ -447,11 +455,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                epoch_us(ts) as us
         from events"""),
     "watched": ((), """
-        select '/src' || (user_id % 20)::varchar || '/' || user_id::varchar || '.emb' as file_path
-        from (select distinct user_id from events) where user_id % 2 = 0
-        union all
-        select '/src' || (user_id % 20)::varchar || '/' || user_id::varchar || '.EMB'
-        from (select distinct user_id from events) where user_id % 5 = 0"""),
+        select '/src' || (user_id % 20)::varchar || '/' || n as file_path
+        from (select distinct user_id from events),
+             unnest(list_concat([case when user_id % 2 = 0 then '' else 'u' end || user_id::varchar || '.emb'],
+                                case when user_id % 5 = 0 then [user_id::varchar || '.EMB'] else []::varchar[] end)) as t(n)"""),
     "stitches": ((), """
         select user_id as design_id, event_id as seq, floor(value)::int as x, (event_id % 997)::int as y,
                case event_type when 'purchase' then 'JUMP' when 'signup' then 'COLOR_CHANGE'
