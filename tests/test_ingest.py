@@ -140,7 +140,9 @@ def test_stream_picks_up_new_files_and_goes_on_after_a_restart(spark, tmp_path):
         def keep(outcomes, batch):
             log.append(sorted((os.path.basename(r["file_path"]), r["outcome"]) for r in outcomes.collect()))
 
-        ingest.ingest_stream(spark, root, base, embedder, mark, on_outcomes=keep).awaitTermination()
+        ingest.ingest_stream(
+                spark, root, base, embedder, mark, on_outcomes=keep, compact_every=2
+            ).awaitTermination()
 
     run()
     assert log == [[("a.emb", "indexed"), ("b.EMB", "indexed")]]
@@ -172,6 +174,31 @@ def test_snapshots_and_folder_events(spark, rows, tmp_path):
     assert copy == f"{base}.backup-2024-01-01_00-00-00" and spark.read.parquet(copy).count() == 1
 
 
+def test_compaction_and_expiry(spark, rows, tmp_path):
+    base = str(tmp_path / "t")
+    schema = "id string, file_path string"
+
+    def frame(*data):
+        return spark.createDataFrame(list(data), schema)
+
+    def read():
+        return rows(tables.read_snapshot(spark, base, frame().schema), "id", "file_path")
+
+    tables.write_snapshot(frame(("a", "/1"), ("b", "/2")), base)
+    for n in range(1, 7):
+        row = frame((f"n{n}", f"/n{n}"), ("a", f"/a{n}"))
+        assert tables.write_delta(row, row, row, base, n)
+        before = read()
+        if n % 2 == 0:
+            tables.compact(spark, base, row.schema)
+            tables.expire(spark, base)
+        assert read() == before
+        # the last batch again
+        assert not tables.write_delta(row, row, row, base, n)
+    assert read() == [("a", "/a6"), ("b", "/2"), *[(f"n{n}", f"/n{n}") for n in range(1, 7)]]
+    assert tables.versions(spark, base) == [(4, "snapshot"), (5, "delta"), (6, "delta"), (6, "snapshot")]
+
+
 def test_media_leave_the_catalogue(spark, rows):
     data = spark.createDataFrame(
         [("a", bytearray(b"p"), None), ("b", None, bytearray(b"t"))], "id string, preview_png binary, thumbnail binary"

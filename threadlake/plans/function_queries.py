@@ -42,7 +42,7 @@ def f9(v: Views):
     select user_id, count(*) filter (value > 50)::varchar || '/' || count(*)::varchar || ' = ' ||
            printf('%.1f', count(*) filter (value > 50) / greatest(count(*), 1) * 100.0::double) || '%' as hits,
            -- ties go up here, to even above
-           printf('%.1f', floor(count(*) filter (value > 50) / count(*) * 1000.0::double + 0.5) / 10) || '%' as pct
+           printf('%.1f', floor(count(*) filter (value > 50) / count(*) * 100.0::double * 10 + 0.5) / 10) || '%' as pct
     from events group by user_id""")
 def f10(v: Views):
     per_user = v.table("events").groupBy("user_id").agg(

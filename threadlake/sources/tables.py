@@ -7,7 +7,8 @@ A table is a folder of snapshots plus small deltas:
 
 Both are complete once Spark has written ``_SUCCESS``. A batch costs its own size, not
 the catalogue's; reading merges the deltas after the newest snapshot with two anti
-joins against their (small) keys, and ``compact`` folds them into a new snapshot.
+joins against their (small) keys, and ``compact`` folds them into a new snapshot. A
+table has one writer at a time.
 """
 
 from __future__ import annotations
@@ -184,6 +185,19 @@ def compact(spark: SparkSession, base: str, schema: StructType = CATALOG_SCHEMA)
     return write_snapshot(table, base, deltas[-1] if deltas else None)
 
 
+def expire(spark: SparkSession, base: str, keep: int = 2) -> None:
+    """Removes what only snapshots older than the newest ``keep`` need. With two kept, the
+    delta of the last batch before a compaction is still there if it is delivered again."""
+    done = versions(spark, base)
+    snaps = [n for n, kind in done if kind == "snapshot"]
+    if len(snaps) <= keep:
+        return
+    fs, _ = _fs(spark, base)
+    for number, kind in done:
+        if number < snaps[-keep] or (number == snaps[-keep] and kind == "delta"):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(_dir(base, kind, number)), True)
+
+
 def read_catalog(spark: SparkSession, base: str, schema: StructType = CATALOG_SCHEMA) -> DataFrame:
     """S3: catalogue with vectors and the preview flag; media live in their own table."""
     return read_snapshot(spark, base, schema)

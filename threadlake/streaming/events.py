@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -228,11 +229,14 @@ def rename_cleanup_stream(
             for at, op in zip(us, frame["op"]):
                 (open_us if op == "rename" else back_us).append(at)
         mark = state.getCurrentWatermarkMs() * 1000
-        answered = {r for r in open_us if any(r < b <= r + width for b in back_us)}
-        due = sorted({r for r in open_us if r not in answered and r + width < mark})
-        open_us = sorted({r for r in open_us if r not in answered and r not in due})
+        renames, back = np.unique(np.array(open_us, "int64")), np.unique(np.array(back_us, "int64"))
+        # the first presence event after each rename answers it if it is within the grace
+        first = np.append(back, np.iinfo("int64").max)[np.searchsorted(back, renames, side="right")]
+        waiting = renames[first > renames + width]
+        due = waiting[waiting + width < mark].tolist()
+        open_us = waiting[waiting + width >= mark].tolist()
         # a presence event matters only to renames at or after the watermark less the grace
-        back_us = sorted({b for b in back_us if b + width >= mark})
+        back_us = back[back + width >= mark].tolist()
         if open_us or back_us:
             state.update((open_us, back_us))
             wake = (min([*open_us, *back_us]) + width) // 1000 + 1

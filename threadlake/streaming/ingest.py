@@ -132,6 +132,13 @@ def apply_changes(
     return tables.read_outcomes(spark, base, batch_id)
 
 
+def _compact(spark: SparkSession, base: str, batch_id: int, every: int) -> None:
+    """Folds the deltas after every ``every``-th batch (0: never)."""
+    if every and batch_id % every == every - 1:
+        tables.compact(spark, base)
+        tables.expire(spark, base)
+
+
 def incoming_files(raw: DataFrame) -> DataFrame:
     """binaryFile rows -> the files frame of plan_changes, in time and path order."""
     path = F.regexp_replace("path", r"^file:/+", "/")
@@ -154,6 +161,7 @@ def ingest_stream(
     max_files: int = 10_000,
     first_batch: int = 1,
     on_outcomes: Callable[[DataFrame, int], None] | None = None,
+    compact_every: int = 100,
 ):
     """Picks up new files below ``source`` and stops when none is left.
 
@@ -173,6 +181,7 @@ def ingest_stream(
         now = F.unix_timestamp(F.current_timestamp())
         files = incoming_files(batch)
         outcomes = apply_changes(spark, base, files, first_batch + batch_id, embedder, now)
+        _compact(spark, base, batch_id, compact_every)
         if on_outcomes is not None:
             on_outcomes(outcomes, batch_id)
 
@@ -221,6 +230,7 @@ def watch_stream(
     gap: str = EV.DEBOUNCE,
     delay: str = EV.DELAY,
     first_batch: int = 1,
+    compact_every: int = 100,
     **trigger,
 ):
     """File changes as a stream: filter, debounce, apply. Returns the started query."""
@@ -228,6 +238,7 @@ def watch_stream(
     def each(batch: DataFrame, batch_id: int) -> None:
         now = F.unix_timestamp(F.current_timestamp())
         apply_events(spark, base, batch, first_batch + batch_id, embedder, now)
+        _compact(spark, base, batch_id, compact_every)
 
     settled = EV.debounce_stream(EV.relevant_events(events), gap, delay)
     return (
