@@ -64,6 +64,8 @@ def main() -> int:
     spark = get_spark(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                             "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("CHECK_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     con = connect(sf_dir)
     oracles, bad = oracle_sql(), 0
     for name, fn in queries().items():

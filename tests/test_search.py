@@ -54,6 +54,13 @@ def test_non_positive_scores_vanish(spark, rows):
     assert rows(search.search(catalog(spark, BASE), q, keep=KEEP), "id") == [("a",), ("g",)]
 
 
+def test_not_a_number_never_wins(spark, rows):
+    q = queries(spark, [(1, 0, [1.0, 0.0])])
+    odd = catalog(spark, [*BASE, ("z", "emb", True, [float("nan"), 0.0], None), ("0", "emb", True, None, None)])
+    assert rows(search.search(odd, q, keep=KEEP), "id") == [("a",), ("g",)]
+    assert [r["id"] for r in search.knn(odd, q, 4).orderBy(F.desc("score"), "id").collect()] == ["a", "d", "g", "c"]
+
+
 def test_depth_is_cut_before_the_preview_filter(spark, rows):
     q = queries(spark, [(1, 0, [0.9, 0.1])])
     # best three of the emb rows are a and g (0.9) and c (0.82, no preview)

@@ -92,6 +92,8 @@ def _candidates(catalog: DataFrame, block, k: int, id_col: str, keep, vec: str,
                 score[:, has] = np.maximum(score[:, has], second[:, has])
             if digits is not None:
                 score = np.round(score, digits)
+            # not a number never beats anything
+            score = np.where(np.isnan(score), -np.inf, score)
             ids = batch.column(id_col).to_numpy(zero_copy_only=False)
             picked = []
             for q in range(n):

@@ -130,6 +130,18 @@ def j4(v: Views):
     )
 
 
+@query("p12_selected_root_guard", ("catalog", "mounts"), """
+    with s as (select distinct '/' || regexp_extract(path, '([^/]*)$', 1) || '/en' as path from mounts where fs_type = 'ext4')
+    select rowid, file_path from catalog c
+    where exists (from s where starts_with(c.file_path, s.path || '/') or c.file_path = s.path)""")
+def p12(v: Views):
+    """Queued files are kept while their root is selected."""
+    selected = v.mounts().where("fs_type = 'ext4'").select(
+        F.concat(F.lit("/"), P.basename("path"), F.lit("/en")).alias("path")
+    )
+    return containment.under_roots(v.catalog().select("rowid", "file_path"), selected)
+
+
 @query("j5_outside_roots", ("catalog", "folders"), """
     select rowid, file_path from catalog c
     where not exists (from folders f where f.status = 'Completed' and starts_with(c.file_path, f.path || '/'))""")
