@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadlake import session
 from threadlake.functions import vectors as V
 from threadlake.operators import ordered, pooling, search
 
@@ -129,6 +130,22 @@ def test_scan_reads_only_the_needed_columns(spark, tmp_path):
     assert "has_preview" not in filtered._jdf.queryExecution().executedPlan().toString()
 
 
+def test_salts_follow_the_size_of_the_scan(spark, rows, tmp_path):
+    path = str(tmp_path / "cat")
+    spark.range(20000).selectExpr("id", "array(cast(id % 97 as float), cast(id % 89 as float)) as embedding").write.parquet(path)
+    table = spark.read.parquet(path)
+    assert session.scan_tasks(table) == 1 and session.salt_count(table, 1000) == 1
+    assert session.scan_tasks(catalog(spark, BASE)) is None
+    q = queries(spark, [(1, 0, [1.0, 0.5])])
+    plain = rows(search.knn(table, q, 30), "id", "score")
+    kept, session.SINGLE_LEVEL_ROWS = session.SINGLE_LEVEL_ROWS, 1
+    try:
+        assert session.salt_count(table, 30) == 2
+        assert rows(search.knn(table, q, 30), "id", "score") == plain
+    finally:
+        session.SINGLE_LEVEL_ROWS = kept
+
+
 def test_top_k_with_salts(spark, rows):
     df = spark.range(1000).selectExpr("id % 3 as key", "id", "id * 7 % 101 as v")
     order = [F.desc("v"), F.asc("id")]

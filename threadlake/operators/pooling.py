@@ -87,15 +87,15 @@ def _combine(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
 
 def vector_sum(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     """Element-wise sum and row count per key as a tree: inside each input task,
-    then per (key, salt) when the session is wide, then per key.
+    then per (key, salt) when many tasks read the input, then per key.
 
     Whole vectors are shuffled, never exploded elements, and a key that owns a
     third of the rows arrives as one partial sum per task.
     """
     keys = list(keys)
-    spark = df.sparkSession
     partial = _combine(df.select(*keys, vec, F.lit(1).cast("long").alias("_n")), keys, vec)
-    salts = salt_count(spark)
+    # vectors are wide: a group of more than a hundred partial sums is merged in two steps
+    salts = salt_count(df, 1000)
     if salts > 1:
         partial = partial.repartition(
             *keys, F.pmod(F.spark_partition_id(), F.lit(salts))

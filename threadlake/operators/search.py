@@ -223,7 +223,7 @@ def knn(
         [F.desc("score"), F.asc(id_col)],
         k,
         spread=F.col(id_col),
-        salts=salt_count(catalog.sparkSession),
+        salts=salt_count(pool, k),
         cluster=cluster,
     )
 

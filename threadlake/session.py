@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Upper bound for anything this library ships to every executor by itself.
 # Joins never carry a broadcast hint: Spark's own threshold and AQE decide there.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows of one group that a single task may merge, and the most pieces a group is cut into.
+SINGLE_LEVEL_ROWS = 100_000
+MAX_SALTS = 1000
 
 
 def get_spark(app: str = "threadlake", master: str | None = None, **conf) -> SparkSession:
@@ -104,6 +108,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def salt_count(spark: SparkSession) -> int:
-    """How many pieces a hot group is split into; 1 on small sessions."""
-    return max(1, shuffle_partitions(spark) // 8)
+def scan_tasks(df: DataFrame) -> int | None:
+    """About how many tasks read ``df``, from the optimizer's size of it; None if unknown."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # sources without statistics report (at least) the largest long
+    if size >= 2**60:
+        return None
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    per_task = int(conf.getSizeAsBytes("spark.sql.files.maxPartitionBytes", "128m"))
+    return max(1, -(-size // per_task))
+
+
+def salt_count(df: DataFrame, rows_per_task: int = 1) -> int:
+    """How many pieces a hot group is split into when each task reading ``df`` adds up to
+    ``rows_per_task`` rows to it: the root of the number of tasks, so that both levels of
+    the merge see about as many rows; 1 where a single level is small."""
+    tasks = scan_tasks(df)
+    if tasks is None:
+        return max(1, shuffle_partitions(df.sparkSession) // 8)
+    if tasks * rows_per_task <= SINGLE_LEVEL_ROWS:
+        return 1
+    return min(MAX_SALTS, math.isqrt(tasks) + 1)
