@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import decontamination, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.op1,
+    "op8_secrets": secret_scan.op8,
     "op10_toxicity": toxicity.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op8_secrets": secret_scan.ORACLE,
+}
