@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, secret_scan, toxicity
+from . import bpe, decontamination, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
     "op8_secrets": secret_scan.op8,
+    "op9_bpe": bpe.op9,
     "op10_toxicity": toxicity.op10,
 }
 
