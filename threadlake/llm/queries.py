@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, secret_scan, toxicity
+from . import bpe, decontamination, jaccard_join, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
+    "op5_jaccard": jaccard_join.op5,
     "op8_secrets": secret_scan.op8,
     "op9_bpe": bpe.op9,
     "op10_toxicity": toxicity.op10,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
+    "op5_jaccard": jaccard_join.ORACLE,
     "op8_secrets": secret_scan.ORACLE,
 }
