@@ -27,7 +27,10 @@ def split_words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def bounded(values: int, what: str, most: int) -> int:
-    if values > most:
-        raise ValueError(f"{values} {what}, more than the bound of {most}")
-    return values
+# A side of at most this many rows of a few numbers (some tens of MB) is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows; beyond the bound its join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from threadlake.session import stage
 
-from .common import table
+from .common import small, table
 from .graph import components
 
 SHINGLE = 4
@@ -42,8 +42,6 @@ PAIRS = 24  # members of a group whose pairs are all verified at once
 STARS = 2  # rounds of stars between components before all remaining pairs are verified
 BLOCK = 1_000_000  # signatures a task holds before it hands them on
 KNOWN_WORDS = 500_000
-# A side with at most this many rows of two numbers is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
 
 
 class WordHash(dict):
@@ -335,9 +333,7 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, se
     # the elements of the sets that are compared; one document of each
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_set")).union(members.select("_set")).distinct()
     wanted = stage(wanted.join(first.select("_set", "_first"), "_set").where("_first is not null"), "wanted")
-    n_wanted = wanted.count()
-    ids = wanted.select("_first")
-    ids = F.broadcast(ids) if n_wanted <= BROADCAST_ROWS else ids
+    ids = small(wanted.select("_first"), wanted.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("_first"), F.col("text").cast("binary").alias("_text")).join(ids, "_first")
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("_first"), F.col("text").cast("binary").alias("_text"))
     sets = stage(element_table(texts.unionByName(nameless), n, seed).dropDuplicates(["_set"]), "elements")
@@ -377,7 +373,8 @@ def keep_first(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Dat
     """The rows of ``docs``, all columns, without those whose component has a smaller
     doc_id. Rows without words or without id stay; of repeated rows with one id all stay."""
     groups = similar_groups(docs, n, percent)
-    surplus = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_surplus")).distinct()
+    surplus = stage(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_surplus")).distinct(), "surplus")
+    surplus = small(surplus, surplus.count())
     return docs.join(surplus, docs["doc_id"] == surplus["_surplus"], "left_anti")
 
 

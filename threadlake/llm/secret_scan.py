@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from threadlake.session import stage
 
-from .common import table, whole
+from .common import small, table, whole
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -145,7 +145,8 @@ def mask_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     spans_of = scan(docs, scope).select(
         F.col("doc_id").alias("_sdoc"), F.col("_print").alias("_sprint"), F.concat("assign", "access", "hex", "added").alias("_spans")
     )
-    hit = spans_of.where(F.size("_spans") > 0).dropDuplicates(["_sdoc", "_sprint"])
+    hit = stage(spans_of.where(F.size("_spans") > 0).dropDuplicates(["_sdoc", "_sprint"]), "hits")
+    hit = small(hit, hit.count())
     print_of = F.xxhash64(whole(docs["text"]))
     both = docs.join(hit, docs["doc_id"].eqNullSafe(hit["_sdoc"]) & (print_of == hit["_sprint"]), "left")
     text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(masked(docs["text"], F.col("_spans")))
