@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard_join, secret_scan, toxicity
+from . import bpe, decontamination, jaccard_join, secret_scan, sharding, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
+    "op3_records": token_records.op3,
     "op5_jaccard": jaccard_join.op5,
+    "op7_sharding": sharding.op7,
     "op8_secrets": secret_scan.op8,
     "op9_bpe": bpe.op9,
     "op10_toxicity": toxicity.op10,
@@ -18,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
+    "op3_records": token_records.op3,
     "op5_jaccard": jaccard_join.ORACLE,
     "op8_secrets": secret_scan.ORACLE,
 }
