@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard_join, quality_ratio, secret_scan, sharding, token_records, toxicity
+from . import bpe, decontamination, jaccard_join, perplexity, quality_ratio, secret_scan, sharding, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
     "op2_quality_ratio": quality_ratio.op2,
     "op3_records": token_records.op3,
+    "op4_perplexity": perplexity.op4,
     "op5_jaccard": jaccard_join.op5,
     "op7_sharding": sharding.op7,
     "op8_secrets": secret_scan.op8,
