@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard_join, perplexity, quality_ratio, secret_scan, sharding, token_records, toxicity
+from . import bpe, chat, decontamination, jaccard_join, perplexity, quality_ratio, secret_scan, sharding, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_records": token_records.op3,
     "op4_perplexity": perplexity.op4,
     "op5_jaccard": jaccard_join.op5,
+    "op6_chat": chat.op6,
     "op7_sharding": sharding.op7,
     "op8_secrets": secret_scan.op8,
     "op9_bpe": bpe.op9,
@@ -26,5 +27,6 @@ ORACLES: dict[str, str] = {
     "op3_records": token_records.op3,
     "op2_quality_ratio": quality_ratio.ORACLE,
     "op5_jaccard": jaccard_join.ORACLE,
+    "op6_chat": chat.ORACLE,
     "op8_secrets": secret_scan.ORACLE,
 }
