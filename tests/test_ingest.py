@@ -3,6 +3,7 @@ import hashlib
 import os
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadlake.functions import scalars as S
@@ -233,3 +234,60 @@ def test_watch_stream(spark, rows, tmp_path):
     assert set(got) == {"c.emb", "d.emb", "e.emb"}
     assert got["d.emb"] == (fingerprint(b"one")[:6], 100)
     assert got["c.emb"][0] == fingerprint(b"three, changed")[:6]
+
+
+def test_streams_share_one_table(spark, tmp_path):
+    """Both streams with their defaults, a fresh checkpoint, and an imported snapshot."""
+    root, base, source = (str(tmp_path / p) for p in ("lib", "table", "events"))
+    old = spark.createDataFrame([("x", f"{root}/x.emb", "x.emb", "emb", 1.0, 1, True, [1.0], None, 1)], tables.CATALOG_SCHEMA)
+    tables.write_snapshot(old, base, 5)
+    put(f"{root}/a.emb", b"one", 1_700_000_000)
+    ingest.ingest_stream(spark, root, base, embedder, str(tmp_path / "m1")).awaitTermination()
+    assert set(state(spark, base, root)) == {"x.emb", "a.emb"}
+    put(f"{root}/b.emb", b"two", 1_700_000_001)
+    start = dt.datetime(2024, 1, 1)
+    data = [(f"{root}/b.emb", "create", start, 0), (f"{root}/x.emb", "remove", start, 1), (f"{root}/later.emb", "write", start + dt.timedelta(minutes=1), 2)]
+    spark.createDataFrame(data, EV.EVENT_SCHEMA).coalesce(1).write.parquet(source)
+    ingest.watch_stream(spark, EV.read_events(spark, source), base, embedder, str(tmp_path / "m2"), availableNow=True).awaitTermination()
+    assert set(state(spark, base, root)) == {"a.emb", "b.emb"}
+    # a fresh checkpoint delivers everything once more
+    put(f"{root}/c.emb", b"three", 1_700_000_002)
+    ingest.ingest_stream(spark, root, base, embedder, str(tmp_path / "m3")).awaitTermination()
+    assert set(state(spark, base, root)) == {"a.emb", "b.emb", "c.emb"}
+
+
+def test_compaction_never_rewrites_what_it_reads(spark, rows, tmp_path):
+    base = str(tmp_path / "t")
+    row = spark.createDataFrame([("a", "/1")], "id string, file_path string")
+    assert tables.compact(spark, base, row.schema) is None
+    assert tables.write_delta(row, row, row, base, 0, "s")
+    assert tables.compact(spark, base, row.schema) is not None
+    for _ in range(2):
+        # nothing is newer; a batch delivered again after its compaction changes nothing
+        assert tables.compact(spark, base, row.schema) is None
+        assert not tables.write_delta(row, row, row, base, 0, "s")
+    # the same number from another stream is another batch
+    other = spark.createDataFrame([("b", "/2")], row.schema)
+    assert tables.write_delta(other, other, other, base, 0, "t")
+    assert rows(tables.read_snapshot(spark, base, row.schema), "id") == [("a",), ("b",)]
+    with pytest.raises(ValueError):
+        tables.write_snapshot(row, base, 0)
+    # marks outlive the deltas, outcomes of the last batch of a stream too
+    tables.write_outcomes(row.withColumn("outcome", F.lit("indexed")), base, 0, "s")
+    for n in range(1, 4):
+        tables.write_outcomes(row.withColumn("outcome", F.lit("indexed")), base, n, "t")
+        assert tables.write_delta(other, other, other, base, n, "t")
+        tables.compact(spark, base, row.schema)
+        tables.expire(spark, base)
+    assert tables.marks(spark, base) == {"s": 0, "t": 3}
+    assert not tables.write_delta(row, row, row, base, 0, "s")
+    assert tables.read_outcomes(spark, base, 0, "s").count() == 1
+    assert tables.read_outcomes(spark, base, 1, "t").count() == 0
+
+
+def test_folder_marks_are_counted_by_stream(spark, rows, tmp_path):
+    base = str(tmp_path / "folders")
+    first = spark.createDataFrame([("/a", "a", 1, 1, "", "Completed", False, 0, 0)], tables.FOLDER_SCHEMA)
+    tables.write_snapshot(first, base, 7)
+    ingest.outdated_batch(spark, base, spark.createDataFrame([("/a/x.emb",)], "path string"), 0, "s")
+    assert rows(tables.read_folders(spark, base), "status") == [("Outdated",)]

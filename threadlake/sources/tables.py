@@ -2,19 +2,27 @@
 
 A table is a folder of snapshots plus small deltas:
 
-    base/snapshot-000000000007/         all rows
-    base/delta-000000000008/rows, keys  rows added by one batch, ids and paths it took over
-
-Both are complete once Spark has written ``_SUCCESS``. A batch costs its own size, not
-the catalogue's; reading merges the deltas after the newest snapshot with two anti
-joins against their (small) keys, and ``compact`` folds them into a new snapshot. A
-table has one writer at a time.
+    base/snapshot-000000000007/                     all rows
+    base/delta-000000000008-<stream>-<batch>/rows   rows as they are after one batch
+                                            /keys   ids and paths it took over
+
+Both are complete once Spark has written ``_SUCCESS``. All writers share one sequence of
+numbers: a commit takes the next free one. A batch is told by its stream and its number in
+that stream; delivered again, it changes nothing, also after its delta has been compacted
+away, since a snapshot's marks name the last batch of each stream. Writers of one process
+take turns; a table has one writing process. A batch writes its own size, not the
+catalogue's; reading merges the deltas after the newest snapshot with two anti joins
+against their (small) keys, and ``compact`` folds them into a new snapshot.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import threading
+from collections import defaultdict
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +61,26 @@ FOLDER_SCHEMA = StructType(
     ]
 )
 
-_NAME = re.compile(r"^(snapshot|delta)-(\d{12})$")
+_NAME = re.compile(r"^(snapshot|delta)-(\d{12})(?:-([A-Za-z0-9_]+)-(\d+))?$")
+_OUTCOMES = re.compile(r"^outcomes-([A-Za-z0-9_]+)-(\d{12})$")
+# The stream of batches that are applied by hand.
+BY_HAND = "batch"
+
+_locks: dict[str, threading.RLock] = defaultdict(threading.RLock)
+
+
+class Commit(NamedTuple):
+    number: int
+    kind: str
+    stream: str | None
+    batch: int | None
+    name: str
+
+
+def writing(base: str) -> threading.RLock:
+    """Held while a table is read, planned against and written, so that the streams of one
+    driver do not commit over each other."""
+    return _locks[base.rstrip("/")]
 
 
 def _fs(spark: SparkSession, base: str):
@@ -66,86 +93,129 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def versions(spark: SparkSession, base: str) -> list[tuple[int, str]]:
-    """Complete versions as (number, kind), oldest first."""
+def _names(spark: SparkSession, base: str) -> list[str]:
     fs, path = _fs(spark, base)
-    if not fs.exists(path):
-        return []
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def commits(spark: SparkSession, base: str) -> list[Commit]:
+    """Complete commits, oldest first; a snapshot after the delta whose number it carries."""
     found = []
-    for status in fs.listStatus(path):
-        name = _NAME.match(status.getPath().getName())
-        if not name:
-            continue
-        kind, number = name.group(1), int(name.group(2))
-        mark = "_SUCCESS" if kind == "snapshot" else "keys/_SUCCESS"
-        if _exists(spark, os.path.join(base, name.group(0), mark)):
-            found.append((number, kind))
-    return sorted(found)
+    for name in _names(spark, base):
+        m = _NAME.match(name)
+        if m and _exists(spark, os.path.join(base, name, "_SUCCESS" if m[1] == "snapshot" else "keys/_SUCCESS")):
+            found.append(Commit(int(m[2]), m[1], m[3], None if m[4] is None else int(m[4]), name))
+    return sorted(found, key=lambda c: (c.number, c.kind))
 
 
-def _dir(base: str, kind: str, number: int) -> str:
-    return os.path.join(base, f"{kind}-{number:012d}")
+def versions(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    """Complete versions as (number, kind), oldest first."""
+    return [(c.number, c.kind) for c in commits(spark, base)]
+
 
+def _next(done: list[Commit]) -> int:
+    return done[-1].number + 1 if done else 0
 
-def write_snapshot(df: DataFrame, base: str, number: int | None = None) -> str:
-    """All rows as a new snapshot; readers keep the old one until it is complete."""
+
+def marks(spark: SparkSession, base: str) -> dict[str, int]:
+    """The last batch of each stream that the table holds."""
+    done = commits(spark, base)
+    snaps = [c.number for c in done if c.kind == "snapshot"]
+    found: dict[str, int] = {}
+    if snaps:
+        fs, path = _fs(spark, os.path.join(base, f"marks-{snaps[-1]:012d}"))
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+    for c in done:
+        if c.stream is not None:
+            found[c.stream] = max(found.get(c.stream, -1), c.batch)
+    return found
+
+
+def delivered(spark: SparkSession, base: str, batch_id: int, stream: str = BY_HAND) -> bool:
+    """Whether the table holds this batch. The numbers of a stream only grow."""
+    return marks(spark, base).get(stream, -1) >= batch_id
+
+
+def write_snapshot(df: DataFrame, base: str, number: int | None = None, delivers: tuple[str, int] | None = None) -> str:
+    """All rows as a new snapshot; readers keep the old one until it is complete.
+
+    ``number`` must be new among the snapshots and not behind the newest commit.
+    ``delivers`` names a batch (stream, number) that the snapshot itself applies."""
     spark = df.sparkSession
-    if number is None:
-        done = versions(spark, base)
-        number = done[-1][0] + 1 if done else 0
-    target = _dir(base, "snapshot", number)
-    # an incomplete directory of the same number is a failed earlier attempt
-    df.write.mode("overwrite").parquet(target)
+    with writing(base):
+        done = commits(spark, base)
+        if number is None:
+            number = _next(done)
+        elif done and (number < done[-1].number or (number, "snapshot") in [(c.number, c.kind) for c in done]):
+            raise ValueError(f"{base} is at {done[-1].number} already, {number} would be lost")
+        known = marks(spark, base)
+        if delivers is not None:
+            known[delivers[0]] = max(known.get(delivers[0], -1), delivers[1])
+        # written first: with the snapshot's success mark both are in force
+        fs, path = _fs(spark, os.path.join(base, f"marks-{number:012d}"))
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(json.dumps(known), "utf-8"))
+        finally:
+            out.close()
+        target = os.path.join(base, f"snapshot-{number:012d}")
+        # an incomplete directory of the same number is a failed earlier attempt
+        df.write.mode("overwrite").parquet(target)
     return target
 
 
 write_catalog = write_snapshot
 
 
-def write_delta(rows: DataFrame, gone_ids: DataFrame, gone_paths: DataFrame, base: str, batch_id: int) -> bool:
-    """One batch: ``rows`` as they are after it, and the ids and paths it touched.
-
-    The batch id is the version number, so a batch that is delivered again after it was
-    written changes nothing. Returns whether it was written now.
-    """
+def write_delta(
+    rows: DataFrame, gone_ids: DataFrame, gone_paths: DataFrame, base: str, batch_id: int, stream: str = BY_HAND
+) -> bool:
+    """One batch: ``rows`` as they are after it, and the ids and paths it touched, as the
+    next commit. A batch that is delivered again changes nothing. Returns whether it was
+    written now."""
     spark = rows.sparkSession
-    if has_delta(spark, base, batch_id):
-        return False
-    target = _dir(base, "delta", batch_id)
-    keys = gone_ids.select(F.lit("id").alias("kind"), F.col("id").alias("key")).unionAll(
-        gone_paths.select(F.lit("path").alias("kind"), F.col("file_path").alias("key"))
-    )
-    rows.write.mode("overwrite").parquet(os.path.join(target, "rows"))
-    # written last: its success mark completes the delta
-    keys.write.mode("overwrite").parquet(os.path.join(target, "keys"))
+    with writing(base):
+        if delivered(spark, base, batch_id, stream):
+            return False
+        target = os.path.join(base, f"delta-{_next(commits(spark, base)):012d}-{stream}-{batch_id}")
+        keys = gone_ids.select(F.lit("id").alias("kind"), F.col("id").alias("key")).unionAll(
+            gone_paths.select(F.lit("path").alias("kind"), F.col("file_path").alias("key"))
+        )
+        rows.write.mode("overwrite").parquet(os.path.join(target, "rows"))
+        # written last: its success mark completes the delta
+        keys.write.mode("overwrite").parquet(os.path.join(target, "keys"))
     return True
 
 
-def has_delta(spark: SparkSession, base: str, batch_id: int) -> bool:
-    return any(n == batch_id and kind == "delta" for n, kind in versions(spark, base))
+def _outcomes(base: str, batch_id: int, stream: str) -> str:
+    return os.path.join(base, f"outcomes-{stream}-{batch_id:012d}")
 
 
-def write_outcomes(outcomes: DataFrame, base: str, batch_id: int) -> None:
+def write_outcomes(outcomes: DataFrame, base: str, batch_id: int, stream: str = BY_HAND) -> None:
     """Outcome per file of one batch (skipped / moved / indexed / failed)."""
-    outcomes.select("file_path", "id", "outcome").write.mode("overwrite").parquet(
-        os.path.join(base, f"outcomes-{batch_id:012d}")
-    )
+    outcomes.select("file_path", "id", "outcome").write.mode("overwrite").parquet(_outcomes(base, batch_id, stream))
 
 
-def read_outcomes(spark: SparkSession, base: str, batch_id: int) -> DataFrame:
-    return spark.read.schema("file_path string, id string, outcome string").parquet(
-        os.path.join(base, f"outcomes-{batch_id:012d}")
-    )
+def read_outcomes(spark: SparkSession, base: str, batch_id: int, stream: str = BY_HAND) -> DataFrame:
+    """Outcomes of a batch; none once they have expired."""
+    schema, path = "file_path string, id string, outcome string", _outcomes(base, batch_id, stream)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_snapshot(spark: SparkSession, base: str, schema: StructType = CATALOG_SCHEMA) -> DataFrame:
     """Newest snapshot with the deltas after it; an empty table if there is none."""
-    done = versions(spark, base)
-    snaps = [n for n, kind in done if kind == "snapshot"]
-    start = snaps[-1] if snaps else -1
-    deltas = [n for n, kind in done if kind == "delta" and n > start]
+    done = commits(spark, base)
+    snaps = [c for c in done if c.kind == "snapshot"]
+    deltas = [c for c in done if c.kind == "delta" and (not snaps or c.number > snaps[-1].number)]
     if snaps:
-        table = spark.read.schema(schema).parquet(_dir(base, "snapshot", start))
+        table = spark.read.schema(schema).parquet(os.path.join(base, snaps[-1].name))
     else:
         table = spark.createDataFrame([], schema)
     if not deltas:
@@ -153,9 +223,9 @@ def read_snapshot(spark: SparkSession, base: str, schema: StructType = CATALOG_S
 
     def each(part: str, part_schema):
         out = None
-        for n in deltas:
-            one = spark.read.schema(part_schema).parquet(os.path.join(_dir(base, "delta", n), part))
-            one = one.withColumn("_batch", F.lit(n).cast("long"))
+        for c in deltas:
+            one = spark.read.schema(part_schema).parquet(os.path.join(base, c.name, part))
+            one = one.withColumn("_batch", F.lit(c.number).cast("long"))
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -177,25 +247,34 @@ def read_snapshot(spark: SparkSession, base: str, schema: StructType = CATALOG_S
     return kept.select(*names).unionByName(added.select(*names))
 
 
-def compact(spark: SparkSession, base: str, schema: StructType = CATALOG_SCHEMA) -> str:
-    """Folds the deltas into a new snapshot that carries the number of the last one."""
-    done = versions(spark, base)
-    deltas = [n for n, kind in done if kind == "delta"]
-    table = read_snapshot(spark, base, schema)
-    return write_snapshot(table, base, deltas[-1] if deltas else None)
+def compact(spark: SparkSession, base: str, schema: StructType = CATALOG_SCHEMA) -> str | None:
+    """Folds the deltas into a new snapshot that carries the number of the last one; does
+    nothing, and returns None, where no delta is newer than the newest snapshot."""
+    with writing(base):
+        done = commits(spark, base)
+        if not done or done[-1].kind == "snapshot":
+            return None
+        return write_snapshot(read_snapshot(spark, base, schema), base, done[-1].number)
 
 
 def expire(spark: SparkSession, base: str, keep: int = 2) -> None:
-    """Removes what only snapshots older than the newest ``keep`` need. With two kept, the
-    delta of the last batch before a compaction is still there if it is delivered again."""
-    done = versions(spark, base)
-    snaps = [n for n, kind in done if kind == "snapshot"]
-    if len(snaps) <= keep:
-        return
-    fs, _ = _fs(spark, base)
-    for number, kind in done:
-        if number < snaps[-keep] or (number == snaps[-keep] and kind == "delta"):
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(_dir(base, kind, number)), True)
+    """Removes what only snapshots older than the newest ``keep`` need, and the outcomes of
+    batches that are neither among the remaining deltas nor the last of their stream."""
+    with writing(base):
+        done = commits(spark, base)
+        snaps = [c.number for c in done if c.kind == "snapshot"]
+        if len(snaps) <= keep:
+            return
+        oldest, last = snaps[-keep], marks(spark, base)
+        gone = [c.name for c in done if c.number < oldest or (c.number == oldest and c.kind == "delta")]
+        kept = {(c.stream, c.batch) for c in done if c.name not in gone} | set(last.items())
+        for name in _names(spark, base):
+            m = _OUTCOMES.match(name)
+            if m and (m[1], int(m[2])) not in kept or name in [f"marks-{n:012d}" for n in snaps[:-keep]]:
+                gone.append(name)
+        fs, _ = _fs(spark, base)
+        for name in gone:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(os.path.join(base, name)), True)
 
 
 def read_catalog(spark: SparkSession, base: str, schema: StructType = CATALOG_SCHEMA) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,18 +107,18 @@ def plan_changes(
 
 def apply_changes(
     spark: SparkSession, base: str, files: DataFrame, batch_id: int, embedder: Embedder,
-    now: Column | int, force: bool = False, deleted: DataFrame | None = None,
+    now: Column | int, force: bool = False, deleted: DataFrame | None = None, stream: str = tables.BY_HAND,
 ) -> DataFrame:
     """Plans one batch against the stored catalogue and writes it as a delta.
 
     ``deleted`` (file_path) goes last: content that left its path and turns up at another
     one in the same batch is a move and keeps its vector; a path the batch stores again
-    stays. The batch id makes a repeated delivery harmless. Returns the outcomes, which are kept
-    beside the delta.
+    stays. Stream and batch id make a repeated delivery harmless. Returns the outcomes, which
+    are kept beside the delta.
     """
-    if tables.has_delta(spark, base, batch_id):
-        return tables.read_outcomes(spark, base, batch_id)
-    with staging(spark) as folder:
+    if tables.delivered(spark, base, batch_id, stream):
+        return tables.read_outcomes(spark, base, batch_id, stream)
+    with tables.writing(base), staging(spark) as folder:
         # the batch feeds several branches: keep one copy of it
         files = stage(files, "files", folder)
         catalog = tables.read_catalog(spark, base)
@@ -127,9 +128,16 @@ def apply_changes(
         paths = changes.paths
         if deleted is not None:
             paths = paths.unionByName(deleted).distinct()
-        tables.write_outcomes(changes.outcomes.drop("wins"), base, batch_id)
-        tables.write_delta(changes.rows, changes.ids, paths, base, batch_id)
-    return tables.read_outcomes(spark, base, batch_id)
+        tables.write_outcomes(changes.outcomes.drop("wins"), base, batch_id, stream)
+        tables.write_delta(changes.rows, changes.ids, paths, base, batch_id, stream)
+    return tables.read_outcomes(spark, base, batch_id, stream)
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint gave its query: the same after a restart, another one for a
+    fresh checkpoint, whose batches therefore count anew."""
+    text = spark.read.text(f"{checkpoint}/metadata").first()[0]
+    return json.loads(text)["id"].replace("-", "")
 
 
 def _compact(spark: SparkSession, base: str, batch_id: int, every: int) -> None:
@@ -159,7 +167,7 @@ def ingest_stream(
     embedder: Embedder,
     checkpoint: str,
     max_files: int = 10_000,
-    first_batch: int = 1,
+    first_batch: int = 0,
     on_outcomes: Callable[[DataFrame, int], None] | None = None,
     compact_every: int = 100,
 ):
@@ -180,7 +188,8 @@ def ingest_stream(
     def each(batch: DataFrame, batch_id: int) -> None:
         now = F.unix_timestamp(F.current_timestamp())
         files = incoming_files(batch)
-        outcomes = apply_changes(spark, base, files, first_batch + batch_id, embedder, now)
+        name = stream_id(spark, checkpoint)
+        outcomes = apply_changes(spark, base, files, first_batch + batch_id, embedder, now, stream=name)
         _compact(spark, base, batch_id, compact_every)
         if on_outcomes is not None:
             on_outcomes(outcomes, batch_id)
@@ -194,7 +203,8 @@ def ingest_stream(
 
 
 def apply_events(
-    spark: SparkSession, base: str, events: DataFrame, batch_id: int, embedder: Embedder, now: Column | int
+    spark: SparkSession, base: str, events: DataFrame, batch_id: int, embedder: Embedder, now: Column | int,
+    stream: str = tables.BY_HAND,
 ) -> DataFrame:
     """T3-T6 for one batch of settled events (path, op, last_ts): items are indexed again
     if their file is there and deleted if it is not; a companion's event counts for the
@@ -218,7 +228,7 @@ def apply_events(
         )
         gone = seen.where("not present").select("file_path")
         # an event on a known file means its content may differ under the same listing
-        return apply_changes(spark, base, files, batch_id, embedder, now, force=True, deleted=gone)
+        return apply_changes(spark, base, files, batch_id, embedder, now, force=True, deleted=gone, stream=stream)
 
 
 def watch_stream(
@@ -229,7 +239,7 @@ def watch_stream(
     checkpoint: str,
     gap: str = EV.DEBOUNCE,
     delay: str = EV.DELAY,
-    first_batch: int = 1,
+    first_batch: int = 0,
     compact_every: int = 100,
     **trigger,
 ):
@@ -237,7 +247,7 @@ def watch_stream(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         now = F.unix_timestamp(F.current_timestamp())
-        apply_events(spark, base, batch, first_batch + batch_id, embedder, now)
+        apply_events(spark, base, batch, first_batch + batch_id, embedder, now, stream_id(spark, checkpoint))
         _compact(spark, base, batch_id, compact_every)
 
     settled = EV.debounce_stream(EV.relevant_events(events), gap, delay)
@@ -249,10 +259,13 @@ def watch_stream(
     )
 
 
-def outdated_batch(spark: SparkSession, folders_base: str, events: DataFrame, batch_id: int) -> None:
+def outdated_batch(
+    spark: SparkSession, folders_base: str, events: DataFrame, batch_id: int, stream: str = tables.BY_HAND
+) -> None:
     """foreachBatch body that marks the folders around a batch of events."""
-    done = [n for n, _ in tables.versions(spark, folders_base)]
-    if done and done[-1] > batch_id:
-        return
-    folders = tables.read_folders(spark, folders_base)
-    tables.write_snapshot(mark_outdated(folders, events), folders_base, batch_id + 1)
+    with tables.writing(folders_base):
+        if tables.delivered(spark, folders_base, batch_id, stream):
+            return
+        folders = tables.read_folders(spark, folders_base)
+        tables.write_snapshot(mark_outdated(folders, events), folders_base, delivers=(stream, batch_id))
+        tables.expire(spark, folders_base)
