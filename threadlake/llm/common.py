@@ -27,6 +27,13 @@ def split_words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` computed once per row. A plain column is substituted into filters
+    that Spark pushes down, and into the lambdas there it is then computed per element; the
+    output of a generator is not."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 # A side of at most this many rows of a few numbers (some tens of MB) is broadcast.
 BROADCAST_ROWS = 500_000
 

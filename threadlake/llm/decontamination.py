@@ -18,17 +18,10 @@ from pyspark.sql import functions as F
 
 from threadlake.session import stage
 
-from .common import table
+from .common import held, small, table
 
 SHINGLE = 5
 PERCENT = 80
-# Sides with at most this many rows of a few numbers (tens of MB) are broadcast; beyond it the
-# same join shuffles.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def words(text: Column) -> Column:
@@ -100,9 +93,10 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
     top, n_sketches = max((r["_top"] for r in tops), default=-(2**63)), sum(r["_rows"] for r in tops)
 
     rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_print"))
-    tokens = rows.select("_doc", "_print", words(F.col("_text")).alias("_w"))
+    tokens = held(rows, "_w", words(F.col("_text")))
     runs = [shingles(F.col("_w"), m, lambda x: F.xxhash64(x)) for m in lengths]
-    probes = tokens.select("_doc", "_print", F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("_h")).where(F.col("_h") <= top)
+    # the outer form, as Spark infers a filter on the array from a plain explode
+    probes = tokens.select("_doc", "_print", F.explode_outer(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("_h")).where(F.col("_h") <= top)
     candidates = stage(
         probes.join(small(sketches.select("item_id", "_h"), n_sketches), "_h").select("_doc", "_print", "item_id").distinct(), "candidates"
     )
@@ -111,7 +105,7 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
     wanted = small(candidates.withColumnsRenamed({"_doc": "_cdoc", "_print": "_cprint"}), n_candidates)
     found = rows.join(wanted, rows["_doc"].eqNullSafe(wanted["_cdoc"]) & (rows["_print"] == wanted["_cprint"])).drop("_cdoc", "_cprint")
     # only candidate texts come this far
-    found = found.join(small(classes, n_classes), "item_id").withColumn("_w", words(F.col("_text")))
+    found = held(found.join(small(classes, n_classes), "item_id"), "_w", words(F.col("_text")))
     own = [F.when(F.col("_n") == m, shingles(F.col("_w"), m, lambda x: F.array_join(x, " "))) for m in lengths]
     shared = F.size(F.array_intersect(F.coalesce(*own), F.col("_set")))
     return (
