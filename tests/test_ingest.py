@@ -291,3 +291,59 @@ def test_folder_marks_are_counted_by_stream(spark, rows, tmp_path):
     tables.write_snapshot(first, base, 7)
     ingest.outdated_batch(spark, base, spark.createDataFrame([("/a/x.emb",)], "path string"), 0, "s")
     assert rows(tables.read_folders(spark, base), "status") == [("Outdated",)]
+
+
+def test_scan_library(spark, tmp_path):
+    """Old, changed, empty, underscored and tool files; contents are read once each."""
+    root, base = str(tmp_path / "lib"), str(tmp_path / "table")
+    put(f"{root}/a.emb", b"one", 1_700_000_000)
+    put(f"{root}/_old/_b.emb", b"two", 1_000_000_000)
+    put(f"{root}/empty.emb", b"", 1_700_000_000)
+    put(f"{root}/copy.emb", b"one", 1_700_000_001)
+    put(f"{root}/node_modules/n.emb", b"no", 1_700_000_000)
+    put(f"{root}/bad.emb", b"bad file", 1_700_000_000)
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(contents):
+        contents.foreach(lambda r: read.add(1))
+        return embedder(contents)
+
+    def run(**more):
+        found = ingest.scan_library(spark, [root], base, counting, **more).collect()
+        return {os.path.relpath(r["file_path"], root): r["outcome"] for r in found}
+
+    first = {"a.emb": "indexed", "copy.emb": "moved", "_old/_b.emb": "indexed", "empty.emb": "indexed", "bad.emb": "failed"}
+    assert run() == first and read.value == 4
+    assert set(state(spark, base, root)) == {"copy.emb", "_old/_b.emb", "empty.emb"}
+    # a file rewritten under its path, an old one that comes in late
+    put(f"{root}/_old/_b.emb", b"two, changed", 1_000_000_005)
+    put(f"{root}/late.emb", b"three", 900_000_000)
+    os.remove(f"{root}/a.emb")
+    assert run() == {"copy.emb": "skipped", "empty.emb": "skipped", "_old/_b.emb": "indexed", "late.emb": "indexed", "bad.emb": "failed"}
+    assert read.value == 7
+    assert state(spark, base, root)["_old/_b.emb"][0] == fingerprint(b"two, changed")[:6]
+    before = state(spark, base, root)
+    assert run(batch_id=1)["late.emb"] == "indexed" and state(spark, base, root) == before
+
+
+def test_whole_contents_tell_long_files_apart(spark, tmp_path):
+    head = b"a" * (5 * 1024 * 1024)
+    put(f"{tmp_path}/1.emb", head + b"x")
+    put(f"{tmp_path}/2.emb", head + b"y")
+    listed = FS.walk_files(spark, [str(tmp_path)])
+    assert FS.fingerprint_files(listed).select("id").distinct().count() == 1
+    assert FS.fingerprint_files(listed, prefix_bytes=None).select("id").distinct().count() == 2
+
+
+def test_library_stream(spark, tmp_path):
+    root, base, mark = (str(tmp_path / p) for p in ("lib", "table", "mark"))
+    put(f"{root}/a.emb", b"one", 1_700_000_000)
+    seen = []
+    query = ingest.library_stream(spark, [root], base, embedder, mark, every="1 second", on_outcomes=lambda o, n: seen.append(o.count()))
+    try:
+        deadline = dt.datetime.now() + dt.timedelta(seconds=90)
+        while not seen and query.isActive and dt.datetime.now() < deadline:
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert seen and set(state(spark, base, root)) == {"a.emb"}

@@ -119,18 +119,20 @@ def dedupe_paths(
 
     In a duplicated path rows without preview go first, then the highest ``row_id``
     stays. ``strict`` keeps the literal rule, under which a duplicated path without any
-    preview disappears; otherwise its highest row stays. One aggregate with map-side
-    reduction: a path with any number of copies costs one row per task.
+    preview disappears; otherwise its highest row stays. ``row_id`` is unique.
+
+    Only numbers are aggregated; the rows themselves meet the few duplicated paths in one
+    join and are not copied, so a path with any number of copies costs one number per task.
     """
-    rest = [c for c in catalog.columns if c != "file_path"]
-    row, shown = F.struct(*rest), F.when(F.col(has_preview), F.col(row_id))
-    best = catalog.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max_by(row, F.col(row_id)).alias("_any"),
-        F.max_by(row, shown).alias("_shown"),
-    )
-    fallback = F.when(F.col("_n") == 1, F.col("_any")) if strict else F.col("_any")
-    kept = best.withColumn(
-        "_row", F.when(F.col("_n") == 1, F.col("_any")).otherwise(F.coalesce("_shown", fallback))
+    best = (
+        catalog.groupBy(F.col("file_path").alias("_path"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.max(row_id).alias("_any"),
+            F.max(F.when(F.col(has_preview), F.col(row_id))).alias("_shown"),
+        )
+        .where("_n > 1")
+        .select("_path", F.lit(True).alias("_twice"), (F.col("_shown") if strict else F.coalesce("_shown", "_any")).alias("_stays"))
     )
-    return kept.where("_row is not null").select("file_path", "_row.*").select(*catalog.columns)
+    rows = catalog.join(best, catalog["file_path"].eqNullSafe(best["_path"]), "left")
+    return rows.where(F.col("_twice").isNull() | (F.col(row_id) == F.col("_stays"))).select(*[catalog[c] for c in catalog.columns])

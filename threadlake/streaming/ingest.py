@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import paths as P
 from threadlake.functions import scalars as S
-from threadlake.operators.catalog import plan_scan
+from threadlake.operators.catalog import plan_scan, split_unchanged
 from threadlake.operators.folders import mark_outdated
 from threadlake.operators.joins import left_lookup
 from threadlake.session import stage, staging
 from threadlake.sources import tables
-from threadlake.sources.files import load_files
+from threadlake.sources.files import fingerprint_files, load_files, walk_files
 from threadlake.streaming import events as EV
 
 # The schema of Spark's binaryFile source, which streams have to name.
@@ -23,6 +23,8 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 # DataFrame (id, content) -> DataFrame (id, embedding); a null vector marks a failure.
 Embedder = Callable[[DataFrame], DataFrame]
+# DataFrame (id, file_path) -> DataFrame (id, content)
+Loader = Callable[[DataFrame], DataFrame]
 
 
 class Changes:
@@ -44,22 +46,28 @@ def plan_changes(
     now: Column | int,
     force: bool = False,
     folder: str | None = None,
+    load: Loader | None = None,
 ) -> Changes:
     """The effect of scanned files, as if handled one by one in ``seq`` order.
 
-    ``files``: seq, file_path, file_mtime, size_kb, id, content, one row per path. Each new
-    content is embedded once, whatever number of copies it has. A file whose content is
-    unreadable or cannot be embedded is 'failed' and changes nothing. The plan and the
-    vectors are staged in ``folder``; the result is read from there.
+    ``files``: seq, file_path, file_mtime, size_kb, id, and content unless ``load`` fetches
+    it for the files to embed; one row per path. Each new content is embedded once, whatever
+    number of copies it has. A file whose content is unreadable or cannot be embedded is
+    'failed' and changes nothing. The plan and the vectors are staged in ``folder``; the
+    result is read from there.
     """
     stamp = now if isinstance(now, Column) else F.lit(now).cast("long")
     listing = files.drop("content")
     plan = stage(plan_scan(listing.where("id is not null"), catalog, force), "plan", folder)
     fresh = plan.where("outcome = 'indexed'").select("id", "file_path")
-    contents = files.join(fresh, ["id", "file_path"], "left_semi").select("id", "content")
+    if load is None:
+        contents = files.join(fresh, ["id", "file_path"], "left_semi").select("id", "content")
+    else:
+        contents = load(fresh)
     vectors = stage(embedder(contents), "vectors", folder)
     good = vectors.where("embedding is not null").select("id", F.col("embedding").alias("_new"))
-    bad = vectors.where("embedding is null").select("id").distinct().withColumn("_bad", F.lit(True))
+    # a content that could not be read any more has no vector either
+    bad = fresh.select("id").distinct().join(good, "id", "left_anti").withColumn("_bad", F.lit(True))
     home = catalog.select("id", F.col("file_path").alias("_home"))
     # a later copy of content that could not be embedded fails as well, unless the
     # catalogue already knows the content
@@ -108,6 +116,7 @@ def plan_changes(
 def apply_changes(
     spark: SparkSession, base: str, files: DataFrame, batch_id: int, embedder: Embedder,
     now: Column | int, force: bool = False, deleted: DataFrame | None = None, stream: str = tables.BY_HAND,
+    load: Loader | None = None,
 ) -> DataFrame:
     """Plans one batch against the stored catalogue and writes it as a delta.
 
@@ -124,7 +133,7 @@ def apply_changes(
         catalog = tables.read_catalog(spark, base)
         if deleted is not None:
             deleted = stage(deleted.select("file_path").distinct(), "deleted", folder)
-        changes = plan_changes(catalog, files, embedder, now, force, folder)
+        changes = plan_changes(catalog, files, embedder, now, force, folder, load)
         paths = changes.paths
         if deleted is not None:
             paths = paths.unionByName(deleted).distinct()
@@ -147,6 +156,56 @@ def _compact(spark: SparkSession, base: str, batch_id: int, every: int) -> None:
         tables.expire(spark, base)
 
 
+def contents_of(fresh: DataFrame) -> DataFrame:
+    """Contents of planned files (id, file_path), read on the executors; none for a file
+    that has vanished since it was listed."""
+    found = load_files(fresh).where("present").select("file_path", "content")
+    return fresh.join(found, "file_path").select("id", "content")
+
+
+def scan_library(
+    spark: SparkSession, roots: Sequence[str], base: str, embedder: Embedder, now: Column | int | None = None,
+    force: bool = False, batch_id: int | None = None, stream: str = "scan", prefix_bytes: int | None = S.FINGERPRINT_BYTES,
+) -> DataFrame:
+    """S1, J6, F5, J7, T6 in one: brings the catalogue at ``base`` up to what lies below
+    ``roots``. Returns the outcome per file.
+
+    Everything is listed, whatever its name, age or size, but for dot and tool directories.
+    Only files whose path, mtime or size is not in the catalogue are hashed (with ``force``
+    all), and only contents that the catalogue does not know are read as a whole. Without
+    ``batch_id`` the scan takes the next number of its ``stream``.
+    """
+    now = F.unix_timestamp(F.current_timestamp()) if now is None else now
+    with tables.writing(base), staging(spark) as folder:
+        if batch_id is None:
+            batch_id = tables.marks(spark, base).get(stream, -1) + 1
+        listed = stage(split_unchanged(walk_files(spark, roots), tables.read_catalog(spark, base)), "listed", folder)
+        open_ = listed if force else listed.where(~F.col("unchanged"))
+        hashed = stage(fingerprint_files(open_, prefix_bytes=prefix_bytes), "hashed", folder)
+        if not force:
+            hashed = hashed.unionByName(listed.where("unchanged").withColumn("id", F.col("known_id")))
+        order = F.struct(F.col("file_mtime").alias("t"), F.col("file_path").alias("p")).alias("seq")
+        files = hashed.select(order, "file_path", "file_mtime", "size_kb", "id", F.lit(None).cast("binary").alias("content"))
+        return apply_changes(spark, base, files, batch_id, embedder, now, force, stream=stream, load=contents_of)
+
+
+def library_stream(
+    spark: SparkSession, roots: Sequence[str], base: str, embedder: Embedder, checkpoint: str,
+    every: str = "30 minutes", compact_every: int = 100, on_outcomes: Callable[[DataFrame, int], None] | None = None,
+):
+    """``scan_library`` again and again, so changed files and files with an old
+    mtime are found as well. The checkpoint remembers the scans done. Returns the query."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        outcomes = scan_library(spark, roots, base, embedder, batch_id=batch_id, stream=stream_id(spark, checkpoint))
+        _compact(spark, base, batch_id, compact_every)
+        if on_outcomes is not None:
+            on_outcomes(outcomes, batch_id)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(each).start()
+
+
 def incoming_files(raw: DataFrame) -> DataFrame:
     """binaryFile rows -> the files frame of plan_changes, in time and path order."""
     path = F.regexp_replace("path", r"^file:/+", "/")
@@ -171,7 +230,9 @@ def ingest_stream(
     on_outcomes: Callable[[DataFrame, int], None] | None = None,
     compact_every: int = 100,
 ):
-    """Picks up new files below ``source`` and stops when none is left.
+    """Picks up new files below ``source``, of any age, and stops when none is left. For
+    drop folders whose files are written once; ``scan_library`` and ``library_stream`` find
+    changed, empty and underscored files too, which Spark's file source leaves out.
 
     The streaming checkpoint remembers the files done, so a restart goes on where the
     last run stopped even if single files have vanished. Returns the started query.
@@ -182,12 +243,14 @@ def ingest_stream(
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[eE][mM][bB]")
         .option("maxFilesPerTrigger", max_files)
+        # files may be far older than the newest one
+        .option("maxFileAge", "36500d")
         .load(source)
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
         now = F.unix_timestamp(F.current_timestamp())
-        files = incoming_files(batch)
+        files = incoming_files(batch).where(~P.hidden_or_tool_dir("file_path", F.lit(source.rstrip("/"))))
         name = stream_id(spark, checkpoint)
         outcomes = apply_changes(spark, base, files, first_batch + batch_id, embedder, now, stream=name)
         _compact(spark, base, batch_id, compact_every)
