@@ -215,11 +215,11 @@ def a19(v: Views):
 
 
 def _upsert_parts(v: Views):
-    """The stored library with a thumbnail text, and a batch: the unmoved documents
+    """The stored library with a thumbnail text, and a batch: all documents
     again, last copy of each content, every third one with a new thumbnail."""
     thumb = F.concat(F.lit("old"), F.col("rowid").cast("string"))
     before = v.stored().withColumn("thumbnail", thumb)
-    batch = v.catalog().where(~F.col("file_path").endswith(".jpg")).withColumn(
+    batch = v.catalog().withColumn(
         "thumbnail", F.when(F.col("rowid") % 3 == 0, F.concat(F.lit("new"), F.col("rowid").cast("string")))
     )
     return before, batch
@@ -227,7 +227,7 @@ def _upsert_parts(v: Views):
 
 _UPSERT = """
     with b as (select *, case when rowid % 3 = 0 then 'new' || rowid::varchar end as thumbnail from catalog
-               where not ends_with(file_path, '.jpg') qualify row_number() over (partition by id order by rowid desc) = 1),
+               qualify row_number() over (partition by id order by rowid desc) = 1),
     s as (select *, 'old' || rowid::varchar as thumbnail from stored),
     u as (select rowid, id, file_path, file_mtime, indexed_at, thumbnail from s
           where file_path not in (select file_path from b) and id not in (select id from b)
@@ -302,7 +302,7 @@ _STORED_COLUMNS = ("rowid", "id", "file_path", "file_mtime")
 
 @query("s5_snapshot_and_deltas", ("catalog", "stored"), """
     with s as (select rowid, id, file_path, file_mtime from stored),
-    b as (select rowid, id, file_path, file_mtime from catalog where file_path not like '%.jpg'
+    b as (select rowid, id, file_path, file_mtime from catalog
           qualify row_number() over (partition by id order by rowid desc) = 1)
     select * from s where file_path not in (select file_path from b) and id not in (select id from b)
     union all select * from b""")
@@ -311,7 +311,7 @@ def s5(v: Views):
     base = os.path.join(shared_dir(v.spark), f"catalog-{v.spark.sparkContext.applicationId}-{os.urandom(4).hex()}")
     before = v.stored().select(*_STORED_COLUMNS)
     rows = keep_latest(
-        v.catalog().where(~F.col("file_path").endswith(".jpg")).select(*_STORED_COLUMNS), "id", ["rowid"]
+        v.catalog().select(*_STORED_COLUMNS), "id", ["rowid"]
     )
     tables.write_catalog(before, base)
     tables.write_delta(rows, rows, rows, base, 1)

@@ -93,26 +93,30 @@ def f15(v: Views):
 
 
 @query("f16_header_probe", (), """
-    with h as (select doc_id, sha256(text) as x, doc_id % 4 as cut from documents),
-    b as (select doc_id, case when cut = 3 then left(x, 28) else x end as x from h),
+    with h as (select doc_id, sha256(text) as x from documents),
+    g as (select doc_id, string_agg(substr(x, 8 * k + 1, 4) || '0' || substr(x, 8 * k + 6, 1)
+                                    || case when (doc_id + k) % 3 = 0 then 'ff' else '00' end, '' order by k) as x
+          from h, range(8) as t(k) group by doc_id),
+    b as (select doc_id, case when doc_id % 4 = 3 then left(x, 28) else x end as x from g),
     r as (select doc_id, x, length(x) // 2 as n, unnest([12, 8, 16, 20, 24]) as o, generate_subscripts([12, 8, 16, 20, 24], 1) as k from b),
-    p as (select doc_id, k, ('0x' || substr(x, 2 * o + 7, 2) || substr(x, 2 * o + 5, 2) || substr(x, 2 * o + 3, 2) || substr(x, 2 * o + 1, 2))::bigint % 40000000 as v
+    p as (select doc_id, k, ('0x' || substr(x, 2 * o + 7, 2) || substr(x, 2 * o + 5, 2) || substr(x, 2 * o + 3, 2) || substr(x, 2 * o + 1, 2))::bigint as v
           from r where n >= o + 4),
     f as (select doc_id, arg_min(v, k) as stitches from p where v between 100 and 5000000 group by doc_id),
     c as (select doc_id, ('0x' || substr(x, 3, 2) || substr(x, 1, 2))::bigint as v from b)
     select b.doc_id, coalesce(f.stitches, -1) as stitches, case when c.v between 1 and 30000 then c.v end as colors
     from b left join f using (doc_id) join c using (doc_id)""")
 def f16(v: Views):
-    """Header values probed in the hash bytes of each text; one in four blobs is short.
-    Values are wrapped so that the accepted range is met often enough to matter."""
-    digest = F.unhex(F.sha2("text", 256))
-    blob = F.when(F.col("doc_id") % 4 == 3, F.substring(digest, 1, 14)).otherwise(digest)
-    probes = F.array(*[S.probe_u32(blob, (o,), 0, 2**32 - 1) % 40000000 for o in (12, 8, 16, 20, 24)])
-    first = F.coalesce(
-        F.try_element_at(F.filter(probes, lambda p: p.between(100, 5_000_000)), F.lit(1)), F.lit(-1).cast("long")
-    )
+    """Header values probed in blobs made from the hash of each text: every third value is
+    out of range, one in four blobs is short."""
+    x, doc = F.sha2("text", 256), F.col("doc_id")
+    words = [
+        F.concat(F.substring(x, 8 * k + 1, 4), F.lit("0"), F.substring(x, 8 * k + 6, 1), F.when((doc + k) % 3 == 0, "ff").otherwise("00"))
+        for k in range(8)
+    ]
+    whole = F.unhex(F.concat(*words))
+    blob = F.when(doc % 4 == 3, F.substring(whole, 1, 14)).otherwise(whole)
     return v.table("documents").select(
-        "doc_id", first.alias("stitches"), S.probe_u16(blob, hi=30000).alias("colors")
+        "doc_id", F.coalesce(S.probe_u32(blob), F.lit(-1).cast("long")).alias("stitches"), S.probe_u16(blob, hi=30000).alias("colors")
     )
 
 

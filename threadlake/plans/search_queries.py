@@ -146,12 +146,12 @@ def s4(v: Views):
 
 
 @query("f6_dot", ("vectors",), """
-    select id, round(list_inner_product(embedding, companion), 6) as folded,
+    select id, coalesce(round(list_sum(list_transform(list_zip(embedding, companion), lambda z: z[1] * z[2])), 6), 0.0) as folded,
            0.0::double as unequal
-    from vectors where companion is not null""")
+    from vectors""")
 def f6(v: Views):
     cut = F.slice("companion", 1, F.size("companion") - 1)
-    return v.vectors().where("companion is not null").select(
+    return v.vectors().select(
         "id",
         F.round(V.dot("embedding", "companion"), 6).alias("folded"),
         V.dot("embedding", cut).alias("unequal"),
