@@ -347,3 +347,24 @@ def test_library_stream(spark, tmp_path):
     finally:
         query.stop()
     assert seen and set(state(spark, base, root)) == {"a.emb"}
+
+
+def test_watch_stream_needs_no_later_event(spark, tmp_path):
+    """The last burst is applied, and so is an event far behind the others."""
+    root, base, source, mark = (str(tmp_path / p) for p in ("lib", "table", "events", "mark"))
+    for name in ("a.emb", "b.emb"):
+        put(f"{root}/{name}", name.encode(), 1_700_000_000)
+    ingest.scan_library(spark, [root], base, embedder)
+    start = dt.datetime(2024, 1, 1)
+    put(f"{root}/c.emb", b"three")
+
+    def run(*log):
+        data = [(f"{root}/{n}", op, start + dt.timedelta(seconds=s), i) for i, (n, op, s) in enumerate(log)]
+        spark.createDataFrame(data, EV.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        ingest.watch_stream(spark, EV.read_events(spark, source), base, embedder, mark, availableNow=True).awaitTermination()
+
+    run(("c.emb", "create", 3600), ("c.emb", "write", 3600.1))
+    assert set(state(spark, base, root)) == {"a.emb", "b.emb", "c.emb"}
+    os.remove(f"{root}/a.emb")
+    run(("a.emb", "remove", 0))
+    assert set(state(spark, base, root)) == {"b.emb", "c.emb"}

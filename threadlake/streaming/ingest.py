@@ -304,16 +304,29 @@ def watch_stream(
     delay: str = EV.DELAY,
     first_batch: int = 0,
     compact_every: int = 100,
+    settle: str = "arrival",
     **trigger,
 ):
-    """File changes as a stream: filter, debounce, apply. Returns the started query."""
+    """File changes as a stream: filter, debounce, apply. Returns the started query.
+
+    ``settle='arrival'``: what has arrived by a trigger is debounced and applied then, so no
+    event waits for a later one and none is too late; a burst that goes on at the next
+    trigger has its file looked at again. ``settle='event'``: a burst is applied once the
+    watermark has passed it, which takes later events; ones behind the watermark are dropped.
+    """
+    if settle not in ("arrival", "event"):
+        raise ValueError(f"settle by {settle!r}")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         now = F.unix_timestamp(F.current_timestamp())
+        if settle == "arrival":
+            batch = EV.debounce(batch, gap)
         apply_events(spark, base, batch, first_batch + batch_id, embedder, now, stream_id(spark, checkpoint))
         _compact(spark, base, batch_id, compact_every)
 
-    settled = EV.debounce_stream(EV.relevant_events(events), gap, delay)
+    settled = EV.relevant_events(events)
+    if settle == "event":
+        settled = EV.debounce_stream(settled, gap, delay)
     return (
         settled.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
