@@ -125,3 +125,9 @@ def test_report_folder(spark, tmp_path):
     assert head["by_format"][".jpg"] == {"total": 4, "hits_1": 2, "hits_3": 2, "hits_5": 2, "hits_10": 2}
     assert len(lines("details")) == 5 and len(lines("failures")) == 2
     assert lines("false_positives") == [{"top_match": "s (9).emb", "n": 2}]
+
+
+def test_sizes_in_bytes():
+    from threadlake.session import size_in_bytes
+
+    assert [size_in_bytes(x) for x in ("16m", "128MB", "134217728b", "7", "2GiB")] == [16 << 20, 128 << 20, 134217728, 7, 2 << 30]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -108,14 +109,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def size_in_bytes(text: str) -> int:
+    """'16m', '128MB' or '134217728b' as a number of bytes; a bare number counts bytes."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def scan_tasks(df: DataFrame) -> int | None:
     """About how many tasks read ``df``, from the optimizer's size of it; None if unknown."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     # sources without statistics report (at least) the largest long
     if size >= 2**60:
         return None
-    conf = df.sparkSession.sparkContext._jsc.sc().conf()
-    per_task = int(conf.getSizeAsBytes("spark.sql.files.maxPartitionBytes", "128m"))
+    per_task = size_in_bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     return max(1, -(-size // per_task))
 
 
