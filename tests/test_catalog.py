@@ -178,3 +178,11 @@ def test_browse_pages_and_wildcards(spark, rows):
 def test_format_count_map(spark):
     cat = spark.createDataFrame([("emb",), ("emb",), ("jpg",)], "format string")
     assert C.format_count_map(cat).first()["counts"] == {"emb": 2, "jpg": 1}
+
+
+def test_dedupe_aggregates_numbers_only(spark):
+    cat = spark.range(100).selectExpr("id as rowid", "concat('/', id % 40) as file_path", "id % 2 = 0 as has_preview", "array(1.0, 2.0) as embedding")
+    for strict in (True, False):
+        out = dml.dedupe_paths(cat, strict)
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == (20 if strict else 40)

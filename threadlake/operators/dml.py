@@ -125,14 +125,14 @@ def dedupe_paths(
     join and are not copied, so a path with any number of copies costs one number per task.
     """
     best = (
-        catalog.groupBy(F.col("file_path").alias("_path"))
+        catalog.groupBy("file_path")
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.max(row_id).alias("_any"),
-            F.max(F.when(F.col(has_preview), F.col(row_id))).alias("_shown"),
+            F.max_by(row_id, F.when(F.col(has_preview), F.col(row_id))).alias("_shown"),
         )
         .where("_n > 1")
-        .select("_path", F.lit(True).alias("_twice"), (F.col("_shown") if strict else F.coalesce("_shown", "_any")).alias("_stays"))
+        .select(F.col("file_path").alias("_path"), F.lit(True).alias("_twice"), (F.col("_shown") if strict else F.coalesce("_shown", "_any")).alias("_stays"))
     )
     rows = catalog.join(best, catalog["file_path"].eqNullSafe(best["_path"]), "left")
     return rows.where(F.col("_twice").isNull() | (F.col(row_id) == F.col("_stays"))).select(*[catalog[c] for c in catalog.columns])
