@@ -33,7 +33,9 @@ from .common import table, whole
 END = 1
 NO_ID = -(2**63)
 HEAD, CHECK = struct.Struct("<QI"), struct.Struct("<I")
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
+SLICE = 500  # rows of a batch that become Python objects at a time
+BLOCK_CHARS = 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -63,31 +65,95 @@ def take(stream) -> bytes | None:
 
 class Encoder(dict):
     """Texts to id bytes with the tokenizers library. White space separates the vocabulary's
-    words, so texts are cut there and each distinct chunk is encoded once per worker."""
+    words, and so does a comma or a full stop after letters, and case is dropped: texts are
+    cut there, and each distinct piece is encoded once per worker. As a dict it maps a chunk
+    between white space to its id bytes."""
 
     def __init__(self, path: str):
         super().__init__()
+        # a task has one core; the library's own threads would only hold memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.pieces: dict[str, bytes] = {}
+        vocabulary, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix
+        # ids that end a word, if the vocabulary marks them
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for word, i in vocabulary.items() if suffix and word.endswith(suffix)]] = True
+
+    def learn(self, unknown: list[str]) -> None:
+        """Encodes pieces. Plain words go to the library a thousand to a text, whose ids are
+        cut again after those that end a word."""
+        plain = [p for p in unknown if p.isascii() and p.isalpha()] if self.last.any() else []
+        rest = [p for p in unknown if not (p.isascii() and p.isalpha())] if plain else unknown
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                rest = rest + part
+                continue
+            data, size = ids.astype(self.type).tobytes(), self.type.itemsize
+            at = 0
+            for piece, end in zip(part, (ends * size).tolist()):
+                self.pieces[piece] = data[at:end]
+                at = end
+        for lo in range(0, len(rest), 10_000):
+            part = rest[lo : lo + 10_000]
+            for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self.pieces[piece] = np.array(found.ids, dtype=self.type).tobytes()
+
+    @staticmethod
+    def cut(chunk: str) -> tuple[str, ...]:
+        if chunk.isascii():
+            if chunk.isalpha():
+                return (chunk.lower(),)
+            if chunk[-1] in ",." and chunk[:-1].isalpha():
+                return chunk[:-1].lower(), chunk[-1]
+        return (chunk,)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Id bytes of each text; a block of bounded length is cut up at a time."""
+        block, held = [], 0
+        for text in texts:
+            block.append(text)
+            held += len(text)
+            if held > BLOCK_CHARS:
+                yield from self._block(block)
+                block, held = [], 0
+        yield from self._block(block)
+
+    def _block(self, texts: list[str]) -> list[bytes]:
         cut = [SPACE.split(t) if NOT_SPACE.search(t) else t.split() for t in texts]
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED // 2:
             self.clear()
-        fresh = list({c for chunks in cut for c in chunks if c not in self})
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self[chunk] = np.array(found.ids, dtype=self.type).tobytes()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        fresh = {c: self.cut(c) if c else () for c in {c for chunks in cut for c in chunks if c not in self}}
+        unknown = list({p for parts in fresh.values() for p in parts if p not in self.pieces})
+        self.learn(unknown)
+        for chunk, parts in fresh.items():
+            self[chunk] = b"".join([self.pieces[p] for p in parts])
         out = [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
-        for chunk in fresh:
-            if len(chunk) > LONGEST:
-                del self[chunk]
+        for chunk in [c for c in fresh if len(c) > LONGEST]:
+            del self[chunk]
+        for piece in [p for p in unknown if len(p) > LONGEST]:
+            del self.pieces[piece]
         return out
 
 
+# One per worker process and tokenizer, so that what a task has learned serves the next one.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def write_records(docs: DataFrame, folder: str, path: str, end: int = END) -> list[dict]:
     """Encodes ``docs`` (doc_id integer, text; other columns are ignored), appends ``end`` to
     each, and writes shards in ascending order of doc_id (nulls first, then by text).
@@ -99,15 +165,17 @@ def write_records(docs: DataFrame, folder: str, path: str, end: int = END) -> li
     schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(path), TaskContext.get().partitionId()
+        # by name: the function travels by value, and the module's encoders are the worker's own
+        from threadlake.llm.token_records import encoder_of
+
+        encoder, shard = encoder_of(path), TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"{root}/shard-{shard:08d}-{uuid.uuid4().hex}"
         last, offsets, tokens, out = encoder.type.type(end).tobytes(), [0], 0, None
         try:
-            for b in batches:
-                texts = b.column(1).to_pylist()
-                for number, ids in zip(b.column(0).to_pylist(), encoder.encode(texts)):
+            for b in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+                for number, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
                     data = frame(struct.pack("<q", number) + ids + last)
                     if out is None:
                         out = store.open_output_stream(f"{name}.rec", buffer_size=1 << 20)
