@@ -14,10 +14,19 @@ An empty part agrees with every other empty part. There are therefore a few more
 ones need not emit them.
 
 Pairs of sets that share a signature are verified exactly. Groups of up to ``PAIRS`` sets are
-paired in full; of larger ones first only stars are verified, then the members of different
-components among them, until no signature has unverified sets in two components. So large
-groups of near copies cost a few comparisons per member and no link between components is
-lost. Equal sets are one node from the start.
+paired in full. Of a larger group only a star around its hub ``h``, the member in the most such
+groups, is verified. Two members ``x`` and ``y`` that this leaves in different components are
+not both linked with the hub; let ``x`` not be. With ``D(s)`` the symmetric difference of ``s``
+and ``h``, ``x`` and ``y`` differ in ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` elements, so they can
+only be similar if the small sets ``D(x)`` and ``D(y)`` share more than ``(1 - a) / 2 * |D(y)|``
+and at least ``(|D(x)| - a (|x| + |h|)) / (1 + a)`` elements, ``a = (1 - g) / (1 + g)``. A prefix
+filter on the differences (elements that are not the hub's come first) finds all such pairs. So
+large groups cost a few rows per member, and no link between components is lost. Equal sets are
+one node from the start.
+
+Before the elements of two sets are compared, so are parity sketches of 512 bits: the bits in
+which they differ are at most the elements in which the sets differ, which rules most pairs out
+without moving their elements.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.session import stage
@@ -39,9 +48,10 @@ SHINGLE = 4
 PERCENT = 85
 K2 = 1
 PAIRS = 24  # members of a group whose pairs are all verified at once
-STARS = 2  # rounds of stars between components before all remaining pairs are verified
 BLOCK = 1_000_000  # signatures a task holds before it hands them on
 KNOWN_WORDS = 500_000
+BITS = 512  # of a set's parity sketch, kept in 64-bit columns
+SKETCH = [f"_s{i}" for i in range(BITS // 64)]
 
 
 class WordHash(dict):
@@ -272,37 +282,83 @@ def overlap_of():
     return overlap
 
 
+def possible(percent: int, a: str = "", b: str = "b") -> Column:
+    """Whether two sets can be similar by their sizes (_n) and sketches; the second one's
+    columns carry the prefix ``b``."""
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    bits = sum(F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCH)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (bits * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def sketched(sets: DataFrame, name: str, prefix: str = "") -> DataFrame:
+    """Sizes and sketches of sets, the set's id as ``name``."""
+    return sets.select(F.col("_set").alias(name), *[F.col(c).alias(prefix + c) for c in ("_n", *SKETCH)])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of set ids whose Jaccard similarity is ``percent`` or more."""
+    near = pairs.join(sketched(sets, "a"), "a").join(sketched(sets, "b", "b"), "b").where(possible(percent)).select("a", "b")
     left = sets.select(F.col("_set").alias("a"), F.col("_elements").alias("_x"))
     right = sets.select(F.col("_set").alias("b"), F.col("_elements").alias("_y"))
     total = (F.length("_x") + F.length("_y")) / 8
-    near = F.least(F.length("_x"), F.length("_y")) * 100 >= F.greatest(F.length("_x"), F.length("_y")) * percent
-    both = pairs.join(left, "a").join(right, "b").where(near)
+    both = near.join(left, "a").join(right, "b")
     common = both.select("a", "b", total.cast("long").alias("_n"), overlap_of()(F.col("_x"), F.col("_y")).alias("_c"))
     return common.where(F.col("_c") * 100 >= (F.col("_n") - F.col("_c")) * percent).select("a", "b")
 
 
-def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """members (_sig, _set) with _comp, of the signatures that still span components."""
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members (_sig, _set, _hub) with _comp, of the signatures that span components."""
     found = members.join(comps.select(F.col("node").alias("_set"), "root"), "_set", "left")
-    found = found.select("_sig", "_set", F.coalesce("root", "_set").alias("_comp"))
+    found = found.select("_sig", "_set", "_hub", F.coalesce("root", "_set").alias("_comp"))
     span = found.groupBy("_sig").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_sig")
     return found.join(span, "_sig")
 
 
-def _stars(open_: DataFrame, turn: int) -> DataFrame:
-    """One pair for each component of a signature: a member of it, drawn by hash, and a member
-    of the signature's most frequent component."""
-    draw = F.struct(F.xxhash64("_sig", "_set", F.lit(turn)).alias("h"), F.col("_set").alias("s"))
-    each = open_.groupBy("_sig", "_comp").agg(F.min(draw).alias("_d"), F.count("*").alias("_n"))
-    hub = each.groupBy("_sig").agg(F.max(F.struct("_n", "_comp", "_d")).alias("_hub"))
-    return each.join(hub, "_sig").where("_comp <> _hub._comp").select(F.col("_d.s").alias("a"), F.col("_hub._d.s").alias("b"))
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """members (_sig, _set) with _hub, the member that belongs to the most groups."""
+    degree = members.groupBy("_set").agg(F.count("*").alias("_n"))
+    ranked = members.join(degree, "_set").groupBy("_sig").agg(F.max(F.struct("_n", "_set")).alias("_top"))
+    return members.join(ranked.select("_sig", F.col("_top._set").alias("_hub")), "_sig")
 
 
-def _crossing(open_: DataFrame) -> DataFrame:
-    other = open_.select("_sig", F.col("_set").alias("b"), F.col("_comp").alias("_other"))
-    return open_.join(other, "_sig").where("_comp < _other").select(F.col("_set").alias("a"), "b")
+def prefix_of(percent: int):
+    """An Arrow function of the elements of a hub and of a set: the elements of their
+    difference among which one lies that any similar set of another component has in the
+    prefix of its own difference."""
+    a = (100 - percent) / (100 + percent)
+
+    @F.arrow_udf("array<bigint>")
+    def prefix(hub: pa.Array, own: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(hub, own):
+            h, s = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+            at = np.searchsorted(h, s)
+            new = s[h[np.minimum(at, len(h) - 1)] != s]
+            at = np.searchsorted(s, h)
+            gone = h[s[np.minimum(at, len(s) - 1)] != h]
+            d = len(new) + len(gone)
+            excess = d - a * (len(h) + len(s))
+            # at least so many elements are shared; rounded down for the arithmetic's sake
+            share = np.ceil(excess / (1 + a) - 1e-9) if excess > 0 else np.floor(d * (1 - a) / 2 - 1e-9) + 1
+            out.append(np.concatenate([new, gone])[: d - max(int(share), 1) + 1].view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return prefix
+
+
+def _crossing(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, by their differences from
+    a common hub."""
+    pairs = open_.where("_set <> _hub").select("_hub", "_set", "_comp").distinct()
+    hub = sets.select(F.col("_set").alias("_hub"), F.col("_elements").alias("_x"))
+    both = pairs.join(sets.select("_set", F.col("_elements").alias("_y")), "_set").join(hub, "_hub")
+    rows = both.select("_hub", "_set", "_comp", prefix_of(percent)("_x", "_y").alias("_p"))
+    rows = stage(rows.select("_hub", "_set", "_comp", F.explode_outer("_p").alias("_e")).where("_e is not null"), "differences")
+    span = rows.groupBy("_hub", "_e").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_hub", "_e")
+    rows = rows.join(span, ["_hub", "_e"]).join(sketched(sets, "_set"), "_set")
+    other = rows.select("_hub", "_e", F.col("_set").alias("b"), F.col("_comp").alias("_other"), *[F.col(c).alias("b" + c) for c in ("_n", *SKETCH)])
+    both = rows.join(other, ["_hub", "_e"]).where((F.col("_comp") < F.col("_other")) & possible(percent))
+    return both.select(F.col("_set").alias("a"), "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -328,7 +384,7 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, se
 
     found = stage(candidate_table(signature_table(docs, n, percent, seed)), "candidates")
     pairs = stage(_ordered(found.where("_kind = 0").select(F.col("_a").alias("a"), F.col("_b").alias("b"))), "pairs")
-    members = found.where("_kind = 1").select(F.col("_a").alias("_sig"), F.col("_b").alias("_set")).distinct()
+    members = stage(found.where("_kind = 1").select(F.col("_a").alias("_sig"), F.col("_b").alias("_set")).distinct(), "members")
 
     # the elements of the sets that are compared; one document of each
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_set")).union(members.select("_set")).distinct()
@@ -339,16 +395,21 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, se
     sets = stage(element_table(texts.unionByName(nameless), n, seed).dropDuplicates(["_set"]), "elements")
 
     links = stage(verified(pairs, sets, percent), "links")
-    for turn in range(STARS + 1):
-        comps = components(links)
-        open_ = stage(_labelled(members, comps), "open")
+    comps = components(links)
+    members = stage(_with_hubs(members), "members")
+    for turn in ("stars", "crossing"):
+        open_ = stage(_open(members, comps), "open")
         if not open_.limit(1).count():
             break
-        more = _stars(open_, turn) if turn < STARS else _crossing(open_)
-        fresh = _ordered(more).join(pairs, ["a", "b"], "left_anti")
-        links = stage(links.unionByName(verified(fresh, sets, percent)), "links")
-    else:
-        comps = components(links)
+        if turn == "stars":
+            home = open_.select(F.col("_set").alias("_hub"), F.col("_comp").alias("_home")).distinct()
+            more = open_.join(home, "_hub").where("_comp <> _home").select(F.col("_set").alias("a"), F.col("_hub").alias("b"))
+        else:
+            more = _crossing(open_, sets, percent)
+        fresh = stage(verified(_ordered(more).join(pairs, ["a", "b"], "left_anti"), sets, percent), "links")
+        if fresh.limit(1).count():
+            links = links.unionByName(fresh)
+            comps = components(links)
 
     root = rows.join(comps.select(F.col("node").alias("_set"), "root"), "_set", "left").select("_doc", "n_shingles", F.coalesce("root", "_set").alias("_root"))
     least = root.where("_root is not null").groupBy("_root").agg(F.min("_doc").alias("component_id"))
@@ -356,17 +417,23 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, se
 
 
 def element_table(texts: DataFrame, n: int, seed: int) -> DataFrame:
-    """_set, _elements (sorted 64-bit hashes as bytes) of texts (_first, _text)."""
-    schema = pa.schema([("_set", pa.int64()), ("_elements", pa.binary())])
+    """_set, _elements (sorted 64-bit hashes as bytes), _n and the parity sketch of texts."""
+    types = [("_set", pa.int64()), ("_elements", pa.binary()), ("_n", pa.int32()), *((c, pa.int64()) for c in SKETCH)]
+    schema = pa.schema(types)
+
+    def sketch(s: np.ndarray) -> list[int]:
+        odd = np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash(seed)
         for b in batches:
             sets = [shingle_set(t.as_py(), n, hashes) for t in b.column(0)]
-            sets = [s for s in sets if len(s)]
-            yield _batch(schema, [_set_id(s)[0] for s in sets], [s.tobytes() for s in sets])
+            rows = [(_set_id(s)[0], s.tobytes(), len(s), *sketch(s)) for s in sets if len(s)]
+            if rows:
+                yield _batch(schema, *zip(*rows))
 
-    return texts.select("_text").mapInArrow(run, "_set long, _elements binary")
+    return texts.select("_text").mapInArrow(run, "_set long, _elements binary, _n int, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def keep_first(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
