@@ -351,11 +351,12 @@ def _crossing(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a common hub."""
     pairs = open_.where("_set <> _hub").select("_hub", "_set", "_comp").distinct()
     hub = sets.select(F.col("_set").alias("_hub"), F.col("_elements").alias("_x"))
-    both = pairs.join(sets.select("_set", F.col("_elements").alias("_y")), "_set").join(hub, "_hub")
-    rows = both.select("_hub", "_set", "_comp", prefix_of(percent)("_x", "_y").alias("_p"))
-    rows = stage(rows.select("_hub", "_set", "_comp", F.explode_outer("_p").alias("_e")).where("_e is not null"), "differences")
+    both = pairs.join(sets.withColumnRenamed("_elements", "_y"), "_set").join(hub, "_hub")
+    own = ["_hub", "_set", "_comp", "_n", *SKETCH]
+    rows = both.select(*own, prefix_of(percent)("_x", "_y").alias("_p"))
+    rows = stage(rows.select(*own, F.explode_outer("_p").alias("_e")).where("_e is not null"), "differences")
     span = rows.groupBy("_hub", "_e").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_hub", "_e")
-    rows = rows.join(span, ["_hub", "_e"]).join(sketched(sets, "_set"), "_set")
+    rows = rows.join(span, ["_hub", "_e"])
     other = rows.select("_hub", "_e", F.col("_set").alias("b"), F.col("_comp").alias("_other"), *[F.col(c).alias("b" + c) for c in ("_n", *SKETCH)])
     both = rows.join(other, ["_hub", "_e"]).where((F.col("_comp") < F.col("_other")) & possible(percent))
     return both.select(F.col("_set").alias("a"), "b")
@@ -392,7 +393,10 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, se
     ids = small(wanted.select("_first"), wanted.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("_first"), F.col("text").cast("binary").alias("_text")).join(ids, "_first")
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("_first"), F.col("text").cast("binary").alias("_text"))
-    sets = stage(element_table(texts.unionByName(nameless), n, seed).dropDuplicates(["_set"]), "elements")
+    sets = stage(element_table(texts.unionByName(nameless), n, seed), "elements")
+    # several rows may carry the id that stands for a set; usually none do
+    if sets.count() != sets.select("_set").distinct().count():
+        sets = stage(sets.dropDuplicates(["_set"]), "elements")
 
     links = stage(verified(pairs, sets, percent), "links")
     comps = components(links)
