@@ -240,6 +240,88 @@ def test_perplexity_keeps_prose_and_drops_noise(spark):
     assert len(free) == docs.count() and all(r["kept"] == (r["perplexity"] is not None) for r in free)
 
 
+def brute_word_model(texts, order, spell):
+    """Log probability of a text's words by the textbook recursion over tuples of words."""
+    top = Counter()
+    for t in texts:
+        w = [None] * (order - 1) + t.split()
+        top.update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+    levels = {order: top}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter()
+        for g, c in levels[n + 1].items():
+            levels[n][g[1:]] += c if n > 1 and g[1] is None else 1
+    cut = {}
+    for n, level in levels.items():
+        k = Counter(level.values())
+        y = k[1] / (k[1] + 2 * k[2])
+        d = [1 - 2 * y * k[2] / k[1], 2 - 3 * y * k[3] / k[2], 3 - 4 * y * k[4] / k[3] if k[3] else 1.5]
+        cut[n] = [0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))]
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return None
+        of = {h: c for h, c in levels[n].items() if h[:-1] == g[:-1]}
+        lower = p(g[1:]) if n > 1 else math.exp(spell(g[0]))
+        if not of:
+            return lower
+        c, total = of.get(g, 0), sum(of.values())
+        return (c - cut[n][min(c, 3)]) / total + sum(cut[n][min(x, 3)] for x in of.values()) / total * lower
+
+    def text(t):
+        w = [None] * (order - 1) + t.split()
+        return sum(math.log(p(tuple(w[i : i + order]))) for i in range(len(w) - order + 1))
+
+    return text
+
+
+@pytest.mark.parametrize("shard_rows", [1_000_000, 100])
+def test_word_model_equals_the_textbook_recursion(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(perplexity, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(perplexity, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(perplexity, "BLOCK_CHARS", 200)
+    rng = random.Random(7)
+    common = ["the", "of", "é", "ran", "motion", "on"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.7 else rng.choice(WORDS) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    frame = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3)
+    spelling = perplexity.write_shards(perplexity.model_table(perplexity.count_grams(frame, 4), 4))
+    model = perplexity.WordModel(perplexity.count_word_grams(frame, 3), 3, spelling, 4)
+    assert (model.shards == 1) == (shard_rows > 100)
+    shards = perplexity.Shards(*spelling)
+    want = brute_word_model(texts, 3, lambda w: perplexity.score_words([w], shards, 4)[0])
+    probe = [*texts[:8], "the", "zzz the zzz", "of the ran", "", "w1 mox\U0001f600 THE of the", "the " * 90]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in probe], "t string").coalesce(1).select("t", perplexity.perplexities(model)("t")).collect()}
+    for t in probe:
+        if t:
+            assert math.isclose(got[t], math.exp(-want(t) / sum(len(w) + 1 for w in t.split())), rel_tol=1e-5), t
+    assert got[""] is None
+
+
+def test_perplexity_sees_the_order_of_words(spark):
+    """Shuffled words of a trusted kind of text are spelled alike and yet no such text."""
+    rng = random.Random(8)
+    follows = {w: rng.sample(WORDS, 2) for w in WORDS}
+
+    def say(n):
+        w = [rng.choice(WORDS)]
+        while len(w) < n:
+            w.append(rng.choice(follows[w[-1]]))
+        return w
+
+    data = [(i, " ".join(say(60)), "en") for i in range(400)]
+    fresh = [say(60) for _ in range(40)]
+    data += [(1000 + i, " ".join(w), "en") for i, w in enumerate(fresh)]
+    data += [(2000 + i, " ".join(rng.sample(w, len(w))), "en") for i, w in enumerate(fresh)]
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in perplexity.rate(docs_of(spark, data), labels).collect()}
+    assert all(got[2000 + i]["perplexity"] > 1.2 * got[1000 + i]["perplexity"] for i in range(40))
+    assert not any(got[2000 + i]["kept"] for i in range(40)) and sum(got[1000 + i]["kept"] for i in range(40)) >= 36
+    back = {r[0] for r in spark.range(400).where(perplexity.held_back(perplexity.F.col("id"))).collect()}
+    held = sorted(got[i]["perplexity"] for i in back)
+    assert got[0]["threshold"] == held[math.ceil(0.995 * len(held)) - 1]
+
+
 def test_span_digest(spark):
     row = spark.createDataFrame([(1, "token = abcdefgh")], "doc_id long, text string")
     found = secret_scan.scan(row)

@@ -1,15 +1,16 @@
-"""Perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-The n-grams are characters within words, word ends included: words of running text are nearly
-all distinct, their spelling is not, and a spelling model's table stops growing early. Counts
-are taken over all trusted documents: every task sums its own n-grams, Spark sums those by
-n-gram and derives from them the continuation counts, discounts, interpolation weights and
-probabilities of each order with joins by context. The finished table is hashed and cut into
-shards in the shared folder. A scoring task takes its documents in blocks, lists the distinct
-words of a block, and joins their n-grams with one shard after the other, so its memory is
-bounded by a block and a shard whatever the size of the corpus or the model. Documents are
-kept up to a quantile, per language, of the perplexity of trusted documents that were held
-out of the counts.
+"""Perplexity under an interpolated modified Kneser-Ney word n-gram model of trusted text.
+
+The n-grams are of words, order 3, counted over all trusted documents, so the model grows with
+them. Below its unigrams lies a spelling model, by the same rules over the characters of a word,
+its end included: it shares out what the unigrams leave to unseen words. Every task sums its own
+n-grams, Spark sums those by n-gram and derives the continuation counts of each order. Tables are
+hashed and cut into shards in the shared folder. Of the spelling model they hold probabilities,
+found with joins by context. Of the word model they hold counts, and totals and discounts by
+context, from which scoring interpolates: the same values in half the bytes. A scoring task
+takes its documents in blocks and joins their distinct n-grams with one shard after the other,
+so its memory is bounded by a block and a shard whatever the size of the corpus or the model;
+every block reads all shards. Documents are kept up to a quantile, per language, of the
+perplexity of trusted documents that were held out of the counts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +33,16 @@ from threadlake.session import shared_dir, stage
 
 from .common import small, table, whole
 
-ORDER = 4
+ORDER = 3  # words
+LETTERS = 4  # order of the spelling model
 START, END = "\x02", "\x03"
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 12_000_000
+BLOCK_WORDS = 1_000_000  # of a counting task, before it hands its n-grams on
 SHARD_ROWS = 1_000_000
 QUANTILE = 0.995
-SLACK = 1.05  # the threshold lies this factor above the quantile
 BACKOFF = 64  # tag of interpolation weights among the keys
+WORDS = 128  # tag of word n-grams among the keys, BACKOFF + WORDS that of their contexts
+BEFORE = 0  # stands for the words before a text's first
 
 
 def keys_of(codes: np.ndarray, n: int, tag: int) -> np.ndarray:
@@ -151,13 +156,19 @@ class Shards:
     def load(self, shard: int) -> None:
         if self.at == shard:
             return
+        self.k, self.v = self.read(shard, "k", "v")
+        self.at = shard
+
+    def read(self, shard: int, *columns: str) -> list[np.ndarray]:
+        """Columns of a shard in the order of the first one."""
         store, root = fs.FileSystem.from_uri(self.folder)
         found = store.get_file_info(fs.FileSelector(f"{root}/shard={shard}", allow_not_found=True))
-        parts = [pq.read_table(f.path, filesystem=store, columns=["k", "v"], partitioning=None) for f in found if f.path.endswith(".parquet")]
-        k = np.concatenate([p["k"].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64)
-        v = np.concatenate([p["v"].to_numpy() for p in parts]) if parts else np.zeros(0, np.float32)
-        order = np.argsort(k)
-        self.k, self.v, self.at = k[order], v[order], shard
+        parts = [pq.read_table(f.path, filesystem=store, columns=list(columns), partitioning=None) for f in found if f.path.endswith(".parquet")]
+        out = [np.concatenate([p[c].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for c in columns]
+        if np.any(out[0][1:] < out[0][:-1]):
+            order = np.argsort(out[0])
+            out = [c[order] for c in out]
+        return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Values of keys, NaN where there is none."""
@@ -176,6 +187,27 @@ class Shards:
         return out
 
 
+    def rows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and sums of discounts of keys of the word model, 0 where there is none. A
+        shard is read once, its keys are in order."""
+        value, left = np.zeros(len(keys)), np.zeros(len(keys))
+        home = np.mod(keys, self.count)
+        ranked = np.argsort(home, kind="stable")
+        edges = np.searchsorted(home[ranked], np.arange(self.count + 1))
+        for shard in range(self.count):
+            mine = ranked[edges[shard] : edges[shard + 1]]
+            if not len(mine):
+                continue
+            k, v, d = self.read(shard, "k", "v", "d")
+            if not len(k):
+                continue
+            at = np.minimum(np.searchsorted(k, keys[mine]), len(k) - 1)
+            hit = k[at] == keys[mine]
+            value[mine[hit]] = v[at[hit]]
+            left[mine[hit]] = np.nan_to_num(d[at[hit]])
+        return value, left
+
+
 def score_words(words: list[str], model: Shards, order: int) -> np.ndarray:
     """Log probability of each word, its end included."""
     pad = START * (order - 1)
@@ -207,29 +239,175 @@ def score_words(words: list[str], model: Shards, order: int) -> np.ndarray:
     return np.bincount(word, weights=logp, minlength=len(words))
 
 
-def perplexities(folder: str, shards: int, order: int):
+def word_key(word: str) -> int:
+    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Block:
+    """Texts as numbers of their distinct words; a text's words follow ``order - 1`` BEFOREs."""
+
+    def __init__(self, order: int):
+        self.index: dict[str, int] = {}
+        self.pad = np.full(order - 1, -1, dtype=np.int32)
+        self.texts: list[np.ndarray] = []
+
+    def add(self, text: str) -> int:
+        words = text.split()
+        put = self.index.setdefault
+        self.texts.append(np.fromiter((put(w, len(self.index)) for w in words), dtype=np.int32, count=len(words)))
+        return len(words)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all words in order, the places of those that are predicted, their numbers."""
+        parts = [x for t in self.texts for x in ((self.pad, t) if len(t) else ())]
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        keys = np.fromiter((word_key(w) for w in self.index), dtype=np.int64, count=len(self.index))
+        at = np.flatnonzero(ids >= 0)
+        return np.append(keys, BEFORE)[ids], at, ids[at]
+
+
+def count_word_grams(docs: DataFrame, order: int) -> DataFrame:
+    """w1, ..., c: the ``order``-grams of the words of ``docs`` (_text), by the words' keys."""
+    names = [f"w{i}" for i in range(1, order + 1)]
+    schema = pa.schema([(x, pa.int64()) for x in (*names, "c")])
+
+    def flush(block: Block) -> Iterator[pa.RecordBatch]:
+        keys, at, _ = block.windows()
+        columns = [keys[at - order + i] for i in range(1, order + 1)]
+        # in order, which makes the rows that are shuffled shorter
+        ranked = np.lexsort(columns[::-1])
+        columns = [c[ranked] for c in columns]
+        new = np.zeros(len(at), dtype=bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        columns = [c[first] for c in columns] + [np.diff(np.append(first, len(at)))]
+        for lo in range(0, len(first), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000], pa.int64()) for c in columns], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = Block(order), 0
+        for b in batches:
+            for text in b.column(0):
+                held += block.add(text.as_py())
+                if held > BLOCK_WORDS:
+                    yield from flush(block)
+                    block, held = Block(order), 0
+        if held:
+            yield from flush(block)
+
+    return docs.select("_text").mapInArrow(run, ", ".join(f"{x} long" for x in (*names, "c"))).groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def key_column(tag: int, *words: str) -> Column:
+    """Keys of word n-grams, the same as ``gram_keys`` makes."""
+
+    @F.arrow_udf("long")
+    def key(*columns: pa.Array) -> pa.Array:
+        return pa.array(gram_keys(tag, [c.to_numpy() for c in columns]), pa.int64())
+
+    return key(*words)
+
+
+def gram_keys(tag: int, words: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(words[0]), (tag * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1, dtype=np.uint64)
+    for w in words:
+        h = (h ^ w.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+class WordModel:
+    """Where the shards of the word model and of its spelling model are, and what is needed of
+    each order besides: the discounts, and of all unigrams the total and the share they leave."""
+
+    def __init__(self, grams: DataFrame, order: int, spelling: tuple[str, int], letters: int):
+        self.order, self.letters, self.spelling = order, letters, spelling
+        levels, self.cuts = {order: stage(grams, f"words-{order}")}, {}
+        for n in range(order - 1, 0, -1):
+            longer = [f"w{i}" for i in range(1, n + 2)]
+            shorter = levels[n + 1].groupBy(*longer[1:]).agg(F.sum("c").alias("_s"), F.count("*").alias("_k"))
+            # as for letters: what begins before the text keeps its counts
+            c = F.when(F.col("w2") == BEFORE, F.col("_s")).otherwise(F.col("_k")) if n > 1 else F.col("_k")
+            levels[n] = stage(shorter.select(*[F.col(x).alias(f"w{i}") for i, x in enumerate(longer[1:], 1)], c.alias("c")), f"words-{n}")
+        parts, rows = [], 0
+        for n in range(1, order + 1):
+            d1, d2, d3 = self.cuts[n] = discounts(levels[n])
+            own = [f"w{i}" for i in range(1, n + 1)]
+            cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+            sums = F.sum("c").alias("v"), F.sum(cut).alias("d")
+            parts.append(levels[n].select(key_column(WORDS + n, *own).alias("k"), F.col("c").alias("v"), F.lit(None).cast("double").alias("d")))
+            rows += levels[n].count()
+            if n == 1:
+                total = levels[1].agg(*sums).first()
+                self.total, self.left = total["v"] or 0, total["d"] or 0.0
+            else:
+                parts.append(levels[n].groupBy(*own[:-1]).agg(*sums).select(key_column(WORDS + BACKOFF + n, *own[:-1]).alias("k"), "v", "d"))
+        table_ = parts[0]
+        for part in parts[1:]:
+            table_ = table_.unionByName(part)
+        # contexts are hardly more than the n-grams of the order below
+        self.shards = max(1, -(-2 * rows // SHARD_ROWS))
+        self.folder = os.path.join(shared_dir(grams.sparkSession), f"words-{uuid.uuid4().hex}")
+        table_ = table_.withColumn("shard", F.pmod("k", F.lit(self.shards))).repartition(self.shards, "shard").sortWithinPartitions("shard", "k")
+        # keys in order are written as differences
+        packed = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#k": "false"}
+        table_.write.options(**packed).partitionBy("shard").parquet(self.folder)
+
+    def score(self, block: Block, model: Shards, spelling: Shards) -> np.ndarray:
+        """Log probability of every word of the block in its place."""
+        keys, at, ids = block.windows()
+        words = list(block.index)
+        p = np.exp(score_words(words, spelling, self.letters))
+        if self.total:
+            own = model.rows(gram_keys(WORDS + 1, [np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))]))[0]
+            p = self.share(own, 1) / self.total + self.left / self.total * p
+        # a word of very many letters has no probability that a float can hold
+        p = np.maximum(p, 1e-300)[ids]
+        for n in range(2, self.order + 1):
+            window = [keys[at - n + i] for i in range(1, n + 1)]
+            contexts, places = np.unique(gram_keys(WORDS + BACKOFF + n, window[:-1]), return_inverse=True)
+            total, left = (x[places] for x in model.rows(contexts))
+            grams, places = np.unique(gram_keys(WORDS + n, window), return_inverse=True)
+            count = model.rows(grams)[0][places]
+            seen = total > 0
+            p[seen] = (self.share(count[seen], n) + left[seen] * p[seen]) / total[seen]
+        return np.log(p)
+
+    def share(self, counts: np.ndarray, n: int) -> np.ndarray:
+        """Counts without their discounts; 0 where there is no count."""
+        d = np.array([0.0, *self.cuts[n]])
+        return counts - d[np.minimum(counts, 3).astype(np.int64)]
+
+
+def perplexities(words: WordModel):
     """An Arrow function text -> perplexity per character and word end; null without words."""
 
     @F.arrow_udf("double")
     def perplexity(text: pa.Array) -> pa.Array:
-        model, out = Shards(folder, shards), []
-
-        def flush(block: list[list[str]]) -> None:
-            index: dict[str, int] = {}
-            ids = [np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=len(words)) for words in block]
-            distinct = list(index)
-            logp = score_words(distinct, model, order) if distinct else np.zeros(0)
-            size = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) + 1
-            out.extend(math.exp(min(-logp[i].sum() / size[i].sum(), 700.0)) if len(i) else None for i in ids)
-
-        block, held = [], 0
+        model, spelling, out = Shards(words.folder, words.shards), Shards(*words.spelling), []
+
+        def flush(block: Block) -> None:
+            if not block.index:
+                out.extend([None] * len(block.texts))
+                return
+            logp = words.score(block, model, spelling)
+            size = np.fromiter(map(len, block.index), dtype=np.int64, count=len(block.index)) + 1
+            ends = np.cumsum([len(t) for t in block.texts])
+            for t, end in zip(block.texts, ends):
+                out.append(math.exp(min(-logp[end - len(t) : end].sum() / size[t].sum(), 700.0)) if len(t) else None)
+
+        block, held = Block(words.order), 0
         for t in text:
-            words = (t.as_py() or "").split()
-            block.append(words)
-            held += sum(map(len, words))
+            found = t.as_py() or ""
+            block.add(found)
+            held += len(found)
             if held > BLOCK_CHARS:
                 flush(block)
-                block, held = [], 0
+                block, held = Block(words.order), 0
         flush(block)
         return pa.array(out, pa.float64())
 
@@ -241,7 +419,7 @@ def held_back(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(4)), F.lit(10)) == 0
 
 
-def rate(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang; other columns are ignored): doc_id,
     perplexity, threshold, kept.
 
@@ -254,12 +432,13 @@ def rate(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
     trusted = small(trusted.withColumn("_good", F.lit(True)), trusted.count())
     rows = docs.select(F.col("doc_id").alias("_id"), whole("text").alias("_text"), F.col("lang").cast("string").alias("_lang"))
-    grams = count_grams(rows.join(trusted.where(~held_back(F.col("_id"))), "_id"), order)
-    folder, shards = write_shards(model_table(grams, order))
-    scored = rows.select("_id", "_lang", perplexities(folder, shards, order)("_text").alias("perplexity"))
+    counted = rows.join(trusted.where(~held_back(F.col("_id"))), "_id")
+    spelling = write_shards(model_table(count_grams(counted, LETTERS), LETTERS))
+    model = WordModel(count_word_grams(counted, order), order, spelling, LETTERS)
+    scored = rows.select("_id", "_lang", perplexities(model)("_text").alias("perplexity"))
     scored = stage(scored, "perplexity")
     held = scored.where(F.col("perplexity").isNotNull()).join(trusted.where(held_back(F.col("_id"))), "_id")
-    limit = F.percentile_approx("perplexity", quantile, 10_000) * slack
+    limit = F.percentile_approx("perplexity", quantile, 10_000)
     everywhere = held.agg(limit.alias("v")).first()["v"]
     found = {r["_lang"]: r["v"] for r in held.groupBy("_lang").agg(limit.alias("v")).collect()}  # one row per language
     threshold = F.lit(everywhere).cast("double")
