@@ -28,15 +28,15 @@ def prose(rng, n):
 # --- Jaccard join ------------------------------------------------------------------------
 
 
-def shingles(text):
+def shingles(text, size=4):
     w = (text or "").encode().lower().split()
-    n = min(4, len(w))
+    n = min(size, len(w))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, size=4, percent=85):
     """component per row by comparing all pairs; a null id never names a component."""
-    sets = [shingles(t) for _, t, _ in rows]
+    sets = [shingles(t, size) for _, t, _ in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -47,7 +47,7 @@ def brute_components(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     ids = {}
     for i, (d, _, _) in enumerate(rows):
@@ -379,6 +379,30 @@ def test_toxicity_on_held_out_rows(spark):
 # --- pipeline ----------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("pairs", [24, 2])
+def test_pipeline_drops_copies_from_four_fifths_on(spark, monkeypatch, pairs):
+    """Copies with fresh text, cut ones and ones with words replaced, five words a shingle."""
+    import corpus_pipeline as pipeline
+
+    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+    rng = random.Random(20 + pairs)
+    texts = []
+    for copies in (1, 1, 1, 1, 20):
+        base = prose(rng, 300).split()
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            share = rng.uniform(0.14, 0.27)
+            texts.append(" ".join(base) + " " + prose(rng, int(300 * share)))
+            texts.append(" ".join(base[: int(300 * (1 - share))]))
+            texts.append(" ".join(rng.choice(WORDS) if rng.random() < share / 10 else w for w in base))
+    base = prose(rng, 400).split()
+    texts += [" ".join(base), " ".join(base + prose(rng, 80).split()), " ".join(base[:330])]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    want = {d for d, _, c in brute_components(rows, 5, 80) if d == c}
+    assert want < {d for d, _, c in brute_components(rows) if d == c}
+    assert {r["doc_id"] for r in pipeline.drop_near_copies(spark, docs_of(spark, rows).repartition(5), "").collect()} == want
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline as pipeline
 
@@ -395,6 +419,7 @@ def test_pipeline_stages_equal_brute_force(spark):
         assert all(after[i] == before[i] for i in after)
     rows = [(r["doc_id"], r["text"], None) for r in clean.values()]
     assert set(one) == {d for d, _, c in brute_components(rows) if d == c}
+    assert set(one) == {d for d, _, c in brute_components(rows, 5, 80) if d == c}
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     import re
 
