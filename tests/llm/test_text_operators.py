@@ -69,6 +69,21 @@ def test_decontamination_finds_short_items_in_long_documents(spark, rows):
     assert decontamination.drop_leaks(docs, table.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_items_without_or_with_repeated_ids(spark, rows):
+    """Each text is an item of its own, whatever its id."""
+    rng = random.Random(12)
+    items = [(None, prose(rng, 12)), (None, prose(rng, 3)), (7, prose(rng, 20)), (7, prose(rng, 9)), (8, prose(rng, 30)), (7, prose(rng, 40))]
+    leaks = {i: f"{prose(rng, 40)} {t} {prose(rng, 40)}" for i, (_, t) in enumerate(items)}
+    leaks[10] = " . ".join(t for _, t in items)
+    docs = docs_of(spark, [(i, t, "en") for i, t in leaks.items()] + [(20, prose(rng, 90), "en")])
+    table = spark.createDataFrame(items, "item_id long, text string")
+    size = [len(t.split()) - 4 if len(t.split()) > 4 else 1 for _, t in items]
+    want = [(d, items[i][0], size[i], size[i]) for i in range(6) for d in (i, 10)]
+    found = rows(decontamination.find_items(docs, table), "doc_id", "item_id", "n_item_shingles", "n_shared")
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert rows(decontamination.drop_leaks(docs, table), "doc_id") == [(20,)]
+
+
 def test_decontamination_of_one_common_text(spark):
     rng = random.Random(2)
     item, hot = prose(rng, 30), prose(rng, 30)

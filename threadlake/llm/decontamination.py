@@ -41,9 +41,9 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["_doc"].eqNullSafe(b["_doc"]) & (a["_print"] == b["_print"])
 
 
-def item_classes(items: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """One row per distinct shingle set among ``items`` (item_id, text): item_id (smallest id,
-    nulls first only if there is no other), n_items, _n (words per shingle), _set.
+def item_sets(items: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """One row per row of ``items`` (item_id, text) with words: _item, _n (words per shingle),
+    _set (its distinct shingles), _key (hash of both, which names the class of equal sets).
 
     Items shorter than ``n`` words form one shingle of all their words and are looked up
     among the runs of that many words; items without words can't be found and are left out.
@@ -59,15 +59,21 @@ def item_classes(items: DataFrame, n: int = SHINGLE) -> DataFrame:
             F.when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(shingles(w, n, lambda x: F.array_join(x, " "))).alias("_s"),
         )
         .select("_item", "_n", F.sort_array(F.array_distinct("_s")).alias("_set"))
-        .groupBy("_n", "_set")
-        .agg(F.min("_item").alias("item_id"), F.count("*").alias("n_items"))
+        .withColumn("_key", F.xxhash64("_n", "_set"))
     )
 
 
+def item_classes(items: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """One row per distinct shingle set among ``items``: _key, _n, _set, item_id (smallest id,
+    null only if there is no other; not unique if an id has several texts), n_items."""
+    return item_sets(items, n).groupBy("_key", "_n", "_set").agg(F.min("_item").alias("item_id"), F.count("*").alias("n_items"))
+
+
 def find_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Leaks of ``items`` (item_id, text) in ``docs`` (doc_id, text): one row per document row
     and distinct item: doc_id, item_id (smallest id of equal items), n_items (how many share
-    it), n_item_shingles, n_shared, containment, and _print (hash of the document's text).
+    it), n_item_shingles, n_shared, containment, _print (hash of the document's text) and _key
+    (of the item's class). Different texts of one item_id, or without one, are items each.
 
     Null, empty and short texts have no shingles and no leaks; repeated document rows (same id
     and text) count once; other columns are ignored; either table may be empty.
@@ -82,7 +88,7 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
     hashed = lambda s: F.xxhash64(F.split(s, " "))
     sketches = stage(
         classes.select(
-            "item_id",
+            "_key",
             F.floor(F.log2(q)).cast("int").alias("_class"),
             F.explode(F.slice(F.sort_array(F.transform("_set", hashed)), F.lit(1), q - need + 1)).alias("_h"),
         ),
@@ -98,23 +104,23 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
     # the outer form, as Spark infers a filter on the array from a plain explode
     probes = tokens.select("_doc", "_print", F.explode_outer(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("_h")).where(F.col("_h") <= top)
     candidates = stage(
-        probes.join(small(sketches.select("item_id", "_h"), n_sketches), "_h").select("_doc", "_print", "item_id").distinct(), "candidates"
+        probes.join(small(sketches.select("_key", "_h"), n_sketches), "_h").select("_doc", "_print", "_key").distinct(), "candidates"
     )
 
     n_candidates, n_classes = candidates.count(), classes.count()
     wanted = small(candidates.withColumnsRenamed({"_doc": "_cdoc", "_print": "_cprint"}), n_candidates)
     found = rows.join(wanted, rows["_doc"].eqNullSafe(wanted["_cdoc"]) & (rows["_print"] == wanted["_cprint"])).drop("_cdoc", "_cprint")
     # only candidate texts come this far
-    found = held(found.join(small(classes, n_classes), "item_id"), "_w", words(F.col("_text")))
+    found = held(found.join(small(classes, n_classes), "_key"), "_w", words(F.col("_text")))
     own = [F.when(F.col("_n") == m, shingles(F.col("_w"), m, lambda x: F.array_join(x, " "))) for m in lengths]
     shared = F.size(F.array_intersect(F.coalesce(*own), F.col("_set")))
     return (
-        found.select("_doc", "item_id", "n_items", q.alias("n_item_shingles"), shared.alias("n_shared"), "_print", need.alias("_need"))
+        found.select("_doc", "item_id", "n_items", q.alias("n_item_shingles"), shared.alias("n_shared"), "_print", "_key", need.alias("_need"))
         .where(F.col("n_shared") >= F.col("_need"))
-        .dropDuplicates(["_doc", "_print", "item_id"])
+        .dropDuplicates(["_doc", "_print", "_key"])
         .select(
             F.col("_doc").alias("doc_id"), "item_id", "n_items", "n_item_shingles", "n_shared",
-            (F.col("n_shared") / F.col("n_item_shingles")).alias("containment"), "_print",
+            (F.col("n_shared") / F.col("n_item_shingles")).alias("containment"), "_print", "_key",
         )
     )
 
@@ -129,7 +135,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("_print").select("doc_id", "item_id", "n_item_shingles", "n_shared", F.round("containment", 6).alias("containment"))
+    return found.select("doc_id", "item_id", "n_item_shingles", "n_shared", F.round("containment", 6).alias("containment"))
 
 
 ORACLE = """
