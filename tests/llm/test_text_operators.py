@@ -84,6 +84,16 @@ def test_decontamination_of_items_without_or_with_repeated_ids(spark, rows):
     assert rows(decontamination.drop_leaks(docs, table), "doc_id") == [(20,)]
 
 
+def test_copied_items_leak_under_each_id(spark, rows):
+    rng = random.Random(13)
+    a, b = prose(rng, 12), prose(rng, 7)
+    items = [(1, a), (2, a.upper() + "!"), (2, a), (3, b), (None, b), (4, prose(rng, 12)), (2, b)]
+    docs = docs_of(spark, [(1, f"x {a} y", "en"), (2, f"{b} {a}", "en"), (3, prose(rng, 40), "en")])
+    found = decontamination.leaks_by_item(docs, spark.createDataFrame(items, "item_id long, text string"))
+    want = [(d, i, n) for d, n, ids in ((1, 8, (1, 2)), (2, 8, (1, 2)), (2, 3, (None, 2, 3))) for i in ids]
+    assert sorted(rows(found, "doc_id", "item_id", "n_shared"), key=str) == sorted(want, key=str)
+
+
 def test_decontamination_of_one_common_text(spark):
     rng = random.Random(2)
     item, hot = prose(rng, 30), prose(rng, 30)

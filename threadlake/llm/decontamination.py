@@ -138,6 +138,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item_shingles", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+def leaks_by_item(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``find_items`` with one row per document row and item id: copies of an item, which share
+    a row there, have a row each."""
+    members = stage(item_sets(items, n).select("_key", F.col("_item").alias("item_id")).distinct(), "members")
+    found = find_items(docs, items, n, percent).drop("item_id", "n_items")
+    return found.join(small(members, members.count()), "_key")
+
+
+def op1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks_by_item(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item_shingles", "n_shared", F.round("containment", 6).alias("containment"))
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\p{M}]+'), lambda x: x <> '') w FROM documents),
 b0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\p{M}]+'), lambda x: x <> '') w FROM benchmark),
@@ -151,3 +164,5 @@ d2 AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), '
 SELECT doc_id, item_id, CAST(max(q) AS INTEGER) n_item_shingles, CAST(count(*) AS INTEGER) n_shared, round(count(*) / max(q), 6) containment
 FROM d2 JOIN b5 USING (n, s) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * max(q)
 """
+# every item id for itself
+ORACLE_ITEMS = ORACLE.replace("SELECT min(item_id) item_id, n, ss, q FROM b3 GROUP BY n, ss, q", "SELECT item_id, n, ss, q FROM b3")

@@ -10,6 +10,7 @@ from . import bpe, chat, decontamination, jaccard_join, perplexity, quality_rati
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
+    "op1_items": decontamination.op1_items,
     "op2_quality_ratio": quality_ratio.op2,
     "op3_records": token_records.op3,
     "op4_perplexity": perplexity.op4,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
+    "op1_items": decontamination.ORACLE_ITEMS,
     "op2_quality_ratio": quality_ratio.op2,
     "op3_records": token_records.op3,
     "op2_quality_ratio": quality_ratio.ORACLE,
