@@ -335,6 +335,23 @@ def test_whole_contents_tell_long_files_apart(spark, tmp_path):
     assert FS.fingerprint_files(listed, prefix_bytes=None).select("id").distinct().count() == 2
 
 
+def test_scans_keep_long_files_with_equal_heads(spark, tmp_path):
+    head = b"a" * (2 * 1024 * 1024)
+    for name in ("x", "y"):
+        put(f"{tmp_path}/lib/{name}.emb", head + name.encode(), 1_700_000_000)
+    want = {f"{tmp_path}/lib/{name}.emb" for name in ("x", "y")}
+    ids = {hashlib.sha256(str(len(head) + 1).encode() + head + name.encode()).hexdigest() for name in ("x", "y")}
+    for base, given in (("whole", {}), ("short", {"prefix_bytes": S.FINGERPRINT_BYTES})):
+        at = str(tmp_path / base)
+        for _ in range(2):
+            ingest.scan_library(spark, [f"{tmp_path}/lib"], at, embedder, now=5, **given)
+        found = tables.read_catalog(spark, at).collect()
+        assert ({r["file_path"] for r in found} == want) == (base == "whole")
+        assert ({r["id"] for r in found} == ids) == (base == "whole")
+    paths = spark.createDataFrame([(p,) for p in want], "file_path string")
+    assert {r["id"] for r in FS.load_files(paths).select("id").collect()} == ids
+
+
 def test_library_stream(spark, tmp_path):
     root, base, mark = (str(tmp_path / p) for p in ("lib", "table", "mark"))
     put(f"{root}/a.emb", b"one", 1_700_000_000)

@@ -31,9 +31,11 @@ def size_kb(size_bytes: Column | str) -> Column:
     return _c(size_bytes) / F.lit(1024.0)
 
 
-def content_id(size_bytes: Column | str, content: Column | str) -> Column:
-    """hex sha256 over the decimal byte size followed by the first 2 MiB of content."""
-    head = F.substring(_c(content).cast("binary"), 1, FINGERPRINT_BYTES)
+def content_id(size_bytes: Column | str, content: Column | str, prefix_bytes: int | None = FINGERPRINT_BYTES) -> Column:
+    """hex sha256 over the decimal byte size followed by the first 2 MiB of content, or by
+    all of it with None."""
+    whole = _c(content).cast("binary")
+    head = whole if prefix_bytes is None else F.substring(whole, 1, prefix_bytes)
     size_text = _c(size_bytes).cast("string").cast("binary")
     return F.sha2(F.concat(size_text, head), 256)
 

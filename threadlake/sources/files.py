@@ -188,7 +188,7 @@ def fingerprint_files(
 
 def load_files(paths: DataFrame, path: str = "file_path") -> DataFrame:
     """Current state of single files, read on the executors: whether each exists, its size,
-    mtime, fingerprint (F5) and content. For the few files of a change batch."""
+    mtime, fingerprint (F5 over the whole content) and content. For the few files of a change batch."""
     schema = (
         "file_path string, present boolean, size_bytes long, file_mtime long, id string, content binary"
     )
@@ -203,8 +203,9 @@ def load_files(paths: DataFrame, path: str = "file_path") -> DataFrame:
                 content = stream.read()
         except OSError:
             return (name, False, None, None, None, None)
-        head = content[: S.FINGERPRINT_BYTES]
-        id = hashlib.sha256(str(len(content)).encode() + head).hexdigest()
+        digest = hashlib.sha256(str(len(content)).encode())
+        digest.update(content)
+        id = digest.hexdigest()
         return (name, True, len(content), info.mtime_ns // 10**9, id, content)
 
     def run(batches):

@@ -165,14 +165,15 @@ def contents_of(fresh: DataFrame) -> DataFrame:
 
 def scan_library(
     spark: SparkSession, roots: Sequence[str], base: str, embedder: Embedder, now: Column | int | None = None,
-    force: bool = False, batch_id: int | None = None, stream: str = "scan", prefix_bytes: int | None = S.FINGERPRINT_BYTES,
+    force: bool = False, batch_id: int | None = None, stream: str = "scan", prefix_bytes: int | None = None,
 ) -> DataFrame:
     """S1, J6, F5, J7, T6 in one: brings the catalogue at ``base`` up to what lies below
     ``roots``. Returns the outcome per file.
 
     Everything is listed, whatever its name, age or size, but for dot and tool directories.
     Only files whose path, mtime or size is not in the catalogue are hashed (with ``force``
-    all), and only contents that the catalogue does not know are read as a whole. Without
+    all), over their whole contents unless ``prefix_bytes`` bounds that (files that are equal
+    so far are then one), and only contents that the catalogue does not know are embedded. Without
     ``batch_id`` the scan takes the next number of its ``stream``.
     """
     now = F.unix_timestamp(F.current_timestamp()) if now is None else now
@@ -192,12 +193,13 @@ def scan_library(
 def library_stream(
     spark: SparkSession, roots: Sequence[str], base: str, embedder: Embedder, checkpoint: str,
     every: str = "30 minutes", compact_every: int = 100, on_outcomes: Callable[[DataFrame, int], None] | None = None,
+    prefix_bytes: int | None = None,
 ):
     """``scan_library`` again and again, so changed files and files with an old
     mtime are found as well. The checkpoint remembers the scans done. Returns the query."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        outcomes = scan_library(spark, roots, base, embedder, batch_id=batch_id, stream=stream_id(spark, checkpoint))
+        outcomes = scan_library(spark, roots, base, embedder, batch_id=batch_id, stream=stream_id(spark, checkpoint), prefix_bytes=prefix_bytes)
         _compact(spark, base, batch_id, compact_every)
         if on_outcomes is not None:
             on_outcomes(outcomes, batch_id)
@@ -214,7 +216,7 @@ def incoming_files(raw: DataFrame) -> DataFrame:
         path.alias("file_path"),
         F.unix_timestamp("modificationTime").alias("file_mtime"),
         S.size_kb("length").alias("size_kb"),
-        S.content_id("length", "content").alias("id"),
+        S.content_id("length", "content", prefix_bytes=None).alias("id"),
         "content",
     )
 
