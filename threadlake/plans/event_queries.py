@@ -66,7 +66,7 @@ def t2_stream(v: Views):
     watermark delay stay open."""
     folder = os.path.join(shared_dir(v.spark), f"events-{os.urandom(4).hex()}")
     source, sink, mark = (os.path.join(folder, p) for p in ("in", "out", "mark"))
-    v.events().select("path", "op", "ts", "seq").coalesce(1).write.parquet(source)
+    v.events().select("path", "op", "ts", "seq").write.parquet(source)
     bursts = EV.debounce_stream(EV.read_events(v.spark, source), "6 hours", "1 hour")
     run = (
         bursts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark)
@@ -77,6 +77,23 @@ def t2_stream(v: Views):
     return v.spark.read.schema(schema).parquet(sink).select("path", "op", us("first_ts"), us("last_ts"), "n")
 
 
+@query("t2_debounce_arrival", ("ev",), _BURSTS.format(gap=6 * 3600 * 1000000) + " select path, op, first_us, last_us, n from s")
+def t2_arrival(v: Views):
+    """T1 and T2 as a stream that debounces what each trigger brings, here the whole table: no
+    burst stays open."""
+    folder = os.path.join(shared_dir(v.spark), f"events-{os.urandom(4).hex()}")
+    source, sink, mark = (os.path.join(folder, p) for p in ("in", "out", "mark"))
+    v.events().select("path", "op", "ts", "seq").write.parquet(source)
+
+    def each(batch, batch_id: int) -> None:
+        EV.debounce(batch, "6 hours", segment="2 days").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    run = EV.read_events(v.spark, source).writeStream.option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(each).start()
+    run.awaitTermination()
+    schema = "path string, op string, first_ts timestamp, last_ts timestamp, n long"
+    return v.spark.read.schema(schema).parquet(f"{sink}/batch=*").select("path", "op", us("first_ts"), us("last_ts"), "n")
+
+
 @query("t5_rename_cleanup", ("ev",), """
     with i as (select * from ev where right(path, 4) = '.emb'),
     r as (select distinct path, us from i where op = 'rename')
