@@ -343,6 +343,15 @@ def s7(v: Views):
     return progress_table.save_progress(first, final, now=2)
 
 
+@query("s7_source_totals", (), """
+    select '/' || source as drive_path, count(*) as processed, max(doc_id)::varchar as last_file from documents group by source""")
+def s7_totals(v: Views):
+    """Files and last file of each source, of every language."""
+    return v.table("documents").groupBy(F.concat(F.lit("/"), "source").alias("drive_path")).agg(
+        F.count(F.lit(1)).alias("processed"), F.max("doc_id").cast("string").alias("last_file")
+    )
+
+
 @query("s7_load_and_clear", ("folders",), """
     select path, case when needs_rescan then '' else name end as last_file,
            case when needs_rescan then 0 else indexed_files end as processed, not needs_rescan as found
