@@ -19,6 +19,10 @@ def test_query_equals_sql(spark, con, name):
     assert ok, text
 
 
+def test_sql_is_text():
+    assert "op3_records" not in ORACLES and all(isinstance(x, str) for x in ORACLES.values())
+
+
 @pytest.mark.parametrize("name", ["op4_perplexity", "op10_toxicity"])
 def test_every_document_is_there(spark, con, name):
     got = sorted(r[0] for r in QUERIES[name](spark, SF).select("doc_id").collect())

@@ -1,13 +1,13 @@
 """Benchmark decontamination: short test items searched inside long documents.
 
 Items and documents are sets of word shingles. The containment of an item in a document is
-the share of the item's shingles that the document has. The search is by MinHash with
-sketches partitioned by item size: one hash function orders all shingles, and an item with
+the share of the item's shingles that the document has. The search is one bottom-k
+prefix join for items of all sizes: one hash function orders all shingles, and an item with
 ``q`` shingles is represented by its ``k`` smallest ones, ``k = q - need + 1`` where
 ``need = ceil(threshold * q)``. A document that has ``need`` of the ``q`` shingles misses at
 most ``k - 1``, so it has one of the ``k``: no pair at or above the threshold is lost, however
-long the document is. Each size class has its own largest sketch value, and shingles of
-documents above the largest of them never leave their task. Candidates are verified by exact
+long the document is. Shingles of documents above the largest of all sketch
+values never leave their task. Candidates are verified by exact
 shingle containment. Only DataFrame functions are used.
 """
 
@@ -89,14 +89,12 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
     sketches = stage(
         classes.select(
             "_key",
-            F.floor(F.log2(q)).cast("int").alias("_class"),
             F.explode(F.slice(F.sort_array(F.transform("_set", hashed)), F.lit(1), q - need + 1)).alias("_h"),
         ),
         "sketches",
     )
-    # one row per size class
-    tops = sketches.groupBy("_class").agg(F.max("_h").alias("_top"), F.count("*").alias("_rows")).collect()
-    top, n_sketches = max((r["_top"] for r in tops), default=-(2**63)), sum(r["_rows"] for r in tops)
+    most = sketches.agg(F.max("_h").alias("_top"), F.count("*").alias("_rows")).first()
+    top, n_sketches = -(2**63) if most["_top"] is None else most["_top"], most["_rows"]
 
     rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_print"))
     tokens = held(rows, "_w", words(F.col("_text")))

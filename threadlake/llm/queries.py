@@ -25,8 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op1_items": decontamination.ORACLE_ITEMS,
-    "op2_quality_ratio": quality_ratio.op2,
-    "op3_records": token_records.op3,
     "op2_quality_ratio": quality_ratio.ORACLE,
     "op5_jaccard": jaccard_join.ORACLE,
     "op6_chat": chat.ORACLE,
