@@ -25,16 +25,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """``node``, ``root`` (smallest node reachable) for every node of ``edges`` (a, b) that is
     not its component's root. Edges are written to the shared folder between rounds; the number
-    of rounds grows with the logarithm of the size, whatever the shape. No edges, no rows."""
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    of rounds grows with the logarithm of the size, whatever the shape. No edges, no rows. With
+    ``folder`` the rounds are staged there."""
+    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", folder)
     before = _state(now)
     if not before[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
-        now = stage(_small_star(_large_star(now)), "edges")
+        now = stage(_small_star(_large_star(now)), "edges", folder)
         state = _state(now)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

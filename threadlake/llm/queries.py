@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, jaccard_join, perplexity, quality_ratio, secret_scan, sharding, token_records, toxicity
+from . import bpe, chat, decontamination, jaccard_join, perplexity, quality_ratio, secret_scan, sharding, simhash, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secret_scan.op8,
     "op9_bpe": bpe.op9,
     "op10_toxicity": toxicity.op10,
+    "op13_simhash": simhash.op13,
 }
 
 ORACLES: dict[str, str] = {
