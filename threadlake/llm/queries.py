@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, jaccard_join, perplexity, quality_ratio, secret_scan, sharding, simhash, token_records, toxicity
+from . import bpe, chat, collocations, decontamination, jaccard_join, lexical_search, perplexity, quality_ratio, secret_scan, sharding, simhash, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secret_scan.op8,
     "op9_bpe": bpe.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_lexical": lexical_search.op11,
+    "op12_collocations": collocations.op12,
     "op13_simhash": simhash.op13,
 }
 
@@ -30,4 +32,6 @@ ORACLES: dict[str, str] = {
     "op5_jaccard": jaccard_join.ORACLE,
     "op6_chat": chat.ORACLE,
     "op8_secrets": secret_scan.ORACLE,
+    "op11_lexical": lexical_search.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
