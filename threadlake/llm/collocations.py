@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from threadlake.session import stage, staging
 
-from .common import table
+from .common import arrow_rows, table
 
 LONGEST = 4
 LEAST = 30
@@ -30,7 +30,8 @@ PERCENT = 80
 TOP = 2000
 BLOCK_TOKENS = 500_000  # words and breaks of a block of texts, unless a single text has more
 BLOCK_WORDS = 200_000
-HELD = 2_000_000  # phrases a task counts before it packs them
+BATCH = 4  # blocks that are handed to Python at a time
+HELD = 1_000_000  # phrases of a length a task counts before it packs them
 SHARD = 4_000_000  # phrase occurrences of a shard
 
 # Pieces end at . , ; : ! ? and \n, \v, \f, \r; words are parted by spaces and tabs.
@@ -316,7 +317,8 @@ def _frequent(docs: DataFrame, least: int, folder: str) -> tuple[DataFrame, Data
     shards = min(shards, 1 << min(width, 16))
     named = listed.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct((F.col("at") + _OWN).alias("at"), "id")).alias("ids"))
     whole = blocks.select("block", "tokens").join(named, "block")
-    phrases = stage(merge_filters(count_phrases(whole, width, shards), width, least), "phrases", folder)
+    with arrow_rows(docs.sparkSession, BATCH):
+        phrases = stage(merge_filters(count_phrases(whole, width, shards), width, least), "phrases", folder)
     return known, phrases, sizes
 
 

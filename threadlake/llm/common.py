@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,19 @@ BROADCAST_ROWS = 500_000
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has few rows; beyond the bound its join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for jobs that run in the block, whose rows are
+    megabytes each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
