@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake.streaming import events as EV
 from threadlake.streaming import progress as PR
+from threadlake.streaming.timers import finish
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "path string, op string, ts timestamp, seq long"
@@ -110,36 +111,88 @@ def run_stream(spark, tmp_path, batches, build, schema, write_schema):
     return spark.read.schema(schema).parquet(sink)
 
 
-def test_debounce_stream_over_restarts(spark, rows, tmp_path):
+def test_debounce_by_watermark_over_restarts(spark, rows, tmp_path):
     one = [("/a", "create", 0), ("/a", "write", 0.5), ("/b", "write", 0.2)]
     two = [("/a", "write", 1.0), ("/z", "write", 30)]
     late_and_last = [("/b", "write", 0.3), ("/z", "write", 100)]
     out = run_stream(
         spark, tmp_path, [frame(spark, x) for x in (one, two, late_and_last)],
-        lambda s: EV.debounce_stream(s, delay="5 seconds"),
+        lambda s: EV.debounce_by_watermark(s, delay="5 seconds"),
         "path string, op string, first_ts timestamp, last_ts timestamp, n long", SCHEMA,
     )
     # the late event on /b is older than the watermark and dropped; /z at 100 s stays open
     assert rows(out, "path", "op", "n") == [("/a", "write", 3), ("/b", "write", 1), ("/z", "write", 1)]
 
 
+def run_timed(spark, tmp_path, batches, build, schema, write_schema):
+    """Feeds the batches to one running query with timers, each after the one before was read,
+    and returns all rows that came out by the time nothing was open."""
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    batches[0].limit(0).coalesce(1).write.parquet(source)
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    query = (
+        build(spark.readStream.schema(write_schema).parquet(source))
+        .writeStream.format("parquet").option("path", sink)
+        .option("checkpointLocation", str(tmp_path / "mark")).trigger(processingTime="2 seconds").start()
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", few)
+    read = 0
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(source)
+        read += batch.count()
+        while sum(p["numInputRows"] for p in query.recentProgress) < read:
+            query.awaitTermination(0.1)
+    finish(query)
+    return spark.read.schema(schema).parquet(sink)
+
+
+BURST = "path string, op string, first_ts timestamp, last_ts timestamp, n long"
+
+
+def test_timed_debounce_equals_batch_without_a_last_event(spark, rows, tmp_path):
+    rng = random.Random(4)
+    data = sorted(
+        ((rng.choice(["/hot", "/hot", "/b", "/c"]), rng.choice(["create", "write", "remove"]), rng.randint(0, 600) / 4) for _ in range(200)),
+        key=lambda e: e[2],
+    )
+    parts = [data[:70], data[70:150], data[150:]]
+    got = run_timed(
+        spark, tmp_path, [frame(spark, x) for x in parts],
+        lambda s: EV.debounce_stream(s, "1500 milliseconds", quiet="12 seconds"), BURST, SCHEMA,
+    )
+    # bursts that lie in two batches are one, and the last ones of each path are there
+    assert sorted((p, f, t, n) for p, _, f, t, n in rows(got)) == sorted((p, f, t, n) for p, _, f, t, n in bursts(data, 1.5))
+
+
+def test_timed_debounce_takes_late_events(spark, rows, tmp_path):
+    one = [("/a", "create", 1000), ("/b", "write", 5)]
+    late = [("/a", "write", 1), ("/b", "rename", 4.5), ("/b", "create", 4)]
+    got = run_timed(
+        spark, tmp_path, [frame(spark, one), frame(spark, late)],
+        lambda s: EV.debounce_stream(s, quiet="12 seconds", grace="12 seconds"), BURST, SCHEMA,
+    )
+    assert rows(got) == [
+        ("/a", "create", at(1000), at(1000), 1), ("/a", "write", at(1), at(1), 1), ("/b", "write", at(4), at(5), 3)
+    ]
+
+
 def test_rename_stream_equals_batch(spark, rows, tmp_path):
     early = [e for e in RENAMES if e[2] < 11]
     late = [e for e in RENAMES if e[2] >= 11]
-    end = [("/end.emb", "create", 100)]
-    out = run_stream(
-        spark, tmp_path, [frame(spark, x) for x in (early, late, end, [("/end.emb", "create", 200)])],
-        lambda s: EV.rename_cleanup_stream(s, delay="3 seconds"), "path string, renamed_at timestamp", SCHEMA,
+    out = run_timed(
+        spark, tmp_path, [frame(spark, x) for x in (early, late)],
+        lambda s: EV.rename_cleanup_stream(s, wait="12 seconds"), "path string, renamed_at timestamp", SCHEMA,
     )
     assert rows(out) == GONE
 
 
-def test_targets_are_unique_within_the_watermark(spark, rows, tmp_path):
-    schema = "target string, ts timestamp"
-    one = spark.createDataFrame([("/a", at(0)), ("/a", at(1)), ("/b", at(1))], schema)
-    two = spark.createDataFrame([("/a", at(2)), ("/c", at(2))], schema)
-    out = run_stream(spark, tmp_path, [one, two], EV.dedupe_targets, schema, schema)
-    assert rows(out, "target") == [("/a",), ("/b",), ("/c",)]
+def test_targets_are_unique_for_a_while(spark, rows, tmp_path):
+    schema = "target string, ts timestamp, _x int"
+    one = spark.createDataFrame([("/a", at(0), 1), ("/a", at(0), 1), ("/b", at(1), 2)], schema)
+    two = spark.createDataFrame([("/a", at(-9000), 3), ("/c", at(2), 4)], schema)
+    out = run_timed(spark, tmp_path, [one, two], lambda s: EV.dedupe_targets(s, "12 seconds"), schema, schema)
+    assert rows(out) == [("/a", at(0), 1), ("/b", at(1), 2), ("/c", at(2), 4)]
 
 
 PROGRESS = "root string, ts timestamp, running boolean, paused boolean"
@@ -158,18 +211,16 @@ def test_stall_batch(spark, rows):
     assert rows(open_ends, "root", "last_progress_at") == [("/a", at(100)), ("/a", at(221)), ("/c", at(500))]
 
 
-def test_stall_stream(spark, rows, tmp_path):
+def test_stalls_are_told_when_all_roots_are_silent(spark, rows, tmp_path):
     steps = [
-        [("/a", 0, True, False), ("/b", 0, True, True), ("/c", 0, True, False)],
+        [("/a", 0, True, False), ("/b", 0, True, True), ("/c", 0, True, False), ("/d", 50, False, False), ("/d", 40, True, False)],
         [("/c", 100, True, False)],
-        [("/c", 200, True, False)],
-        [("/c", 300, True, False)],
     ]
-    out = run_stream(
-        spark, tmp_path, [beats(spark, s) for s in steps], lambda s: PR.stalled_stream(s, delay="5 seconds"),
+    out = run_timed(
+        spark, tmp_path, [beats(spark, s) for s in steps], lambda s: PR.stalled_stream(s, "12 seconds"),
         "root string, last_progress_at timestamp", PROGRESS,
     )
-    assert rows(out) == [("/a", at(0))]
+    assert rows(out) == [("/a", at(0)), ("/c", at(100))]
 
 
 def test_alive_and_summary(spark, rows):

@@ -228,7 +228,7 @@ def test_watch_stream(spark, rows, tmp_path):
     data = [(f"{root}/{n}", op, start + dt.timedelta(seconds=s), i) for i, (n, op, s) in enumerate(log)]
     spark.createDataFrame(data, EV.EVENT_SCHEMA).coalesce(1).write.parquet(source)
     ingest.watch_stream(
-        spark, EV.read_events(spark, source), base, embedder, mark, first_batch=10, availableNow=True
+        spark, EV.read_events(spark, source), base, embedder, mark, first_batch=10, settle="trigger", availableNow=True
     ).awaitTermination()
     got = state(spark, base, root)
     assert set(got) == {"c.emb", "d.emb", "e.emb"}
@@ -248,7 +248,7 @@ def test_streams_share_one_table(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     data = [(f"{root}/b.emb", "create", start, 0), (f"{root}/x.emb", "remove", start, 1), (f"{root}/later.emb", "write", start + dt.timedelta(minutes=1), 2)]
     spark.createDataFrame(data, EV.EVENT_SCHEMA).coalesce(1).write.parquet(source)
-    ingest.watch_stream(spark, EV.read_events(spark, source), base, embedder, str(tmp_path / "m2"), availableNow=True).awaitTermination()
+    ingest.watch_stream(spark, EV.read_events(spark, source), base, embedder, str(tmp_path / "m2"), settle="trigger", availableNow=True).awaitTermination()
     assert set(state(spark, base, root)) == {"a.emb", "b.emb"}
     # a fresh checkpoint delivers everything once more
     put(f"{root}/c.emb", b"three", 1_700_000_002)
@@ -378,10 +378,136 @@ def test_watch_stream_needs_no_later_event(spark, tmp_path):
     def run(*log):
         data = [(f"{root}/{n}", op, start + dt.timedelta(seconds=s), i) for i, (n, op, s) in enumerate(log)]
         spark.createDataFrame(data, EV.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        ingest.watch_stream(spark, EV.read_events(spark, source), base, embedder, mark, availableNow=True).awaitTermination()
+        ingest.watch_stream(spark, EV.read_events(spark, source), base, embedder, mark, settle="trigger", availableNow=True).awaitTermination()
 
     run(("c.emb", "create", 3600), ("c.emb", "write", 3600.1))
     assert set(state(spark, base, root)) == {"a.emb", "b.emb", "c.emb"}
     os.remove(f"{root}/a.emb")
     run(("a.emb", "remove", 0))
     assert set(state(spark, base, root)) == {"b.emb", "c.emb"}
+
+
+class Watched:
+    """A library under a running watch stream whose encoder notes what it is given."""
+
+    def __init__(self, spark, tmp_path):
+        self.spark = spark
+        self.root, self.base, self.source, self.mark = (str(tmp_path / p) for p in ("lib", "table", "events", "mark"))
+        self.notes = str(tmp_path / "notes")
+        os.makedirs(self.source)
+
+    def encode(self, contents):
+        seen = contents.select("id", F.col("content").cast("string").alias("text"))
+        seen.write.mode("append").parquet(self.notes)
+        return embedder(contents)
+
+    def encoded(self):
+        return sorted(r.text for r in self.spark.read.schema("id string, text string").parquet(self.notes).collect())
+
+    def send(self, *log):
+        now = dt.datetime.now()
+        data = [(f"{self.root}/{n}", op, now + dt.timedelta(milliseconds=i), i) for i, (n, op) in enumerate(log)]
+        self.spark.createDataFrame(data, EV.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(self.source)
+
+    def start(self, **how):
+        self.spark.conf.set("spark.sql.shuffle.partitions", "2")
+        try:
+            return self._start(**how)
+        finally:
+            self.spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+    def _start(self, **how):
+        return ingest.watch_stream(self.spark, EV.read_events(self.spark, self.source), self.base, self.encode, self.mark, **how)
+
+    def wait(self, query, done, seconds=60):
+        end = dt.datetime.now() + dt.timedelta(seconds=seconds)
+        while not done():
+            if not query.isActive:
+                query.awaitTermination()
+            assert dt.datetime.now() < end, self.paths()
+            query.awaitTermination(0.3)
+
+    def rows(self):
+        return {os.path.relpath(r.file_path, self.root): r for r in tables.read_catalog(self.spark, self.base).collect()}
+
+    def paths(self):
+        return set(self.rows())
+
+
+def test_a_rename_waits_for_the_file_to_come_back(spark, tmp_path):
+    """Away and back within the grace, away for good, and moved: no trailing event is sent."""
+    w = Watched(spark, tmp_path)
+    for name in ("back.emb", "gone.emb", "old.emb"):
+        put(f"{w.root}/{name}", name.encode(), 1_700_000_000)
+    ingest.scan_library(spark, [w.root], w.base, w.encode)
+    before, known = w.rows(), w.encoded()
+    assert known == ["back.emb", "gone.emb", "old.emb"]
+    query = w.start(grace="30 seconds")
+    try:
+        shutil.move(f"{w.root}/back.emb", f"{tmp_path}/away")
+        os.remove(f"{w.root}/gone.emb")
+        shutil.move(f"{w.root}/old.emb", f"{w.root}/new.emb")
+        w.send(("back.emb", "rename"), ("gone.emb", "rename"), ("old.emb", "rename"), ("new.emb", "create"))
+        w.wait(query, lambda: "new.emb" in w.paths())
+        # the move is known at once; the renamed paths are still waited for
+        assert w.paths() == {"back.emb", "gone.emb", "new.emb"}
+        shutil.move(f"{tmp_path}/away", f"{w.root}/back.emb")
+        w.send(("back.emb", "create"))
+        w.wait(query, lambda: w.paths() == {"back.emb", "new.emb"}, 120)
+    finally:
+        query.stop()
+    after = w.rows()
+    assert after["back.emb"] == before["back.emb"]
+    assert (after["new.emb"].id, after["new.emb"].embedding) == (before["old.emb"].id, before["old.emb"].embedding)
+    assert w.encoded() == known  # nothing was encoded again
+
+
+def test_a_file_that_is_still_written_is_left_alone(spark, tmp_path):
+    w = Watched(spark, tmp_path)
+    put(f"{w.root}/a.emb", b"first", 1_700_000_000)
+    ingest.scan_library(spark, [w.root], w.base, w.encode)
+    query = w.start(gap="8 seconds")
+    try:
+        for step in range(4):  # several triggers, each within the quiet time of the one before
+            put(f"{w.root}/big.emb", b"part" * (step + 1))
+            w.send(("big.emb", "write"))
+            query.awaitTermination(1.5)
+            assert w.paths() == {"a.emb"}
+        w.wait(query, lambda: "big.emb" in w.paths())
+    finally:
+        query.stop()
+    assert w.encoded() == ["first", "part" * 4]
+
+
+def test_open_bursts_survive_a_restart(spark, tmp_path):
+    w = Watched(spark, tmp_path)
+    put(f"{w.root}/a.emb", b"a", 1_700_000_000)
+    ingest.scan_library(spark, [w.root], w.base, w.encode)
+    put(f"{w.root}/b.emb", b"b", 1_700_000_000)
+    w.send(("b.emb", "create"))
+    query = w.start(gap="8 seconds")
+    w.wait(query, lambda: bool(query.lastProgress))
+    query.stop()
+    assert w.paths() == {"a.emb"}
+    query = w.start(gap="8 seconds")
+    try:
+        w.wait(query, lambda: "b.emb" in w.paths())
+    finally:
+        query.stop()
+
+
+def test_watching_needs_a_query_that_runs_on(spark, tmp_path):
+    w = Watched(spark, tmp_path)
+    for how in ({"availableNow": True}, {"settle": "never"}):
+        with pytest.raises(ValueError):
+            w.start(**how)
+
+
+def test_content_that_changes_after_hashing_fails(spark, rows, tmp_path):
+    put(f"{tmp_path}/a.emb", b"one")
+    put(f"{tmp_path}/b.emb", b"two")
+    ids = {n: hashlib.sha256(b"3" + t).hexdigest() for n, t in (("a", b"one"), ("b", b"two"))}
+    fresh = spark.createDataFrame([(ids["a"], f"{tmp_path}/a.emb"), (ids["b"], f"{tmp_path}/b.emb")], "id string, file_path string")
+    put(f"{tmp_path}/b.emb", b"TWO")
+    assert rows(ingest.contents_of(fresh)) == [(ids["a"], b"one")]
+    assert len(rows(ingest.contents_of(fresh, whole=False))) == 2

@@ -108,7 +108,8 @@ def test_blocks_batches_and_salts_equal_brute_force(spark, monkeypatch, blocks):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, embedding array<float>")
     q = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(qs)], "query_id long, view_id long, qv array<float>")
     if blocks:
-        monkeypatch.setattr(search, "BLOCK_QUERIES", 7)
+        for name, value in (("BROADCAST_VIEWS", 6), ("BLOCK_QUERIES", 7), ("CHUNK_BYTES", 4000), ("CELLS", 200)):
+            monkeypatch.setattr(search, name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
@@ -187,3 +188,32 @@ def test_vector_blobs_with_nulls_and_trailing_bytes(spark):
     assert got == {1: [1.5, -2.0], 2: None, 3: [1.5, -2.0], 4: []}
     back = V.encode_vectors(V.decode_vectors(df, "blob").drop("blob"), "embedding")
     assert {r["id"]: r["blob"] and bytes(r["blob"]) for r in back.collect()} == {1: one, 2: None, 3: one, 4: b""}
+
+
+def test_large_query_sets_stay_off_the_driver(spark, monkeypatch):
+    """30,000 views in blocks: the driver reads no more than what decides that they are many."""
+    items, qs = random_set(200, 4, 3), random_set(30_000, 4, 4)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, embedding array<float>")
+    q = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(qs)], "query_id long, view_id int, qv array<float>")
+    fetched = []
+    kind = type(q)
+    read = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: fetched.append(read(self)) or fetched[-1])
+    files = []
+    split = search._block_files
+    monkeypatch.setattr(search, "_block_files", lambda *a: files.extend(split(*a)) or files)
+    got = {(r.query_id, r.id, r.score) for r in search.knn(table, q, 1).select("query_id", "id", "score").toLocalIterator()}
+    assert got == brute(items, qs, 1)
+    assert [t.num_rows for t in fetched] == [search.BROADCAST_VIEWS + 1]
+    assert len(files) >= 30_000 // search.BLOCK_QUERIES
+    sizes = [search._read_block(f, ["query_id", "view_id"], "qv")[2] for f in files]
+    assert sum(sizes) == 30_000 and max(sizes) <= search.BLOCK_QUERIES
+
+
+def test_blocks_hold_odd_vectors_and_keys(spark, monkeypatch, rows):
+    data = [(1, None, [1.0, 0.0]), (None, 0, [0.0, 1.0]), (2, 0, None), (2, 1, []), (3, 0, [1.0, 0.0, 0.0])]
+    q = spark.createDataFrame(data, "query_id long, view_id long, qv array<float>")
+    small = rows(search.knn(catalog(spark, BASE), q, 3), "query_id", "view_id", "id", "score")
+    for name, value in (("BROADCAST_VIEWS", 2), ("BLOCK_QUERIES", 2)):
+        monkeypatch.setattr(search, name, value)
+    assert rows(search.knn(catalog(spark, BASE), q, 3), "query_id", "view_id", "id", "score") == small

@@ -192,7 +192,7 @@ def detect_moves(files: DataFrame, catalog: DataFrame, order: str = "seq") -> Da
     return last.join(old, "id").where(F.col("file_path") != F.col("old_path"))
 
 
-def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False) -> DataFrame:
+def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False, again: str | None = None) -> DataFrame:
     """Outcome of each scanned file, as if files were handled one by one in ``seq`` order.
 
     ``files`` (seq, file_path, file_mtime, size_kb, id) has one row per path; ``id`` may
@@ -200,6 +200,9 @@ def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False) -> Data
     in skipped / moved / indexed, and ``wins``: the row that ends up in the catalogue,
     i.e. the last operation on its id that no later operation on its path replaced.
 
+    With ``again``, a boolean column of ``files``, ids are those of contents read just now: a
+    file is unchanged only if its id is the known one as well, and is not asked for again.
+
     Rules: an unchanged file is skipped unless an earlier file of this scan has taken
     its content away; an operation is a move if its content is known at another path
     at that moment; otherwise it is indexed.
@@ -209,7 +212,10 @@ def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False) -> Data
     its stored path. One aggregate gives all of them; no files of one id meet each other.
     """
     flagged = split_unchanged(files, catalog)
-    flagged = flagged.withColumn("_skip", F.lit(False) if force else F.col("unchanged")).withColumn(
+    skip = F.lit(False) if force else F.col("unchanged")
+    if again is not None:
+        skip = skip & F.coalesce(F.col("id") == F.col("known_id"), F.lit(False)) & ~F.col(again)
+    flagged = flagged.withColumn("_skip", skip).withColumn(
         "id", F.when(F.col("_skip"), F.col("known_id")).otherwise(F.col("id"))
     )
     act = F.when(~F.col("_skip"), F.col("seq"))

@@ -3,28 +3,39 @@
 The catalogue is scanned once, in place. Each task multiplies its vectors with the
 query matrix in Arrow batches and keeps a running top-k per query view; only those
 candidates are shuffled, to be cut again per (query, view). Nothing the size of
-"queries x items" is ever built. Query sets beyond the broadcast bound are scored
-block by block, one pass over the catalogue per block.
+"queries x items" is ever built. A small query set is broadcast. A larger one never passes through
+the driver: it is written to the shared folder in blocks, and each task scores its vectors, a
+chunk at a time, against every block it reads from there, so the catalogue is still read once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from threadlake.operators.ordered import top_k
-from threadlake.session import BROADCAST_BYTES, salt_count, stage
+from threadlake.session import salt_count, shared_dir, stage
+from threadlake.sources.files import open_store
 
 # Candidates one task may hold over all queries of a block (about 24 bytes each).
 HELD_CANDIDATES = 8_000_000
-# Query views fetched in one go; larger sets are staged and scored in blocks.
-BLOCK_QUERIES = 20_000
+# Query views that are broadcast, and their size; larger sets are written in blocks.
+BROADCAST_VIEWS = 2_000
+# Query views of a block, and bytes of its matrix.
+BLOCK_QUERIES = 4_000
+BLOCK_BYTES = 64 * 1024 * 1024
+# Bytes of vectors and attributes a task scores against one block after the other.
+CHUNK_BYTES = 64 * 1024 * 1024
+# Scores computed at a time.
+CELLS = 4_000_000
 # Rows of one batch a task hands on.
 OUT_ROWS = 65_536
 
@@ -64,11 +75,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def _candidates(catalog: DataFrame, block, k: int, id_col: str, keep, vec: str, companion, digits, out):
-    """Per task: the k best rows for each query view of the block."""
+def _candidates(catalog: DataFrame, blocks, keys, qvec: str, k: int, id_col: str, keep, vec: str, companion, digits, out):
+    """Per task: the k best rows for each query view of each block; ``blocks`` is a broadcast
+    block, or the names of the files that hold one each."""
 
-    def run(batches):
-        keys, queries, n = block.value
+    def best_of(batches, block):
+        owned, queries, n = block
         pool: list[pa.RecordBatch] = []
         base = 0
         held: list = [None] * n
@@ -81,9 +93,8 @@ def _candidates(catalog: DataFrame, block, k: int, id_col: str, keep, vec: str,
             base = len(used)
             held = [h and (h[0], h[1], np.searchsorted(used, h[2])) for h in held]
 
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        step = max(1, CELLS // max(1, n))
+        for batch in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
             score = _scores(batch.column(vec), queries, n)
             if companion:
                 other = batch.column(companion)
@@ -124,7 +135,7 @@ def _candidates(catalog: DataFrame, block, k: int, id_col: str, keep, vec: str,
         if not pool:
             return
         table = pa.Table.from_batches(pool).combine_chunks()
-        owners = [pa.array(key, t) for key, t in keys]
+        owners = [pa.array(key, t) for key, t in owned]
         full = [q for q in range(n) if held[q]]
         # several views per batch, up to OUT_ROWS rows
         start = 0
@@ -146,6 +157,21 @@ def _candidates(catalog: DataFrame, block, k: int, id_col: str, keep, vec: str,
             )
             start = stop
 
+    def run(batches):
+        if not isinstance(blocks, list):
+            yield from best_of(batches, blocks.value)
+            return
+        chunk, size = [], 0
+        for batch in batches:
+            chunk.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                for name in blocks:
+                    yield from best_of(chunk, _read_block(name, keys, qvec))
+                chunk, size = [], 0
+        for name in blocks if chunk else ():
+            yield from best_of(chunk, _read_block(name, keys, qvec))
+
     return catalog.mapInArrow(run, out)
 
 
@@ -157,24 +183,29 @@ def _pack(table: pa.Table, key_cols: Sequence[str], vec: str):
     return keys, {d: (np.flatnonzero(sizes == d), m) for d, m in mats.items()}, table.num_rows
 
 
-def _query_blocks(queries: DataFrame, keys: Sequence[str], vec: str, k: int):
-    """The queries as Arrow tables, each within the broadcast and holding bounds.
+def _read_block(name: str, keys: Sequence[str], vec: str):
+    system, inner = open_store(name)
+    with system.open_input_file(inner) as source:
+        return _pack(pq.read_table(source, columns=[*keys, vec]), keys, vec)
 
-    A set that fits is fetched with one bounded read. A larger one is staged in the
-    shared folder, so each block is a filtered read of it and the driver holds one
-    block at a time.
-    """
-    rows = max(1, min(BLOCK_QUERIES, HELD_CANDIDATES // k))
-    first = queries.select(*keys, vec).limit(rows + 1).toArrow()
-    if first.num_rows <= rows and first.nbytes <= BROADCAST_BYTES:
-        yield first
-        return
-    staged = stage(queries.select(*keys, vec), "queries")
-    size = staged.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(vec)).alias("cells")).first()
-    # twice as many blocks as needed, so an uneven hash stays within the bounds
-    blocks = 2 * max(-(-size["n"] // rows), -(-size["cells"] * 8 // BROADCAST_BYTES))
-    for b in range(blocks):
-        yield staged.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b).toArrow()
+
+def _small_set(queries: DataFrame, k: int) -> pa.Table | None:
+    """The queries if they are few enough to be broadcast: one bounded read."""
+    rows = max(1, min(BROADCAST_VIEWS, HELD_CANDIDATES // k))
+    first = queries.limit(rows + 1).toArrow()
+    return first if first.num_rows <= rows and first.nbytes <= BLOCK_BYTES else None
+
+
+def _block_files(queries: DataFrame, keys: Sequence[str], vec: str, k: int) -> list[str]:
+    """The queries as files in the shared folder, each of a block within the bounds. The driver
+    knows their number, their width and the names of the files."""
+    staged = stage(queries, "queries")
+    size = staged.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dims")).first()
+    rows = max(1, min(BLOCK_QUERIES, HELD_CANDIDATES // k, BLOCK_BYTES // (8 * max(1, size.dims or 1))))
+    path = f"{shared_dir(queries.sparkSession)}/query-blocks-{uuid.uuid4().hex}"
+    spread = staged.repartition(max(1, -(-size.n // rows)), F.xxhash64(*keys))
+    spread.write.option("maxRecordsPerFile", rows).parquet(path)
+    return sorted(queries.sparkSession.read.schema(queries.schema).parquet(path).inputFiles())
 
 
 def knn(
@@ -211,12 +242,13 @@ def knn(
         + [catalog.schema[c] for c in (id_col, *keep)]
         + [StructField("score", DoubleType())]
     )
-    sc = catalog.sparkSession.sparkContext
-    found = None
-    for table in _query_blocks(queries, keys, qvec, k):
-        block = sc.broadcast(_pack(table, keys, qvec))
-        scored = _candidates(pool, block, k, id_col, keep, vec, companion, digits, out)
-        found = scored if found is None else found.unionByName(scored)
+    queries = queries.select(*keys, qvec)
+    table = _small_set(queries, k)
+    if table is not None:
+        blocks = catalog.sparkSession.sparkContext.broadcast(_pack(table, keys, qvec))
+    else:
+        blocks = _block_files(queries, keys, qvec, k)
+    found = _candidates(pool, blocks, keys, qvec, k, id_col, keep, vec, companion, digits, out)
     return top_k(
         found,
         keys,

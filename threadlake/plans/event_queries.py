@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadlake.session import shared_dir
 from threadlake.streaming import events as EV
 from threadlake.streaming import progress as PR
+from threadlake.streaming.timers import finish
 
 from .registry import query
 from .views import Views
@@ -58,23 +59,24 @@ def t2_default(v: Views):
     return EV.debounce(v.events()).select("path", "op", us("first_ts"), us("last_ts"), "n")
 
 
-@query("t2_debounce_stream", ("ev",), _BURSTS.format(gap=6 * 3600 * 1000000) + """
-    select path, op, first_us, last_us, n from s
-    where last_us + 21600000000 <= (select (max(us) // 1000 * 1000) - 3600000000 from ev)""")
-def t2_stream(v: Views):
-    """T1 and T2 as a stream that runs until its source is read: bursts still inside the
-    watermark delay stay open."""
+def _settled(v: Views, rows, build, schema: str):
+    """What a stream with timers brings until nothing is open any more, over ``rows`` as files."""
     folder = os.path.join(shared_dir(v.spark), f"events-{os.urandom(4).hex()}")
     source, sink, mark = (os.path.join(folder, p) for p in ("in", "out", "mark"))
-    v.events().select("path", "op", "ts", "seq").write.parquet(source)
-    bursts = EV.debounce_stream(EV.read_events(v.spark, source), "6 hours", "1 hour")
-    run = (
-        bursts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark)
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+    rows.write.parquet(source)
+    out = build(v.spark.readStream.schema(rows.schema).parquet(source))
+    run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(processingTime="2 seconds").start()
+    finish(run)
+    return v.spark.read.schema(schema).parquet(sink)
+
+
+@query("t2_debounce_stream", ("ev",), _BURSTS.format(gap=6 * 3600 * 1000000) + " select path, op, first_us, last_us, n from s")
+def t2_stream(v: Views):
+    """T1 and T2 as a stream with timers: the last burst of a path is settled by the clock."""
+    events = v.events().select("path", "op", "ts", "seq")
     schema = "path string, op string, first_ts timestamp, last_ts timestamp, n long"
-    return v.spark.read.schema(schema).parquet(sink).select("path", "op", us("first_ts"), us("last_ts"), "n")
+    out = _settled(v, events, lambda s: EV.debounce_stream(s, "6 hours", quiet="2 seconds"), schema)
+    return out.select("path", "op", us("first_ts"), us("last_ts"), "n")
 
 
 @query("t2_debounce_arrival", ("ev",), _BURSTS.format(gap=6 * 3600 * 1000000) + " select path, op, first_us, last_us, n from s")
@@ -113,6 +115,18 @@ def t5_known(v: Views):
     return EV.rename_cleanup(v.events(), v.watched()).select("path", us("renamed_at"))
 
 
+@query("t5_rename_stream", ("ev",), """
+    with i as (select * from ev where right(path, 4) = '.emb'),
+    r as (select distinct path, us from i where op = 'rename')
+    select path, us as renamed_us from r
+    where not exists (from i where i.path = r.path and i.op in ('create', 'write') and i.us > r.us and i.us <= r.us + 43200000000)""")
+def t5_stream(v: Views):
+    """T5 as a stream with timers."""
+    events = v.events().select("path", "op", "ts", "seq")
+    out = _settled(v, events, lambda s: EV.rename_cleanup_stream(s, "12 hours", wait="2 seconds"), "path string, renamed_at timestamp")
+    return out.select("path", us("renamed_at"))
+
+
 def _progress(v: Views):
     return v.table("events").select(
         F.when(F.col("event_type") != "error", 1).otherwise(0).cast("long").alias("discovered"),
@@ -162,6 +176,16 @@ def t9(v: Views):
     return PR.stalled(_rooted(v), "2 hours", segment="3 days").select("root", us("last_progress_at"), "idle_us")
 
 
+@query("t9_stalled_stream", ("ev",), """
+    with i as (select user_id % 20 as r, us, bool_or(op <> 'remove') as running, bool_or(op = 'rename') as paused from ev group by all)
+    select '/src' || r::varchar as root, us as last_progress_us from i
+    qualify us = max(us) over (partition by r) and running and not paused""")
+def t9_stream(v: Views):
+    """T9 as a stream with timers: after the last event all roots are silent."""
+    out = _settled(v, _rooted(v), lambda s: PR.stalled_stream(s, "2 seconds"), "root string, last_progress_at timestamp")
+    return out.select("root", us("last_progress_at"))
+
+
 @query("t10_alive", ("ev",), """
     select user_id as client, max(us) as last_us, 1706659200000000 - max(us) < 86400000000 as alive from ev group by user_id""")
 def t10(v: Views):

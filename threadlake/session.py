@@ -12,9 +12,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Upper bound for anything this library ships to every executor by itself.
-# Joins never carry a broadcast hint: Spark's own threshold and AQE decide there.
-BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows of one group that a single task may merge, and the most pieces a group is cut into.
 SINGLE_LEVEL_ROWS = 100_000
 MAX_SALTS = 1000

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,6 +26,12 @@ def _filesystem(name: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
 
 
+def open_store(name: str) -> tuple[fs.FileSystem, str]:
+    """Store and path of a file that Spark has written: 'file:/a', '/a', 'hdfs://..', 's3a://..'."""
+    local = re.match(r"file:/+(.*)", name)
+    return (fs.LocalFileSystem(), f"/{unquote(local[1])}") if local else _filesystem(re.sub("^s3[an]://", "s3://", name))
+
+
 def plain_path(path):
     """'file:/a' and 'file:///a' -> '/a'; other schemes are kept."""
     return F.regexp_replace(path, r"^file:/+", "/")

@@ -1,26 +1,22 @@
 """File-change events: source, filter, classification, debounce, rename grace.
 
 Events carry path, op in create / write / remove / rename, ts (timestamp), and in batch
-form seq to order equal times. Streams measure time on the events, bounded by a
-watermark: an event older than the watermark is dropped, a later one on the same path
-starts a new action.
+form seq to order equal times. Streams compare events by their times and wait by the clock
+(``timers``), so none is dropped and the last one needs no later one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadlake.functions import paths as P
+from threadlake.streaming.timers import first_stream, renamed_stream, settle_stream
 
 EVENT_SCHEMA = "path string, op string, ts timestamp, seq long"
 
-# Quiet time of a path, grace of a rename, and the default watermark.
+# Quiet time of a path and grace of a rename; and how long a request stands.
 DEBOUNCE = "750 milliseconds"
 RENAME_GRACE = "2 seconds"
 DELAY = "10 seconds"
@@ -77,9 +73,9 @@ def to_owner(events: DataFrame, items: DataFrame, path: str = "file_path") -> Da
     return joined.select(*events.columns, target.alias("target")).where("target is not null")
 
 
-def dedupe_targets(events: DataFrame, ts: str = "ts", delay: str = DELAY) -> DataFrame:
-    """T4: one request per target within the watermark of a stream."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["target"])
+def dedupe_targets(events: DataFrame, quiet: str = DELAY) -> DataFrame:
+    """T4: one request per target of a stream in ``quiet``, the first one."""
+    return first_stream(events, quiet)
 
 
 # -- debounce ------------------------------------------------------------------
@@ -154,9 +150,17 @@ def debounce(
 
 
 def debounce_stream(
+    events: DataFrame, gap: str = DEBOUNCE, grace: str = RENAME_GRACE, quiet: str | None = None, key: str = "path"
+) -> DataFrame:
+    """T2, stream form: ``debounce`` over whatever number of triggers, see ``settle_stream``."""
+    return settle_stream(events, gap, grace, quiet, key)
+
+
+def debounce_by_watermark(
     events: DataFrame, gap: str = DEBOUNCE, delay: str = DELAY, key: str = "path"
 ) -> DataFrame:
-    """T2, stream form: a session window per path, emitted once the watermark passes it."""
+    """T2 by event time alone, for runs that end (``availableNow``): a session window per path,
+    emitted once the watermark passes it; what lies behind the watermark is dropped."""
     return (
         events.withWatermark("ts", delay)
         .groupBy(key, F.session_window("ts", gap).alias("_w"))
@@ -214,47 +218,8 @@ def rename_cleanup(
 
 
 def rename_cleanup_stream(
-    events: DataFrame, grace: str = RENAME_GRACE, delay: str = DELAY
+    events: DataFrame, grace: str = RENAME_GRACE, wait: str | None = None
 ) -> DataFrame:
-    """T5, stream form: state per path holds its open renames; a timer at the end of the
-    grace emits those no presence event has answered."""
-    width = micros(grace)
-
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        open_us, back_us = (list(x) for x in state.get) if state.exists else ([], [])
-        for frame in frames:
-            us = (frame["ts"].astype("datetime64[us]").astype("int64")).tolist()
-            for at, op in zip(us, frame["op"]):
-                (open_us if op == "rename" else back_us).append(at)
-        mark = state.getCurrentWatermarkMs() * 1000
-        renames, back = np.unique(np.array(open_us, "int64")), np.unique(np.array(back_us, "int64"))
-        # the first presence event after each rename answers it if it is within the grace
-        first = np.append(back, np.iinfo("int64").max)[np.searchsorted(back, renames, side="right")]
-        waiting = renames[first > renames + width]
-        due = waiting[waiting + width < mark].tolist()
-        open_us = waiting[waiting + width >= mark].tolist()
-        # a presence event matters only to renames at or after the watermark less the grace
-        back_us = back[back + width >= mark].tolist()
-        if open_us or back_us:
-            state.update((open_us, back_us))
-            wake = (min([*open_us, *back_us]) + width) // 1000 + 1
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if due:
-            yield pd.DataFrame({"path": [key[0]] * len(due), "renamed_at": pd.to_datetime(due, unit="us")})
-
-    watched = (
-        events.where(P.is_supported("path"))
-        .where(F.col("op").isin("rename", *PRESENT_OPS))
-        .withWatermark("ts", delay)
-    )
-    return watched.groupBy("path").applyInPandasWithState(
-        step,
-        "path string, renamed_at timestamp",
-        "open array<long>, back array<long>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    """T5, stream form: renames that no presence event has answered, see ``renamed_stream``."""
+    watched = events.where(P.is_supported("path")).where(F.col("op").isin("rename", *PRESENT_OPS))
+    return renamed_stream(watched, grace, wait)

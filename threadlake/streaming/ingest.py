@@ -47,6 +47,7 @@ def plan_changes(
     force: bool = False,
     folder: str | None = None,
     load: Loader | None = None,
+    again: str | None = None,
 ) -> Changes:
     """The effect of scanned files, as if handled one by one in ``seq`` order.
 
@@ -58,7 +59,7 @@ def plan_changes(
     """
     stamp = now if isinstance(now, Column) else F.lit(now).cast("long")
     listing = files.drop("content")
-    plan = stage(plan_scan(listing.where("id is not null"), catalog, force), "plan", folder)
+    plan = stage(plan_scan(listing.where("id is not null"), catalog, force, again), "plan", folder)
     fresh = plan.where("outcome = 'indexed'").select("id", "file_path")
     if load is None:
         contents = files.join(fresh, ["id", "file_path"], "left_semi").select("id", "content")
@@ -116,7 +117,7 @@ def plan_changes(
 def apply_changes(
     spark: SparkSession, base: str, files: DataFrame, batch_id: int, embedder: Embedder,
     now: Column | int, force: bool = False, deleted: DataFrame | None = None, stream: str = tables.BY_HAND,
-    load: Loader | None = None,
+    load: Loader | None = None, again: str | None = None,
 ) -> DataFrame:
     """Plans one batch against the stored catalogue and writes it as a delta.
 
@@ -133,11 +134,11 @@ def apply_changes(
         catalog = tables.read_catalog(spark, base)
         if deleted is not None:
             deleted = stage(deleted.select("file_path").distinct(), "deleted", folder)
-        changes = plan_changes(catalog, files, embedder, now, force, folder, load)
+        changes = plan_changes(catalog, files, embedder, now, force, folder, load, again)
         paths = changes.paths
         if deleted is not None:
             paths = paths.unionByName(deleted).distinct()
-        tables.write_outcomes(changes.outcomes.drop("wins"), base, batch_id, stream)
+        tables.write_outcomes(changes.outcomes.drop("wins", *([again] if again else [])), base, batch_id, stream)
         tables.write_delta(changes.rows, changes.ids, paths, base, batch_id, stream)
     return tables.read_outcomes(spark, base, batch_id, stream)
 
@@ -156,11 +157,13 @@ def _compact(spark: SparkSession, base: str, batch_id: int, every: int) -> None:
         tables.expire(spark, base)
 
 
-def contents_of(fresh: DataFrame) -> DataFrame:
+def contents_of(fresh: DataFrame, whole: bool = True) -> DataFrame:
     """Contents of planned files (id, file_path), read on the executors; none for a file
-    that has vanished since it was listed."""
-    found = load_files(fresh).where("present").select("file_path", "content")
-    return fresh.join(found, "file_path").select("id", "content")
+    that has vanished since it was listed, or, where ids are hashes of ``whole`` contents, that
+    has been written to since it was hashed."""
+    found = load_files(fresh).where("present").select("file_path", F.col("id").alias("_now"), "content")
+    same = fresh.join(found, "file_path")
+    return (same.where("id = _now") if whole else same).select("id", "content")
 
 
 def scan_library(
@@ -187,7 +190,7 @@ def scan_library(
             hashed = hashed.unionByName(listed.where("unchanged").withColumn("id", F.col("known_id")))
         order = F.struct(F.col("file_mtime").alias("t"), F.col("file_path").alias("p")).alias("seq")
         files = hashed.select(order, "file_path", "file_mtime", "size_kb", "id", F.lit(None).cast("binary").alias("content"))
-        return apply_changes(spark, base, files, batch_id, embedder, now, force, stream=stream, load=contents_of)
+        return apply_changes(spark, base, files, batch_id, embedder, now, force, stream=stream, load=lambda fresh: contents_of(fresh, prefix_bytes is None))
 
 
 def library_stream(
@@ -271,29 +274,28 @@ def apply_events(
     spark: SparkSession, base: str, events: DataFrame, batch_id: int, embedder: Embedder, now: Column | int,
     stream: str = tables.BY_HAND,
 ) -> DataFrame:
-    """T3-T6 for one batch of settled events (path, op, last_ts): items are indexed again
+    """T3-T6 for one batch of settled events (path, op, last_ts): items are looked at again
     if their file is there and deleted if it is not; a companion's event counts for the
-    item it belongs to. Returns the outcomes.
-
-    Renames need no waiting here: a burst is settled only once the watermark has passed
-    it, and a file that came back under its old name is found present.
+    item it belongs to, which is then indexed again. An item whose listing and content are the
+    known ones is skipped: a file that was renamed and came back keeps its row and vector.
+    Returns the outcomes.
     """
     actions = EV.classify_events(events)
     items = tables.read_catalog(spark, base).select("file_path")
     targets = (
         EV.to_owner(actions, items)
         .groupBy(F.col("target").alias("file_path"))
-        .agg(F.max("last_ts").alias("_ts"))
+        .agg(F.max("last_ts").alias("_ts"), F.max(F.col("action") == "reindex_owner").alias("again"))
     )
     with staging(spark) as folder:
-        seen = stage(load_files(stage(targets, "targets", folder)), "seen", folder)
+        targets = stage(targets, "targets", folder)
+        seen = stage(load_files(targets), "seen", folder)
         order = F.struct(F.col("file_mtime").alias("t"), F.col("file_path").alias("p")).alias("seq")
-        files = seen.where("present").select(
-            order, "file_path", "file_mtime", S.size_kb("size_bytes").alias("size_kb"), "id", "content"
+        files = seen.where("present").join(targets.select("file_path", "again"), "file_path").select(
+            order, "file_path", "file_mtime", S.size_kb("size_bytes").alias("size_kb"), "id", "content", "again"
         )
         gone = seen.where("not present").select("file_path")
-        # an event on a known file means its content may differ under the same listing
-        return apply_changes(spark, base, files, batch_id, embedder, now, force=True, deleted=gone, stream=stream)
+        return apply_changes(spark, base, files, batch_id, embedder, now, deleted=gone, stream=stream, again="again")
 
 
 def watch_stream(
@@ -303,32 +305,46 @@ def watch_stream(
     embedder: Embedder,
     checkpoint: str,
     gap: str = EV.DEBOUNCE,
-    delay: str = EV.DELAY,
+    grace: str = EV.RENAME_GRACE,
     first_batch: int = 0,
     compact_every: int = 100,
     settle: str = "arrival",
+    delay: str = EV.DELAY,
     **trigger,
 ):
     """File changes as a stream: filter, debounce, apply. Returns the started query.
 
-    ``settle='arrival'``: what has arrived by a trigger is debounced and applied then, so no
-    event waits for a later one and none is too late; a burst that goes on at the next
-    trigger has its file looked at again. ``settle='event'``: a burst is applied once the
-    watermark has passed it, which takes later events; ones behind the watermark are dropped.
+    ``settle='arrival'``: a burst is applied once nothing more of its path has arrived for
+    ``gap``, over as many triggers as that takes; after a rename for ``grace``, so a file that
+    comes back, or turns up elsewhere, keeps its row. No event waits for a later one and none is
+    too late. Such a query runs until it is stopped.
+
+    For runs that end (``availableNow``): ``settle='trigger'`` debounces and applies what has
+    arrived by a trigger, with no waiting; with ``settle='event'`` a burst is applied once the
+    watermark (``delay`` behind the newest event) has passed it, and events behind it are dropped.
     """
-    if settle not in ("arrival", "event"):
+    if settle not in ("arrival", "trigger", "event"):
         raise ValueError(f"settle by {settle!r}")
+    if settle == "arrival" and (trigger.get("availableNow") or trigger.get("once")):
+        raise ValueError("a run that ends cannot wait: settle by 'trigger' or 'event'")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         now = F.unix_timestamp(F.current_timestamp())
-        if settle == "arrival":
-            batch = EV.debounce(batch, gap)
-        apply_events(spark, base, batch, first_batch + batch_id, embedder, now, stream_id(spark, checkpoint))
+        # the state's timers are evaluated once, whatever is done with their rows
+        batch = batch.persist()
+        try:
+            if batch.count():
+                settled = EV.debounce(batch, gap) if settle == "trigger" else batch
+                apply_events(spark, base, settled, first_batch + batch_id, embedder, now, stream_id(spark, checkpoint))
+        finally:
+            batch.unpersist()
         _compact(spark, base, batch_id, compact_every)
 
     settled = EV.relevant_events(events)
-    if settle == "event":
-        settled = EV.debounce_stream(settled, gap, delay)
+    if settle == "arrival":
+        settled = EV.debounce_stream(settled, gap, grace)
+    elif settle == "event":
+        settled = EV.debounce_by_watermark(settled, gap, delay)
     return (
         settled.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))

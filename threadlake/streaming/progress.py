@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadlake.operators.ordered import SEGMENT_ROWS, ordered_columns, with_segment
-from threadlake.streaming.events import DELAY, micros
+from threadlake.streaming.events import micros
+from threadlake.streaming.timers import stall_stream
 
 # Flush step, stall and liveness limits, refresh periods.
 FLUSH_EVERY = 50
@@ -96,45 +93,9 @@ def stalled(
     )
 
 
-def stalled_stream(
-    events: DataFrame, limit: str = STALL, key: str = "root", delay: str = DELAY
-) -> DataFrame:
-    """T9, stream form: a timer per key, re-armed by each event; it fires when the
-    watermark is past the last progress plus ``limit`` while the key runs unpaused."""
-    width = micros(limit) // 1000
-
-    def step(
-        group: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last, running, paused = state.get
-            state.remove()
-            if running and not paused:
-                yield pd.DataFrame(
-                    {key: [group[0]], "last_progress_at": [pd.Timestamp(last, unit="us")]}
-                )
-            return
-        last, running, paused = state.get if state.exists else (-1, False, False)
-        for frame in frames:
-            us = frame["ts"].astype("datetime64[us]").astype("int64")
-            at = int(us.max())
-            if at >= last:
-                row = frame.loc[us.idxmax()]
-                last, running, paused = at, bool(row["running"]), bool(row["paused"])
-        state.update((last, running, paused))
-        state.setTimeoutTimestamp(max(last // 1000 + width, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy(key)
-        .applyInPandasWithState(
-            step,
-            f"{key} string, last_progress_at timestamp",
-            "last long, running boolean, paused boolean",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+def stalled_stream(events: DataFrame, limit: str = STALL, key: str = "root") -> DataFrame:
+    """T9, stream form: keys that run unpaused without progress for ``limit``, see ``stall_stream``."""
+    return stall_stream(events, limit, key)
 
 
 def alive(beats: DataFrame, now: Column, limit: str = ALIVE, key: str = "client") -> DataFrame:
