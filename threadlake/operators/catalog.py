@@ -192,7 +192,7 @@ def detect_moves(files: DataFrame, catalog: DataFrame, order: str = "seq") -> Da
     return last.join(old, "id").where(F.col("file_path") != F.col("old_path"))
 
 
-def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False, again: str | None = None) -> DataFrame:
+def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False, again: str | None = None, by_id: DataFrame | None = None) -> DataFrame:
     """Outcome of each scanned file, as if files were handled one by one in ``seq`` order.
 
     ``files`` (seq, file_path, file_mtime, size_kb, id) has one row per path; ``id`` may
@@ -203,6 +203,9 @@ def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False, again:
     With ``again``, a boolean column of ``files``, ids are those of contents read just now: a
     file is unchanged only if its id is the known one as well, and is not asked for again.
 
+    ``by_id``: catalogue rows of the ids that the files have or replace, where ``catalog`` has
+    those of their paths alone.
+
     Rules: an unchanged file is skipped unless an earlier file of this scan has taken
     its content away; an operation is a move if its content is known at another path
     at that moment; otherwise it is indexed.
@@ -245,7 +248,7 @@ def plan_scan(files: DataFrame, catalog: DataFrame, force: bool = False, again:
         )
         .where("_first is not null")
     )
-    known = catalog.select("id", F.lit(True).alias("_known"))
+    known = (catalog if by_id is None else by_id).select("id", F.lit(True).alias("_known"))
     first_at_home = F.coalesce(F.col("_at_home") == F.col("_first"), F.lit(False))
     replaced_before = F.coalesce(F.col("_over") < F.col("_first"), F.lit(False))
     start = left_lookup(per_id, known, "id").select(

@@ -52,7 +52,7 @@ def refresh_containing(
 ) -> DataFrame:
     """Recount only folders that contain one of ``files``; here a row at the folder's
     own path counts too."""
-    hit = _containing(folders, files)
+    hit = _containing(files)
     counted = count_under(catalog, folders.join(hit, "path", "left_semi"), include_self=True, out="_n")
     flagged = folders.join(counted.select("path", "_n"), "path", "left")
     changes = {"indexed_files": F.coalesce("_n", "indexed_files").cast(folders.schema["indexed_files"].dataType)}
@@ -63,7 +63,44 @@ def refresh_containing(
     )
 
 
-def _containing(folders: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
+def count_deltas(gone: DataFrame, added: DataFrame, path: str = "file_path") -> DataFrame:
+    """J2 kept up with a batch: by how much the rows that went and the rows that came change the
+    count of each folder above them (path, delta). Costs what the batch costs: signs are
+    summed per directory before its ancestors are spelled out."""
+    signed = gone.select(P.dirname(path).alias("dir"), F.lit(-1).cast("long").alias("delta")).unionAll(
+        added.select(P.dirname(path), F.lit(1).cast("long"))
+    )
+    per_dir = signed.groupBy("dir").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    above = per_dir.select(F.explode(P.ancestors("dir", include_self=True)).alias("path"), "delta")
+    return above.groupBy("path").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+
+def changed_folders(folders: DataFrame, deltas: DataFrame, now: Column | int | None = None) -> DataFrame:
+    """The rows of ``folders`` that a batch changes, as they are after it.
+
+    ``deltas``: path, delta, and outdated where an event marks the folder. A marked folder is
+    Outdated; a full one in a waiting state becomes Completed.
+    """
+    hit = deltas.groupBy("path").agg(F.sum("delta").alias("_delta"), F.coalesce(F.max("outdated"), F.lit(False)).alias("_old"))
+    joined = folders.join(hit, "path")
+    count = F.greatest(F.lit(0), F.col("indexed_files") + F.col("_delta")).cast(folders.schema["indexed_files"].dataType)
+    changes = {
+        "indexed_files": count,
+        "status": F.when(F.col("_old"), F.lit(S.OUTDATED)).otherwise(F.col("status")),
+        "needs_rescan": F.col("_old") | F.col("needs_rescan"),
+    }
+    if "updated_at" in folders.columns:
+        changes["updated_at"] = _epoch(now)
+    after = joined.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in folders.columns])
+    return fix_completed(after, now)
+
+
+def event_marks(files: DataFrame, path: str = "file_path") -> DataFrame:
+    """T7 as deltas: the folders that are or contain one of the files, marked (path, delta, outdated)."""
+    return _containing(files, path).select("path", F.lit(0).cast("long").alias("delta"), F.lit(True).alias("outdated"))
+
+
+def _containing(files: DataFrame, path: str = "file_path") -> DataFrame:
     """Paths of the folders that are one of the files' paths or lie above one."""
     dirs = files.select(P.dirname(path).alias("d")).distinct()
     above = dirs.select(F.explode(P.ancestors("d", include_self=True)).alias("path"))
@@ -232,7 +269,7 @@ def stop_all(folders: DataFrame, now: Column | int | None = None) -> DataFrame:
 
 def mark_outdated(folders: DataFrame, events: DataFrame, path: str = "path") -> DataFrame:
     """Folders containing (or being) an event's path become Outdated."""
-    hit = _containing(folders, events.select(F.col(path).alias("file_path"))).withColumn("_hit", F.lit(True))
+    hit = _containing(events.select(F.col(path).alias("file_path"))).withColumn("_hit", F.lit(True))
     joined = folders.join(hit, "path", "left")
     outdated = F.col("_hit").isNotNull()
     changes = {

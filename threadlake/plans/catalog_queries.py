@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from threadlake.operators import catalog as C
+from threadlake.operators import folders as FO
 from threadlake.operators import dml
 from threadlake.operators.ordered import keep_latest
 from threadlake.session import shared_dir
@@ -206,6 +207,25 @@ def t6_applied(v: Views):
     )
 
 
+@query("j2_counts_after_scan", ("files", "stored", "folders"), _PLAN + """,
+    touched as (select * from plan where outcome <> 'skipped'),
+    now as (select file_path from stored where id not in (select id from touched) and file_path not in (select file_path from touched)
+            union all select file_path from plan where wins)
+    select f.path, count(n.file_path) as indexed_files from folders f left join now n on starts_with(n.file_path, f.path || '/') group by f.path""")
+def j2_counts(v: Views):
+    """Folder counts kept up with a scan by signed deltas, without a recount of the catalogue."""
+    before = v.stored()
+    plan = C.plan_scan(v.files(), before).where("outcome <> 'skipped'")
+    gone = before.join(plan.select("id").distinct(), "id", "left_semi").select("id", "file_path").unionByName(
+        before.join(plan.select("file_path").distinct(), "file_path", "left_semi").select("id", "file_path")
+    )
+    deltas = FO.count_deltas(gone.distinct(), plan.where("wins")).withColumn("outdated", F.lit(False))
+    folders = FO.recount_folders(v.folders(), before, now=1)
+    changed = FO.changed_folders(folders, deltas, now=2)
+    rest = folders.join(changed, "path", "left_anti")
+    return rest.unionByName(changed).select("path", "indexed_files")
+
+
 @query("a19_outcome_counts", ("files", "stored"), _PLAN + " select outcome, count(*) as n from plan group by outcome")
 def a19(v: Views):
     return C.outcome_counts(C.plan_scan(v.files(), v.stored()))
@@ -327,20 +347,25 @@ def s6(v: Views):
 
 
 @query("s7_scan_checkpoints", ("catalog",), """
-    with c as (select '/' || source as drive_path, lang, count(*) as processed, max(doc_id)::varchar as last_file
-               from documents group by source, lang),
-    a as (select drive_path, last_file, processed, 1::bigint as updated_at from c where lang = 'en'),
-    b as (select drive_path, '' as last_file, processed, 2::bigint as updated_at from c where lang = 'de')
-    select * from a where drive_path not in (select drive_path from b) union all select * from b""")
+    with c as (select '/' || source as drive_path, lang, count(*) as processed, max(doc_id)::varchar as last_file,
+                      dense_rank() over (order by lang) as updated_at
+               from documents group by source, lang)
+    select drive_path, case when updated_at = (select max(updated_at) from c) then '' else last_file end as last_file, processed, updated_at
+    from c qualify row_number() over (partition by drive_path order by updated_at desc) = 1""")
 def s7(v: Views):
-    """Checkpoints after the English files of each source, then after the German ones."""
+    """Checkpoints of each source after the files of one language after the other; the last
+    language is scanned to its end."""
     done = v.table("documents").groupBy(F.concat(F.lit("/"), "source").alias("drive_path"), "lang").agg(
         F.count(F.lit(1)).alias("processed"), F.max("doc_id").cast("string").alias("last_file")
     )
-    empty = v.spark.createDataFrame([], progress_table.PROGRESS_SCHEMA)
-    first = progress_table.save_progress(empty, done.where("lang = 'en'"), now=1)
-    final = done.where("lang = 'de'").withColumn("last_file", F.lit(""))
-    return progress_table.save_progress(first, final, now=2)
+    stored = v.spark.createDataFrame([], progress_table.PROGRESS_SCHEMA)
+    langs = ("de", "en", "es", "fr")
+    for step, lang in enumerate(langs, 1):
+        now = done.where(F.col("lang") == lang)
+        if lang == langs[-1]:
+            now = now.withColumn("last_file", F.lit(""))
+        stored = progress_table.save_progress(stored, now, now=step)
+    return stored
 
 
 @query("s7_source_totals", (), """

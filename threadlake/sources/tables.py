@@ -30,6 +30,8 @@ from pyspark.sql.types import (
     ArrayType, BooleanType, DoubleType, FloatType, LongType, StringType, StructField, StructType,
 )
 
+from threadlake.sources import known
+
 BLOBS = ("preview_png", "thumbnail")
 
 CATALOG_SCHEMA = StructType(
@@ -153,19 +155,22 @@ def write_snapshot(df: DataFrame, base: str, number: int | None = None, delivers
             number = _next(done)
         elif done and (number < done[-1].number or (number, "snapshot") in [(c.number, c.kind) for c in done]):
             raise ValueError(f"{base} is at {done[-1].number} already, {number} would be lost")
-        known = marks(spark, base)
+        last = marks(spark, base)
         if delivers is not None:
-            known[delivers[0]] = max(known.get(delivers[0], -1), delivers[1])
+            last[delivers[0]] = max(last.get(delivers[0], -1), delivers[1])
         # written first: with the snapshot's success mark both are in force
         fs, path = _fs(spark, os.path.join(base, f"marks-{number:012d}"))
         out = fs.create(path, True)
         try:
-            out.write(bytearray(json.dumps(known), "utf-8"))
+            out.write(bytearray(json.dumps(last), "utf-8"))
         finally:
             out.close()
         target = os.path.join(base, f"snapshot-{number:012d}")
         # an incomplete directory of the same number is a failed earlier attempt
         df.write.mode("overwrite").parquet(target)
+        if set(known.COLUMNS) <= set(df.columns):
+            rows = spark.read.schema(df.schema).parquet(target).select(*known.COLUMNS)
+            known.write_known(rows, os.path.join(base, f"known-{number:012d}"), rows.count())
     return target
 
 
@@ -209,15 +214,57 @@ def read_outcomes(spark: SparkSession, base: str, batch_id: int, stream: str = B
     return spark.read.schema(schema).parquet(path)
 
 
+def write_counts(deltas: DataFrame, base: str, batch_id: int, stream: str = BY_HAND) -> None:
+    """What a batch changes in the folder table (path, delta, outdated), beside its outcomes."""
+    deltas.write.mode("overwrite").parquet(os.path.join(_outcomes(base, batch_id, stream), "_counts"))
+
+
+def read_counts(spark: SparkSession, base: str, batch_id: int, stream: str = BY_HAND) -> DataFrame:
+    schema, path = "path string, delta long, outdated boolean", os.path.join(_outcomes(base, batch_id, stream), "_counts")
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def write_folder_delta(rows: DataFrame, base: str, batch_id: int, stream: str = BY_HAND) -> bool:
+    """One batch of folder rows as they are after it; the other folders are not written."""
+    none = rows.select(F.col("path").alias("id")).limit(0)
+    return write_delta(rows, none, rows.select(F.col("path").alias("file_path")), base, batch_id, stream)
+
+
 def read_snapshot(spark: SparkSession, base: str, schema: StructType = CATALOG_SCHEMA) -> DataFrame:
     """Newest snapshot with the deltas after it; an empty table if there is none."""
     done = commits(spark, base)
     snaps = [c for c in done if c.kind == "snapshot"]
-    deltas = [c for c in done if c.kind == "delta" and (not snaps or c.number > snaps[-1].number)]
     if snaps:
         table = spark.read.schema(schema).parquet(os.path.join(base, snaps[-1].name))
     else:
         table = spark.createDataFrame([], schema)
+    return _with_deltas(spark, base, done, table, schema)
+
+
+def read_known(spark: SparkSession, base: str, keys: DataFrame, kind: str) -> DataFrame:
+    """Current rows (id, file_path, file_mtime, size_kb) of a catalogue whose ``kind`` of key
+    (path / id / stem) is among ``keys`` (key, each once); no vector is read."""
+    done = commits(spark, base)
+    snaps = [c for c in done if c.kind == "snapshot"]
+    keys = keys.where("key is not null")
+    target = os.path.join(base, f"known-{snaps[-1].number:012d}") if snaps else ""
+    copies = [n for n in _names(spark, target) if _exists(spark, os.path.join(target, n, "_SUCCESS"))] if snaps else []
+    if copies:
+        table = known.read_buckets(spark, target, int(copies[0].rpartition("-")[2]), kind, keys)
+    elif snaps:
+        stored = spark.read.schema(CATALOG_SCHEMA).parquet(os.path.join(base, snaps[-1].name)).select(*known.COLUMNS)
+        table = stored.withColumn("key", known.KEYS[kind]()).join(keys, "key", "left_semi").drop("key")
+    else:
+        table = spark.createDataFrame([], CATALOG_SCHEMA).select(*known.COLUMNS)
+    slim = StructType([f for f in CATALOG_SCHEMA if f.name in known.COLUMNS])
+    now = _with_deltas(spark, base, done, table, slim)
+    return now.withColumn("key", known.KEYS[kind]()).join(keys, "key", "left_semi").select(*known.COLUMNS)
+
+
+def _with_deltas(spark: SparkSession, base: str, done: list[Commit], table: DataFrame, schema: StructType) -> DataFrame:
+    """``table``, rows of the newest snapshot, as the deltas after it have left them."""
+    snaps = [c for c in done if c.kind == "snapshot"]
+    deltas = [c for c in done if c.kind == "delta" and (not snaps or c.number > snaps[-1].number)]
     if not deltas:
         return table
 
@@ -232,18 +279,14 @@ def read_snapshot(spark: SparkSession, base: str, schema: StructType = CATALOG_S
     keys = each("keys", "kind string, key string")
     last = keys.groupBy("kind", "key").agg(F.max("_batch").alias("_last"))
     by_id = last.where("kind = 'id'").select(F.col("key").alias("id"), F.col("_last").alias("_l1"))
-    by_path = last.where("kind = 'path'").select(F.col("key").alias("file_path"), F.col("_last").alias("_l2"))
-    kept = table.join(by_id, "id", "left_anti").join(by_path, "file_path", "left_anti")
-    added = (
-        each("rows", schema)
-        .join(by_id, "id", "left")
-        .join(by_path, "file_path", "left")
-        .where(
-            (F.col("_batch") >= F.coalesce("_l1", F.lit(-1)))
-            & (F.col("_batch") >= F.coalesce("_l2", F.lit(-1)))
-        )
-    )
     names = schema.names
+    path = "file_path" if "file_path" in names else "path"
+    by_path = last.where("kind = 'path'").select(F.col("key").alias(path), F.col("_last").alias("_l2"))
+    kept = table.join(by_path, path, "left_anti")
+    added = each("rows", schema).join(by_path, path, "left").where(F.col("_batch") >= F.coalesce("_l2", F.lit(-1)))
+    if "id" in names:
+        kept = kept.join(by_id, "id", "left_anti")
+        added = added.join(by_id, "id", "left").where(F.col("_batch") >= F.coalesce("_l1", F.lit(-1)))
     return kept.select(*names).unionByName(added.select(*names))
 
 
@@ -270,7 +313,7 @@ def expire(spark: SparkSession, base: str, keep: int = 2) -> None:
         kept = {(c.stream, c.batch) for c in done if c.name not in gone} | set(last.items())
         for name in _names(spark, base):
             m = _OUTCOMES.match(name)
-            if m and (m[1], int(m[2])) not in kept or name in [f"marks-{n:012d}" for n in snaps[:-keep]]:
+            if m and (m[1], int(m[2])) not in kept or name in [f"{kind}-{n:012d}" for kind in ("marks", "known") for n in snaps[:-keep]]:
                 gone.append(name)
         fs, _ = _fs(spark, base)
         for name in gone:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from threadlake.functions import paths as P
 from threadlake.functions import scalars as S
 from threadlake.operators.catalog import plan_scan, split_unchanged
-from threadlake.operators.folders import mark_outdated
+from threadlake.operators.folders import changed_folders, count_deltas, event_marks
 from threadlake.operators.joins import left_lookup
 from threadlake.session import stage, staging
 from threadlake.sources import tables
 from threadlake.sources.files import fingerprint_files, load_files, walk_files
+from threadlake.sources.known import stem_key
 from threadlake.streaming import events as EV
 
 # The schema of Spark's binaryFile source, which streams have to name.
@@ -34,6 +35,14 @@ class Changes:
     def __init__(self, outcomes: DataFrame, rows: DataFrame, ids: DataFrame, paths: DataFrame):
         self.outcomes, self.rows, self.ids, self.paths = outcomes, rows, ids, paths
 
+    def taken_from(self, by_id: DataFrame, by_path: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+        """Rows (id, file_path) that leave the catalogue or change there, out of those it has
+        for the ids and the paths of the batch."""
+        paths = self.paths if deleted is None else self.paths.unionByName(deleted)
+        one = by_id.join(self.ids, "id", "left_semi").select("id", "file_path")
+        two = by_path.join(paths, "file_path", "left_semi").select("id", "file_path")
+        return one.unionByName(two).distinct()
+
     def applied_to(self, catalog: DataFrame) -> DataFrame:
         kept = catalog.join(self.ids, "id", "left_anti").join(self.paths, "file_path", "left_anti")
         return kept.select(*catalog.columns).unionByName(self.rows.select(*catalog.columns))
@@ -48,18 +57,22 @@ def plan_changes(
     folder: str | None = None,
     load: Loader | None = None,
     again: str | None = None,
+    by_path: DataFrame | None = None,
+    by_id: DataFrame | None = None,
 ) -> Changes:
     """The effect of scanned files, as if handled one by one in ``seq`` order.
 
     ``files``: seq, file_path, file_mtime, size_kb, id, and content unless ``load`` fetches
     it for the files to embed; one row per path. Each new content is embedded once, whatever
-    number of copies it has. A file whose content is unreadable or cannot be embedded is
+    number of copies it has. ``by_path`` and ``by_id`` are what the catalogue knows of the paths
+    and ids of the batch; with them the catalogue itself is read for vectors of known content
+    that moves or is indexed again, and for nothing else. A file whose content is unreadable or cannot be embedded is
     'failed' and changes nothing. The plan and the vectors are staged in ``folder``; the
     result is read from there.
     """
     stamp = now if isinstance(now, Column) else F.lit(now).cast("long")
     listing = files.drop("content")
-    plan = stage(plan_scan(listing.where("id is not null"), catalog, force, again), "plan", folder)
+    plan = stage(plan_scan(listing.where("id is not null"), catalog if by_path is None else by_path, force, again, by_id), "plan", folder)
     fresh = plan.where("outcome = 'indexed'").select("id", "file_path")
     if load is None:
         contents = files.join(fresh, ["id", "file_path"], "left_semi").select("id", "content")
@@ -69,7 +82,7 @@ def plan_changes(
     good = vectors.where("embedding is not null").select("id", F.col("embedding").alias("_new"))
     # a content that could not be read any more has no vector either
     bad = fresh.select("id").distinct().join(good, "id", "left_anti").withColumn("_bad", F.lit(True))
-    home = catalog.select("id", F.col("file_path").alias("_home"))
+    home = (catalog if by_id is None else by_id).select("id", F.col("file_path").alias("_home"))
     # a later copy of content that could not be embedded fails as well, unless the
     # catalogue already knows the content
     judged = (
@@ -97,6 +110,10 @@ def plan_changes(
         F.col("has_preview").alias("_shown"),
         F.col("indexed_at").alias("_at"),
     )
+    if by_id is not None:
+        stored = winners.select("id").join(by_id.select("id"), "id", "left_semi")
+        if stored.isEmpty():
+            old = old.limit(0)
     joined = left_lookup(winners, old, "id")
     fresh_row = F.col("_new").isNotNull()
     rows = joined.select(
@@ -117,7 +134,7 @@ def plan_changes(
 def apply_changes(
     spark: SparkSession, base: str, files: DataFrame, batch_id: int, embedder: Embedder,
     now: Column | int, force: bool = False, deleted: DataFrame | None = None, stream: str = tables.BY_HAND,
-    load: Loader | None = None, again: str | None = None,
+    load: Loader | None = None, again: str | None = None, folders_base: str | None = None, marks: bool = False,
 ) -> DataFrame:
     """Plans one batch against the stored catalogue and writes it as a delta.
 
@@ -125,21 +142,42 @@ def apply_changes(
     one in the same batch is a move and keeps its vector; a path the batch stores again
     stays. Stream and batch id make a repeated delivery harmless. Returns the outcomes, which
     are kept beside the delta.
+
+    With ``folders_base`` the counts and states of the folders around the changed rows follow
+    (J2, X7), and with ``marks`` the folders around all files of the batch are Outdated (T7). What
+    changes there is stored before the batch is, so a delivery that stopped between the
+    two tables is completed when it is repeated.
     """
-    if tables.delivered(spark, base, batch_id, stream):
-        return tables.read_outcomes(spark, base, batch_id, stream)
-    with tables.writing(base), staging(spark) as folder:
-        # the batch feeds several branches: keep one copy of it
-        files = stage(files, "files", folder)
-        catalog = tables.read_catalog(spark, base)
-        if deleted is not None:
-            deleted = stage(deleted.select("file_path").distinct(), "deleted", folder)
-        changes = plan_changes(catalog, files, embedder, now, force, folder, load, again)
-        paths = changes.paths
-        if deleted is not None:
-            paths = paths.unionByName(deleted).distinct()
-        tables.write_outcomes(changes.outcomes.drop("wins", *([again] if again else [])), base, batch_id, stream)
-        tables.write_delta(changes.rows, changes.ids, paths, base, batch_id, stream)
+    if not tables.delivered(spark, base, batch_id, stream):
+        with tables.writing(base), staging(spark) as folder:
+            # the batch feeds several branches: keep one copy of it
+            files = stage(files, "files", folder)
+            catalog = tables.read_catalog(spark, base)
+            touched = files.select("file_path")
+            if deleted is not None:
+                deleted = stage(deleted.select("file_path").distinct(), "deleted", folder)
+                touched = touched.unionByName(deleted)
+            by_path = touched.select(F.col("file_path").alias("key")).distinct()
+            by_path = stage(tables.read_known(spark, base, by_path, "path"), "by-path", folder)
+            ids = files.select("id").unionByName(by_path.select("id")).select(F.col("id").alias("key")).distinct()
+            by_id = stage(tables.read_known(spark, base, ids, "id"), "by-id", folder)
+            changes = plan_changes(catalog, files, embedder, now, force, folder, load, again, by_path, by_id)
+            paths = changes.paths
+            if deleted is not None:
+                paths = paths.unionByName(deleted).distinct()
+            tables.write_outcomes(changes.outcomes.drop("wins", *([again] if again else [])), base, batch_id, stream)
+            if folders_base is not None:
+                gone = changes.taken_from(by_id, by_path, deleted)
+                counts = count_deltas(gone, changes.rows.select("file_path")).withColumn("outdated", F.lit(False))
+                tables.write_counts(counts.unionByName(event_marks(touched)) if marks else counts, base, batch_id, stream)
+            tables.write_delta(changes.rows, changes.ids, paths, base, batch_id, stream)
+    if folders_base is not None:
+        with tables.writing(folders_base):
+            if not tables.delivered(spark, folders_base, batch_id, stream):
+                counts = tables.read_counts(spark, base, batch_id, stream)
+                with staging(spark) as folder:
+                    after = stage(changed_folders(tables.read_folders(spark, folders_base), counts, now), "folders", folder)
+                    tables.write_folder_delta(after, folders_base, batch_id, stream)
     return tables.read_outcomes(spark, base, batch_id, stream)
 
 
@@ -150,11 +188,14 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(text)["id"].replace("-", "")
 
 
-def _compact(spark: SparkSession, base: str, batch_id: int, every: int) -> None:
+def _compact(spark: SparkSession, base: str, batch_id: int, every: int, folders_base: str | None = None) -> None:
     """Folds the deltas after every ``every``-th batch (0: never)."""
     if every and batch_id % every == every - 1:
         tables.compact(spark, base)
         tables.expire(spark, base)
+        if folders_base is not None:
+            tables.compact(spark, folders_base, tables.FOLDER_SCHEMA)
+            tables.expire(spark, folders_base)
 
 
 def contents_of(fresh: DataFrame, whole: bool = True) -> DataFrame:
@@ -169,6 +210,7 @@ def contents_of(fresh: DataFrame, whole: bool = True) -> DataFrame:
 def scan_library(
     spark: SparkSession, roots: Sequence[str], base: str, embedder: Embedder, now: Column | int | None = None,
     force: bool = False, batch_id: int | None = None, stream: str = "scan", prefix_bytes: int | None = None,
+    folders_base: str | None = None,
 ) -> DataFrame:
     """S1, J6, F5, J7, T6 in one: brings the catalogue at ``base`` up to what lies below
     ``roots``. Returns the outcome per file.
@@ -177,7 +219,8 @@ def scan_library(
     Only files whose path, mtime or size is not in the catalogue are hashed (with ``force``
     all), over their whole contents unless ``prefix_bytes`` bounds that (files that are equal
     so far are then one), and only contents that the catalogue does not know are embedded. Without
-    ``batch_id`` the scan takes the next number of its ``stream``.
+    ``batch_id`` the scan takes the next number of its ``stream``. ``folders_base`` names the folder
+    table that follows.
     """
     now = F.unix_timestamp(F.current_timestamp()) if now is None else now
     with tables.writing(base), staging(spark) as folder:
@@ -190,20 +233,20 @@ def scan_library(
             hashed = hashed.unionByName(listed.where("unchanged").withColumn("id", F.col("known_id")))
         order = F.struct(F.col("file_mtime").alias("t"), F.col("file_path").alias("p")).alias("seq")
         files = hashed.select(order, "file_path", "file_mtime", "size_kb", "id", F.lit(None).cast("binary").alias("content"))
-        return apply_changes(spark, base, files, batch_id, embedder, now, force, stream=stream, load=lambda fresh: contents_of(fresh, prefix_bytes is None))
+        return apply_changes(spark, base, files, batch_id, embedder, now, force, stream=stream, load=lambda fresh: contents_of(fresh, prefix_bytes is None), folders_base=folders_base)
 
 
 def library_stream(
     spark: SparkSession, roots: Sequence[str], base: str, embedder: Embedder, checkpoint: str,
     every: str = "30 minutes", compact_every: int = 100, on_outcomes: Callable[[DataFrame, int], None] | None = None,
-    prefix_bytes: int | None = None,
+    prefix_bytes: int | None = None, folders_base: str | None = None,
 ):
     """``scan_library`` again and again, so changed files and files with an old
     mtime are found as well. The checkpoint remembers the scans done. Returns the query."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        outcomes = scan_library(spark, roots, base, embedder, batch_id=batch_id, stream=stream_id(spark, checkpoint), prefix_bytes=prefix_bytes)
-        _compact(spark, base, batch_id, compact_every)
+        outcomes = scan_library(spark, roots, base, embedder, batch_id=batch_id, stream=stream_id(spark, checkpoint), prefix_bytes=prefix_bytes, folders_base=folders_base)
+        _compact(spark, base, batch_id, compact_every, folders_base)
         if on_outcomes is not None:
             on_outcomes(outcomes, batch_id)
 
@@ -272,16 +315,17 @@ def ingest_stream(
 
 def apply_events(
     spark: SparkSession, base: str, events: DataFrame, batch_id: int, embedder: Embedder, now: Column | int,
-    stream: str = tables.BY_HAND,
+    stream: str = tables.BY_HAND, folders_base: str | None = None,
 ) -> DataFrame:
-    """T3-T6 for one batch of settled events (path, op, last_ts): items are looked at again
+    """T3-T7 for one batch of settled events (path, op, last_ts): items are looked at again
     if their file is there and deleted if it is not; a companion's event counts for the
     item it belongs to, which is then indexed again. An item whose listing and content are the
     known ones is skipped: a file that was renamed and came back keeps its row and vector.
-    Returns the outcomes.
+    The folders around them in ``folders_base`` are Outdated. Returns the outcomes.
     """
     actions = EV.classify_events(events)
-    items = tables.read_catalog(spark, base).select("file_path")
+    stems = actions.where("action = 'reindex_owner'").select(stem_key("path").alias("key")).distinct()
+    items = tables.read_known(spark, base, stems, "stem").select("file_path")
     targets = (
         EV.to_owner(actions, items)
         .groupBy(F.col("target").alias("file_path"))
@@ -295,7 +339,7 @@ def apply_events(
             order, "file_path", "file_mtime", S.size_kb("size_bytes").alias("size_kb"), "id", "content", "again"
         )
         gone = seen.where("not present").select("file_path")
-        return apply_changes(spark, base, files, batch_id, embedder, now, deleted=gone, stream=stream, again="again")
+        return apply_changes(spark, base, files, batch_id, embedder, now, deleted=gone, stream=stream, again="again", folders_base=folders_base, marks=True)
 
 
 def watch_stream(
@@ -310,6 +354,7 @@ def watch_stream(
     compact_every: int = 100,
     settle: str = "arrival",
     delay: str = EV.DELAY,
+    folders_base: str | None = None,
     **trigger,
 ):
     """File changes as a stream: filter, debounce, apply. Returns the started query.
@@ -335,10 +380,10 @@ def watch_stream(
         try:
             if batch.count():
                 settled = EV.debounce(batch, gap) if settle == "trigger" else batch
-                apply_events(spark, base, settled, first_batch + batch_id, embedder, now, stream_id(spark, checkpoint))
+                apply_events(spark, base, settled, first_batch + batch_id, embedder, now, stream_id(spark, checkpoint), folders_base)
         finally:
             batch.unpersist()
-        _compact(spark, base, batch_id, compact_every)
+        _compact(spark, base, batch_id, compact_every, folders_base)
 
     settled = EV.relevant_events(events)
     if settle == "arrival":
@@ -356,10 +401,10 @@ def watch_stream(
 def outdated_batch(
     spark: SparkSession, folders_base: str, events: DataFrame, batch_id: int, stream: str = tables.BY_HAND
 ) -> None:
-    """foreachBatch body that marks the folders around a batch of events."""
-    with tables.writing(folders_base):
+    """foreachBatch body that marks the folders around a batch of events, where no catalogue
+    is kept by the same stream."""
+    with tables.writing(folders_base), staging(spark) as folder:
         if tables.delivered(spark, folders_base, batch_id, stream):
             return
-        folders = tables.read_folders(spark, folders_base)
-        tables.write_snapshot(mark_outdated(folders, events), folders_base, delivers=(stream, batch_id))
-        tables.expire(spark, folders_base)
+        marked = changed_folders(tables.read_folders(spark, folders_base), event_marks(events, "path"))
+        tables.write_folder_delta(stage(marked, "folders", folder), folders_base, batch_id, stream)
