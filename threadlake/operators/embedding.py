@@ -6,6 +6,8 @@ one vector per image. It is called once per task, inside the executor.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -102,3 +104,69 @@ def companion_vectors(
     views = augment_views(images, [item, key])
     vectors = embed(views, encoder_factory, [item, key, "view_id"])
     return centroid(vectors.where("embedding is not null"), [item], "embedding")
+
+
+def png(image: np.ndarray) -> bytes:
+    """A picture (height, width, 1 / 3 / 4 channels, 8 bits) as a PNG file."""
+    height, width, channels = image.shape
+    lines = np.zeros((height, 1 + width * channels), np.uint8)  # each line starts with its filter, none
+    lines[:, 1:] = image.reshape(height, -1)
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def shrink(image: np.ndarray, side: int) -> np.ndarray:
+    """The picture in whole steps down to at most ``side`` pixels a side, each the mean of its square."""
+    step = -(-max(image.shape[:2]) // side)
+    if step <= 1:
+        return image
+    high, wide = (np.arange(0, n, step) for n in image.shape[:2])
+    sums = np.add.reduceat(np.add.reduceat(image.astype("float64"), high, axis=0), wide, axis=1)
+    cells = np.outer(np.diff(np.append(high, image.shape[0])), np.diff(np.append(wide, image.shape[1])))
+    return np.round(sums / cells[:, :, None]).astype(np.uint8)
+
+
+def image_embedder(
+    decode: Callable[[bytes], np.ndarray | None],
+    encoder_factory: Callable[[], Encoder],
+    preview_side: int = 1024,
+    thumbnail_side: int = 256,
+    batch_size: int = ENCODE_BATCH,
+) -> Callable[[DataFrame], DataFrame]:
+    """The embedder of scans and streams over files that hold pictures: (id, content) -> id,
+    embedding, preview_png, thumbnail.
+
+    ``decode`` turns one content into a picture (height, width, channels), or None; what it
+    cannot read, or refuses with ValueError, has nulls. It and the encoder run on the
+    executors, ``batch_size`` contents at a time.
+    """
+    schema = "id string, embedding array<float>, preview_png binary, thumbnail binary"
+
+    def read(content: bytes | None) -> np.ndarray | None:
+        try:
+            found = decode(content) if content else None
+        except ValueError:
+            return None
+        return None if found is None or not found.size else on_white(found)
+
+    def run(batches):
+        encode = encoder_factory()
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                pictures = [read(c.as_py()) for c in part.column(1)]
+                good = [p for p in pictures if p is not None]
+                vectors = iter(unit_rows(encode(good)).astype("float32")) if good else iter(())
+                columns = [
+                    part.column(0),
+                    pa.array([None if p is None else next(vectors) for p in pictures], pa.list_(pa.float32())),
+                    pa.array([None if p is None else png(shrink(p, preview_side)) for p in pictures], pa.binary()),
+                    pa.array([None if p is None else png(shrink(p, thumbnail_side)) for p in pictures], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "embedding", "preview_png", "thumbnail"])
+
+    return lambda contents: contents.select("id", "content").mapInArrow(run, schema)

@@ -6,10 +6,10 @@ import os
 from pyspark.sql import functions as F
 
 from threadlake.operators import catalog as C
-from threadlake.operators import folders as FO
 from threadlake.operators import dml
+from threadlake.operators import folders as FO
 from threadlake.operators.ordered import keep_latest
-from threadlake.session import shared_dir
+from threadlake.session import shared_dir, stage
 from threadlake.sources import progress_table, tables
 from threadlake.streaming.ingest import plan_changes
 
@@ -215,7 +215,7 @@ def t6_applied(v: Views):
 def j2_counts(v: Views):
     """Folder counts kept up with a scan by signed deltas, without a recount of the catalogue."""
     before = v.stored()
-    plan = C.plan_scan(v.files(), before).where("outcome <> 'skipped'")
+    plan = stage(C.plan_scan(v.files(), before).where("outcome <> 'skipped'"), "plan")
     gone = before.join(plan.select("id").distinct(), "id", "left_semi").select("id", "file_path").unionByName(
         before.join(plan.select("file_path").distinct(), "file_path", "left_semi").select("id", "file_path")
     )

@@ -119,6 +119,11 @@ def _next(done: list[Commit]) -> int:
     return done[-1].number + 1 if done else 0
 
 
+def next_number(spark: SparkSession, base: str) -> int:
+    """The number of the next commit."""
+    return _next(commits(spark, base))
+
+
 def marks(spark: SparkSession, base: str) -> dict[str, int]:
     """The last batch of each stream that the table holds."""
     done = commits(spark, base)

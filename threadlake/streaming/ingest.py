@@ -17,12 +17,14 @@ from threadlake.session import stage, staging
 from threadlake.sources import tables
 from threadlake.sources.files import fingerprint_files, load_files, walk_files
 from threadlake.sources.known import stem_key
+from threadlake.sources.media import fold_media, write_media
 from threadlake.streaming import events as EV
 
 # The schema of Spark's binaryFile source, which streams have to name.
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
-# DataFrame (id, content) -> DataFrame (id, embedding); a null vector marks a failure.
+# DataFrame (id, content) -> DataFrame (id, embedding); a null vector marks a failure. It may
+# have preview_png and thumbnail as well, which become the item's media.
 Embedder = Callable[[DataFrame], DataFrame]
 # DataFrame (id, file_path) -> DataFrame (id, content)
 Loader = Callable[[DataFrame], DataFrame]
@@ -30,10 +32,11 @@ Loader = Callable[[DataFrame], DataFrame]
 
 class Changes:
     """What one batch does to the catalogue: ``outcomes`` per file, new ``rows``, and the
-    ids and paths that no longer hold their old row."""
+    ids and paths that no longer hold their old row; ``media`` of new contents, if the
+    embedder makes any."""
 
-    def __init__(self, outcomes: DataFrame, rows: DataFrame, ids: DataFrame, paths: DataFrame):
-        self.outcomes, self.rows, self.ids, self.paths = outcomes, rows, ids, paths
+    def __init__(self, outcomes: DataFrame, rows: DataFrame, ids: DataFrame, paths: DataFrame, media: DataFrame | None = None):
+        self.outcomes, self.rows, self.ids, self.paths, self.media = outcomes, rows, ids, paths, media
 
     def taken_from(self, by_id: DataFrame, by_path: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
         """Rows (id, file_path) that leave the catalogue or change there, out of those it has
@@ -79,7 +82,9 @@ def plan_changes(
     else:
         contents = load(fresh)
     vectors = stage(embedder(contents), "vectors", folder)
-    good = vectors.where("embedding is not null").select("id", F.col("embedding").alias("_new"))
+    pictured = "preview_png" in vectors.columns
+    drawn = F.col("preview_png").isNotNull() if pictured else F.lit(False)
+    good = vectors.where("embedding is not null").select("id", F.col("embedding").alias("_new"), drawn.alias("_drawn"))
     # a content that could not be read any more has no vector either
     bad = fresh.select("id").distinct().join(good, "id", "left_anti").withColumn("_bad", F.lit(True))
     home = (catalog if by_id is None else by_id).select("id", F.col("file_path").alias("_home"))
@@ -123,12 +128,16 @@ def plan_changes(
         F.when(fresh_row, F.lit("emb")).otherwise(F.col("_format")).alias("format"),
         "size_kb",
         F.col("file_mtime").cast("long").alias("file_mtime"),
-        (fresh_row | F.col("_shown")).alias("has_preview"),
+        (F.coalesce("_drawn", F.lit(False)) | F.coalesce("_shown", F.lit(False))).alias("has_preview"),
         F.coalesce("_new", "_old").cast("array<float>").alias("embedding"),
         F.col("_side").alias("sidecar_embedding"),
         F.when(fresh_row, stamp).otherwise(F.col("_at")).alias("indexed_at"),
     )
-    return Changes(outcomes, rows, done.select("id").distinct(), done.select("file_path").distinct())
+    media = None
+    if pictured:
+        small = F.col("thumbnail") if "thumbnail" in vectors.columns else F.lit(None).cast("binary")
+        media = vectors.where("embedding is not null and preview_png is not null").select("id", "preview_png", small.alias("thumbnail"))
+    return Changes(outcomes, rows, done.select("id").distinct(), done.select("file_path").distinct(), media)
 
 
 def apply_changes(
@@ -170,6 +179,8 @@ def apply_changes(
                 gone = changes.taken_from(by_id, by_path, deleted)
                 counts = count_deltas(gone, changes.rows.select("file_path")).withColumn("outdated", F.lit(False))
                 tables.write_counts(counts.unionByName(event_marks(touched)) if marks else counts, base, batch_id, stream)
+            if changes.media is not None:
+                write_media(changes.media, base)
             tables.write_delta(changes.rows, changes.ids, paths, base, batch_id, stream)
     if folders_base is not None:
         with tables.writing(folders_base):
@@ -193,6 +204,7 @@ def _compact(spark: SparkSession, base: str, batch_id: int, every: int, folders_
     if every and batch_id % every == every - 1:
         tables.compact(spark, base)
         tables.expire(spark, base)
+        fold_media(spark, base)
         if folders_base is not None:
             tables.compact(spark, folders_base, tables.FOLDER_SCHEMA)
             tables.expire(spark, folders_base)
