@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import paths as P
+from threadlake.operators.containment import count_under
 from threadlake.operators.joins import left_lookup
 
 # Page sizes.
@@ -30,6 +31,16 @@ def lookup(
     return out
 
 
+def path_facts(catalog: DataFrame, paths: DataFrame) -> DataFrame:
+    """For each wanted path (``path``, each once) whether an item has it, and how many items
+    lie below it: path, present, below."""
+    known = catalog.select(F.col("file_path").alias("path")).join(paths.select("path"), "path", "left_semi").distinct()
+    below = count_under(catalog, paths.select("path"), out="below")
+    return below.join(known.withColumn("_is", F.lit(True)), "path", "left").select(
+        "path", F.coalesce("_is", F.lit(False)).alias("present"), "below"
+    )
+
+
 def thumbnail(media: DataFrame) -> DataFrame:
     """Stored thumbnail, else the preview."""
     return media.select("id", F.coalesce("thumbnail", "preview_png").alias("thumbnail"))

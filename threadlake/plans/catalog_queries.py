@@ -56,6 +56,17 @@ def p6(v: Views):
     return C.lookup(v.catalog(), ids=stored, paths=stored).select("rowid", "id", "file_path")
 
 
+@query("p6_path_facts", ("catalog", "stored", "folders"), """
+    with p as (select path from folders union select file_path from stored)
+    select p.path, p.path in (select file_path from catalog) as present,
+           count(c.file_path) as below
+    from p left join catalog c on starts_with(c.file_path, p.path || '/') group by p.path""")
+def p6_facts(v: Views):
+    """Existence and count of every folder and stored path."""
+    paths = v.folders().select("path").union(v.stored().select("file_path")).distinct()
+    return C.path_facts(v.catalog(), paths)
+
+
 @query("p7_thumbnail", (), """
     select vec_id as id, upper(hex(encode(case when vec_id % 3 = 0 then 'p' || label::varchar else 't' || vec_id::varchar end))) as thumbnail
     from embeddings""")

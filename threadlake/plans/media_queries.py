@@ -161,6 +161,21 @@ def u7(v: Views):
     return images.content_box(v.pixels(), hit, margin=1, min_lines=4)
 
 
+@query("u7_canvas_box", ("pixels",), """
+    with h as (select *, greatest(r - g, 0) < 30 and r - b > 5 and r > 180 as hit from pixels),
+    s as (select img_id, min(x) filter (hit) as lx, max(x) filter (hit) as hx, min(y) filter (hit) as ly, max(y) filter (hit) as hy,
+                 count(distinct x) filter (hit) as nx, count(distinct y) filter (hit) as ny from h group by img_id)
+    select img_id, (case when nx >= 2 and ny >= 2 then greatest(0, lx - 1) else 0 end)::int as x0,
+           (case when nx >= 2 and ny >= 2 then greatest(0, ly - 1) else 0 end)::int as y0,
+           (case when nx >= 2 and ny >= 2 then hx else 8 end)::int as x1, (case when nx >= 2 and ny >= 2 then hy else 8 end)::int as y1,
+           nx >= 2 and ny >= 2 as found
+    from s""")
+def u7_canvas(v: Views):
+    """The crop to a beige canvas."""
+    hit = images.is_canvas(F.col("r"), F.col("g"), F.col("b"))
+    return images.content_box(v.pixels(), hit, margin=1, min_lines=2)
+
+
 _ENCODE = """
     c as (select {keys}, x // {half} + 2 * (y // {half}) as cell, avg(r) as r, avg(g) as g, avg(b) as b from {src} group by all),
     d as (select {keys}, cell * 3 + k as i, case k when 0 then r when 1 then g else b end as e from c, (values (0), (1), (2)) as t(k)),

@@ -83,7 +83,7 @@ def s10(v: Views):
     select file_path from items union all select file_path from pictures""")
 def s11(v: Views):
     """Union of the file feeds of several roots."""
-    return v.items().unionByName(v.pictures())
+    return file_source.one_feed([v.items(), v.pictures()])
 
 
 @query("s12_eval_folder", ("items",), """

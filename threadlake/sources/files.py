@@ -109,6 +109,15 @@ def _list_dirs(dirs: DataFrame) -> DataFrame:
     return dirs.mapInArrow(run, _ENTRY)
 
 
+def one_feed(feeds: Sequence[DataFrame]) -> DataFrame:
+    """The files of several roots as one feed, column by name; a column that a feed lacks is
+    null there. Nested roots are listed by each, see ``walk_files`` for one walk over all."""
+    out = feeds[0]
+    for feed in feeds[1:]:
+        out = out.unionByName(feed, allowMissingColumns=True)
+    return out
+
+
 def walk_files(
     spark: SparkSession,
     roots: Sequence[str],
