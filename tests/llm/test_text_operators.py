@@ -352,3 +352,17 @@ def test_span_digest(spark):
     found = secret_scan.scan(row)
     text = found.select(secret_scan.listed(found["assign"])).first()[0]
     assert text == "assign:0:16" and len(hashlib.sha256(text.encode()).hexdigest()) == 64
+
+
+def test_masks_leave_clashing_columns_alone(spark):
+    names = ["_new", "_spans", "_sdoc", "_sprint", "_row", "_masked", "_doc", "a.b"]
+    data = [(1, "password = hunter22 end", 23, *names), (2, "nothing", 7, *names), (None, None, None, *names), (1, "plain", 5, *names)]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(data, schema)
+    got = secret_scan.mask_secrets(docs)
+    assert got.schema == docs.schema
+    rows = got.collect()
+    assert len(rows) == 4 and all([r[n] for n in names] == names for r in rows)
+    assert {(r.text, r.n_chars) for r in rows} == {
+        (secret_scan.MASK + " end", len(secret_scan.MASK) + 4), ("nothing", 7), (None, None), ("plain", 5)
+    }

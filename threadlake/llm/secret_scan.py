@@ -140,19 +140,25 @@ def masked(text: Column, found: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``docs``, all rows and columns, with secrets and linked parts masked in ``text`` and
-    ``n_chars`` (where there is one) following it."""
+    """``docs``, all rows and columns whatever their names, with secrets and linked parts masked
+    in ``text`` and ``n_chars`` (where there is one, and of its type) following it."""
     spans_of = scan(docs, scope).select(
         F.col("doc_id").alias("_sdoc"), F.col("_print").alias("_sprint"), F.concat("assign", "access", "hex", "added").alias("_spans")
     )
     hit = stage(spans_of.where(F.size("_spans") > 0).dropDuplicates(["_sdoc", "_sprint"]), "hits")
     hit = small(hit, hit.count())
-    print_of = F.xxhash64(whole(docs["text"]))
-    both = docs.join(hit, docs["doc_id"].eqNullSafe(hit["_sdoc"]) & (print_of == hit["_sprint"]), "left")
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(masked(docs["text"], F.col("_spans")))
-    out = both.withColumn("_new", text)
-    names = [F.col("_new").alias(c) if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*names)
+    # the row travels as one column, so its names meet none of this step's
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+    old = F.col("_row")["text"]
+    both = rows.join(hit, F.col("_row")["doc_id"].eqNullSafe(hit["_sdoc"]) & (F.xxhash64(whole(old)) == hit["_sprint"]), "left")
+    both = both.select("_row", F.when(F.col("_spans").isNull(), old).otherwise(masked(old, F.col("_spans"))).alias("_masked"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("_masked")
+        return F.length("_masked").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("_row").getField(c)
+
+    return both.select(*(column(c).alias(c) for c in docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
