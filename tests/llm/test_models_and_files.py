@@ -436,3 +436,20 @@ def test_pipeline_stages_equal_brute_force(spark):
         ids = library.encode(masked[i]["text"], add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_one_row_of_a_repeated_id_is_fetched(spark, monkeypatch):
+    """A third of all rows under one labelled id: the driver gets a row for each id drawn."""
+    docs = spark.range(6000).selectExpr("if(id < 2000, 7, id) as doc_id", "concat('text number ', id, if(id % 2 = 0, ' vile', ' kind')) as text", "'en' as lang")
+    labels = spark.range(2000, 2400).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as toxic").unionAll(spark.sql("select 7L, 1"))
+    fetched = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks, langs, s: fetched.append((texts, marks)))
+    toxicity.train(docs, labels)
+    texts, marks = fetched[0]
+    kept = labels.where(~toxicity.held_out()).count()
+    assert len(texts) == len(marks) == kept
+    assert sum(int(t.split()[2]) < 2000 for t in texts) == (1 if spark.sql("select 7L as doc_id").where(~toxicity.held_out()).count() else 0)
+    few = toxicity.Settings(sample_rows=30)
+    fetched.clear()
+    toxicity.train(docs, labels, few)
+    assert 20 <= len(fetched[0][0]) <= 110
