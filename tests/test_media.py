@@ -196,3 +196,26 @@ def test_metadata_chain(spark, rows):
     assert rows(designs.design_metadata(files, st, headers, estimate=True), *cols) == [
         (1, 1, 0, 2, False, "records"), (2, 4242, 8, 9, False, "header"), (3, 1000, 2, 1, True, "unknown")
     ]
+
+
+def test_pictures_are_views_of_their_batch():
+    import pyarrow as pa
+
+    raw = [bytes(range(12)), None, b"", bytes(range(100, 104)), bytes(6)]
+    sizes = [(2, 2, 3), (1, 1, 1), (0, 4, 3), (1, 1, 4), None]
+    columns = {n: pa.array([s and s[i] for s in sizes], pa.int32()) for i, n in enumerate(("height", "width", "channels"))}
+    for kind in (pa.binary(), pa.large_binary()):
+        batch = pa.RecordBatch.from_pydict({**columns, "data": pa.array(raw, kind)})
+        for part, lo in ((batch, 0), (batch.slice(2, 3), 2)):
+            for found, data, size in zip(images.pictures(part), raw[lo:], sizes[lo:]):
+                if data is None or size is None:
+                    assert found is None
+                else:
+                    assert found.shape == size and found.tobytes() == data and not found.flags.owndata
+
+
+def test_images_without_data_have_no_views(spark, rows):
+    data = [(1, 1, 1, 3, bytearray(b"abc")), (2, None, 1, 3, bytearray(b"abc")), (3, 1, 1, 3, None)]
+    df = spark.createDataFrame(data, "img_id long, height int, width int, channels int, data binary")
+    assert rows(images.augment_views(df, ["img_id"]).select("img_id").distinct()) == [(1,)]
+    assert rows(images.image_profile(df), "img_id") == [(1,)]

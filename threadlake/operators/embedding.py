@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from threadlake.operators.images import PIXELS, _array, augment_views, on_white
+from threadlake.operators.images import PIXELS, augment_views, on_white, pictures
 from threadlake.operators.pooling import centroid
 
 Encoder = Callable[[list[np.ndarray]], np.ndarray]
@@ -75,12 +75,7 @@ def embed(
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                arrays = [
-                    on_white(_array(r["height"], r["width"], r["channels"], r["data"]))
-                    if r["data"]
-                    else None
-                    for r in part.select(list(PIXELS)).to_pylist()
-                ]
+                arrays = [on_white(a) if a is not None and a.size else None for a in pictures(part)]
                 good = [a for a in arrays if a is not None]
                 vectors = iter(unit_rows(encode(good)).astype("float32")) if good else iter(())
                 column = pa.array(

@@ -41,8 +41,20 @@ def _image_type(keys: Sequence[StructField], extra: Sequence[StructField] = ())
     )
 
 
-def _array(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "u1").reshape(height, width, channels)
+def pictures(batch: pa.RecordBatch) -> list[np.ndarray | None]:
+    """The pictures of a batch, as views of its buffers: no pixel is copied and none becomes a
+    Python object. None where a size or the data are null."""
+    data = batch.column("data")
+    wide = pa.types.is_large_binary(data.type)
+    _, ends, raw = data.buffers()
+    ends = np.frombuffer(ends, "<i8" if wide else "<i4")[data.offset : data.offset + len(data) + 1].tolist()
+    raw = np.frombuffer(raw, "u1") if raw is not None else np.zeros(0, "u1")
+    shapes = [batch.column(c) for c in PIXELS[:3]]
+    known = data.is_valid().to_numpy(zero_copy_only=False)
+    for column in shapes:
+        known = known & column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False) for c in shapes], axis=1).tolist()
+    return [raw[a:b].reshape(size) if ok else None for ok, a, b, size in zip(known.tolist(), ends, ends[1:], sizes)]
 
 
 def map_images(
@@ -52,7 +64,8 @@ def map_images(
     view_col: str | None = None,
 ) -> DataFrame:
     """Applies ``views`` to each image; each returned array is one output row, numbered
-    in ``view_col`` if named. Output leaves in small batches, so memory stays bounded."""
+    in ``view_col`` if named; an image with a null size or null data has none. Output leaves in
+    small batches, so memory stays bounded."""
     keys = list(keys)
     extra = [StructField(view_col, IntegerType())] if view_col else []
     schema = _image_type([images.schema[k] for k in keys], extra)
@@ -61,25 +74,25 @@ def map_images(
     def run(batches):
         rows: list[tuple] = []
 
-        def pack(types):
-            cols = list(zip(*rows))
-            arrays = [pa.array(c, t) for c, t in zip(cols, types)]
+        def pack(batch):
+            source, numbers, made = zip(*rows)
+            owner = pa.array(source)
+            sizes = np.array([view.shape for view in made], "i4")
+            ends = np.concatenate(([0], np.cumsum([view.size for view in made]))).astype("i4")
+            flat = np.concatenate([view.ravel() for view in made]) if ends[-1] else np.zeros(0, "u1")
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(made), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            counted = [pa.array(numbers, pa.int32())] if view_col else []
+            arrays = [*(batch.column(k).take(owner) for k in keys), *counted, *(pa.array(sizes[:, i]) for i in range(3)), data]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            types = [batch.schema.field(k).type for k in keys]
-            types += [pa.int32()] * (len(extra) + 3) + [pa.binary()]
-            for row in batch.to_pylist():
-                image = _array(row["height"], row["width"], row["channels"], row["data"])
-                for n, view in enumerate(views(image)):
-                    key = [row[k] for k in keys] + ([n] if view_col else [])
-                    h, w, c = view.shape
-                    rows.append((*key, h, w, c, np.ascontiguousarray(view).tobytes()))
+            for at, image in enumerate(pictures(batch)):
+                rows += [(at, n, view) for n, view in enumerate(views(image) if image is not None else ())]
                 if len(rows) >= IMAGES_OUT:
-                    yield pack(types)
+                    yield pack(batch)
                     rows = []
             if rows:
-                yield pack(types)
+                yield pack(batch)
                 rows = []
 
     return images.select(*keys, *PIXELS).mapInArrow(run, schema)
@@ -308,14 +321,12 @@ def image_profile(images: DataFrame, key: str = "img_id", tolerance: int = 30) -
 
     def run(batches):
         for batch in batches:
-            rows = [
-                profile(_array(r["height"], r["width"], r["channels"], r["data"]))
-                for r in batch.select(list(PIXELS)).to_pylist()
-            ]
-            if rows:
+            shown = [(i, profile(a)) for i, a in enumerate(pictures(batch)) if a is not None]
+            if shown:
+                at, rows = zip(*shown)
                 types = [pa.int32()] * 3 + [pa.int64()] + [pa.int32()] * 3
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), *columns], names=names)
 
     return images.where("height > 0 and width > 0").select(key, *PIXELS).mapInArrow(run, schema)
 
