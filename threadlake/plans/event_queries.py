@@ -13,6 +13,10 @@ from .registry import query
 from .views import Views
 
 
+# Partitions of the state of the streams below, whose batches are small.
+STATE_PARTITIONS = 16
+
+
 def us(col: str):
     return F.unix_micros(col).alias(col.replace("_ts", "_us").replace("_at", "_us"))
 
@@ -65,7 +69,13 @@ def _settled(v: Views, rows, build, schema: str):
     source, sink, mark = (os.path.join(folder, p) for p in ("in", "out", "mark"))
     rows.write.parquet(source)
     out = build(v.spark.readStream.schema(rows.schema).parquet(source))
-    run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(processingTime="2 seconds").start()
+    # a stream takes the number of its state's partitions from the session when it starts
+    given = v.spark.conf.get("spark.sql.shuffle.partitions")
+    v.spark.conf.set("spark.sql.shuffle.partitions", min(int(given), STATE_PARTITIONS))
+    try:
+        run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(processingTime="2 seconds").start()
+    finally:
+        v.spark.conf.set("spark.sql.shuffle.partitions", given)
     finish(run)
     return v.spark.read.schema(schema).parquet(sink)
 
