@@ -376,6 +376,54 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["score"] < 1e-6 for r in toxicity.score_documents(docs.limit(5), labels.limit(0)).collect())
 
 
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """More rows than one shard, and long texts that alone have a word: all are counted, whatever
+    the partitions."""
+    rng = random.Random(11)
+    rows, marks = [], []
+    for i in range(12_000):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(3, 12))]
+        if i % 5 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["awful", "nasty", "rotten"]))
+        rows.append((i, " ".join(words), rng.choice(["en", "fr"])))
+        marks.append((i, int(i % 5 == 0)))
+    for i in range(12_000, 12_060):
+        rows.append((i, "fine " * 21_000 + "gruesome", "en"))
+        marks.append((i, 1))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    docs = docs_of(spark, rows + [(20_000, "w5 gruesome w6", "fr"), (20_001, "w5 w6", None)])
+    counted, odds = [], toxicity.evidence
+    monkeypatch.setattr(toxicity, "evidence", lambda seen, n: counted.append((seen.copy(), n)) or odds(seen, n))
+    models = [toxicity.train(docs.repartition(n), labels) for n in (3, 7)]
+    kept = {i for i, _ in marks if zlib.crc32(str(i).encode()) % 3 != 1}
+    for seen, n in counted:
+        # four fifths, the others calibrate
+        assert 0.78 * len(kept) < n.sum() < 0.82 * len(kept)
+        word = toxicity.features("gruesome", seen.shape[1])[0]
+        assert seen[0, word] == 0 and 0.5 < seen[1, word] / sum(i >= 12_000 for i in kept) < 1
+    a, b = models
+    assert (a.table == b.table).all() and (a.dense() == b.dense()).all()
+    assert (a.scale, a.threshold, a.thresholds) == (b.scale, b.threshold, b.thresholds)
+    monkeypatch.setattr(toxicity, "train", lambda *_: a)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    assert got[20_000]["predicted"] == 1 and got[20_001]["predicted"] == 0
+    left = [(r["predicted"], int(i % 5 == 0)) for i, r in got.items() if r["held_out"] and i < 12_000]
+    assert len(left) > 3000 and sum(p != y for p, y in left) <= len(left) * 0.01
+
+
+def test_responses_do_not_depend_on_the_pieces(monkeypatch):
+    model = toxicity.untrained(toxicity.Settings(buckets=1 << 12))
+    words = toxicity.Words(1 << 12)
+    rng = random.Random(12)
+    flat, starts = toxicity.flatten([" ".join(rng.choice(WORDS) for _ in range(n)) for n in (0, 40, 3, 200, 1, 0)], words, 3)
+    vectors = model.table[np.array(words.rows)].sum(axis=1)
+    want = model.pooled(flat, starts, vectors, places=True)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(toxicity, "PIECE_WORDS", size)
+        got = model.pooled(flat, starts, vectors, places=True)
+        assert (got[0] == want[0]).all() and all((x == y).all() for x, y in zip(got[1], want[1]))
+
+
 # --- pipeline ----------------------------------------------------------------------------
 
 
