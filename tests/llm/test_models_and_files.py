@@ -127,6 +127,26 @@ def test_signatures_of_similar_sets_meet():
                 assert set(bands.signatures(a)) & set(bands.signatures(b)), (k2, len(a), len(b))
 
 
+def test_sets_emit_few_signatures_and_common_lines_share_none():
+    """Under a third of a set's size in signatures; sets that have only a line of eight
+    shingles in common seldom meet."""
+    rng = np.random.default_rng(3)
+    bands = jaccard_join.Bands(85)
+    line = rng.integers(0, 2**63, 8).astype(np.uint64) * np.uint64(2)
+    sizes = rng.integers(100, 1500, 300)
+    found = [bands.signatures(np.union1d(line, rng.integers(0, 2**63, int(n)).astype(np.uint64) * np.uint64(2))) for n in sizes]
+    assert sum(map(len, found)) < 0.32 * sizes.sum()
+    every = np.concatenate(found)
+    assert len(every) - len(np.unique(every)) < 3
+
+
+def test_hubs_of_one_component_are_one(spark):
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12), (3, 12), (3, 13), (4, 20), (4, 21)], "_sig long, _set long")
+    comps = spark.createDataFrame([(11, 10), (12, 10)], "node long, root long")
+    got = {tuple(r) for r in jaccard_join._with_hubs(members, comps).collect()}
+    assert got == {(12, 10), (12, 11), (12, 12), (12, 13), (21, 20), (21, 21)}
+
+
 def test_hot_groups_and_empty_tables(spark):
     rng = random.Random(8)
     base = prose(rng, 80).split()

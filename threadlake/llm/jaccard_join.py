@@ -6,16 +6,19 @@ similarity ``g`` or more differ in at most ``k = floor(2 r (1 - g) / (1 + g))``
 each band the domain of shingles is cut into first-level partitions and each of these into
 ``k2 + 1`` second-level ones; a similar pair differs in at most ``k2`` of some first-level
 partition's parts, so it agrees on one of the enumerated subsets of parts: it has a signature
-(hash of the set's elements in that subset) in common. A set emits the signatures of its own
-band and of the next one, so a pair in neighbouring bands meets in the larger one's.
+(hash of the set's elements in that subset) in common. Bands overlap by one narrow band: most sets emit the
+signatures of one band, the others those of two.
 
-An empty part agrees with every other empty part. There are therefore a few more parts than
-``k + 1``: a pair agrees on more than ``slack`` parts, and a set with at most ``slack`` empty
-ones need not emit them.
+There are a fifth more parts than ``k + 1``, and a set of a given size differs from any similar
+one of the band in at most ``k' <= k`` elements. So a pair agrees on at least ``m - k'`` of ``m``
+parts, and each of its sets need only emit the ``k' + 1`` parts with the most elements (then
+those further back): of the parts on which the pair agrees, the last in this order has
+``m - k' - 1`` before it in both sets. Parts of one or two elements, which unrelated texts with
+a common line share, are mostly left out.
 
 Pairs of sets that share a signature are verified exactly. Groups of up to ``PAIRS`` sets are
 paired in full. Of a larger group only a star around its hub ``h``, the member in the most such
-groups, is verified. Two members ``x`` and ``y`` that this leaves in different components are
+groups, is verified; hubs that are in one component by then make way for one of them. Two members ``x`` and ``y`` that this leaves in different components are
 not both linked with the hub; let ``x`` not be. With ``D(s)`` the symmetric difference of ``s``
 and ``h``, ``x`` and ``y`` differ in ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` elements, so they can
 only be similar if the small sets ``D(x)`` and ``D(y)`` share more than ``(1 - a) / 2 * |D(y)|``
@@ -35,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +51,7 @@ from .graph import components
 SHINGLE = 4
 PERCENT = 85
 K2 = 1
+WIDE = 3  # narrow bands from one band's start to the next one's
 PAIRS = 24  # members of a group whose pairs are all verified at once
 BLOCK = 1_000_000  # signatures a task holds before it hands them on
 KNOWN_WORDS = 500_000
@@ -90,46 +95,51 @@ def shingle_set(text: str | bytes | None, n: int, hashes: WordHash) -> np.ndarra
 
 
 class Bands:
-    """Size bands and the parts of each band's signatures."""
+    """Size bands and the parts of each band's signatures. ``tops`` are the largest sizes of
+    narrow bands, of which similar sets lie in one or in neighbours; a band is ``WIDE + 1``
+    narrow ones and shares its last with the next band."""
 
     def __init__(self, percent: int, k2: int = K2):
         self.percent, self.k2 = percent, k2
         self.tops = [1]
         self.edges: dict[int, np.ndarray] = {}
 
-    def band(self, size: int) -> int:
+    def bands(self, size: int) -> list[int]:
         while self.tops[-1] < size:
             self.tops.append(100 * (self.tops[-1] + 1) // self.percent)
-        return int(np.searchsorted(self.tops, size))
+        narrow = int(np.searchsorted(self.tops, size))
+        return [narrow // WIDE - 1, narrow // WIDE] if narrow and narrow % WIDE == 0 else [narrow // WIDE]
+
+    def differences(self, total: int) -> int:
+        """Most elements in which similar sets of ``total`` elements together differ."""
+        return total * (100 - self.percent) // (100 + self.percent)
 
     def parts(self, band: int) -> tuple[int, int]:
-        """Most differing elements of a similar pair whose larger set is in ``band``, and the
-        number of second-level parts: (k2 + 1) for each first-level partition."""
-        while len(self.tops) <= band:
+        """Largest size of the band and its number of second-level parts: (k2 + 1) for each
+        first-level partition, a fifth more than a pair can differ in."""
+        while len(self.tops) <= (band + 1) * WIDE:
             self.tops.append(100 * (self.tops[-1] + 1) // self.percent)
-        k = 2 * self.tops[band] * (100 - self.percent) // (100 + self.percent)
-        least = k + 3 + k // 25
-        group = self.k2 + 1
-        return k, -(-least // group) * group
+        top = self.tops[(band + 1) * WIDE]
+        k, group = self.differences(2 * top), self.k2 + 1
+        return top, -(-(k + 3 + k // 5) // group) * group
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Signatures of a sorted set. Parts are ranges of the hash, so each is a slice."""
-        out, own = [], self.band(len(s))
-        for band in (own, own + 1):
-            k, m = self.parts(band)
+        out = []
+        for band in self.bands(len(s)):
+            top, m = self.parts(band)
+            k = self.differences(len(s) + min(top, 100 * len(s) // self.percent))
             if k == 0:
                 continue  # only equal sets are similar
             if m not in self.edges:
                 self.edges[m] = np.array([(j << 64) // m for j in range(m)], dtype=np.uint64)
             at = np.searchsorted(s, self.edges[m])
-            full = np.diff(np.append(at, len(s))) > 0
-            places = np.flatnonzero(full)
+            sizes = np.diff(np.append(at, len(s)))
+            places = np.argsort(sizes, kind="stable")[m - k - 1 :]
             with np.errstate(over="ignore"):
-                sums = np.add.reduceat(_mix(s), at[places])
-                if m - len(places) >= m - k:  # the pair may agree on empty parts only
-                    every = np.zeros(m, dtype=np.uint64)
-                    every[places] = sums
-                    places, sums = np.arange(m), every
+                # sums of all before a part's end, less those before its start
+                ends = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(s))])
+                sums = ends[at[places] + sizes[places]] - ends[at[places]]
                 salt = (np.uint64(band) << np.uint64(32)) + places.astype(np.uint64)
                 out.append(_mix(sums + _mix(salt + np.uint64(1))))
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
@@ -149,30 +159,13 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
 
 
-def set_table(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """_doc, n_shingles, _set, _check (null for empty sets) of every row."""
-    schema = pa.schema([("_doc", pa.int64()), ("n_shingles", pa.int64()), ("_set", pa.int64()), ("_check", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash(seed)
-        for b in batches:
-            sizes, names, checks = [], [], []
-            for text in b.column(1):
-                s = shingle_set(text.as_py(), n, hashes)
-                a, c = _set_id(s) if len(s) else (None, None)
-                sizes.append(len(s))
-                names.append(a)
-                checks.append(c)
-            yield _batch(schema, b.column(0), sizes, names, checks)
-
-    return docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("binary")).mapInArrow(run, "_doc long, n_shingles long, _set long, _check long")
-
-
 def signature_table(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """_sig, _set, _rep: signatures of every distinct set of a task. Of a signature that more
-    than ``PAIRS`` sets of one block share, the surplus rows name the block's smallest set as
-    their star's centre (_rep), so one signature sends few rows of each task to one place."""
-    schema = pa.schema([("_sig", pa.int64()), ("_set", pa.int64()), ("_rep", pa.int64())])
+    """_sig, _set, _rep, _n: signatures of every distinct set of a task (_n null), and the rows
+    of ``docs`` themselves: id, set and its check (null for empty sets), number of shingles. Of a
+    signature that more than ``PAIRS`` sets of one block share, the surplus rows name the block's
+    smallest set as their star's centre (_rep), so one signature sends few rows of each task to
+    one place."""
+    schema = pa.schema([("_sig", pa.int64()), ("_set", pa.int64()), ("_rep", pa.int64()), ("_n", pa.int32())])
 
     def flush(sigs: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
         sig = np.concatenate(sigs).view(np.int64)
@@ -183,7 +176,7 @@ def signature_table(docs: DataFrame, n: int, percent: int, seed: int) -> DataFra
         lens = np.diff(np.append(starts, len(sig)))
         surplus = np.arange(len(sig)) - np.repeat(starts, lens) > PAIRS
         centre = own[np.repeat(starts, lens)]
-        return _batch(schema, sig, own, pa.array(centre, pa.int64(), mask=~surplus))
+        return _batch(schema, sig, own, pa.array(centre, pa.int64(), mask=~surplus), pa.nulls(len(sig), pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen = WordHash(seed), Bands(percent), set()
@@ -191,12 +184,14 @@ def signature_table(docs: DataFrame, n: int, percent: int, seed: int) -> DataFra
         ids: list[int] = []
         held = 0
         for b in batches:
-            for text in b.column(0):
+            names, checks, sizes = [], [], []
+            for text in b.column(1):
                 s = shingle_set(text.as_py(), n, hashes)
-                if not len(s):
-                    continue
-                name = _set_id(s)[0]
-                if name in seen:
+                name, check = _set_id(s) if len(s) else (None, None)
+                names.append(name)
+                checks.append(check)
+                sizes.append(len(s))
+                if name is None or name in seen:
                     continue
                 seen.add(name)
                 found = bands.signatures(s)
@@ -207,21 +202,30 @@ def signature_table(docs: DataFrame, n: int, percent: int, seed: int) -> DataFra
                 if held > BLOCK:
                     yield flush(sigs, ids)
                     sigs, ids, held = [], [], 0
+            yield _batch(schema, b.column(0), names, checks, sizes)
         if sigs:
             yield flush(sigs, ids)
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "_sig long, _set long, _rep long")
+    return docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("binary")).mapInArrow(run, "_sig long, _set long, _rep long, _n int")
 
 
 def candidate_table(sigs: DataFrame) -> DataFrame:
-    """_kind, _a, _b. Kind 0: a pair of sets to verify. Kind 1: membership (signature, set)
-    of a group too large for all its pairs."""
-    schema = pa.schema([("_kind", pa.int8()), ("_a", pa.int64()), ("_b", pa.int64())])
-    place = F.when(F.col("_rep").isNull(), F.col("_sig")).otherwise(F.xxhash64("_sig", "_set"))
+    """_kind, _a, _b, _check, _n. Kind 0: a pair of sets to verify. Kind 1: membership
+    (signature, set) of a group too large for all its pairs. Kind 2: a row of the documents."""
+    schema = pa.schema([("_kind", pa.int8()), ("_a", pa.int64()), ("_b", pa.int64()), ("_check", pa.int64()), ("_n", pa.int32())])
+    place = F.when(F.col("_rep").isNull() & F.col("_n").isNull(), F.col("_sig")).otherwise(F.xxhash64("_sig", "_set"))
+
+    def found(kind: int, a, b) -> pa.RecordBatch:
+        return _batch(schema, np.full(len(a), kind), a, b, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, own = [], []
         for b in batches:
+            row = b.column(3).is_valid()
+            if row.true_count:
+                r = b.filter(row)
+                yield _batch(schema, np.full(r.num_rows, 2), *r.columns)
+                b = b.filter(pc.invert(row))
             rep = b.column(2)
             star = rep.is_valid().to_numpy(zero_copy_only=False)
             s, o = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -229,8 +233,8 @@ def candidate_table(sigs: DataFrame) -> DataFrame:
             own.append(o[~star])
             if star.any():
                 r = rep.filter(rep.is_valid()).to_numpy()
-                yield _batch(schema, np.zeros(len(r)), o[star], r)
-                yield _batch(schema, np.ones(len(r)), s[star], o[star])
+                yield found(0, o[star], r)
+                yield found(1, s[star], o[star])
         if not sig:
             return
         sig, own = np.concatenate(sig), np.concatenate(own)
@@ -259,11 +263,11 @@ def candidate_table(sigs: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0)
         for lo in range(0, len(pairs), 200_000):
             part = pairs[lo : lo + 200_000]
-            yield _batch(schema, np.zeros(len(part)), part[:, 0], part[:, 1])
+            yield found(0, part[:, 0], part[:, 1])
         if member.any():
-            yield _batch(schema, np.ones(int(member.sum())), sig[member], own[member])
+            yield found(1, sig[member], own[member])
 
-    return sigs.repartition(place).mapInArrow(run, "_kind byte, _a long, _b long")
+    return sigs.repartition(place).mapInArrow(run, "_kind byte, _a long, _b long, _check long, _n int")
 
 
 def overlap_of():
@@ -307,18 +311,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """members (_sig, _set, _hub) with _comp, of the signatures that span components."""
+    """members (_hub, _set) with _comp, of the hubs whose members span components."""
     found = members.join(comps.select(F.col("node").alias("_set"), "root"), "_set", "left")
-    found = found.select("_sig", "_set", "_hub", F.coalesce("root", "_set").alias("_comp"))
-    span = found.groupBy("_sig").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_sig")
-    return found.join(span, "_sig")
+    found = found.select("_hub", "_set", F.coalesce("root", "_set").alias("_comp"))
+    span = found.groupBy("_hub").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_hub")
+    return found.join(span, "_hub")
 
 
-def _with_hubs(members: DataFrame) -> DataFrame:
-    """members (_sig, _set) with _hub, the member that belongs to the most groups."""
+def _with_hubs(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """_hub, _set for members (_sig, _set) of groups, each hub among its own members. A group's
+    hub is the member that belongs to the most groups; of hubs in one component the one that
+    belongs to the most groups serves for all, so that near copies are compared with one set."""
     degree = members.groupBy("_set").agg(F.count("*").alias("_n"))
     ranked = members.join(degree, "_set").groupBy("_sig").agg(F.max(F.struct("_n", "_set")).alias("_top"))
-    return members.join(ranked.select("_sig", F.col("_top._set").alias("_hub")), "_sig")
+    hubs = ranked.join(comps.select(F.col("node").alias("_node"), "root"), F.col("_top._set") == F.col("_node"), "left")
+    hubs = hubs.select("_sig", "_top", F.coalesce("root", "_top._set").alias("_home"))
+    best = hubs.groupBy("_home").agg(F.max("_top").alias("_best"))
+    hubs = hubs.join(best, "_home").select("_sig", F.col("_best._set").alias("_hub"))
+    found = members.join(hubs, "_sig").select("_hub", "_set")
+    return found.union(found.select("_hub", F.col("_hub").alias("_set"))).distinct()
 
 
 def prefix_of(percent: int):
@@ -349,7 +360,7 @@ def prefix_of(percent: int):
 def _crossing(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may be similar, by their differences from
     a common hub."""
-    pairs = open_.where("_set <> _hub").select("_hub", "_set", "_comp").distinct()
+    pairs = open_.where("_set <> _hub")
     hub = sets.select(F.col("_set").alias("_hub"), F.col("_elements").alias("_x"))
     both = pairs.join(sets.withColumnRenamed("_elements", "_y"), "_set").join(hub, "_hub")
     own = ["_hub", "_set", "_comp", "_n", *SKETCH]
@@ -377,13 +388,13 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, se
     bits and hashed anew with another seed should two sets ever share one.
     """
     spark = docs.sparkSession
-    rows = stage(set_table(docs, n, seed), "sets")
+    found = stage(candidate_table(signature_table(docs, n, percent, seed)), "candidates")
+    rows = found.where("_kind = 2").select(F.col("_a").alias("_doc"), F.col("_n").cast("long").alias("n_shingles"), F.col("_b").alias("_set"), "_check")
     named = rows.where("_set is not null")
     first = named.groupBy("_set").agg(F.min("_doc").alias("_first"), F.min("_check").alias("_lo"), F.max("_check").alias("_hi"))
     if first.where("_lo <> _hi").limit(1).count():
         return similar_groups(docs, n, percent, seed + 1)
 
-    found = stage(candidate_table(signature_table(docs, n, percent, seed)), "candidates")
     pairs = stage(_ordered(found.where("_kind = 0").select(F.col("_a").alias("a"), F.col("_b").alias("b"))), "pairs")
     members = stage(found.where("_kind = 1").select(F.col("_a").alias("_sig"), F.col("_b").alias("_set")).distinct(), "members")
 
@@ -400,7 +411,7 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, se
 
     links = stage(verified(pairs, sets, percent), "links")
     comps = components(links)
-    members = stage(_with_hubs(members), "members")
+    members = stage(_with_hubs(members, comps), "members")
     for turn in ("stars", "crossing"):
         open_ = stage(_open(members, comps), "open")
         if not open_.limit(1).count():
