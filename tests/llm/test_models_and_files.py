@@ -213,6 +213,20 @@ def test_merges_skip_stale_entries():
         assert bpe.merge(symbols, vocabulary.ranks, vocabulary.merged) == slow
 
 
+def test_records_share_words_between_chunks():
+    """Letters and the punctuation behind them are coded apart, whatever their case; odd chunks
+    go through the whole library. The ids are the library's."""
+    library = Tokenizer.from_file(PATH)
+    encoder = token_records.Encoder(PATH)
+    words = ["andhere", "Éanviré", "cheinö", "ß"]
+    texts = [" ".join(w + tail for tail in ("", ".", ",***", "&&&", "!'") for w in (word, word.upper() if word != "ß" else word, word.lower())) for word in words]
+    texts += [t or "" for t in TRICKY] + ["a's a'.s 'tis THE' x<|endoftext|> a.<|endoftext|>b \u212b \u00b5 \u00aa ÿ÷ é\u0301."]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids == np.array(library.encode(text, add_special_tokens=False).ids, encoder.type).tobytes(), text
+    for word in words:
+        assert word.lower() in encoder.words and not any(word.lower() + tail in encoder.words for tail in (".", ",***", "&&&", "!'"))
+
+
 def test_records_round_trip(spark, tmp_path):
     library = Tokenizer.from_file(PATH)
     rows = [(100 - i, t, "en") for i, t in enumerate(TRICKY)] + [(None, "first", None), (7, "b", None), (7, "a", None), (7, "a", None)]

@@ -12,11 +12,13 @@ so a lost executor leaves nothing but unused files.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from threadlake.session import shared_dir
 
-from .bpe import LONGEST, NOT_SPACE, REMEMBERED, SPACE
+from .bpe import LONGEST, NOT_SPACE, REMEMBERED, SPACE, byte_letters
 from .common import table, whole
 
 END = 1
@@ -35,7 +37,6 @@ NO_ID = -(2**63)
 HEAD, CHECK = struct.Struct("<QI"), struct.Struct("<I")
 BATCH_BYTES = 4_000_000
 SLICE = 500  # rows of a batch that become Python objects at a time
-BLOCK_CHARS = 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -63,11 +64,21 @@ def take(stream) -> bytes | None:
     return body[:size]
 
 
+# Letters that NFC leaves alone and lower() maps one to one, and ASCII punctuation after them.
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-/:-@\[-`{-~]*)")
+# The settings under which such letters are one word of the vocabulary's and the rest another.
+NORMALIZER = [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class Encoder(dict):
     """Texts to id bytes with the tokenizers library. White space separates the vocabulary's
-    words, and so does a comma or a full stop after letters, and case is dropped: texts are
-    cut there, and each distinct piece is encoded once per worker. As a dict it maps a chunk
-    between white space to its id bytes."""
+    words: texts are cut there, and a worker remembers what it has encoded. Of a chunk that
+    is letters and punctuation after them, both are words of their own, and case is dropped: they
+    go to the library's model alone, past its normalizer, so many chunks share them. Others
+    go through the whole library. As a dict it maps a chunk between white space to its id
+    bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -77,72 +88,48 @@ class Encoder(dict):
 
         self.library = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
-        vocabulary, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix
-        # ids that end a word, if the vocabulary marks them
-        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.last[[i for word, i in vocabulary.items() if suffix and word.endswith(suffix)]] = True
-
-    def learn(self, unknown: list[str]) -> None:
-        """Encodes pieces. Plain words go to the library a thousand to a text, whose ids are
-        cut again after those that end a word."""
-        plain = [p for p in unknown if p.isascii() and p.isalpha()] if self.last.any() else []
-        rest = [p for p in unknown if not (p.isascii() and p.isalpha())] if plain else unknown
-        for lo in range(0, len(plain), 1000):
-            part = plain[lo : lo + 1000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part) or ends[-1] != len(ids):
-                rest = rest + part
-                continue
-            data, size = ids.astype(self.type).tobytes(), self.type.itemsize
-            at = 0
-            for piece, end in zip(part, (ends * size).tolist()):
-                self.pieces[piece] = data[at:end]
-                at = end
-        for lo in range(0, len(rest), 10_000):
-            part = rest[lo : lo + 10_000]
-            for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces[piece] = np.array(found.ids, dtype=self.type).tobytes()
-
-    @staticmethod
-    def cut(chunk: str) -> tuple[str, ...]:
-        if chunk.isascii():
-            if chunk.isalpha():
-                return (chunk.lower(),)
-            if chunk[-1] in ",." and chunk[:-1].isalpha():
-                return chunk[:-1].lower(), chunk[-1]
-        return (chunk,)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Id bytes of each text; a block of bounded length is cut up at a time."""
-        block, held = [], 0
-        for text in texts:
-            block.append(text)
-            held += len(text)
-            if held > BLOCK_CHARS:
-                yield from self._block(block)
-                block, held = [], 0
-        yield from self._block(block)
-
-    def _block(self, texts: list[str]) -> list[bytes]:
-        cut = [SPACE.split(t) if NOT_SPACE.search(t) else t.split() for t in texts]
-        if len(self) > REMEMBERED // 2:
-            self.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        fresh = {c: self.cut(c) if c else () for c in {c for chunks in cut for c in chunks if c not in self}}
-        unknown = list({p for parts in fresh.values() for p in parts if p not in self.pieces})
-        self.learn(unknown)
-        for chunk, parts in fresh.items():
-            self[chunk] = b"".join([self.pieces[p] for p in parts])
-        out = [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
-        for chunk in [c for c in fresh if len(c) > LONGEST]:
-            del self[chunk]
-        for piece in [p for p in unknown if len(p) > LONGEST]:
-            del self.pieces[piece]
+        self.words: dict[str, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
+        self.model = self.library.model if self._cuts() else None
+
+    def _cuts(self) -> bool:
+        """Whether the library cuts and folds words as ``PLAIN`` takes it to."""
+        steps = [json.loads(x.__getstate__()) if x else {} for x in (self.library.normalizer, self.library.pre_tokenizer)]
+        folds = [(x["type"], x.get("pattern")) for x in steps[0].get("normalizers", [])]
+        split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+        special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        return folds == NORMALIZER and steps[1].get("pretokenizers") == [split, BYTES] and not any(map(PLAIN.fullmatch, special))
+
+    def __missing__(self, chunk: str) -> bytes:
+        plain = PLAIN.fullmatch(chunk) if self.model else None
+        if plain and plain[1]:
+            out = self.word(plain[1].lower())
+            if plain[2]:
+                out += self.word(plain[2])
+        else:
+            out = np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype=self.type).tobytes()
+        if len(chunk) <= LONGEST:
+            if len(self) >= REMEMBERED // 2:
+                self.clear()
+            self[chunk] = out
+        return out
+
+    def word(self, word: str) -> bytes:
+        out = self.words.get(word)
+        if out is None:
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            out = np.array([t.id for t in self.model.tokenize(raw)], dtype=self.type).tobytes()
+            if len(word) <= LONGEST:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = out
         return out
 
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Id bytes of each text."""
+        for t in texts:
+            yield b"".join(map(self.__getitem__, SPACE.split(t) if NOT_SPACE.search(t) else t.split()))
+
 
 # One per worker process and tokenizer, so that what a task has learned serves the next one.
 _encoders: dict[str, Encoder] = {}
