@@ -2,11 +2,13 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from threadlake.streaming import events as EV
 from threadlake.streaming import progress as PR
+from threadlake.streaming import timers
 from threadlake.streaming.timers import finish
 
 T0 = dt.datetime(2024, 1, 1)
@@ -253,3 +255,50 @@ def test_periodic_runs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [5] and os.path.isdir(tmp_path / "m")
+
+
+def test_bursts_of_many_paths_share_their_state():
+    """A batch costs requests to the state by bucket and not by path; paths of a bucket that wait
+    longer are settled by their own times."""
+
+    class State:
+        value, asked = None, 0
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.asked, self.value = self.asked + 1, value
+
+        def clear(self):
+            self.asked, self.value = self.asked + 1, None
+
+    class Timers:
+        at = ()
+
+        def listTimers(self):
+            return iter(self.at)
+
+        def deleteTimer(self, at):
+            self.at = ()
+
+        def registerTimer(self, at):
+            self.at = (at,)
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = lambda: now
+
+    bursts = timers._Bursts(10, 5, 9, "path")
+    bursts.state, bursts.handle = State(), Timers()
+    frame = pd.DataFrame([(f"p{i}", "rename" if i % 2 else "write", t, i) for i in range(500) for t in (0, 8, 30)], columns=["path", "op", "us", "seq"])
+    out = pd.concat(bursts.handleInputRows((0,), iter([frame[:700], frame[700:]]), Clock(100)))
+    assert sorted(out["path"]) == sorted({f"p{i}" for i in range(500)}) and set(out["n"]) == {2} and set(out["last_us"]) == {8}
+    assert bursts.state.asked <= 3 and bursts.handle.at == (105,)
+    bursts.handle.at = ()
+    out = pd.concat(bursts.handleExpiredTimer((0,), Clock(106), None))
+    assert len(out) == 250 and set(out["op"]) == {"write"} and bursts.handle.at == (109,)
+    bursts.handle.at = ()
+    out = pd.concat(bursts.handleExpiredTimer((0,), Clock(109), None))
+    assert len(out) == 250 and set(out["op"]) == {"rename"} and bursts.state.value is None and bursts.handle.at == ()

@@ -4,7 +4,8 @@
 Events are compared by their own times, but waiting is done by processing-time timers: what
 is open is settled once nothing more has arrived for a while. So no later event is needed to
 settle the last one, an event that arrives late is never dropped, and after a restart timers
-that have run out meanwhile fire at once. State is a few numbers per key with something open.
+that have run out meanwhile fire at once. State is a few numbers per key with something open;
+bursts keep that of a bucket of keys together, as a key costs far more requests than numbers.
 
 A query with timers runs a batch per trigger even without new events and never ends by
 itself; ``availableNow`` is not for it. ``needs_timers`` chooses the state store they need.
@@ -63,54 +64,86 @@ class _Waiting(StatefulProcessor):
         pass
 
 
+# Paths share a state row, and so a frame and a timer, with the others of their bucket.
+BUCKETS = 1024
+
+
 class _Bursts(_Waiting):
-    schema = "first long, last long, seq long, op string, n long"
+    """Open bursts of all keys of a bucket, each with the time its wait ends; one timer, at the
+    first of these times."""
+
+    fields = ("key", "op", "first", "last", "seq", "n", "due")
+    schema = "key array<string>, op array<string>, first array<long>, last array<long>, seq array<long>, n array<long>, due array<long>"
 
     def __init__(self, gap_us: int, quiet_ms: int, grace_ms: int, key: str):
         self.gap, self.quiet, self.grace, self.key = gap_us, quiet_ms, grace_ms, key
 
-    def _pieces(self, frame: pd.DataFrame) -> list[tuple]:
-        """Bursts of one frame: first, last, seq and op of the last event, events."""
-        seq = frame["seq"].fillna(-1).to_numpy("int64")
-        us, op = frame["us"].to_numpy("int64"), frame["op"].to_numpy()
-        order = np.lexsort((seq, us))
-        us, seq, op = us[order], seq[order], op[order]
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(us) > self.gap) + 1))
-        ends = np.append(starts[1:], len(us)) - 1
-        return list(zip(us[starts].tolist(), us[ends].tolist(), seq[ends].tolist(), op[ends].tolist(), (ends - starts + 1).tolist()))
-
-    def _frame(self, key: tuple, bursts: list[tuple]) -> pd.DataFrame:
-        first, last, _, op, n = zip(*bursts)
-        return pd.DataFrame({self.key: [key[0]] * len(bursts), "op": op, "first_us": first, "last_us": last, "n": n})
+    def _bursts(self, pieces: pd.DataFrame) -> pd.DataFrame:
+        """Bursts of pieces (fields without due) of any keys, by key and time."""
+        code = pd.factorize(pieces["key"], use_na_sentinel=False)[0]
+        order = np.lexsort((pieces["first"].to_numpy(), code))
+        p, code = pieces.iloc[order].reset_index(drop=True), code[order]
+        first, last = p["first"].to_numpy(), p["last"].to_numpy()
+        reached = p["last"].groupby(code).cummax().to_numpy()
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (first[1:] - reached[:-1] > self.gap)
+        starts = np.flatnonzero(new)
+        # the last event of a burst: by time, then seq
+        ranked = np.lexsort((pd.factorize(p["op"], sort=True)[0], p["seq"].to_numpy(), last, np.cumsum(new)))
+        end = ranked[np.append(starts[1:], len(p)) - 1]
+        n = np.add.reduceat(p["n"].to_numpy(), starts)
+        return pd.DataFrame({"key": p["key"].to_numpy(object)[starts], "op": p["op"].to_numpy(object)[end], "first": first[starts], "last": last[end], "seq": p["seq"].to_numpy()[end], "n": n})
+
+    def _out(self, bursts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({self.key: bursts["key"], "op": bursts["op"], "first_us": bursts["first"], "last_us": bursts["last"], "n": bursts["n"]})
+
+    def _held(self) -> pd.DataFrame | None:
+        found = self.state.get()
+        return None if found is None else pd.DataFrame({f: pd.Series(list(x), dtype=object if f in ("key", "op") else "int64") for f, x in zip(self.fields, found)})
+
+    def _hold(self, open_: pd.DataFrame) -> None:
+        if len(open_):
+            text = {f: [x if isinstance(x, str) else None for x in open_[f]] for f in ("key", "op")}
+            self.state.update(tuple(text[f] if f in text else open_[f].tolist() for f in self.fields))
+            self.wake(int(open_["due"].min()))
+        else:
+            self.state.clear()
+            self.wake(None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = [tuple(self.state.get())] if self.state.exists() else []
+        pieces = []
         for frame in rows:
-            found += self._pieces(frame)
-        if not found:
+            us = frame["us"].to_numpy("int64")
+            events = {"key": frame[self.key].to_numpy(object), "op": frame["op"].to_numpy(object), "first": us, "last": us, "seq": frame["seq"].fillna(-1).to_numpy("int64"), "n": np.ones(len(us), dtype="int64")}
+            pieces.append(self._bursts(pd.DataFrame(events)))
+        if not pieces:
             return
-        found.sort(key=lambda b: b[0])
-        merged = [found[0]]
-        for b in found[1:]:
-            a = merged[-1]
-            if b[0] - a[1] <= self.gap:
-                late = max(a, b, key=lambda x: (x[1], x[2]))
-                merged[-1] = (a[0], late[1], late[2], late[3], a[4] + b[4])
-            else:
-                merged.append(b)
+        held = self._held()
+        # keys that nothing has arrived for keep their bursts and the ends of their waits
+        other = None
+        if held is not None:
+            here = held["key"].isin(pd.concat([p["key"] for p in pieces]))
+            other = held[~here]
+            pieces.append(held.loc[here, list(self.fields[:-1])])
+        bursts = self._bursts(pd.concat(pieces, ignore_index=True)) if len(pieces) > 1 else pieces[0]
         # a later burst shows that the ones before it are over
-        open_ = merged.pop()
-        self.state.update(open_)
-        wait = max(self.quiet, self.grace) if open_[3] == "rename" else self.quiet
-        self.wake(timerValues.getCurrentProcessingTimeInMs() + wait)
-        if merged:
-            yield self._frame(key, merged)
+        code = pd.factorize(bursts["key"], use_na_sentinel=False)[0]
+        ends = np.append(code[1:] != code[:-1], True)
+        open_ = bursts[ends]
+        wait = np.where(open_["op"] == "rename", max(self.quiet, self.grace), self.quiet)
+        open_ = open_.assign(due=timerValues.getCurrentProcessingTimeInMs() + wait)
+        self._hold(open_ if other is None else pd.concat([other, open_], ignore_index=True))
+        if not ends.all():
+            yield self._out(bursts[~ends])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            open_ = tuple(self.state.get())
-            self.state.clear()
-            yield self._frame(key, [open_])
+        held = self._held()
+        if held is None:
+            return
+        over = held["due"] <= timerValues.getCurrentProcessingTimeInMs()
+        self._hold(held[~over])
+        if over.any():
+            yield self._out(held[over])
 
 
 class _Renames(_Waiting):
@@ -226,12 +259,14 @@ def settle_stream(events: DataFrame, gap: str, grace: str, quiet: str | None = N
     A burst is settled when a later one of its key has arrived, or when nothing of its key
     has arrived for ``quiet`` (by default the gap); one that ends in a rename waits for ``grace``
     (T5), so what comes back in time is one burst with it. An event of a burst that is
-    settled already starts another one. Events without a time are left out.
+    settled already starts another one. Events without a time are left out. The state is kept
+    by bucket of keys, not by key.
     """
     width = _micros(gap)
     timed = events.where("ts is not null").select(key, "op", "seq", F.unix_micros("ts").alias("us"))
+    timed = timed.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
     processor = _Bursts(width, width // 1000 if quiet is None else _millis(quiet), _millis(grace), key)
-    out = _run(timed, key, processor, f"{key} string, op string, first_us long, last_us long, n long")
+    out = _run(timed, "_bucket", processor, f"{key} string, op string, first_us long, last_us long, n long")
     return out.select(key, "op", F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"), "n")
 
 
