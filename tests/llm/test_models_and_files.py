@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -195,6 +196,25 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digests(bpe.encode_decode(docs.limit(0), PATH)).count() == 0
 
 
+def test_bpe_holds_a_slice_of_a_batch():
+    """A task yields coded rows long before its batch is done, in their order and with their keys."""
+    coder = bpe.Coder(bpe.Vocabulary.load(PATH))
+    texts = [f"word{i} " * 5000 for i in range(200)] + [None, ""]
+    keys = pa.array(range(len(texts)), pa.int32())
+    out = list(bpe.code(iter([pa.RecordBatch.from_arrays([keys, pa.array(texts)], names=["doc_id", "text"])]), coder))
+    longest = max(len(t or "") for t in texts)
+    assert len(out) > 1
+    at = 0
+    for b in out:
+        assert sum(len(t or "") for t in texts[at : at + b.num_rows]) <= bpe.HELD_CHARS + longest
+        at += b.num_rows
+    table = pa.Table.from_batches(out)
+    assert table["doc_id"].to_pylist() == list(range(len(texts))) and table["doc_id"].type == pa.int32()
+    library = Tokenizer.from_file(PATH)
+    for i in (0, 77, 199, 200, 201):
+        assert table["ids"][i].as_py() == library.encode(texts[i] or "", add_special_tokens=False).ids
+
+
 def test_merges_skip_stale_entries():
     """The queue's result is that of merging the best pair again and again."""
     rng = random.Random(2)

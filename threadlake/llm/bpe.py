@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,14 +22,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 # White space of the Unicode standard. str.split() takes four control characters besides.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
-REMEMBERED = 300_000  # chunks a worker keeps
+REMEMBERED = 300_000  # words a worker keeps, and half as many chunks
 LONGEST = 64  # characters of a chunk worth keeping
+HELD_CHARS = 1_000_000  # of texts whose ids and decoded texts are held at once
 SIDE, PLACE = 24, 40  # bits of a symbol in a pair, and of a place in a queue entry
 
 
@@ -117,39 +120,39 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[
 
 
 class Coder(dict):
-    """Encodes texts; as a dict it maps a chunk without white space to (ids, decoded)."""
+    """Encodes texts; as a dict it maps a chunk without white space to its ids (32-bit)."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
         self.pattern = regex.compile(vocabulary.pattern)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         letters = byte_letters()
         self.inner = [vocabulary.ids[x] for x in letters]
         self.last = [vocabulary.ids[x + vocabulary.suffix] for x in letters]
         self.names = vocabulary.names()
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True)))) if vocabulary.added else None
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
+    def __missing__(self, chunk: str) -> bytes:
         # NFC and lower case, letter by letter, never cross white space
         if chunk.isascii():
             lower = chunk.lower()
         else:
             lower = unicodedata.normalize("NFC", chunk)
             lower = "".join(map(str.lower, lower)) if "\u03a3" in lower else lower.lower()
-        ids: list[int] = []
+        ids = []
         for word in [lower] if lower.isalpha() else self.pattern.findall(lower):
             known = self.words.get(word)
             if known is None:
-                known = self.word(word)
+                known = array("i", self.word(word)).tobytes()
                 if len(word) <= LONGEST:
                     if len(self.words) >= REMEMBERED:
                         self.words.clear()
                     self.words[word] = known
-            ids += known
-        out = array("i", ids).tobytes(), self.decode(ids)
+            ids.append(known)
+        out = ids[0] if len(ids) == 1 else b"".join(ids)
         if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
                 self.clear()
             self[chunk] = out
         return out
@@ -163,51 +166,52 @@ class Coder(dict):
         that would turn letters back into bytes."""
         return " ".join([self.names[i] for i in ids])
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids (32-bit) of a text and the ids decoded. Special strings in the text are
-        their own ids; the text between them is coded apart."""
+    def encode(self, text: str) -> bytes:
+        """Ids (32-bit) of a text. Special strings in the text are their own ids; the text
+        between them is coded apart."""
         if self.special is None or not self.special.search(text):
             return self._plain(text)
         parts, at = [], 0
         for m in self.special.finditer(text):
             parts.append(self._plain(text[at : m.start()]))
-            i = self.v.added[m[0]]
-            parts.append((array("i", [i]).tobytes(), self.names[i]))
+            parts.append(array("i", [self.v.added[m[0]]]).tobytes())
             at = m.end()
         parts.append(self._plain(text[at:]))
-        return b"".join(p[0] for p in parts), " ".join(p[1] for p in parts if p[0])
-
-    def _plain(self, text: str) -> tuple[bytes, str]:
-        chunks = SPACE.split(text) if NOT_SPACE.search(text) else text.split()
-        coded = [c for c in map(self.__getitem__, filter(None, chunks)) if c[0]]
-        return b"".join([c[0] for c in coded]), " ".join([c[1] for c in coded])
-
-
-def coder(spark: SparkSession, path: str):
-    """An Arrow function text -> struct(ids array<int>, decoded string)."""
-    shared = spark.sparkContext.broadcast(Vocabulary.load(path))
-    kept: dict[int, Coder] = {}
-
-    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def code(text: pa.Array) -> pa.Array:
-        if 0 not in kept:
-            kept[0] = Coder(shared.value)
-        own = kept[0]
-        coded = [own.encode(t or "") for t in text.to_pylist()]
-        ends = np.cumsum([0, *(len(c[0]) // 4 for c in coded)], dtype=np.int32)
-        values = pa.array(np.frombuffer(b"".join([c[0] for c in coded]), dtype=np.int32))
-        ids = pa.ListArray.from_arrays(pa.array(ends), values)
-        return pa.StructArray.from_arrays([ids, pa.array([c[1] for c in coded], pa.string())], names=["ids", "decoded"])
-
-    return code
+        return b"".join(parts)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, SPACE.split(text) if NOT_SPACE.search(text) else text.split()))
+
+
+def code(batches: Iterator[pa.RecordBatch], coder: Coder) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, text) to batches (doc_id, ids, decoded) of about ``HELD_CHARS`` of text
+    or one text, so that only these, and not a whole batch, are held coded."""
+    for b in batches:
+        schema = pa.schema([b.schema.field(0), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+        first, held, texts = 0, 0, []
+        for i, t in enumerate(b.column(1), 1):
+            text = t.as_py() or ""
+            texts.append(coder.encode(text))
+            held += len(text)
+            if held > HELD_CHARS or i == b.num_rows:
+                ends = np.cumsum([0, *(len(x) // 4 for x in texts)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(texts), dtype=np.int32)))
+                decoded = pa.array([coder.decode(memoryview(x).cast("i")) for x in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, i - first), ids, decoded], schema=schema)
+                first, held, texts = i, 0, []
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, ids,
     decoded. Null and empty texts have no ids and decode to an empty text; texts are coded
     whole, however long; repeated rows are coded each."""
-    code = coder(docs.sparkSession, path)
-    return docs.select("doc_id", code(F.col("text")).alias("_c")).select("doc_id", F.col("_c.ids").alias("ids"), F.col("_c.decoded").alias("decoded"))
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from code(batches, Coder(shared.value))
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def hexdigest(text: Column) -> Column:
