@@ -148,6 +148,35 @@ def test_hubs_of_one_component_are_one(spark):
     assert got == {(12, 10), (12, 11), (12, 12), (12, 13), (21, 20), (21, 21)}
 
 
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_members_near_the_hub_spell_out_few_differences(spark, monkeypatch, bits):
+    """A large group of near copies in one component, a few members outside of it; a filter
+    that is too small lets more through and loses nothing."""
+    monkeypatch.setattr(jaccard_join, "FILTER_BITS", bits, raising=False)
+    spelled, stage = [], jaccard_join.stage
+
+    def counted(df, name, folder=None):
+        out = stage(df, name, folder)
+        if name == "differences":
+            spelled.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    rng = random.Random(21)
+    base = prose(rng, 150).split()
+    replaced = lambda w, k: " ".join(rng.choice(WORDS) if i in at else x for at in [set(rng.sample(range(150), k))] for i, x in enumerate(w))
+    texts = [" ".join(base)] + [replaced(base, 1 + i % 2) for i in range(300)]
+    for _ in range(6):
+        far = replaced(base, 7)
+        texts += [far, replaced(far.split(), 1)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = [tuple(r) for r in jaccard_join.similar_groups(docs_of(spark, rows).repartition(4), 5, 80).collect()]
+    assert sorted(got, key=key) == sorted(brute_components(rows, 5, 80), key=key)
+    assert len({c for _, _, c in got}) > 2
+    # at least four elements a copy and word replaced, if all were spelled out
+    assert spelled and (sum(spelled) < 5 * len(rows) or bits == 64)
+
+
 def test_hot_groups_and_empty_tables(spark):
     rng = random.Random(8)
     base = prose(rng, 80).split()

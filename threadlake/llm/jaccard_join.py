@@ -18,12 +18,15 @@ a common line share, are mostly left out.
 
 Pairs of sets that share a signature are verified exactly. Groups of up to ``PAIRS`` sets are
 paired in full. Of a larger group only a star around its hub ``h``, the member in the most such
-groups, is verified; hubs that are in one component by then make way for one of them. Two members ``x`` and ``y`` that this leaves in different components are
+groups, is verified; hubs that are in one component by then make way for one of them, once more after
+the first stars. Two members ``x`` and ``y`` that this leaves in different components are
 not both linked with the hub; let ``x`` not be. With ``D(s)`` the symmetric difference of ``s``
 and ``h``, ``x`` and ``y`` differ in ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` elements, so they can
 only be similar if the small sets ``D(x)`` and ``D(y)`` share more than ``(1 - a) / 2 * |D(y)|``
 and at least ``(|D(x)| - a (|x| + |h|)) / (1 + a)`` elements, ``a = (1 - g) / (1 + g)``. A prefix
-filter on the differences (elements that are not the hub's come first) finds all such pairs. So
+filter on the differences (elements that are not the hub's come first) finds all such pairs. One of
+the two is outside the hub's component: only such members spell out their prefixes, and of the
+others' only those elements leave the task that a bit filter of the former lets through. So
 large groups cost a few rows per member, and no link between components is lost. Equal sets are
 one node from the start.
 
@@ -57,6 +60,7 @@ BLOCK = 1_000_000  # signatures a task holds before it hands them on
 KNOWN_WORDS = 500_000
 BITS = 512  # of a set's parity sketch, kept in 64-bit columns
 SKETCH = [f"_s{i}" for i in range(BITS // 64)]
+FILTER_BITS = 1 << 25  # most bits of the filter of prefix elements; beyond it lets more through
 
 
 class WordHash(dict):
@@ -332,40 +336,70 @@ def _with_hubs(members: DataFrame, comps: DataFrame) -> DataFrame:
     return found.union(found.select("_hub", F.col("_hub").alias("_set"))).distinct()
 
 
-def prefix_of(percent: int):
+def prefix_of(percent: int, known: np.ndarray | None = None):
     """An Arrow function of the elements of a hub and of a set: the elements of their
     difference among which one lies that any similar set of another component has in the
-    prefix of its own difference."""
+    prefix of its own difference. With ``known``, a bit filter, it takes the hub's name as well
+    and leaves out elements that the filter does not know for this hub."""
     a = (100 - percent) / (100 + percent)
 
+    def one(x: pa.Scalar, y: pa.Scalar) -> np.ndarray:
+        h, s = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+        at = np.searchsorted(h, s)
+        new = s[h[np.minimum(at, len(h) - 1)] != s]
+        at = np.searchsorted(s, h)
+        gone = h[s[np.minimum(at, len(s) - 1)] != h]
+        d = len(new) + len(gone)
+        excess = d - a * (len(h) + len(s))
+        # at least so many elements are shared; rounded down for the arithmetic's sake
+        share = np.ceil(excess / (1 + a) - 1e-9) if excess > 0 else np.floor(d * (1 - a) / 2 - 1e-9) + 1
+        return np.concatenate([new, gone])[: d - max(int(share), 1) + 1].view(np.int64)
+
     @F.arrow_udf("array<bigint>")
     def prefix(hub: pa.Array, own: pa.Array) -> pa.Array:
+        return pa.array([one(x, y) for x, y in zip(hub, own)], pa.list_(pa.int64()))
+
+    @F.arrow_udf("array<bigint>")
+    def known_prefix(hub: pa.Array, own: pa.Array, name: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(hub, own):
-            h, s = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-            at = np.searchsorted(h, s)
-            new = s[h[np.minimum(at, len(h) - 1)] != s]
-            at = np.searchsorted(s, h)
-            gone = h[s[np.minimum(at, len(s) - 1)] != h]
-            d = len(new) + len(gone)
-            excess = d - a * (len(h) + len(s))
-            # at least so many elements are shared; rounded down for the arithmetic's sake
-            share = np.ceil(excess / (1 + a) - 1e-9) if excess > 0 else np.floor(d * (1 - a) / 2 - 1e-9) + 1
-            out.append(np.concatenate([new, gone])[: d - max(int(share), 1) + 1].view(np.int64))
+        for x, y, h in zip(hub, own, name.to_numpy()):
+            e = one(x, y)
+            slot = (e ^ h) & (64 * len(known) - 1)
+            out.append(e[known[slot >> 6] >> (slot & 63) & 1 == 1])
         return pa.array(out, pa.list_(pa.int64()))
 
-    return prefix
+    return prefix if known is None else known_prefix
+
+
+def bit_filter(rows: DataFrame, count: int) -> np.ndarray:
+    """Bits of a filter of (_hub, _e), 16 a row and ``FILTER_BITS`` at most; names and elements are
+    hashes already. Tasks merge the bits, the driver sees 64 of them a row."""
+    bits = min(FILTER_BITS, max(64, 1 << (16 * count).bit_length()))
+    slot = F.col("_e").bitwiseXOR(F.col("_hub")).bitwiseAND(F.lit(bits - 1))
+    bit = rows.select(F.shiftright(slot, 6).alias("_at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("_bit"))
+    found = bit.groupBy("_at").agg(F.bit_or("_bit").alias("_bits")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[found["_at"].to_numpy()] = found["_bits"].to_numpy()
+    return out
 
 
 def _crossing(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may be similar, by their differences from
-    a common hub."""
-    pairs = open_.where("_set <> _hub")
+    a common hub. One of the two is outside the hub's component."""
+    home = open_.where("_set = _hub").select("_hub", F.col("_comp").alias("_home"))
     hub = sets.select(F.col("_set").alias("_hub"), F.col("_elements").alias("_x"))
-    both = pairs.join(sets.withColumnRenamed("_elements", "_y"), "_set").join(hub, "_hub")
     own = ["_hub", "_set", "_comp", "_n", *SKETCH]
-    rows = both.select(*own, prefix_of(percent)("_x", "_y").alias("_p"))
-    rows = stage(rows.select(*own, F.explode_outer("_p").alias("_e")).where("_e is not null"), "differences")
+
+    def spelled(members: DataFrame, prefix: Column) -> DataFrame:
+        both = members.join(sets.withColumnRenamed("_elements", "_y"), "_set").join(hub, "_hub")
+        rows = both.select(*own, prefix.alias("_p"))
+        return stage(rows.select(*own, F.explode_outer("_p").alias("_e")).where("_e is not null"), "differences")
+
+    pairs = open_.where("_set <> _hub").join(home, "_hub")
+    far = spelled(pairs.where("_comp <> _home"), prefix_of(percent)("_x", "_y"))
+    known = bit_filter(far, far.count())
+    near = spelled(pairs.where("_comp = _home"), prefix_of(percent, known)("_x", "_y", "_hub"))
+    rows = far.union(near)
     span = rows.groupBy("_hub", "_e").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_hub", "_e")
     rows = rows.join(span, ["_hub", "_e"])
     other = rows.select("_hub", "_e", F.col("_set").alias("b"), F.col("_comp").alias("_other"), *[F.col(c).alias("b" + c) for c in ("_n", *SKETCH)])
@@ -411,17 +445,22 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, se
 
     links = stage(verified(pairs, sets, percent), "links")
     comps = components(links)
-    members = stage(_with_hubs(members, comps), "members")
-    for turn in ("stars", "crossing"):
-        open_ = stage(_open(members, comps), "open")
+    done = pairs
+    for turn in ("stars", "stars again", "crossing"):
+        if turn != "crossing":
+            # the first stars leave most hubs in few components, so fewer hubs serve for all
+            hubs = stage(_with_hubs(members, comps), "hubs")
+        open_ = stage(_open(hubs, comps), "open")
         if not open_.limit(1).count():
             break
-        if turn == "stars":
-            home = open_.select(F.col("_set").alias("_hub"), F.col("_comp").alias("_home")).distinct()
+        if turn != "crossing":
+            home = open_.where("_set = _hub").select("_hub", F.col("_comp").alias("_home"))
             more = open_.join(home, "_hub").where("_comp <> _home").select(F.col("_set").alias("a"), F.col("_hub").alias("b"))
         else:
             more = _crossing(open_, sets, percent)
-        fresh = stage(verified(_ordered(more).join(pairs, ["a", "b"], "left_anti"), sets, percent), "links")
+        more = stage(_ordered(more).join(done, ["a", "b"], "left_anti"), "pairs")
+        fresh = stage(verified(more, sets, percent), "links")
+        done = done.unionByName(more)
         if fresh.limit(1).count():
             links = links.unionByName(fresh)
             comps = components(links)
