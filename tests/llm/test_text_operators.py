@@ -323,6 +323,16 @@ def test_word_model_equals_the_textbook_recursion(spark, monkeypatch, shard_rows
     assert got[""] is None
 
 
+def test_word_model_leaves_its_tables_only(spark, monkeypatch, tmp_path):
+    """What the orders are derived from is gone once the model is written."""
+    for module in ("threadlake.session", "threadlake.llm.perplexity"):
+        monkeypatch.setattr(f"{module}.shared_dir", lambda spark: str(tmp_path))
+    frame = spark.createDataFrame([("the ran of the motion",), ("of the ran",)], "_text string")
+    perplexity.WordModel(perplexity.count_word_grams(frame, 3), 3, ("", 1), 4)
+    left = [set(spark.read.parquet(str(folder)).columns) for folder in tmp_path.iterdir()]
+    assert left and all("k" in columns and "w1" not in columns for columns in left)
+
+
 def test_perplexity_sees_the_order_of_words(spark):
     """Shuffled words of a trusted kind of text are spelled alike and yet no such text."""
     rng = random.Random(8)

@@ -20,6 +20,7 @@ import os
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.session import shared_dir, stage
+from threadlake.session import shared_dir, stage, staging
 
 from .common import small, table, whole
 
@@ -187,9 +188,9 @@ class Shards:
         return out
 
 
-    def rows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and sums of discounts of keys of the word model, 0 where there is none. A
-        shard is read once, its keys are in order."""
+    def rows(self, keys: np.ndarray, sums: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of keys of the word model and, of contexts, sums of discounts, 0 where there is
+        none. A shard is read once, its keys are in order."""
         value, left = np.zeros(len(keys)), np.zeros(len(keys))
         home = np.mod(keys, self.count)
         ranked = np.argsort(home, kind="stable")
@@ -198,13 +199,14 @@ class Shards:
             mine = ranked[edges[shard] : edges[shard + 1]]
             if not len(mine):
                 continue
-            k, v, d = self.read(shard, "k", "v", "d")
+            k, v, *d = self.read(shard, *(("k", "v", "d") if sums else ("k", "v")))
             if not len(k):
                 continue
             at = np.minimum(np.searchsorted(k, keys[mine]), len(k) - 1)
             hit = k[at] == keys[mine]
             value[mine[hit]] = v[at[hit]]
-            left[mine[hit]] = np.nan_to_num(d[at[hit]])
+            if sums:
+                left[mine[hit]] = d[0][at[hit]]
         return value, left
 
 
@@ -326,53 +328,65 @@ class WordModel:
 
     def __init__(self, grams: DataFrame, order: int, spelling: tuple[str, int], letters: int):
         self.order, self.letters, self.spelling = order, letters, spelling
-        levels, self.cuts = {order: stage(grams, f"words-{order}")}, {}
-        for n in range(order - 1, 0, -1):
-            longer = [f"w{i}" for i in range(1, n + 2)]
-            shorter = levels[n + 1].groupBy(*longer[1:]).agg(F.sum("c").alias("_s"), F.count("*").alias("_k"))
-            # as for letters: what begins before the text keeps its counts
-            c = F.when(F.col("w2") == BEFORE, F.col("_s")).otherwise(F.col("_k")) if n > 1 else F.col("_k")
-            levels[n] = stage(shorter.select(*[F.col(x).alias(f"w{i}") for i, x in enumerate(longer[1:], 1)], c.alias("c")), f"words-{n}")
-        parts, rows = [], 0
-        for n in range(1, order + 1):
-            d1, d2, d3 = self.cuts[n] = discounts(levels[n])
+        self.parts: dict[int, tuple[str, int]] = {}
+        self.cuts, spark = {}, grams.sparkSession
+        scratch = ExitStack()
+        level = stage(grams, f"words-{order}", scratch.enter_context(staging(spark)))
+        for n in range(order, 0, -1):
             own = [f"w{i}" for i in range(1, n + 1)]
-            cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-            sums = F.sum("c").alias("v"), F.sum(cut).alias("d")
-            parts.append(levels[n].select(key_column(WORDS + n, *own).alias("k"), F.col("c").alias("v"), F.lit(None).cast("double").alias("d")))
-            rows += levels[n].count()
-            if n == 1:
-                total = levels[1].agg(*sums).first()
-                self.total, self.left = total["v"] or 0, total["d"] or 0.0
-            else:
-                parts.append(levels[n].groupBy(*own[:-1]).agg(*sums).select(key_column(WORDS + BACKOFF + n, *own[:-1]).alias("k"), "v", "d"))
-        table_ = parts[0]
-        for part in parts[1:]:
-            table_ = table_.unionByName(part)
-        # contexts are hardly more than the n-grams of the order below
-        self.shards = max(1, -(-2 * rows // SHARD_ROWS))
-        self.folder = os.path.join(shared_dir(grams.sparkSession), f"words-{uuid.uuid4().hex}")
-        table_ = table_.withColumn("shard", F.pmod("k", F.lit(self.shards))).repartition(self.shards, "shard").sortWithinPartitions("shard", "k")
+            with scratch, ExitStack() as following:
+                if n > 1:
+                    shorter = level.groupBy(*own[1:]).agg(F.sum("c").alias("_s"), F.count("*").alias("_k"))
+                    # as for letters: what begins before the text keeps its counts
+                    c = F.when(F.col("w2") == BEFORE, F.col("_s")).otherwise(F.col("_k")) if n > 2 else F.col("_k")
+                    shorter = shorter.select(*[F.col(x).alias(f"w{i}") for i, x in enumerate(own[1:], 1)], c.alias("c"))
+                    below = stage(shorter, f"words-{n - 1}", following.enter_context(staging(spark)))
+                d1, d2, d3 = self.cuts[n] = discounts(level)
+                cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+                sums = F.sum("c").alias("v"), F.sum(cut).alias("d")
+                self.write(WORDS + n, level.select(key_column(WORDS + n, *own).alias("k"), F.col("c").alias("v")), level.count())
+                if n == 1:
+                    total = level.agg(*sums).first()
+                    self.total, self.left = total["v"] or 0, total["d"] or 0.0
+                    break
+                # contexts are hardly more than the n-grams of the order below
+                tag = WORDS + BACKOFF + n
+                self.write(tag, level.select(key_column(tag, *own[:-1]).alias("k"), "c"), below.count(), sums)
+                scratch_below, level = following.pop_all(), below
+            scratch = scratch_below
+
+    def write(self, tag: int, rows: DataFrame, count: int, sums: tuple[Column, ...] = ()) -> None:
+        """Writes rows (k, ...) in shards, summed by key if there are sums."""
+        shards = max(1, -(-count // SHARD_ROWS))
+        folder = os.path.join(shared_dir(rows.sparkSession), f"words-{tag}-{uuid.uuid4().hex}")
+        placed = rows.withColumn("shard", F.pmod("k", F.lit(shards))).repartition(shards, "shard")
+        if sums:
+            placed = placed.groupBy("shard", "k").agg(*sums)
         # keys in order are written as differences
         packed = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#k": "false"}
-        table_.write.options(**packed).partitionBy("shard").parquet(self.folder)
+        placed.sortWithinPartitions("shard", "k").write.options(**packed).partitionBy("shard").parquet(folder)
+        self.parts[tag] = folder, shards
 
-    def score(self, block: Block, model: Shards, spelling: Shards) -> np.ndarray:
+    @property
+    def shards(self) -> int:
+        return max(count for _, count in self.parts.values())
+
+    def score(self, block: Block, model: dict[int, Shards], spelling: Shards) -> np.ndarray:
         """Log probability of every word of the block in its place."""
         keys, at, ids = block.windows()
         words = list(block.index)
         p = np.exp(score_words(words, spelling, self.letters))
         if self.total:
-            own = model.rows(gram_keys(WORDS + 1, [np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))]))[0]
+            own = model[WORDS + 1].rows(gram_keys(WORDS + 1, [np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))]))[0]
             p = self.share(own, 1) / self.total + self.left / self.total * p
         # a word of very many letters has no probability that a float can hold
         p = np.maximum(p, 1e-300)[ids]
         for n in range(2, self.order + 1):
             window = [keys[at - n + i] for i in range(1, n + 1)]
             contexts, places = np.unique(gram_keys(WORDS + BACKOFF + n, window[:-1]), return_inverse=True)
-            total, left = (x[places] for x in model.rows(contexts))
+            total, left = (x[places] for x in model[WORDS + BACKOFF + n].rows(contexts, True))
             grams, places = np.unique(gram_keys(WORDS + n, window), return_inverse=True)
-            count = model.rows(grams)[0][places]
+            count = model[WORDS + n].rows(grams)[0][places]
             seen = total > 0
             p[seen] = (self.share(count[seen], n) + left[seen] * p[seen]) / total[seen]
         return np.log(p)
@@ -388,7 +402,7 @@ def perplexities(words: WordModel):
 
     @F.arrow_udf("double")
     def perplexity(text: pa.Array) -> pa.Array:
-        model, spelling, out = Shards(words.folder, words.shards), Shards(*words.spelling), []
+        model, spelling, out = {tag: Shards(*part) for tag, part in words.parts.items()}, Shards(*words.spelling), []
 
         def flush(block: Block) -> None:
             if not block.index:
