@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from threadlake.llm import decontamination, perplexity, quality_ratio, secret_scan
@@ -333,6 +334,59 @@ def test_word_model_leaves_its_tables_only(spark, monkeypatch, tmp_path):
     assert left and all("k" in columns and "w1" not in columns for columns in left)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scoring_reads_every_table_once(spark, monkeypatch, order):
+    """However many blocks the texts make: each sends its n-grams to the ranges of the model."""
+    for name, value in {"SHARD_ROWS": 100, "BLOCK_WORDS": 20, "BLOCK_CHARS": 200, "SHARE_WORDS": 300}.items():
+        monkeypatch.setattr(perplexity, name, value)
+    reads = spark.sparkContext.accumulator(0)
+
+    class Counting(perplexity.WordModel):
+        def find(self, *args):
+            reads.add(1)
+            return super().find(*args)
+
+    rng = random.Random(9)
+    common = ["the", "of", "é", "ran", "motion", "on"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.7 else rng.choice(WORDS) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    frame = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3)
+    spelling = perplexity.write_shards(perplexity.model_table(perplexity.count_grams(frame, 4), 4))
+    model = Counting(perplexity.count_word_grams(frame, order), order, spelling, 4)
+    assert model.shards > 5 and (max(model.shares.values()) > 1)
+    shards = perplexity.Shards(*spelling)
+    want = brute_word_model(texts, order, lambda w: perplexity.score_words([w], shards, 4)[0])
+    probe = [*texts, "the", "zzz the zzz", "of the ran", "", "w1 mox\U0001f600 THE of the", "the " * 90, None, " \x1c\xa0", *["the of"] * 3]
+    rows = spark.createDataFrame([(t, i if i % 7 else None, "en") for i, t in enumerate(probe)], "_text string, _id long, _lang string")
+    got = perplexity.joined_perplexities(rows.repartition(4), model).collect()
+    assert reads.value <= order * model.shards
+
+    def rated(t):
+        return round(math.exp(-want(t) / sum(len(w) + 1 for w in t.split())), 6) if t and t.split() else None
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)
+    found = sorted(((r["_id"], None if r["perplexity"] is None else round(r["perplexity"], 6)) for r in got), key=key)
+    wanted = sorted(((i if i % 7 else None, rated(t)) for i, t in enumerate(probe)), key=key)
+    assert [x[0] for x in found] == [x[0] for x in wanted]
+    assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-5)) for (_, a), (_, b) in zip(found, wanted))
+
+
+def test_blocks_and_packed_numbers():
+    odd = ["a\x1cb\x85c\xa0 d\u3000e\u200bf", "", " \n ", None, " a  b\t"]
+    block = perplexity.Block.of(perplexity.pa.array(odd))
+    assert [block.words[i] for i in block.ids] == [w for t in odd for w in (t or "").split()]
+    assert block.counts.tolist() == [len((t or "").split()) for t in odd]
+    rng = np.random.default_rng(3)
+    # keys that differ in their lowest bits only, beside some that do not
+    keys = np.concatenate([rng.integers(-(1 << 63), 1 << 62, 50), np.array([5, 4, 5, 6, 4, -1, -2, -1])])
+    assert keys[perplexity.ranked(keys)].tolist() == sorted(keys.tolist())
+    found, places = perplexity.distinct(keys)
+    assert found.tolist() == sorted(set(keys.tolist())) and (found[places] == keys).all()
+    columns = [found, np.arange(len(found)) % 3, np.zeros(len(found)), -np.arange(len(found))]
+    for back, want in zip(perplexity.unpack(perplexity.pack(*columns, ordered=True), 4, True), columns):
+        assert (back == want).all()
+    assert all(len(x) == 0 for x in perplexity.unpack(perplexity.pack(found[:0], found[:0], ordered=True), 2, True))
+
+
 def test_perplexity_sees_the_order_of_words(spark):
     """Shuffled words of a trusted kind of text are spelled alike and yet no such text."""
     rng = random.Random(8)

@@ -2,15 +2,20 @@
 
 The n-grams are of words, order 3, counted over all trusted documents, so the model grows with
 them. Below its unigrams lies a spelling model, by the same rules over the characters of a word,
-its end included: it shares out what the unigrams leave to unseen words. Every task sums its own
-n-grams, Spark sums those by n-gram and derives the continuation counts of each order. Tables are
-hashed and cut into shards in the shared folder. Of the spelling model they hold probabilities,
-found with joins by context. Of the word model they hold counts, and totals and discounts by
-context, from which scoring interpolates: the same values in half the bytes. A scoring task
-takes its documents in blocks and joins their distinct n-grams with one shard after the other,
-so its memory is bounded by a block and a shard whatever the size of the corpus or the model;
-every block reads all shards. Documents are kept up to a quantile, per language, of the
-perplexity of trusted documents that were held out of the counts.
+its end included: it shares out what the unigrams leave to unseen words. Its probabilities are
+found with joins by context and looked up in shards.
+
+Of the word model, tables hold counts by n-gram, and as contexts their totals. Keys are hashes and
+fall into ranges. A task sums the n-grams of its blocks of texts; Spark deals these by range, where
+they are summed again and yield the counts of the order below, which are dealt by their own
+range. Scoring is a join: each block of texts sends its distinct n-grams to their ranges, as rows
+of packed numbers, where they meet the tables; the answers are dealt by block, and
+probabilities are interpolated there. So every n-gram is sent once a block, every table is read once
+by each slice of the documents, of which there are at most ``SLICES``, and the time grows with
+the documents and the model, not with their product. Counting takes the n-grams in shares and
+scoring the documents in slices, so that what is shuffled at once is a part of the whole.
+Documents are kept up to a quantile, per language, of the perplexity of trusted documents that
+were held out of the counts.
 """
 
 from __future__ import annotations
@@ -19,30 +24,35 @@ import math
 import os
 import uuid
 from collections import Counter
-from collections.abc import Iterator
-from contextlib import ExitStack
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.session import shared_dir, stage, staging
 
-from .common import small, table, whole
+from .common import arrow_rows, small, table, whole
 
 ORDER = 3  # words
 LETTERS = 4  # order of the spelling model
 START, END = "\x02", "\x03"
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 BLOCK_WORDS = 1_000_000  # of a counting task, before it hands its n-grams on
-SHARD_ROWS = 1_000_000
+SHARD_ROWS = 2_000_000
+SHARES, SHARE_WORDS = 16, 2_000_000  # most shares of the n-grams, and the least words for one more
+SLICES, SLICE_CHARS = 16, 50_000_000  # of the documents that are scored
 QUANTILE = 0.995
 BACKOFF = 64  # tag of interpolation weights among the keys
-WORDS = 128  # tag of word n-grams among the keys, BACKOFF + WORDS that of their contexts
+WORDS = 128  # tag of word n-grams among the keys
 BEFORE = 0  # stands for the words before a text's first
 
 
@@ -75,14 +85,13 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = Counter(), 0
-        for b in batches:
-            for text in b.column(0):
-                found = text.as_py().split()
-                words.update(found)
-                held += len(found)
-                if held > BLOCK_CHARS // 4:
-                    yield flush(words)
-                    words, held = Counter(), 0
+        for texts in blocks(batches, BLOCK_CHARS):
+            block = Block.of(whole_column(texts, "_text"))
+            words.update(dict(zip(block.words, np.bincount(block.ids, minlength=len(block.words)).tolist())))
+            held += len(block.ids)
+            if held > BLOCK_CHARS // 4:
+                yield flush(words)
+                words, held = Counter(), 0
         if words:
             yield flush(words)
 
@@ -92,7 +101,10 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
 def discounts(grams: DataFrame) -> tuple[float, float, float]:
     """Discounts of counts 1, 2 and more, from the counts of counts 1 to 4."""
     n = {r["c"]: r["count"] for r in grams.where("c <= 4").groupBy("c").count().collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in range(1, 5))
+    return discounts_of(*(n.get(i, 0) for i in range(1, 5)))
+
+
+def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     if not (n1 and n2):
         return 0.5, 0.75, 0.9
     y = n1 / (n1 + 2 * n2)
@@ -188,28 +200,6 @@ class Shards:
         return out
 
 
-    def rows(self, keys: np.ndarray, sums: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of keys of the word model and, of contexts, sums of discounts, 0 where there is
-        none. A shard is read once, its keys are in order."""
-        value, left = np.zeros(len(keys)), np.zeros(len(keys))
-        home = np.mod(keys, self.count)
-        ranked = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[ranked], np.arange(self.count + 1))
-        for shard in range(self.count):
-            mine = ranked[edges[shard] : edges[shard + 1]]
-            if not len(mine):
-                continue
-            k, v, *d = self.read(shard, *(("k", "v", "d") if sums else ("k", "v")))
-            if not len(k):
-                continue
-            at = np.minimum(np.searchsorted(k, keys[mine]), len(k) - 1)
-            hit = k[at] == keys[mine]
-            value[mine[hit]] = v[at[hit]]
-            if sums:
-                left[mine[hit]] = d[0][at[hit]]
-        return value, left
-
-
 def score_words(words: list[str], model: Shards, order: int) -> np.ndarray:
     """Log probability of each word, its end included."""
     pad = START * (order - 1)
@@ -225,7 +215,7 @@ def score_words(words: list[str], model: Shards, order: int) -> np.ndarray:
     logp, open_ = np.zeros(len(last)), np.arange(len(last))
     for n in range(order, 0, -1):
         at = last[open_]
-        grams, places = np.unique(keys_of(codes, n, n)[at - n + 1], return_inverse=True)
+        grams, places = distinct(keys_of(codes, n, n)[at - n + 1])
         found = model.find(grams)[places]
         hit = ~np.isnan(found)
         logp[open_[hit]] += found[hit]
@@ -233,7 +223,7 @@ def score_words(words: list[str], model: Shards, order: int) -> np.ndarray:
         if not len(open_):
             break
         contexts = keys_of(codes, n - 1, BACKOFF + n)[at - n + 1] if n > 1 else keys_of(codes[:0], 0, BACKOFF + 1)[np.zeros(len(at), dtype=np.int64)]
-        contexts, places = np.unique(contexts, return_inverse=True)
+        contexts, places = distinct(contexts)
         logp[open_] += np.nan_to_num(model.find(contexts))[places]
     else:
         logp[open_] += model.find(keys_of(codes[:0], 0, 0))[0]
@@ -247,187 +237,477 @@ def word_key(word: str) -> int:
 
 
 class Block:
-    """Texts as numbers of their distinct words; a text's words follow ``order - 1`` BEFOREs."""
+    """Texts as numbers of their distinct words."""
+
+    def __init__(self, words: list[str], keys: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.words, self.keys, self.ids, self.counts = words, keys, ids, counts
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Block:
+        parts = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        flat, ends = parts.flatten(), parts.offsets.to_numpy()
+        full = pc.greater(pc.binary_length(flat), 0)
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        coded = flat.filter(full).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        keys = np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
+        return cls(words, keys, coded.indices.to_numpy(), np.diff(before[ends]))
+
+    def windows(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all words in order, each text's behind ``order - 1`` BEFOREs; the places of the
+        words; and the last place before each text that has words."""
+        counts = self.counts[self.counts > 0]
+        pad = order - 1
+        at = np.arange(len(self.ids)) + np.repeat(np.arange(1, len(counts) + 1) * pad, counts)
+        keys = np.full(len(self.ids) + pad * len(counts), BEFORE, dtype=np.int64)
+        keys[at] = self.keys[self.ids]
+        return keys, at, at[np.cumsum(counts) - counts] - 1
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows, whose first column is a text, in runs of about ``size`` bytes of text."""
+    parts, held = [], 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            start = ends[lo - 1] if lo else 0
+            hi = min(int(np.searchsorted(ends, start + size - held)) + 1, b.num_rows)
+            parts.append(b.slice(lo, hi - lo))
+            held += ends[hi - 1] - start
+            if held >= size:
+                yield pa.Table.from_batches(parts).combine_chunks()
+                parts, held = [], 0
+            lo = hi
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
+def whole_column(table_: pa.Table, name: str) -> pa.Array:
+    chunks = table_.column(name).chunks
+    return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks) if chunks else pa.array([], table_.schema.field(name).type)
+
+
+def gram_keys(level: int, words: list[np.ndarray]) -> np.ndarray:
+    """Keys of word n-grams, of which ``words`` are the first, second, ... words."""
+    h = np.full(len(words[0]), ((WORDS + level) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1, dtype=np.uint64)
+    for w in words:
+        h = (h ^ w.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """The order of the keys: upper bits and places are sorted as one number, which takes a fifth
+    of an argsort; where lower bits decide, an argsort."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    order = np.sort(keys >> bits << bits | np.arange(len(keys))) & (1 << bits) - 1
+    put = keys[order]
+    return np.argsort(keys, kind="stable") if np.any(put[1:] < put[:-1]) else order
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys' order, where each new one begins in it, and the distinct keys."""
+    order = ranked(keys)
+    put = keys[order]
+    first = np.flatnonzero(np.concatenate([put[:1] == put[:1], put[1:] != put[:-1]]))
+    return order, first, put[first]
+
+
+def summed(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values[order], first) if len(first) else values[:0]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them."""
+    order, first, found = grouped(keys)
+    places = np.empty(len(keys), dtype=np.int64)
+    places[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return found, places
+
+
+def cuts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of keys begins and ends among keys in order."""
+    return np.searchsorted(((keys >> 32) + (1 << 31)) * parts >> 32, np.arange(parts + 1))
+
+
+def pack(*columns: np.ndarray, ordered: bool = False) -> bytes:
+    """Numbers as bytes: how many, which bytes of each column are not all zero, and these, all lowest
+    ones first. An ordered first column is held by its differences."""
+    columns = [c.astype(np.int64, copy=False) for c in columns]
+    if ordered and len(columns[0]):
+        columns[0] = np.concatenate([columns[0][:1], np.diff(columns[0])])
+    used, out = [], []
+    for c in columns:
+        span = 8 if ordered and c is columns[0] else (int(np.bitwise_or.reduce(c)) & (1 << 64) - 1).bit_length() + 7 >> 3
+        used.append(span)
+        out.append(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :span].T.tobytes())
+    return b"".join([len(columns[0]).to_bytes(8, "little"), bytes(used), *out])
+
+
+def planes_of(data: bytes, width: int) -> list[np.ndarray]:
+    """The bytes of each packed column, a row for all lowest ones first."""
+    n, at, out = int.from_bytes(data[:8], "little"), 8 + width, []
+    for span in data[8 : 8 + width]:
+        out.append(np.frombuffer(data, dtype=np.uint8, count=span * n, offset=at).reshape(span, n))
+        at += span * n
+    return out
+
 
-    def __init__(self, order: int):
-        self.index: dict[str, int] = {}
-        self.pad = np.full(order - 1, -1, dtype=np.int32)
-        self.texts: list[np.ndarray] = []
+def numbers(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    for j, p in enumerate(planes):
+        out[:, j] = p
+    return out.view(np.int64).reshape(-1)
 
-    def add(self, text: str) -> int:
-        words = text.split()
-        put = self.index.setdefault
-        self.texts.append(np.fromiter((put(w, len(self.index)) for w in words), dtype=np.int32, count=len(words)))
-        return len(words)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of all words in order, the places of those that are predicted, their numbers."""
-        parts = [x for t in self.texts for x in ((self.pad, t) if len(t) else ())]
-        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-        keys = np.fromiter((word_key(w) for w in self.index), dtype=np.int64, count=len(self.index))
-        at = np.flatnonzero(ids >= 0)
-        return np.append(keys, BEFORE)[ids], at, ids[at]
+def unpack(data: bytes, width: int, ordered: bool = False) -> list[np.ndarray]:
+    columns = [numbers(p) for p in planes_of(data, width)]
+    if ordered:
+        columns[0] = np.cumsum(columns[0])
+    return columns
+
+
+def joined(columns: list[list[np.ndarray]], width: int) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*columns)] if columns else [np.zeros(0, np.int64)] * width
 
 
 def count_word_grams(docs: DataFrame, order: int) -> DataFrame:
-    """w1, ..., c: the ``order``-grams of the words of ``docs`` (_text), by the words' keys."""
-    names = [f"w{i}" for i in range(1, order + 1)]
-    schema = pa.schema([(x, pa.int64()) for x in (*names, "c")])
-
-    def flush(block: Block) -> Iterator[pa.RecordBatch]:
-        keys, at, _ = block.windows()
-        columns = [keys[at - order + i] for i in range(1, order + 1)]
-        # in order, which makes the rows that are shuffled shorter
-        ranked = np.lexsort(columns[::-1])
-        columns = [c[ranked] for c in columns]
-        new = np.zeros(len(at), dtype=bool)
-        new[:1] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        first = np.flatnonzero(new)
-        columns = [c[first] for c in columns] + [np.diff(np.append(first, len(at)))]
-        for lo in range(0, len(first), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000], pa.int64()) for c in columns], schema=schema)
+    """words, k, i: blocks of the texts of ``docs`` (_text) with words: how many, the keys of the
+    distinct ones, and of all words in order, each text's behind ``order - 1`` BEFOREs, the numbers
+    among these. ``WordModel`` counts the n-grams of one share after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = Block(order), 0
-        for b in batches:
-            for text in b.column(0):
-                held += block.add(text.as_py())
-                if held > BLOCK_WORDS:
-                    yield from flush(block)
-                    block, held = Block(order), 0
-        if held:
-            yield from flush(block)
+        for texts in blocks(batches, 8 * BLOCK_WORDS):
+            block = Block.of(whole_column(texts, "_text"))
+            if not len(block.ids):
+                continue
+            _, at, last = block.windows(order)
+            ids = np.zeros(len(at) + (order - 1) * len(last), dtype=np.int32)
+            ids[at] = block.ids + 1
+            row = [len(at)], [np.append(BEFORE, block.keys).tobytes()], [ids.view(np.uint8).reshape(-1, 4).T.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["words", "k", "i"])
 
-    return docs.select("_text").mapInArrow(run, ", ".join(f"{x} long" for x in (*names, "c"))).groupBy(*names).agg(F.sum("c").alias("c"))
+    return docs.select("_text").mapInArrow(run, "words long, k binary, i binary")
 
 
-def key_column(tag: int, *words: str) -> Column:
-    """Keys of word n-grams, the same as ``gram_keys`` makes."""
+ROWS = "part int, shard int, kind string, k binary, n1 long, n2 long, n3 long, n4 long, more long, total long"
+GRAMS, CONTEXTS, TABLE = "grams", "contexts", "table"
 
-    @F.arrow_udf("long")
-    def key(*columns: pa.Array) -> pa.Array:
-        return pa.array(gram_keys(tag, [c.to_numpy() for c in columns]), pa.int64())
 
-    return key(*words)
+def rows_of(rows: list[dict]) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(name, types[kind]) for name, kind in map(str.split, ROWS.split(", "))])
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def gram_keys(tag: int, words: list[np.ndarray]) -> np.ndarray:
-    h = np.full(len(words[0]), (tag * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1, dtype=np.uint64)
-    for w in words:
-        h = (h ^ w.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    return (h ^ h >> np.uint64(32)).view(np.int64)
+def dealt(kind: str, keys: np.ndarray, parts: int, columns: list[np.ndarray], ordered: bool) -> list[dict]:
+    """Rows of columns in the order of their keys, cut into the ranges of the keys."""
+    edges = cuts_of(keys, parts)
+    packed = ((p, [c[lo:hi] for c in columns]) for p, (lo, hi) in enumerate(zip(edges, edges[1:])) if lo < hi)
+    return [{"part": p, "shard": -1, "kind": kind, "k": pack(*c, ordered=ordered)} for p, c in packed]
+
+
+def share_counter(order: int, parts: int, share: int, shares: int):
+    """Counts, block by block, the n-grams whose second word belongs to a share: so do all n-grams
+    of their contexts, and all that have the same last words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, i in zip(b.column(0), b.column(1)):
+                ids = np.ascontiguousarray(np.frombuffer(i.as_py(), dtype=np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+                keys, at = np.frombuffer(k.as_py(), dtype=np.int64)[ids], np.flatnonzero(ids)
+                at = at[np.mod(keys[at - order + min(order, 2)], shares) == share]
+                words = [keys[at - order + j] for j in range(1, order + 1)]
+                ranks, first, found = grouped(gram_keys(order, words))
+                if len(first):
+                    counts = np.diff(np.append(first, len(at)))
+                    yield rows_of(dealt(GRAMS, found, parts, [*(w[ranks[first]] for w in words), counts], False))
+
+    return run
+
+
+def merger(level: int, order: int, parts: int):
+    """Sums the n-grams of one range of keys, and the totals of those that are contexts of the order
+    above: a row of the model. For the order below, rows of the contexts and of the last words."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        (part,) = (x.as_py() for x in key)
+        kinds, data = rows.column("kind").to_pylist(), rows.column("k").to_pylist()
+        *words, c = joined([unpack(d, level + 1) for x, d in zip(kinds, data) if x == GRAMS], level + 1)
+        ranks, first, keys = grouped(gram_keys(level, words))
+        c, words = summed(c, ranks, first), [w[ranks[first]] for w in words]
+        own = {"n1": int((c == 1).sum()), "n2": int((c == 2).sum()), "n3": int((c == 3).sum()), "n4": int((c == 4).sum()), "more": int((c > 2).sum()), "total": int(c.sum())}
+        columns = [keys, c]
+        if level < order:
+            above, *sums = joined([unpack(d, 5, True) for x, d in zip(kinds, data) if x == CONTEXTS], 5)
+            ranks, first, above = grouped(above)
+            both, places = distinct(np.concatenate([keys, above]))
+            columns = [both, *np.zeros((5, len(both)), dtype=np.int64)]
+            columns[1][places[: len(keys)]] = c
+            for column, x in zip(columns[2:], sums):
+                column[places[len(keys) :]] = summed(x, ranks, first)
+        out = [{"part": part, "shard": part, "kind": TABLE, "k": pack(*columns, ordered=True), **own}]
+        if level > 1 and len(c):
+            ranks, first, keys = grouped(gram_keys(level - 1, words[:-1]))
+            sums = [summed(x.astype(np.int64), ranks, first) for x in (np.maximum(c - 3, 0), c == 1, c == 2, c > 2)]
+            out += dealt(CONTEXTS, keys, parts, [keys, *sums], True)
+            ranks, first, keys = grouped(gram_keys(level - 1, words[1:]))
+            # as for letters: what begins before the text keeps its counts
+            n = np.where(words[1] == BEFORE, c, 1) if level > 2 else np.ones_like(c)
+            out += dealt(GRAMS, keys, parts, [*(w[ranks[first]] for w in words[1:]), summed(n, ranks, first)], False)
+        return pa.Table.from_batches([rows_of(out)])
+
+    return run
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What jobs in the block shuffle is removed when each of them ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 class WordModel:
-    """Where the shards of the word model and of its spelling model are, and what is needed of
-    each order besides: the discounts, and of all unigrams the total and the share they leave."""
+    """Where the tables of the word model and the shards of its spelling model are, and what is needed
+    of each order besides: the discounts, and of all unigrams the total and the share they leave.
 
-    def __init__(self, grams: DataFrame, order: int, spelling: tuple[str, int], letters: int):
+    A row of a table holds a range of the keys of an order, packed: each n-gram's count and, as a
+    context of the order above, how many n-grams it has with counts of 1, 2 and more, and before
+    these what the latter have beyond 3 each."""
+
+    def __init__(self, texts: DataFrame, order: int, spelling: tuple[str, int], letters: int, parts: int = 1):
+        """``texts`` as of ``count_word_grams``; at least ``parts`` ranges."""
+        spark = texts.sparkSession
         self.order, self.letters, self.spelling = order, letters, spelling
-        self.parts: dict[int, tuple[str, int]] = {}
-        self.cuts, spark = {}, grams.sparkSession
-        scratch = ExitStack()
-        level = stage(grams, f"words-{order}", scratch.enter_context(staging(spark)))
-        for n in range(order, 0, -1):
-            own = [f"w{i}" for i in range(1, n + 1)]
-            with scratch, ExitStack() as following:
-                if n > 1:
-                    shorter = level.groupBy(*own[1:]).agg(F.sum("c").alias("_s"), F.count("*").alias("_k"))
-                    # as for letters: what begins before the text keeps its counts
-                    c = F.when(F.col("w2") == BEFORE, F.col("_s")).otherwise(F.col("_k")) if n > 2 else F.col("_k")
-                    shorter = shorter.select(*[F.col(x).alias(f"w{i}") for i, x in enumerate(own[1:], 1)], c.alias("c"))
-                    below = stage(shorter, f"words-{n - 1}", following.enter_context(staging(spark)))
-                d1, d2, d3 = self.cuts[n] = discounts(level)
-                cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-                sums = F.sum("c").alias("v"), F.sum(cut).alias("d")
-                self.write(WORDS + n, level.select(key_column(WORDS + n, *own).alias("k"), F.col("c").alias("v")), level.count())
-                if n == 1:
-                    total = level.agg(*sums).first()
-                    self.total, self.left = total["v"] or 0, total["d"] or 0.0
-                    break
-                # contexts are hardly more than the n-grams of the order below
-                tag = WORDS + BACKOFF + n
-                self.write(tag, level.select(key_column(tag, *own[:-1]).alias("k"), "c"), below.count(), sums)
-                scratch_below, level = following.pop_all(), below
-            scratch = scratch_below
-
-    def write(self, tag: int, rows: DataFrame, count: int, sums: tuple[Column, ...] = ()) -> None:
-        """Writes rows (k, ...) in shards, summed by key if there are sums."""
-        shards = max(1, -(-count // SHARD_ROWS))
-        folder = os.path.join(shared_dir(rows.sparkSession), f"words-{tag}-{uuid.uuid4().hex}")
-        placed = rows.withColumn("shard", F.pmod("k", F.lit(shards))).repartition(shards, "shard")
-        if sums:
-            placed = placed.groupBy("shard", "k").agg(*sums)
-        # keys in order are written as differences
-        packed = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#k": "false"}
-        placed.sortWithinPartitions("shard", "k").write.options(**packed).partitionBy("shard").parquet(folder)
-        self.parts[tag] = folder, shards
-
-    @property
-    def shards(self) -> int:
-        return max(count for _, count in self.parts.values())
-
-    def score(self, block: Block, model: dict[int, Shards], spelling: Shards) -> np.ndarray:
-        """Log probability of every word of the block in its place."""
-        keys, at, ids = block.windows()
-        words = list(block.index)
-        p = np.exp(score_words(words, spelling, self.letters))
-        if self.total:
-            own = model[WORDS + 1].rows(gram_keys(WORDS + 1, [np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))]))[0]
-            p = self.share(own, 1) / self.total + self.left / self.total * p
-        # a word of very many letters has no probability that a float can hold
-        p = np.maximum(p, 1e-300)[ids]
-        for n in range(2, self.order + 1):
-            window = [keys[at - n + i] for i in range(1, n + 1)]
-            contexts, places = np.unique(gram_keys(WORDS + BACKOFF + n, window[:-1]), return_inverse=True)
-            total, left = (x[places] for x in model[WORDS + BACKOFF + n].rows(contexts, True))
-            grams, places = np.unique(gram_keys(WORDS + n, window), return_inverse=True)
-            count = model[WORDS + n].rows(grams)[0][places]
-            seen = total > 0
-            p[seen] = (self.share(count[seen], n) + left[seen] * p[seen]) / total[seen]
+        self.folder = os.path.join(shared_dir(spark), f"words-{uuid.uuid4().hex}")
+        sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n1", "n2", "n3", "n4", "more", "total")]
+        of = {}
+        with arrow_rows(spark, 1_000), freed_shuffles(spark), staging(spark) as scratch:
+            texts = stage(texts, "blocks", scratch)
+            words = texts.agg(F.sum("words")).first()[0] or 0
+            self.shards = max(parts, -(-words // SHARD_ROWS))
+            shares = min(SHARES, max(1, -(-words // SHARE_WORDS)))
+            # the last words of n-grams with the same second word belong to one share, but for that word
+            last = max(order - 1, min(order, 2))
+            self.shares = {n: shares if n >= last else 1 for n in range(1, order + 1)}
+            for share in range(shares):
+                rows = texts.select("k", "i").mapInArrow(share_counter(order, self.shards, share, shares), ROWS)
+                for n in range(order, last - 1, -1):
+                    self.merge(rows, n, share)
+                    rows = self.below(spark, n, share)
+                    if n < order:
+                        self.drop_below(spark, n + 1, [share])
+            for n in range(last - 1, 0, -1):
+                rows = [self.below(spark, n + 1, share) for share in range(self.shares[n + 1])]
+                self.merge(reduce(DataFrame.unionByName, rows), n, 0)
+                self.drop_below(spark, n + 1, range(self.shares[n + 1]))
+            for n in self.shares:
+                found = spark.read.schema(ROWS).parquet(f"{self.folder}/level={n}")
+                of[n] = found.where(F.col("kind") == TABLE).agg(*sums).first()
+        self.cuts = {n: discounts_of(*(of[n][x] for x in ("n1", "n2", "n3", "n4"))) for n in of}
+        self.total = of[1]["total"]
+        self.left = sum(d * of[1][x] for d, x in zip(self.cuts[1], ("n1", "n2", "more")))
+
+    def merge(self, rows: DataFrame, level: int, share: int) -> None:
+        merged = rows.groupBy("part").applyInArrow(merger(level, self.order, self.shards), ROWS)
+        merged.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.folder}/level={level}/share={share}")
+
+    def below(self, spark: SparkSession, level: int, share: int) -> DataFrame:
+        """What a share of a level leaves to the level below."""
+        return spark.read.schema(ROWS).parquet(f"{self.folder}/level={level}/share={share}").where("shard = -1")
+
+    def drop_below(self, spark: SparkSession, level: int, shares: Iterable[int]) -> None:
+        for share in shares:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/level={level}/share={share}/shard=-1")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def find(self, level: int, part: int, keys: np.ndarray) -> np.ndarray:
+        """Columns of a table for distinct keys in order, all of one range: counts and, but for the
+        highest order, what belongs to contexts; 0 where there is none."""
+        width = 2 if level == self.order else 6
+        out = np.zeros((width - 1, len(keys)), dtype=np.int64)
+        store, root = fs.FileSystem.from_uri(self.folder)
+        for share in range(self.shares[level] if len(keys) else 0):
+            files = store.get_file_info(fs.FileSelector(f"{root}/level={level}/share={share}/shard={part}", allow_not_found=True))
+            for f in files:
+                if not f.path.endswith(".parquet"):
+                    continue
+                for data in pq.read_table(f.path, filesystem=store, columns=["k"], partitioning=None).column("k"):
+                    own, *columns = planes_of(data.as_py(), width)
+                    own = np.cumsum(numbers(own))
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    hit = np.flatnonzero(keys[at] == own)
+                    at = at[hit]
+                    for total, column in zip(out, columns):
+                        for j, p in enumerate(column):
+                            total[at] += p[hit].astype(np.int64) << 8 * j
+        return out
+
+    def asked(self, windows: tuple, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all n-grams of a level that a block needs, and which one ends at each word; those
+        before them are the contexts of the level above."""
+        keys, at, last = windows
+        ends, own = at, np.arange(len(at))
+        if level < self.order:
+            used = np.zeros(len(keys), dtype=bool)
+            used[at] = used[last] = True
+            ends, own = np.flatnonzero(used), (np.cumsum(used) - 1)[at]
+        return gram_keys(level, [keys[ends - level + i] for i in range(1, level + 1)]), own
+
+    def score(self, block: Block, spelled: np.ndarray, find) -> np.ndarray:
+        """Log probability of every word of the block in its place. ``spelled`` are those of its
+        distinct words by their letters; ``find(level, keys)`` gives columns of distinct keys."""
+        windows = block.windows(self.order)
+        p, context = np.exp(spelled), None
+        for n in range(1, self.order + 1):
+            keys, own = self.asked(windows, n)
+            found, places = distinct(keys)
+            c, *of = find(n, found)
+            share = self.share(c, n)[places[own]]
+            if n == 1:
+                # a word of very many letters has no probability that a float can hold
+                p = np.maximum(share / self.total + self.left / self.total * p[block.ids], 1e-300) if self.total else np.maximum(p, 1e-300)[block.ids]
+            else:
+                total, left = context
+                p *= left
+                p += share
+                p /= total
+            if n < self.order:
+                # without any n-grams of a context, the order below is taken whole
+                rest, *counts = of
+                total = rest + sum(k * x for k, x in enumerate(counts, 1))
+                left = np.where(total > 0, sum(d * x for d, x in zip(self.cuts[n + 1], counts)), 1.0)
+                before = places[own - 1]
+                context = np.maximum(total, 1)[before], left[before]
         return np.log(p)
 
     def share(self, counts: np.ndarray, n: int) -> np.ndarray:
         """Counts without their discounts; 0 where there is no count."""
         d = np.array([0.0, *self.cuts[n]])
-        return counts - d[np.minimum(counts, 3).astype(np.int64)]
+        return counts - d[np.minimum(counts, 3)]
+
 
+def perplexity_of(logp: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> list[float | None]:
+    """Per text, from the log probabilities of all words; ``sizes`` are of letters and word ends."""
+    sums = np.add.reduceat(logp, (np.cumsum(counts) - counts)[counts > 0]) if len(logp) else logp
+    out: list[float | None] = [None] * len(counts)
+    for i, s, size in zip(np.flatnonzero(counts), sums, sizes[counts > 0]):
+        out[i] = math.exp(min(-s / size, 700.0))
+    return out
 
-def perplexities(words: WordModel):
-    """An Arrow function text -> perplexity per character and word end; null without words."""
+
+def sizes_of(block: Block) -> np.ndarray:
+    letters = np.fromiter(map(len, block.words), dtype=np.int64, count=len(block.words)) + 1
+    before = np.concatenate([[0], np.cumsum(letters[block.ids])])
+    ends = np.cumsum(block.counts)
+    return before[ends] - before[ends - block.counts]
+
+
+def perplexities(model: WordModel):
+    """An Arrow function text -> perplexity per character and word end; null without words. Every
+    block reads the whole model, which suits few texts; ``rate`` joins instead."""
 
     @F.arrow_udf("double")
     def perplexity(text: pa.Array) -> pa.Array:
-        model, spelling, out = {tag: Shards(*part) for tag, part in words.parts.items()}, Shards(*words.spelling), []
-
-        def flush(block: Block) -> None:
-            if not block.index:
-                out.extend([None] * len(block.texts))
-                return
-            logp = words.score(block, model, spelling)
-            size = np.fromiter(map(len, block.index), dtype=np.int64, count=len(block.index)) + 1
-            ends = np.cumsum([len(t) for t in block.texts])
-            for t, end in zip(block.texts, ends):
-                out.append(math.exp(min(-logp[end - len(t) : end].sum() / size[t].sum(), 700.0)) if len(t) else None)
-
-        block, held = Block(words.order), 0
-        for t in text:
-            found = t.as_py() or ""
-            block.add(found)
-            held += len(found)
-            if held > BLOCK_CHARS:
-                flush(block)
-                block, held = Block(words.order), 0
-        flush(block)
+        spelling, out = Shards(*model.spelling), []
+
+        def find(level: int, keys: np.ndarray) -> np.ndarray:
+            edges = cuts_of(keys, model.shards)
+            return np.concatenate([model.find(level, p, keys[lo:hi]) for p, (lo, hi) in enumerate(zip(edges, edges[1:]))], axis=1)
+
+        for texts in blocks(iter([pa.RecordBatch.from_arrays([text], ["t"])]), BLOCK_CHARS):
+            block = Block.of(whole_column(texts, "t"))
+            logp = model.score(block, score_words(block.words, spelling, model.letters), find) if block.words else np.zeros(0)
+            out += perplexity_of(logp, block.counts, sizes_of(block))
         return pa.array(out, pa.float64())
 
     return perplexity
 
 
+def joined_perplexities(rows: DataFrame, model: WordModel) -> DataFrame:
+    """_id, _lang, perplexity of rows (_text, _id, _lang), by joins of their blocks with the model.
+
+    A block's row without level holds its texts as numbers of its words, with these words' keys and
+    spellings; its other rows the distinct keys of a level in a range, later what was found."""
+    id_type = rows.schema["_id"].dataType.simpleString()
+    schema = f"block long, part int, level int, k binary, i binary, t binary, ids array<{id_type}>, langs array<string>"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling, number = Shards(*model.spelling), TaskContext.get().partitionId() << 32
+        for texts in blocks(batches, BLOCK_CHARS):
+            block = Block.of(whole_column(texts, "_text"))
+            spelled = score_words(block.words, spelling, model.letters) if block.words else np.zeros(0)
+            head = {
+                "k": pack(block.keys, spelled.view(np.int64)),
+                "i": block.ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(),
+                "t": pack(block.counts, sizes_of(block)),
+            }
+            # blocks pass the tables in groups of their own
+            out = [head | {"block": number, "part": -1 - number % 1009, "level": 0}]
+            windows = block.windows(model.order)
+            for n in range(1, model.order + 1):
+                keys = distinct(model.asked(windows, n)[0])[0]
+                edges = cuts_of(keys, model.shards)
+                out += [{"block": number, "part": p, "level": n, "k": pack(keys[lo:hi], ordered=True)} for p, (lo, hi) in enumerate(zip(edges, edges[1:])) if lo < hi]
+            columns = [pa.array([r.get(x) for r in out], t) for x, t in types]
+            for name in ("_id", "_lang"):
+                values, ends = whole_column(texts, name), np.full(len(out) + 1, texts.num_rows, dtype=np.int32)
+                ends[0] = 0
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), values))
+            yield pa.RecordBatch.from_arrays(columns, [*(x for x, _ in types), "ids", "langs"])
+            number += 1
+
+    types = [("block", pa.int64()), ("part", pa.int32()), ("level", pa.int32()), ("k", pa.binary()), ("i", pa.binary()), ("t", pa.binary())]
+
+    def answer(key: tuple, asked: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        if part < 0:
+            return asked
+        levels, data = asked.column("level").to_numpy(), asked.column("k")
+        out: list[bytes | None] = [None] * asked.num_rows
+        for n in sorted(set(levels.tolist())):
+            mine = np.flatnonzero(levels == n)
+            wanted = [unpack(data[i].as_py(), 1, True)[0] for i in mine]
+            found, places = distinct(np.concatenate(wanted))
+            values = model.find(n, part, found)
+            hi = 0
+            for i, keys in zip(mine, wanted):
+                lo, hi = hi, hi + len(keys)
+                out[i] = pack(*(x[places[lo:hi]] for x in values))
+        return asked.set_column(asked.column_names.index("k"), "k", pa.array(out, pa.binary()))
+
+    def interpolate(key: tuple, found: pa.Table) -> pa.Table:
+        levels, parts, data = (found.column(x).to_numpy(zero_copy_only=False) for x in ("level", "part", "k"))
+        head = int(np.flatnonzero(levels == 0)[0])
+        keys, spelled = unpack(data[head], 2)
+        counts, sizes = unpack(found.column("t")[head].as_py(), 2)
+        ids = np.ascontiguousarray(np.frombuffer(found.column("i")[head].as_py(), dtype=np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+
+        def find(level: int, asked: np.ndarray) -> list[np.ndarray]:
+            mine = np.flatnonzero(levels == level)
+            width = 1 if level == model.order else 5
+            return joined([unpack(data[i], width) for i in mine[np.argsort(parts[mine])]], width)
+
+        block = Block([], keys, ids, counts)
+        logp = model.score(block, spelled.view(np.float64), find) if len(ids) else np.zeros(0)
+        out = [found.column(x)[head].values for x in ("ids", "langs")]
+        return pa.table([*out, pa.array(perplexity_of(logp, counts, sizes), pa.float64())], names=["_id", "_lang", "perplexity"])
+
+    asked = rows.select("_text", "_id", "_lang").mapInArrow(ask, schema)
+    answered = asked.groupBy("part").applyInArrow(answer, schema)
+    return answered.groupBy("block").applyInArrow(interpolate, f"_id {id_type}, _lang string, perplexity double")
+
+
 def held_back(key: Column) -> Column:
     """A tenth of the trusted rows sets the thresholds and takes no part in the counts."""
     return F.pmod(F.xxhash64(key, F.lit(4)), F.lit(10)) == 0
@@ -448,9 +728,17 @@ def rate(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float
     rows = docs.select(F.col("doc_id").alias("_id"), whole("text").alias("_text"), F.col("lang").cast("string").alias("_lang"))
     counted = rows.join(trusted.where(~held_back(F.col("_id"))), "_id")
     spelling = write_shards(model_table(count_grams(counted, LETTERS), LETTERS))
-    model = WordModel(count_word_grams(counted, order), order, spelling, LETTERS)
-    scored = rows.select("_id", "_lang", perplexities(model)("_text").alias("perplexity"))
-    scored = stage(scored, "perplexity")
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    slices = min(SLICES, max(1, -(-size // SLICE_CHARS)))
+    # as many as there are blocks in a slice, in which its tasks would make smaller ones
+    parts = max(1, -(-size // (slices * BLOCK_CHARS)))
+    model = WordModel(count_word_grams(counted, order), order, spelling, LETTERS, parts)
+    folder, scored = os.path.join(shared_dir(spark), f"perplexity-{uuid.uuid4().hex}"), []
+    with arrow_rows(spark, 1_000), freed_shuffles(spark):
+        for n in range(slices):
+            own = rows.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(slices)) == n).coalesce(parts)
+            scored.append(stage(joined_perplexities(own, model), f"slice-{n}", folder))
+    scored = reduce(DataFrame.unionByName, scored)
     held = scored.where(F.col("perplexity").isNotNull()).join(trusted.where(held_back(F.col("_id"))), "_id")
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     everywhere = held.agg(limit.alias("v")).first()["v"]
