@@ -47,8 +47,8 @@ LETTERS = 4  # order of the spelling model
 START, END = "\x02", "\x03"
 BLOCK_CHARS = 6_000_000
 BLOCK_WORDS = 1_000_000  # of a counting task, before it hands its n-grams on
-SHARD_ROWS = 2_000_000
-SHARES, SHARE_WORDS = 16, 2_000_000  # most shares of the n-grams, and the least words for one more
+SHARD_ROWS = 1_500_000
+SHARES, SHARE_WORDS = 24, 1_500_000  # most shares of the n-grams, and the least words for one more
 SLICES, SLICE_CHARS = 16, 50_000_000  # of the documents that are scored
 QUANTILE = 0.995
 BACKOFF = 64  # tag of interpolation weights among the keys
@@ -67,6 +67,16 @@ def keys_of(codes: np.ndarray, n: int, tag: int) -> np.ndarray:
     return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
+def keys_at(codes: np.ndarray, ends: np.ndarray, n: int, tag: int) -> np.ndarray:
+    """Keys of the windows of ``n`` code points that end before ``ends``."""
+    h = np.full(len(ends), (tag * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1, dtype=np.uint64)
+    for j in range(n, 0, -1):
+        h = (h ^ codes[ends - j]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -76,12 +86,14 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     schema = pa.schema([("g", pa.string()), ("c", pa.int64())])
 
     def flush(words: Counter) -> pa.RecordBatch:
-        grams: Counter = Counter()
-        for word, n in words.items():
-            padded = START * (order - 1) + word + END
-            for i in range(len(word) + 1):
-                grams[padded[i : i + order]] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], schema=schema)
+        text = "".join([START * (order - 1) + w + END for w in words])
+        codes, pads = points(text), np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + order
+        word = np.repeat(np.arange(len(words)), pads)
+        at = np.flatnonzero(np.arange(len(codes)) - (np.cumsum(pads) - pads)[word] >= order - 1)
+        counts = np.fromiter(words.values(), dtype=np.int64, count=len(words))[word[at]]
+        ranks, first, _ = grouped(keys_at(codes, at + 1, order, order))
+        grams = [text[i - order + 1 : i + 1] for i in at[ranks[first]].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(summed(counts, ranks, first), pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = Counter(), 0
@@ -214,16 +226,15 @@ def score_words(words: list[str], model: Shards, order: int) -> np.ndarray:
     last = np.flatnonzero(last)
     logp, open_ = np.zeros(len(last)), np.arange(len(last))
     for n in range(order, 0, -1):
-        at = last[open_]
-        grams, places = distinct(keys_of(codes, n, n)[at - n + 1])
+        at = last[open_] + 1
+        grams, places = distinct(keys_at(codes, at, n, n))
         found = model.find(grams)[places]
         hit = ~np.isnan(found)
         logp[open_[hit]] += found[hit]
         open_, at = open_[~hit], at[~hit]
         if not len(open_):
             break
-        contexts = keys_of(codes, n - 1, BACKOFF + n)[at - n + 1] if n > 1 else keys_of(codes[:0], 0, BACKOFF + 1)[np.zeros(len(at), dtype=np.int64)]
-        contexts, places = distinct(contexts)
+        contexts, places = distinct(keys_at(codes, at - 1, n - 1, BACKOFF + n))
         logp[open_] += np.nan_to_num(model.find(contexts))[places]
     else:
         logp[open_] += model.find(keys_of(codes[:0], 0, 0))[0]
@@ -231,9 +242,9 @@ def score_words(words: list[str], model: Shards, order: int) -> np.ndarray:
     return np.bincount(word, weights=logp, minlength=len(words))
 
 
-def word_key(word: str) -> int:
-    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def word_keys(words: pa.Array) -> np.ndarray:
+    data = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, data), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
 class Block:
@@ -250,8 +261,7 @@ class Block:
         before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
         coded = flat.filter(full).dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        keys = np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
-        return cls(words, keys, coded.indices.to_numpy(), np.diff(before[ends]))
+        return cls(words, word_keys(coded.dictionary), coded.indices.to_numpy(), np.diff(before[ends]))
 
     def windows(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of all words in order, each text's behind ``order - 1`` BEFOREs; the places of the
@@ -499,21 +509,23 @@ class WordModel:
             shares = min(SHARES, max(1, -(-words // SHARE_WORDS)))
             # the last words of n-grams with the same second word belong to one share, but for that word
             last = max(order - 1, min(order, 2))
-            self.shares = {n: shares if n >= last else 1 for n in range(1, order + 1)}
+            self.shares = {n: range(shares if n >= last else 1) for n in range(1, order + 1)}
             for share in range(shares):
                 rows = texts.select("k", "i").mapInArrow(share_counter(order, self.shards, share, shares), ROWS)
                 for n in range(order, last - 1, -1):
                     self.merge(rows, n, share)
                     rows = self.below(spark, n, share)
                     if n < order:
-                        self.drop_below(spark, n + 1, [share])
+                        self.remove(spark, n + 1, share, "shard=-1")
             for n in range(last - 1, 0, -1):
-                rows = [self.below(spark, n + 1, share) for share in range(self.shares[n + 1])]
+                rows = [self.below(spark, n + 1, share) for share in self.shares[n + 1]]
                 self.merge(reduce(DataFrame.unionByName, rows), n, 0)
-                self.drop_below(spark, n + 1, range(self.shares[n + 1]))
-            for n in self.shares:
-                found = spark.read.schema(ROWS).parquet(f"{self.folder}/level={n}")
-                of[n] = found.where(F.col("kind") == TABLE).agg(*sums).first()
+                for share in self.shares[n + 1]:
+                    self.remove(spark, n + 1, share, "shard=-1")
+        for n in range(1, order + 1):
+            found = spark.read.schema(ROWS).parquet(f"{self.folder}/level={n}")
+            of[n] = found.where(F.col("kind") == TABLE).agg(*sums).first()
+            self.settle(spark, n)
         self.cuts = {n: discounts_of(*(of[n][x] for x in ("n1", "n2", "n3", "n4"))) for n in of}
         self.total = of[1]["total"]
         self.left = sum(d * of[1][x] for d, x in zip(self.cuts[1], ("n1", "n2", "more")))
@@ -526,31 +538,62 @@ class WordModel:
         """What a share of a level leaves to the level below."""
         return spark.read.schema(ROWS).parquet(f"{self.folder}/level={level}/share={share}").where("shard = -1")
 
-    def drop_below(self, spark: SparkSession, level: int, shares: Iterable[int]) -> None:
-        for share in shares:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/level={level}/share={share}/shard=-1")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def remove(self, spark: SparkSession, level: int, share: int, name: str = "") -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/level={level}/share={share}/{name}".rstrip("/"))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def settle(self, spark: SparkSession, level: int) -> None:
+        """Puts the shares of a level together, as one table for each range."""
+        if len(self.shares[level]) == 1:
+            return
+        width = 2 if level == self.order else 6
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in b.column(0).to_pylist():
+                    tables = [planes_of(data, width) for data in self.tables(level, part)]
+                    if tables:
+                        ranks, first, keys = grouped(np.concatenate([np.cumsum(numbers(t[0])) for t in tables]))
+                        columns = (summed(np.concatenate([numbers(t[j]) for t in tables]), ranks, first) for j in range(1, width))
+                        data = pack(keys, *columns, ordered=True)
+                        yield rows_of([{"part": part, "shard": part, "kind": TABLE, "k": data}])
+
+        rows = spark.range(0, self.shards, 1, self.shards).mapInArrow(run, ROWS)
+        rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.folder}/level={level}/share=-1")
+        for share in self.shares[level]:
+            self.remove(spark, level, share)
+        self.shares[level] = [-1]
+
+    def tables(self, level: int, part: int) -> Iterator[bytes]:
+        store, root = fs.FileSystem.from_uri(self.folder)
+        for share in self.shares[level]:
+            files = store.get_file_info(fs.FileSelector(f"{root}/level={level}/share={share}/shard={part}", allow_not_found=True))
+            for f in files:
+                if f.path.endswith(".parquet"):
+                    yield from (x.as_py() for x in pq.read_table(f.path, filesystem=store, columns=["k"], partitioning=None).column("k"))
 
     def find(self, level: int, part: int, keys: np.ndarray) -> np.ndarray:
         """Columns of a table for distinct keys in order, all of one range: counts and, but for the
         highest order, what belongs to contexts; 0 where there is none."""
         width = 2 if level == self.order else 6
         out = np.zeros((width - 1, len(keys)), dtype=np.int64)
-        store, root = fs.FileSystem.from_uri(self.folder)
-        for share in range(self.shares[level] if len(keys) else 0):
-            files = store.get_file_info(fs.FileSelector(f"{root}/level={level}/share={share}/shard={part}", allow_not_found=True))
-            for f in files:
-                if not f.path.endswith(".parquet"):
-                    continue
-                for data in pq.read_table(f.path, filesystem=store, columns=["k"], partitioning=None).column("k"):
-                    own, *columns = planes_of(data.as_py(), width)
-                    own = np.cumsum(numbers(own))
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == own)
-                    at = at[hit]
-                    for total, column in zip(out, columns):
-                        for j, p in enumerate(column):
-                            total[at] += p[hit].astype(np.int64) << 8 * j
+        for data in self.tables(level, part) if len(keys) else ():
+            own, *columns = planes_of(data, width)
+            own = np.cumsum(numbers(own))
+            if not len(own):
+                continue
+            # the fewer ones are looked for among the others
+            if len(own) < len(keys):
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == own)
+                at = at[hit]
+            else:
+                hit = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                at = np.flatnonzero(own[hit] == keys)
+                hit = hit[at]
+            for total, column in zip(out, columns):
+                for j, p in enumerate(column):
+                    total[at] += p[hit].astype(np.int64) << 8 * j
         return out
 
     def asked(self, windows: tuple, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -727,14 +770,14 @@ def rate(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float
     trusted = small(trusted.withColumn("_good", F.lit(True)), trusted.count())
     rows = docs.select(F.col("doc_id").alias("_id"), whole("text").alias("_text"), F.col("lang").cast("string").alias("_lang"))
     counted = rows.join(trusted.where(~held_back(F.col("_id"))), "_id")
-    spelling = write_shards(model_table(count_grams(counted, LETTERS), LETTERS))
-    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    slices = min(SLICES, max(1, -(-size // SLICE_CHARS)))
-    # as many as there are blocks in a slice, in which its tasks would make smaller ones
-    parts = max(1, -(-size // (slices * BLOCK_CHARS)))
-    model = WordModel(count_word_grams(counted, order), order, spelling, LETTERS, parts)
     folder, scored = os.path.join(shared_dir(spark), f"perplexity-{uuid.uuid4().hex}"), []
     with arrow_rows(spark, 1_000), freed_shuffles(spark):
+        size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        slices = min(SLICES, max(1, -(-size // SLICE_CHARS)))
+        # as many as there are blocks in a slice, in which its tasks would make smaller ones
+        parts = max(1, -(-size // (slices * BLOCK_CHARS)))
+        spelling = write_shards(model_table(count_grams(counted, LETTERS), LETTERS))
+        model = WordModel(count_word_grams(counted, order), order, spelling, LETTERS, parts)
         for n in range(slices):
             own = rows.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(slices)) == n).coalesce(parts)
             scored.append(stage(joined_perplexities(own, model), f"slice-{n}", folder))
