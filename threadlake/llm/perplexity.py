@@ -419,6 +419,11 @@ def dealt(kind: str, keys: np.ndarray, parts: int, columns: list[np.ndarray], or
     return [{"part": p, "shard": -1, "kind": kind, "k": pack(*c, ordered=ordered)} for p, c in packed]
 
 
+def spread(c: np.ndarray) -> dict[str, int]:
+    """How many counts there are of 1 to 4 and of more than 2, and their total."""
+    return {f"n{i}": int((c == i).sum()) for i in range(1, 5)} | {"more": int((c > 2).sum()), "total": int(c.sum())}
+
+
 def share_counter(order: int, parts: int, share: int, shares: int):
     """Counts, block by block, the n-grams whose second word belongs to a share: so do all n-grams
     of their contexts, and all that have the same last words."""
@@ -448,7 +453,6 @@ def merger(level: int, order: int, parts: int):
         *words, c = joined([unpack(d, level + 1) for x, d in zip(kinds, data) if x == GRAMS], level + 1)
         ranks, first, keys = grouped(gram_keys(level, words))
         c, words = summed(c, ranks, first), [w[ranks[first]] for w in words]
-        own = {"n1": int((c == 1).sum()), "n2": int((c == 2).sum()), "n3": int((c == 3).sum()), "n4": int((c == 4).sum()), "more": int((c > 2).sum()), "total": int(c.sum())}
         columns = [keys, c]
         if level < order:
             above, *sums = joined([unpack(d, 5, True) for x, d in zip(kinds, data) if x == CONTEXTS], 5)
@@ -458,7 +462,7 @@ def merger(level: int, order: int, parts: int):
             columns[1][places[: len(keys)]] = c
             for column, x in zip(columns[2:], sums):
                 column[places[len(keys) :]] = summed(x, ranks, first)
-        out = [{"part": part, "shard": part, "kind": TABLE, "k": pack(*columns, ordered=True), **own}]
+        out = [{"part": part, "shard": part, "kind": TABLE, "k": pack(*columns, ordered=True), **spread(c)}]
         if level > 1 and len(c):
             ranks, first, keys = grouped(gram_keys(level - 1, words[:-1]))
             sums = [summed(x.astype(np.int64), ranks, first) for x in (np.maximum(c - 3, 0), c == 1, c == 2, c > 2)]
@@ -509,6 +513,8 @@ class WordModel:
             shares = min(SHARES, max(1, -(-words // SHARE_WORDS)))
             # the last words of n-grams with the same second word belong to one share, but for that word
             last = max(order - 1, min(order, 2))
+            # and what shares add to the lowest order is summed when they are put together
+            last = 1 if last == 2 else last
             self.shares = {n: range(shares if n >= last else 1) for n in range(1, order + 1)}
             for share in range(shares):
                 rows = texts.select("k", "i").mapInArrow(share_counter(order, self.shards, share, shares), ROWS)
@@ -523,9 +529,9 @@ class WordModel:
                 for share in self.shares[n + 1]:
                     self.remove(spark, n + 1, share, "shard=-1")
         for n in range(1, order + 1):
+            self.settle(spark, n)
             found = spark.read.schema(ROWS).parquet(f"{self.folder}/level={n}")
             of[n] = found.where(F.col("kind") == TABLE).agg(*sums).first()
-            self.settle(spark, n)
         self.cuts = {n: discounts_of(*(of[n][x] for x in ("n1", "n2", "n3", "n4"))) for n in of}
         self.total = of[1]["total"]
         self.left = sum(d * of[1][x] for d, x in zip(self.cuts[1], ("n1", "n2", "more")))
@@ -554,9 +560,9 @@ class WordModel:
                     tables = [planes_of(data, width) for data in self.tables(level, part)]
                     if tables:
                         ranks, first, keys = grouped(np.concatenate([np.cumsum(numbers(t[0])) for t in tables]))
-                        columns = (summed(np.concatenate([numbers(t[j]) for t in tables]), ranks, first) for j in range(1, width))
-                        data = pack(keys, *columns, ordered=True)
-                        yield rows_of([{"part": part, "shard": part, "kind": TABLE, "k": data}])
+                        c, *columns = (summed(np.concatenate([numbers(t[j]) for t in tables]), ranks, first) for j in range(1, width))
+                        data = pack(keys, c, *columns, ordered=True)
+                        yield rows_of([{"part": part, "shard": part, "kind": TABLE, "k": data, **spread(c)}])
 
         rows = spark.range(0, self.shards, 1, self.shards).mapInArrow(run, ROWS)
         rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.folder}/level={level}/share=-1")
